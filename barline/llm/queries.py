@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barline.llm import bpe, quality_rules, simhash
+from barline.llm import bpe, quality_ranker, quality_rules, simhash
 from barline.llm.common import table
 
 #: Rank file and pattern of the encoding queries.
@@ -19,6 +19,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_ranker.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_quality_ranker": op3_quality_ranker,
     "op4_simhash": op4_simhash,
     "op6_byte_bpe": op6_byte_bpe,
 }
