@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barline.llm import bpe, quality_ranker, quality_rules, simhash
+from barline.llm import bpe, mixing, quality_ranker, quality_rules, sharding, simhash
 from barline.llm.common import table
 
 #: Rank file and pattern of the encoding queries.
@@ -31,14 +31,25 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), RANKS, PATTERN)
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.report(table(spark, sf_dir, "documents"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_quality_ranker": op3_quality_ranker,
     "op4_simhash": op4_simhash,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_sharding": op7_sharding,
+    "op8_mixing": op8_mixing,
 }
 
 #: DuckDB SQL for the same rows, where SQL can express them.
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality_rules.ORACLE,
+    "op8_mixing": mixing.ORACLE,
 }
