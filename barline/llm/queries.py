@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barline.llm import bpe, mixing, quality_ranker, quality_rules, sharding, simhash
+from barline.llm import bpe, mixing, quality_ranker, quality_rules, sharding, simhash, topk
 from barline.llm.common import table
 
 #: Rank file and pattern of the encoding queries.
@@ -19,6 +19,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.report(table(spark, sf_dir, "embeddings"))
+
+
 def op3_quality_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ranker.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,6 +45,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_topk": op2_topk,
     "op3_quality_ranker": op3_quality_ranker,
     "op4_simhash": op4_simhash,
     "op6_byte_bpe": op6_byte_bpe,
@@ -51,5 +56,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: DuckDB SQL for the same rows, where SQL can express them.
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality_rules.ORACLE,
+    "op2_topk": topk.ORACLE,
     "op8_mixing": mixing.ORACLE,
 }
