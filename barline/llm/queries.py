@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barline.llm import bpe, mixing, quality_ranker, quality_rules, sharding, simhash, topk
+from barline.llm import bpe, html_extract, license_scan, mixing, quality_ranker, quality_rules, sharding, simhash, topk, url_filter
 from barline.llm.common import table
 
 #: Rank file and pattern of the encoding queries.
@@ -31,6 +31,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.report(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), RANKS, PATTERN)
 
@@ -43,14 +47,25 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.report(table(spark, sf_dir, "pages"))
+
+
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.report(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_topk": op2_topk,
     "op3_quality_ranker": op3_quality_ranker,
     "op4_simhash": op4_simhash,
+    "op5_license_scan": op5_license_scan,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_sharding": op7_sharding,
     "op8_mixing": op8_mixing,
+    "op9_url_filter": op9_url_filter,
+    "op10_html_extract": op10_html_extract,
 }
 
 #: DuckDB SQL for the same rows, where SQL can express them.
