@@ -13,8 +13,9 @@ independent, so a lost task is simply run again.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 CACHE_ENTRIES = 300_000
 #: Longest match worth remembering.
 CACHE_CHARS = 32
-#: Matches encoded at a time, so that a long text never has them all in memory.
+#: Characters of a text whose matches are listed at once; a longer text's are found one by one.
 MATCHES_AT_ONCE = 50_000
 _NONE = 1 << 62
 
@@ -131,14 +132,10 @@ class Encoder:
         self.pattern = regex.compile(pattern)
         self.known = _Known(load_ranks(path))
 
-    def __call__(self, text: str) -> list[int]:
+    def __call__(self, text: str) -> Iterator[int]:
         if len(text) <= MATCHES_AT_ONCE:
-            return list(chain.from_iterable(map(self.known.__getitem__, self.pattern.findall(text))))
-        ids: list[int] = []
-        matches = self.pattern.finditer(text)
-        while some := [m.group() for m in islice(matches, MATCHES_AT_ONCE)]:
-            ids.extend(chain.from_iterable(map(self.known.__getitem__, some)))
-        return ids
+            return chain.from_iterable(map(self.known.__getitem__, self.pattern.findall(text)))
+        return chain.from_iterable(self.known[m.group()] for m in self.pattern.finditer(text))
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -170,11 +167,12 @@ def encode(text: Column, path: str, pattern: str) -> Column:
     def encode_texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         to_ids = encoder(path, pattern)
         for texts in batches:
-            offsets, ids = [0], []
+            offsets, ids = array("i", [0]), array("i")
             for value in texts:
-                ids.append(pa.array(to_ids(value.as_py() or ""), pa.int32()))
-                offsets.append(offsets[-1] + len(ids[-1]))
-            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.concat_arrays(ids) if ids else pa.array([], pa.int32()))
+                ids.extend(to_ids(value.as_py() or ""))
+                offsets.append(len(ids))
+            bounds, values = (pa.Array.from_buffers(pa.int32(), len(x), [None, pa.py_buffer(x)]) for x in (offsets, ids))
+            yield pa.ListArray.from_arrays(bounds, values)
 
     return encode_texts(text)
 
@@ -186,7 +184,9 @@ def decode(ids: Column, path: str) -> Column:
     def decode_ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = tokens(path)
         for rows in batches:
-            yield pa.array([b"".join(map(known.__getitem__, row.as_py() or ())) for row in rows], pa.binary())
+            ids, ends = rows.values.to_numpy(), rows.offsets.to_pylist()
+            spans = zip(ends, ends[1:], rows.is_valid(), strict=False)
+            yield pa.array([b"".join(map(known.__getitem__, ids[a:b].tolist())) if there.as_py() else b"" for a, b, there in spans], pa.binary())
 
     return decode_ids(ids)
 
