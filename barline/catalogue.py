@@ -391,7 +391,7 @@ def semi_dividend_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def anti_missing_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ticks = fixtures.ticks(spark, sf_dir)
-    return sync.missing_codes(ticks, ticks.where("event_type = 'purchase'"))
+    return sync.missing_codes(ticks, ticks.where("event_type = 'purchase' and code % 4 <> 0"))
 
 
 def sync_due(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -557,7 +557,7 @@ ORACLE_SQL: dict[str, str] = {name: query.sql for name, query in SERIES.items()}
     ), s AS (SELECT *, coalesce(lead(ratio) OVER ({_W}), 1) AS following FROM r)
     SELECT code, trade_date, round(product(following) OVER ({_W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) + 0.0 AS forward_factor FROM s""",
     "semi_dividend_dates": f"{_FIX} SELECT code, trade_date FROM stock_dividend v WHERE EXISTS (SELECT 1 FROM bars b WHERE b.code = v.code AND b.trade_date = v.trade_date AND high > low)",
-    "anti_missing_codes": f"{_FIX} SELECT DISTINCT code FROM ticks WHERE code NOT IN (SELECT code FROM ticks WHERE event_type = 'purchase')",
+    "anti_missing_codes": f"{_FIX} SELECT DISTINCT code FROM ticks WHERE code NOT IN (SELECT code FROM ticks WHERE event_type = 'purchase' AND code % 4 <> 0)",
     "sync_due": f"{_FIX}, since AS (SELECT code, max(trade_date) FILTER (WHERE close < 20 AND code % 5 <> 0) AS since FROM ticks WHERE code % 7 <> 0 GROUP BY code) SELECT t.code, t.trade_date, t.close FROM ticks t JOIN since s ON s.code = t.code WHERE t.trade_date >= coalesce(s.since, TIMESTAMP '1990-12-19')",
     "breadth": _on_adjusted(
         {"px": "close"} | _SIGNALS, dict.fromkeys(("px", *_SIGNALS), "raw"), _SIGNAL_LAYERS,

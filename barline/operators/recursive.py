@@ -150,6 +150,11 @@ class Linear(Step):
         return [None if any(x is None for x in row) else sum(f * x for f, x in zip(self.factors, row, strict=True)) for row in zip(*values, strict=True)]
 
 
+def _numbers(column: pa.Array) -> list:
+    """Python values, with floats for decimals."""
+    return (column.cast(pa.float64()) if pa.types.is_decimal(column.type) else column).to_pylist()
+
+
 def with_recursive(df: DataFrame, steps: dict[str, Step], series: Series | None = None) -> DataFrame:
     """df with a column for each step, made in order; a later step may take an earlier one's.
 
@@ -166,7 +171,7 @@ def with_recursive(df: DataFrame, steps: dict[str, Step], series: Series | None
         now, states = object(), {}
         for batch in batches:
             ids = list(zip(*(batch.column(i).to_pylist() for i in keys), strict=True))
-            columns = {name: batch.column(place[name]).to_pylist() for name in given}
+            columns = {name: _numbers(batch.column(place[name])) for name in given}
             made: dict[str, list] = {name: [] for name in steps}
             start = 0
             while start < len(ids):
