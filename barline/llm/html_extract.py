@@ -31,6 +31,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Words of class and id that name what doesn't belong to an article.
 FURNITURE = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments reply replies disqus respond share sharing social related recommended widget toolbar pagination pager login signup search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _TEXT_CONTENT = frozenset(("script", "style"))
 _ENDS_PARAGRAPH_OF = {"p": ("p",), "li": ("li", "p"), "dd": ("dd", "dt", "p"), "dt": ("dd", "dt", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}
 
@@ -82,7 +83,8 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         given = dict(attrs)
-        words = re.split(r"[^a-z]+", f"{given.get('class') or ''} {given.get('id') or ''}".lower())
+        named = re.sub(r"\b(?:has|with|no|without)-\w+", "", f"{given.get('class') or ''} {given.get('id') or ''}".lower())
+        words = re.split(r"[^a-z]+", named)
         out = self.open[-1][2] or tag in LEFT_OUT or (given.get("role") or "").lower() in ROLES or "hidden" in given or given.get("aria-hidden") == "true"
         out = out or (tag not in ("html", "body", "article", "main") and not FURNITURE.isdisjoint(words))
         self.names.append(tag)
@@ -142,12 +144,18 @@ def content_blocks(html: str | None) -> list[str]:
     smoothed = smooth(np.array([len(text) / max(1, tags) for text, tags, _ in lines]))
     marked = smoothed >= threshold(smoothed)
     mass: dict[int, int] = {}
+    held: dict[int, int] = {}
     for (text, _, path), content in zip(lines, marked, strict=True):
-        for number in path if content else ():
-            mass[number] = mass.get(number, 0) + len(text)
-    # The innermost element with enough of the text: later elements lie further in, as numbers follow the page.
-    region = max(number for number, size in mass.items() if size >= SHARE * mass[0])
+        for number in path:
+            held[number] = held.get(number, 0) + 1
+            mass[number] = mass.get(number, 0) + (len(text) if content else 0)
+    # The innermost element of several lines with enough of the text: later elements lie further in, as numbers follow the page.
+    region = max(number for number, size in mass.items() if size >= SHARE * mass[0] and (held[number] > 1 or number == 0))
     inner = next(path[: path.index(region) + 1] for _, _, path in lines if region in path)
+    for outer in reversed(inner[:-1]):  # what an element adds besides headings is no part of the article
+        if not all(HEADINGS & {page.names[number] for number in path} for _, _, path in lines if outer in path and region not in path):
+            break
+        region = outer
     for name in ("article", "main"):
         landmark = next((number for number in reversed(inner) if page.names[number] == name), None)
         if landmark is not None:
