@@ -18,7 +18,7 @@ from barline.functions import technical as T
 from barline.functions.numeric import finite
 from barline.functions.series import BETWEEN, Series
 from barline.operators import catalog, predicates, recursive, smoothed
-from barline.plans import adjust, breadth, kline, sync
+from barline.plans import adjust, breadth, indicators, kline, sync
 from barline.sources import fixtures, landing
 
 S = Series()
@@ -147,9 +147,14 @@ _TR = {"tr": f"greatest(high - low, abs({_ref('close')} - high), abs({_ref('clos
 _TP = "(high + low + close) / 3"
 
 
-def _named(frame: Callable[[DataFrame], DataFrame], **names: str) -> Callable[[DataFrame], DataFrame]:
-    """frame's result with columns renamed: new name = old name."""
-    return lambda df: (made := frame(df)).select(*[F.col(old).alias(new) for new, old in names.items()], *[c for c in made.columns if c not in names.values()])
+def _named(indicator: Callable[[], smoothed.Smoothed], **names: str) -> Callable[[DataFrame], DataFrame]:
+    """Adds a smoothed indicator; new name = its name."""
+
+    def frame(df: DataFrame) -> DataFrame:
+        made = smoothed.add(df, indicator())
+        return made.select("code", "trade_date", *[F.col(old).alias(new) for new, old in names.items()])
+
+    return frame
 
 
 def _jx_layers() -> tuple[Layer, ...]:
@@ -183,10 +188,6 @@ _NMM_LAYERS = (*_nm_layers(_NMM_W), {"nm": f"(now_ln * {sum(_NMM_W)!r}::DOUBLE -
 _NMM = {"NMMB": "nm < -3000", "NMMT": "nm > 3000"}
 
 
-def _xsii(df: DataFrame) -> DataFrame:
-    return smoothed.with_xsii(df)
-
-
 SERIES: dict[str, SeriesQuery] = {
     # Numbers and shifts
     "scalar_math": SeriesQuery(
@@ -239,9 +240,9 @@ SERIES: dict[str, SeriesQuery] = {
         _bools("fires"), "ticks", True,
     ),
     # Indicators
-    "macd": SeriesQuery(lambda df: _named(smoothed.with_macd, dif="DIF", dea="DEA", macd="MACD")(df), {"dif": "round(d, 2)", "dea": "round(e, 2)", "macd": "round((d - e) * 2, 2)"}, (Ewm({"s": ("close", 2 / 13), "l": ("close", 2 / 27)}), {"d": "s - l"}, Ewm({"e": ("d", 2 / 10)})), frame=True),
-    "kdj": SeriesQuery(lambda df: _named(smoothed.with_kdj, k="K", d="D", j="J")(df), {"k": "kk", "d": "dd", "j": "kk * 3 - dd * 2"}, ({"rsv": f"(close - {_roll('min', 'low', 9)}) / ({_roll('max', 'high', 9)} - {_roll('min', 'low', 9)}) * 100"}, Ewm({"kk": ("rsv", 2 / 6)}), Ewm({"dd": ("kk", 2 / 6)})), frame=True),
-    "rsi": SeriesQuery(lambda df: _named(smoothed.with_rsi, rsi="RSI")(df), {"rsi": "round(r / m * 100, 2)"}, ({"mv": f"close - {_ref('close')}"}, {"rise": "greatest(mv, 0)", "mov": "abs(mv)"}, Ewm({"r": ("rise", 1 / 24), "m": ("mov", 1 / 24)})), frame=True),
+    "macd": SeriesQuery(_named(lambda: smoothed.macd(), dif="DIF", dea="DEA", macd="MACD"), {"dif": "round(d, 2)", "dea": "round(e, 2)", "macd": "round((d - e) * 2, 2)"}, (Ewm({"s": ("close", 2 / 13), "l": ("close", 2 / 27)}), {"d": "s - l"}, Ewm({"e": ("d", 2 / 10)})), frame=True),
+    "kdj": SeriesQuery(_named(lambda: smoothed.kdj(), k="K", d="D", j="J"), {"k": "kk", "d": "dd", "j": "kk * 3 - dd * 2"}, ({"rsv": f"(close - {_roll('min', 'low', 9)}) / ({_roll('max', 'high', 9)} - {_roll('min', 'low', 9)}) * 100"}, Ewm({"kk": ("rsv", 2 / 6)}), Ewm({"dd": ("kk", 2 / 6)})), frame=True),
+    "rsi": SeriesQuery(_named(lambda: smoothed.rsi(), rsi="RSI"), {"rsi": "round(r / m * 100, 2)"}, ({"mv": f"close - {_ref('close')}"}, {"rise": "greatest(mv, 0)", "mov": "abs(mv)"}, Ewm({"r": ("rise", 1 / 24), "m": ("mov", 1 / 24)})), frame=True),
     "wr": SeriesQuery(lambda p: dict(zip(("wr10", "wr6"), T.WR(p.close, p.high, p.low), strict=True)), {f"wr{n}": f"round(({_roll('max', 'high', n)} - close) / ({_roll('max', 'high', n)} - {_roll('min', 'low', n)}) * 100, 2)" for n in (10, 6)}),
     "bias": SeriesQuery(lambda p: dict(zip(("b6", "b12", "b24"), T.BIAS(p.close), strict=True)), {f"b{n}": f"round((close - {_ma('close', n)}) / {_ma('close', n)} * 100, 2)" for n in (6, 12, 24)}),
     # Means of 20 prices in cents end in half cents, which no two ways of summing round alike; of 21, hardly ever.
@@ -256,8 +257,8 @@ SERIES: dict[str, SeriesQuery] = {
         (_TR | {"hd": f"high - {_ref('high')}", "ld": f"{_ref('low')} - low"}, {"dp": "CASE WHEN hd > 0 AND hd > ld THEN hd ELSE 0 END", "dm": "CASE WHEN ld > 0 AND ld > hd THEN ld ELSE 0 END"}, {"p": f"{_sum('dp', 14)} * 100 / {_sum('tr', 14)}", "m": f"{_sum('dm', 14)} * 100 / {_sum('tr', 14)}"}, {"x0": "abs(m - p) / (p + m) * 100"}, {"x": _ma("x0", 6)}),
     ),
     "taq": SeriesQuery(lambda p: dict(zip(("up", "mid", "down"), T.TAQ(p.high, p.low, 20), strict=True)), {"up": "u", "mid": "(u + d) / 2", "down": "d"}, ({"u": _roll("max", "high", 20), "d": _roll("min", "low", 20)},)),
-    "ktn": SeriesQuery(lambda df: _named(smoothed.with_ktn, upper="KTN_UPPER", mid="KTN_MID", lower="KTN_LOWER")(df), {"upper": "e + 2 * a", "mid": "e", "lower": "e - 2 * a"}, (_TR | {"tp": _TP}, {"a": _ma("tr", 10)}, Ewm({"e": ("tp", 2 / 21)})), frame=True),
-    "trix": SeriesQuery(lambda df: _named(smoothed.with_trix, trix="TRIX", trma="TRMA")(df), {"trix": "t", "trma": _ma("t", 20)}, (Ewm({"e1": ("close", 2 / 13)}), Ewm({"e2": ("e1", 2 / 13)}), Ewm({"e3": ("e2", 2 / 13)}), {"t": f"(e3 - {_ref('e3')}) / {_ref('e3')} * 100"}), frame=True),
+    "ktn": SeriesQuery(_named(lambda: smoothed.ktn(), upper="KTN_UPPER", mid="KTN_MID", lower="KTN_LOWER"), {"upper": "e + 2 * a", "mid": "e", "lower": "e - 2 * a"}, (_TR | {"tp": _TP}, {"a": _ma("tr", 10)}, Ewm({"e": ("tp", 2 / 21)})), frame=True),
+    "trix": SeriesQuery(_named(lambda: smoothed.trix(), trix="TRIX", trma="TRMA"), {"trix": "t", "trma": _ma("t", 20)}, (Ewm({"e1": ("close", 2 / 13)}), Ewm({"e2": ("e1", 2 / 13)}), Ewm({"e3": ("e2", 2 / 13)}), {"t": f"(e3 - {_ref('e3')}) / {_ref('e3')} * 100"}), frame=True),
     "vr": SeriesQuery(lambda p: {"vr": T.VR(p.close, p.volume)}, {"vr": f"{_sum('a', 26)} / {_sum('b', 26)} * 100"}, ({"a": f"CASE WHEN close > {_ref('close')} THEN volume ELSE 0 END", "b": f"CASE WHEN close <= {_ref('close')} THEN volume ELSE 0 END"},)),
     "cr": SeriesQuery(lambda p: {"cr": T.CR(p.close, p.high, p.low)}, {"cr": f"{_sum('a', 20)} / {_sum('b', 20)} * 100"}, ({"m": f"{_ref('high + low + close')} / 3"}, {"a": "greatest(0, high - m)", "b": "greatest(0, m - low)"}), kinds={"cr": 4}),
     "emv": SeriesQuery(lambda p: dict(zip(("emv", "maemv"), T.EMV(p.high, p.low, p.volume), strict=True)), {"emv": "e", "maemv": _ma("e", 9)}, ({"q": f"{_ma('volume', 14)} / volume", "m": f"100 * (high + low - {_ref('high + low')}) / (high + low)"}, {"x": f"m * q * (high - low) / {_ma('high - low', 14)}"}, {"e": _ma("x", 14)})),
@@ -267,7 +268,7 @@ SERIES: dict[str, SeriesQuery] = {
     "mtm": SeriesQuery(lambda p: dict(zip(("mtm", "mtmma"), T.MTM(p.close), strict=True)), {"mtm": "m", "mtmma": _ma("m", 6)}, ({"m": f"close - {_ref('close', 12)}"},)),
     "mass": SeriesQuery(lambda p: dict(zip(("mass", "mamass"), T.MASS(p.high, p.low), strict=True)), {"mass": "s", "mamass": _ma("s", 6)}, ({"a": _ma("high - low", 9)}, {"q": f"a / {_ma('a', 9)}"}, {"s": _sum("q", 25)})),
     "roc": SeriesQuery(lambda p: dict(zip(("roc", "maroc"), T.ROC(p.close), strict=True)), {"roc": "r", "maroc": _ma("r", 6)}, ({"r": f"100 * (close - {_ref('close', 12)}) / {_ref('close', 12)}"},)),
-    "expma": SeriesQuery(lambda df: _named(smoothed.with_expma, e12="EXPMA1", e50="EXPMA2")(df), {"e12": "a", "e50": "b"}, (Ewm({"a": ("close", 2 / 13), "b": ("close", 2 / 51)}),), frame=True),
+    "expma": SeriesQuery(_named(lambda: smoothed.expma(), e12="EXPMA1", e50="EXPMA2"), {"e12": "a", "e50": "b"}, (Ewm({"a": ("close", 2 / 13), "b": ("close", 2 / 51)}),), frame=True),
     "obv": SeriesQuery(lambda p: {"obv": T.OBV(p.close, p.volume)}, {"obv": f"{_so_far('sum', 'v')} / 10000"}, ({"v": f"CASE WHEN close > {_ref('close')} THEN volume WHEN close < {_ref('close')} THEN -volume ELSE 0 END"},)),
     "mfi": SeriesQuery(lambda p: {"mfi": T.MFI(p.close, p.high, p.low, p.volume)}, {"mfi": f"100 - 100 / (1 + {_sum('a', 14)} / {_sum('b', 14)})"}, ({"tp": _TP}, {"a": f"CASE WHEN tp > {_ref('tp')} THEN tp * volume ELSE 0 END", "b": f"CASE WHEN tp < {_ref('tp')} THEN tp * volume ELSE 0 END"})),
     "asi": SeriesQuery(
@@ -276,12 +277,12 @@ SERIES: dict[str, SeriesQuery] = {
         ({"lc": _ref("close"), "o1": _ref("open"), "l1": _ref("low")}, {"aa": "abs(high - lc)", "bb": "abs(low - lc)", "cc": "abs(high - l1)", "dd": "abs(lc - o1)"}, {"r": "CASE WHEN aa > bb AND aa > cc THEN aa + bb / 2 + dd / 4 WHEN bb > cc AND bb > aa THEN bb + aa / 2 + dd / 4 ELSE cc + dd / 4 END", "x": "close - lc + (close - open) / 2 + lc - o1"}, {"si": "16 * x / r * greatest(aa, bb)"}, {"s": _sum("si", 26)}),
     ),
     "xsii": SeriesQuery(
-        lambda df: _named(_xsii, td1="TD1", td2="TD2", td3="TD3", td4="TD4")(df),
+        _named(lambda: smoothed.xsii(), td1="TD1", td2="TD2", td3="TD3", td4="TD4"),
         {"td1": "a * 102 / 100", "td2": "a * (200 - 102) / 100", "td3": "1.07::DOUBLE * y", "td4": "0.93::DOUBLE * y"},
         ({"t": "(2 * close + high + low) / 4"}, {"a": _ma("t", 5), "cc": f"abs(t - {_ma('close', 20)}) / {_ma('close', 20)}"}, Ewm({"y": ("close", "cc")})),
         kinds=dict.fromkeys(("td1", "td2", "td3", "td4"), 8), frame=True,
     ),
-    "w_jx": SeriesQuery(lambda df: smoothed.with_w_jx(df), _JX, _jx_layers(), _bools(*_JX), frame=True),
+    "w_jx": SeriesQuery(lambda df: smoothed.add(df, smoothed.w_jx()), _JX, _jx_layers(), _bools(*_JX), frame=True),
     "w_td": SeriesQuery(lambda p: dict(zip(_TD, T.W_TD(p.open, p.high, p.low, p.close), strict=True)), _TD, _TD_LAYERS, _bools(*_TD)),
     "w_gl": SeriesQuery(lambda p: dict(zip(_GL, T.W_GL(p.close), strict=True)), _GL, _GL_LAYERS, _bools(*_GL)),
     "nmm": SeriesQuery(lambda p: dict(zip(("nmm", *_NMM), T.NMM(p.close), strict=True)), {"nmm": "nm"} | _NMM, _NMM_LAYERS, {"nmm": 2} | _bools(*_NMM)),
@@ -411,6 +412,32 @@ def kline_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view.select("code", "trade_date", *[finite(F.col(c), 6).alias(c.lower()) for c in ("pct_chg", "MA5", "MA60", "CCI", "BIAS60", "DIF", "DEA", "MACD", "K", "D", "J", "RSI", "VOL5")], *[F.col(c).cast("double").alias(c) for c in ("JXB", "JXT")])
 
 
+#: Columns of all_indicators and where the single queries have them; those rounded at half cents, or of large values, are left to the single queries.
+_ALL = {
+    "macd": {"dif": "DIF", "dea": "DEA", "macd": "MACD"}, "kdj": {"k": "K", "d": "D", "j": "J"}, "rsi": {"rsi": "RSI"}, "trix": {"trix": "TRIX", "trma": "TRMA"},
+    "expma": {"e12": "EXPMA1", "e50": "EXPMA2"}, "wr": {"wr10": "WR1", "wr6": "WR2"}, "psy": {"psy": "PSY", "psyma": "PSYMA"}, "atr": {"atr": "ATR"},
+    "bbi": {"bbi": "BBI"}, "dmi": {"pdi": "PDI", "mdi": "MDI", "adx": "ADX", "adxr": "ADXR"}, "taq": {"up": "TAQ_UP", "mid": "TAQ_MID", "down": "TAQ_DOWN"},
+    "dpo": {"dpo": "DPO", "madpo": "MADPO"}, "dfma": {"dif": "DFMA", "difma": "DIFMA"}, "mtm": {"mtm": "MTM", "mtmma": "MTMMA"}, "mass": {"mass": "MASS", "mamass": "MA_MASS"},
+    "roc": {"roc": "ROC", "maroc": "MAROC"}, "obv": {"obv": "OBV"}, "mfi": {"mfi": "MFI"}, "asi": {"asi": "ASI", "asit": "ASIT"},
+}
+
+
+def calc_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every indicator in one plan."""
+    made = indicators.all_indicators(fixtures.bars(spark, sf_dir))
+    return made.select("code", "trade_date", *[finite(F.col(column), SERIES[name].kinds.get(own, 6)).alias(f"{name}_{own}") for name, columns in _ALL.items() for own, column in columns.items()])
+
+
+def truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An emptied table, counted."""
+    stored, _ = _halves(spark, sf_dir)
+    return catalog.deleted(stored, F.lit(True)).agg(F.count("*").alias("n"))
+
+
+def rounded_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kline.round_numbers(fixtures.bars(spark, sf_dir).select("code", "trade_date", (F.col("high") / 7).alias("high"), (F.col("low") / 7).alias("low")), 3)
+
+
 def viewport(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kline.viewport(fixtures.ticks(spark, sf_dir).select("code", "trade_date", "close"), 20)
 
@@ -464,7 +491,7 @@ QUERIES: dict[str, Query] = {name: query.run for name, query in SERIES.items()}
     "screen_statistics": screen_statistics, "stock_view": stock_view, "index_view": index_view, "dividend_view": dividend_view,
     "qfq_view": qfq_view, "forward_factors": forward_factors, "semi_dividend_dates": semi_dividend_dates,
     "anti_missing_codes": anti_missing_codes, "sync_due": sync_due, "breadth": breadth_query, "kline": kline_query,
-    "viewport": viewport, "labels": labels, "normalize_codes": normalize_codes, "normalize_dates": normalize_dates, "landed_bars": landed_bars,
+    "calc_all": calc_all, "truncate": truncate, "rounded_numbers": rounded_numbers, "viewport": viewport, "labels": labels, "normalize_codes": normalize_codes, "normalize_dates": normalize_dates, "landed_bars": landed_bars,
 }
 
 _FIX = "WITH " + fixtures.SQL.strip()
@@ -518,7 +545,7 @@ _KLINE_LAYERS: tuple[Layer, ...] = (
 _KLINE = {
     "pct_chg": f"(close / {_ref('close')} - 1) * 100", "ma5": _ma("close", 5), "ma60": _ma("close", 60),
     "cci": _full("tp", 14, "(tp - m14) / (list_sum(list_transform(w14, lambda v: abs(v - m14))) / 14 * 0.015)"),
-    "bias60": f"round((close - {_ma('close', 60)}) / {_ma('close', 60)} * 100, 2)", "dif": "dd1", "dea": "de", "macd": "(dd1 - de) * 2", "k": "kk", "d": "dk", "j": "kk * 3 - dk * 2",
+    "bias60": f"round((close - {_ma('close', 60)}) / {_ma('close', 60)} * 100, 2)", "dif": "round(dd1, 2)", "dea": "round(de, 2)", "macd": "round((dd1 - de) * 2, 2)", "k": "kk", "d": "dk", "j": "kk * 3 - dk * 2",
     "rsi": "round(ri / mo * 100, 2)", "vol5": _ma("volume / 1000000", 5),
 }
 _DIGITS_SQL = "(CASE c_custkey % 9 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(_STARTS)) + " END || right('000' || c_custkey::VARCHAR, 3))"
@@ -564,6 +591,9 @@ ORACLE_SQL: dict[str, str] = {name: query.sql for name, query in SERIES.items()}
         "SELECT trade_date, count(px)::INTEGER AS total, " + ", ".join(f"sum(coalesce({n}, FALSE)::INT)::INTEGER AS {n}" for n in breadth.SIGNALS) + " FROM ({sql}) GROUP BY trade_date",
     ),
     "kline": _on_adjusted(_KLINE | _JX, dict.fromkeys(_KLINE, 6) | _bools(*_JX), _KLINE_LAYERS, "SELECT * REPLACE (strftime(trade_date, '%Y-%m-%d') AS trade_date) FROM ({sql})"),
+    "calc_all": "SELECT code, trade_date, " + ", ".join(f"{n}.{own} AS {n}_{own}" for n, columns in _ALL.items() for own in columns) + " FROM " + " JOIN ".join(f"({SERIES[n].sql}) {n}" + (" USING (code, trade_date)" if i else "") for i, n in enumerate(_ALL)),
+    "truncate": "SELECT 0::BIGINT AS n",
+    "rounded_numbers": f"{_FIX} SELECT code, trade_date, round(high / 7, 3) AS high, round(low / 7, 3) AS low FROM bars",
     "viewport": f"{_FIX} SELECT code, trade_date, close FROM ticks QUALIFY row_number() OVER (PARTITION BY code ORDER BY trade_date DESC) <= 20",
     "labels": f"{_FIX} SELECT code, name, code || ' - ' || name AS label, code AS back FROM stock_list",
     "normalize_codes": f"{_RAW_SQL} SELECT c_custkey, raw, CASE WHEN ok THEN d END AS pure, d || '.' || {_market_sql('stock')} AS suffix, {_market_sql('index')} || '.' || d AS index_dot, {_market_sql('index')} || d AS index_prefix, {_kind_sql('stock')} AS stock, {_kind_sql('etf')} AS etf, {_kind_sql('index')} AS index_ FROM c4",

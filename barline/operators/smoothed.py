@@ -1,77 +1,95 @@
-"""Indicators that smooth recursively: DataFrame in, DataFrame with the named columns out.
+"""Indicators that smooth recursively.
 
-Each one is windows, then one pass of recursive steps, then windows again where it needs them.
+Each one is given by columns to make ready with windows, recursive steps, and columns to finish with windows. add() runs any
+number of them together: one stage of windows, one pass of recursive steps, one stage of windows, however many there are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barline.functions.numeric import ABS, MAX, RD, fdiv
 from barline.functions.series import Series
 from barline.functions.technical import ATR
-from barline.operators.recursive import DMA, EMA, SMA, Linear, with_recursive
+from barline.operators.recursive import DMA, EMA, SMA, Linear, Step, with_recursive
 
 S = Series()
 
 
-def with_macd(df: DataFrame, close: str = "close", short: int = 12, long: int = 26, m: int = 9, s: Series = S) -> DataFrame:
+@dataclass(frozen=True)
+class Smoothed:
+    """Names of steps and of columns made ready start with an underscore; they are dropped at the end."""
+
+    steps: dict[str, Step]
+    done: dict[str, Column]
+    ready: dict[str, Column] = field(default_factory=dict)
+
+
+def add(df: DataFrame, *indicators: Smoothed, s: Series = S, more: dict[str, Column] | None = None) -> DataFrame:
+    """df with the finished columns of the indicators, and more columns of windows over df."""
+    ready = {name: c for i in indicators for name, c in i.ready.items()} | (more or {})
+    steps = {name: step for i in indicators for name, step in i.steps.items()}
+    made = with_recursive(df.select("*", *[c.alias(name) for name, c in ready.items()]), steps, s)
+    done = [c.alias(name) for i in indicators for name, c in i.done.items()]
+    return made.select(*df.columns, *(more or {}), *done)
+
+
+def macd(close: str = "close", short: int = 12, long: int = 26, m: int = 9) -> Smoothed:
     """DIF, DEA and MACD."""
-    steps = {"_s": EMA(close, short), "_l": EMA(close, long), "DIF": Linear(("_s", "_l"), factors=(1.0, -1.0)), "DEA": EMA("DIF", m)}
-    made = with_recursive(df, steps, s)
-    return made.select(*df.columns, RD(F.col("DIF")).alias("DIF"), RD(F.col("DEA")).alias("DEA"), RD((F.col("DIF") - F.col("DEA")) * 2).alias("MACD"))
+    steps = {"_macd_s": EMA(close, short), "_macd_l": EMA(close, long), "_dif": Linear(("_macd_s", "_macd_l"), factors=(1.0, -1.0)), "_dea": EMA("_dif", m)}
+    dif, dea = F.col("_dif"), F.col("_dea")
+    return Smoothed(steps, {"DIF": RD(dif), "DEA": RD(dea), "MACD": RD((dif - dea) * 2)})
 
 
-def with_kdj(df: DataFrame, close: str = "close", high: str = "high", low: str = "low", n: int = 9, m1: int = 3, m2: int = 3, s: Series = S) -> DataFrame:
+def kdj(close: str = "close", high: str = "high", low: str = "low", n: int = 9, m1: int = 3, m2: int = 3, s: Series = S) -> Smoothed:
     """K, D and J; a flat window gives NaN, which stays."""
     floor = s.LLV(low, n)
-    ready = df.select("*", (fdiv(F.col(close) - floor, s.HHV(high, n) - floor) * 100).alias("_rsv"))
-    steps = {"K": EMA("_rsv", 2 * m1 - 1), "D": EMA("K", 2 * m2 - 1), "J": Linear(("K", "D"), factors=(3.0, -2.0))}
-    return with_recursive(ready, steps, s).drop("_rsv")
+    rsv = fdiv(F.col(close) - floor, s.HHV(high, n) - floor) * 100
+    steps = {"_k": EMA("_rsv", 2 * m1 - 1), "_d": EMA("_k", 2 * m2 - 1)}
+    return Smoothed(steps, {"K": F.col("_k"), "D": F.col("_d"), "J": F.col("_k") * 3 - F.col("_d") * 2}, {"_rsv": rsv})
 
 
-def with_rsi(df: DataFrame, close: str = "close", n: int = 24, s: Series = S) -> DataFrame:
+def rsi(close: str = "close", n: int = 24, s: Series = S) -> Smoothed:
     """RSI. The rises start from 0 on the first row, the moves on the second."""
     move = s.DIFF(close)
-    ready = df.select("*", MAX(move, 0.0).alias("_rise"), ABS(move).alias("_move"))
-    made = with_recursive(ready, {"_r": SMA("_rise", n), "_m": SMA("_move", n)}, s)
-    return made.select(*df.columns, RD(fdiv(F.col("_r"), F.col("_m")) * 100).alias("RSI"))
+    steps = {"_rsi_r": SMA("_rise", n), "_rsi_m": SMA("_move", n)}
+    return Smoothed(steps, {"RSI": RD(fdiv(F.col("_rsi_r"), F.col("_rsi_m")) * 100)}, {"_rise": MAX(move, 0.0), "_move": ABS(move)})
 
 
-def with_ktn(df: DataFrame, close: str = "close", high: str = "high", low: str = "low", n: int = 20, m: int = 10, s: Series = S) -> DataFrame:
+def ktn(close: str = "close", high: str = "high", low: str = "low", n: int = 20, m: int = 10, s: Series = S) -> Smoothed:
     """KTN_UPPER, KTN_MID and KTN_LOWER."""
     c, h, l_ = F.col(close), F.col(high), F.col(low)
-    ready = df.select("*", ((h + l_ + c) / 3).alias("_tp"), ATR(c, h, l_, m, s).alias("_atr"))
-    steps = {"KTN_MID": EMA("_tp", n), "KTN_UPPER": Linear(("KTN_MID", "_atr"), factors=(1.0, 2.0)), "KTN_LOWER": Linear(("KTN_MID", "_atr"), factors=(1.0, -2.0))}
-    return with_recursive(ready, steps, s).drop("_tp", "_atr")
+    mid, width = F.col("_ktn"), F.col("_ktn_atr") * 2
+    done = {"KTN_UPPER": mid + width, "KTN_MID": mid, "KTN_LOWER": mid - width}
+    return Smoothed({"_ktn": EMA("_ktn_tp", n)}, done, {"_ktn_tp": (h + l_ + c) / 3, "_ktn_atr": ATR(c, h, l_, m, s)})
 
 
-def with_trix(df: DataFrame, close: str = "close", m1: int = 12, m2: int = 20, s: Series = S) -> DataFrame:
+def trix(close: str = "close", m1: int = 12, m2: int = 20, s: Series = S) -> Smoothed:
     """TRIX and TRMA."""
-    made = with_recursive(df, {"_1": EMA(close, m1), "_2": EMA("_1", m1), "_3": EMA("_2", m1)}, s)
-    before = s.REF("_3")
-    trix = fdiv(F.col("_3") - before, before) * 100
-    return made.select(*df.columns, trix.alias("TRIX"), s.MA(trix, m2).alias("TRMA"))
+    before = s.REF("_trix3")
+    change = fdiv(F.col("_trix3") - before, before) * 100
+    return Smoothed({"_trix1": EMA(close, m1), "_trix2": EMA("_trix1", m1), "_trix3": EMA("_trix2", m1)}, {"TRIX": change, "TRMA": s.MA(change, m2)})
 
 
-def with_expma(df: DataFrame, close: str = "close", n1: int = 12, n2: int = 50, s: Series = S) -> DataFrame:
+def expma(close: str = "close", n1: int = 12, n2: int = 50) -> Smoothed:
     """EXPMA1 and EXPMA2."""
-    return with_recursive(df, {"EXPMA1": EMA(close, n1), "EXPMA2": EMA(close, n2)}, s)
+    return Smoothed({"_expma1": EMA(close, n1), "_expma2": EMA(close, n2)}, {"EXPMA1": F.col("_expma1"), "EXPMA2": F.col("_expma2")})
 
 
-def with_xsii(df: DataFrame, close: str = "close", high: str = "high", low: str = "low", n: int = 102, m: int = 7, s: Series = S) -> DataFrame:
+def xsii(close: str = "close", high: str = "high", low: str = "low", n: int = 102, m: int = 7, s: Series = S) -> Smoothed:
     """TD1 to TD4."""
     typical = (F.col(close) * 2 + F.col(high) + F.col(low)) / 4
     mean, short = s.MA(close, 20), s.MA(typical, 5)
-    ready = df.select("*", fdiv(ABS(typical - mean), mean).alias("_cc"), (short * n / 100).alias("TD1"), (short * (200 - n) / 100).alias("TD2"))
-    steps = {"_dd": DMA((close, "_cc")), "TD3": Linear(("_dd",), factors=(1 + m / 100,)), "TD4": Linear(("_dd",), factors=(1 - m / 100,))}
-    return with_recursive(ready, steps, s).drop("_cc", "_dd")
+    line = F.col("_xsii")
+    done = {"TD1": F.col("_xsii_aa") * n / 100, "TD2": F.col("_xsii_aa") * (200 - n) / 100, "TD3": line * (1 + m / 100), "TD4": line * (1 - m / 100)}
+    return Smoothed({"_xsii": DMA((close, "_xsii_cc"))}, done, {"_xsii_cc": fdiv(ABS(typical - mean), mean), "_xsii_aa": short})
 
 
-def with_w_jx(df: DataFrame, open_: str = "open", high: str = "high", low: str = "low", close: str = "close", s: Series = S) -> DataFrame:
+def w_jx(open_: str = "open", high: str = "high", low: str = "low", close: str = "close", s: Series = S) -> Smoothed:
     """JXB and JXT."""
-    steps = {"_c": SMA(close, 2, 1), "_l": SMA(low, 5, 2), "_o": SMA(open_, 2, 1), "_h": SMA(high, 21, 2)}
-    made = with_recursive(df.select("*", s.REF(close).alias("_before")), steps, s)
-    bottom = (F.col("_c") - F.col("_l") <= 0.003) & (F.col("_before") > 0)
-    return made.select(*df.columns, bottom.alias("JXB"), (F.col("_o") > F.col("_h") * 1.05).alias("JXT"))
+    steps = {"_jx_c": SMA(close, 2, 1), "_jx_l": SMA(low, 5, 2), "_jx_o": SMA(open_, 2, 1), "_jx_h": SMA(high, 21, 2)}
+    bottom = (F.col("_jx_c") - F.col("_jx_l") <= 0.003) & (F.col("_jx_before") > 0)
+    return Smoothed(steps, {"JXB": bottom, "JXT": F.col("_jx_o") > F.col("_jx_h") * 1.05}, {"_jx_before": s.REF(close)})

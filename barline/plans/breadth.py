@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barline.functions.series import Series
 from barline.functions.technical import NMM, W_GL, W_TD
-from barline.operators.smoothed import with_w_jx
+from barline.operators import smoothed
 
 SIGNALS = ("JXB", "JXT", "GLB", "GLGB", "GLT", "GLGT", "TDB", "TDT1", "TDT2", "NMMB", "NMMT")
 
@@ -19,14 +19,11 @@ def with_signals(bars: DataFrame, prefix: str = "", s: Series | None = None) ->
     s = s or Series()
     names = [prefix + c for c in ("open", "high", "low", "close")]
     o, h, low, c = (F.col(n) for n in names)
-    made = with_w_jx(bars, *names, s=s)
     glb, glgb, glt, glgt = W_GL(c, s)
     tdb, tdt1, tdt2 = W_TD(o, h, low, c, s)
     _, nmmb, nmmt = NMM(c, s=s)
-    return made.select(
-        "*", glb.alias("GLB"), glgb.alias("GLGB"), glt.alias("GLT"), glgt.alias("GLGT"),
-        tdb.alias("TDB"), tdt1.alias("TDT1"), tdt2.alias("TDT2"), nmmb.alias("NMMB"), nmmt.alias("NMMT"),
-    )
+    windows = {"GLB": glb, "GLGB": glgb, "GLT": glt, "GLGT": glgt, "TDB": tdb, "TDT1": tdt1, "TDT2": tdt2, "NMMB": nmmb, "NMMT": nmmt}
+    return smoothed.add(bars, smoothed.w_jx(*names, s=s), s=s, more=windows)
 
 
 def breadth(signals: DataFrame, close: str = "close", names: Iterable[str] = SIGNALS) -> DataFrame:

@@ -7,10 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barline.functions.numeric import RD, fdiv
+from barline.functions.numeric import fdiv
 from barline.functions.series import Series
 from barline.functions.technical import BIAS, CCI
-from barline.operators.recursive import EMA, SMA, Linear, with_recursive
+from barline.operators import smoothed
 
 AVERAGES = (5, 10, 20, 30, 60, 120, 250)
 
@@ -26,43 +26,21 @@ def kline(adjusted: DataFrame, s: Series | None = None, digits: int = 2) -> Data
     Windows first, then one pass for all recursive columns: two shuffles by code.
     """
     s = s or Series()
-    o, h, low, c, v, a = (F.col(f"adj_{x}") for x in ("open", "high", "low", "close", "volume", "amount"))
-    move, floor = s.DIFF(c), s.LLV(low, 9)
-    bias = BIAS(c, 60, 120, 250, s)
-    scaled = v / 1000000
-    windows = adjusted.dropna(subset=["open", "close", "high", "low"]).select(
-        "*",
-        ((fdiv(c, s.REF(c)) - 1) * 100).alias("pct_chg"),
-        *[s.MA(c, n).alias(f"MA{n}") for n in AVERAGES],
-        CCI(c, h, low, 14, s).alias("CCI"),
-        *[b.alias(f"BIAS{n}") for b, n in zip(bias, (60, 120, 250), strict=True)],
-        s.MA(scaled, 5).alias("VOL5"),
-        s.MA(scaled, 34).alias("VOL34"),
-        F.greatest(move, F.lit(0.0)).alias("_rise"),
-        F.abs(move).alias("_move"),
-        (fdiv(c - floor, s.HHV(h, 9) - floor) * 100).alias("_rsv"),
-        s.REF(c).alias("_before"),
-    )
-    steps = {
-        "_s": EMA("adj_close", 12), "_l": EMA("adj_close", 26), "DIF": Linear(("_s", "_l"), factors=(1.0, -1.0)), "DEA": EMA("DIF", 9),
-        "K": EMA("_rsv", 5), "D": EMA("K", 5), "J": Linear(("K", "D"), factors=(3.0, -2.0)), "_r": SMA("_rise", 14), "_m": SMA("_move", 14),
-        "_jc": SMA("adj_close", 2, 1), "_jl": SMA("adj_low", 5, 2), "_jo": SMA("adj_open", 2, 1), "_jh": SMA("adj_high", 21, 2),
-    }
-    made = with_recursive(windows, steps, s)
-    kept = [x for x in made.columns if not x.startswith("_") and x not in ("adj_volume", "adj_amount", "trade_date")]
-    return round_numbers(
-        made.select(
-            F.date_format("trade_date", "yyyy-MM-dd").alias("trade_date"),
-            *kept,
-            scaled.alias("adj_volume"),
-            (a / 10000).alias("adj_amount"),
-            ((F.col("DIF") - F.col("DEA")) * 2).alias("MACD"),
-            RD(fdiv(F.col("_r"), F.col("_m")) * 100).alias("RSI"),
-            ((F.col("_jc") - F.col("_jl") <= 0.003) & (F.col("_before") > 0)).alias("JXB"),
-            (F.col("_jo") > F.col("_jh") * 1.05).alias("JXT"),
-        ),
-        digits,
-    )
+    names = [f"adj_{x}" for x in ("open", "high", "low", "close")]
+    _, h, low, c = (F.col(n) for n in names)
+    scaled = F.col("adj_volume") / 1000000
+    windows = {
+        "pct_chg": (fdiv(c, s.REF(c)) - 1) * 100,
+        **{f"MA{n}": s.MA(c, n) for n in AVERAGES},
+        "CCI": CCI(c, h, low, 14, s),
+        **dict(zip(("BIAS60", "BIAS120", "BIAS250"), BIAS(c, 60, 120, 250, s), strict=True)),
+        "VOL5": s.MA(scaled, 5),
+        "VOL34": s.MA(scaled, 34),
+    }
+    recursive = (smoothed.macd(names[3]), smoothed.kdj(names[3], names[1], names[2], s=s), smoothed.rsi(names[3], 14, s), smoothed.w_jx(*names, s=s))
+    made = smoothed.add(adjusted.dropna(subset=["open", "close", "high", "low"]), *recursive, s=s, more=windows)
+    shown = {"trade_date": F.date_format("trade_date", "yyyy-MM-dd"), "adj_volume": scaled, "adj_amount": F.col("adj_amount") / 10000}
+    return round_numbers(made.withColumns(shown), digits)
 
 
 def viewport(df: DataFrame, rows: int = 200, s: Series | None = None) -> DataFrame:

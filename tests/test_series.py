@@ -115,16 +115,16 @@ def test_first_rows_of_window_indicators(bars):
 @pytest.mark.parametrize(
     ("make", "columns", "expected"),
     [
-        (smoothed.with_macd, ("DIF", "DEA", "MACD"), (0, 0, 0)),
-        (smoothed.with_kdj, ("K", "D", "J"), (8, 8, 8)),
-        (smoothed.with_rsi, ("RSI",), (1,)),
-        (smoothed.with_ktn, ("KTN_UPPER", "KTN_MID", "KTN_LOWER"), (9, 0, 9)),
-        (smoothed.with_trix, ("TRIX", "TRMA"), (1, 20)),
-        (smoothed.with_xsii, ("TD1", "TD2", "TD3", "TD4"), (4, 4, 0, 0)),
+        (smoothed.macd, ("DIF", "DEA", "MACD"), (0, 0, 0)),
+        (smoothed.kdj, ("K", "D", "J"), (8, 8, 8)),
+        (smoothed.rsi, ("RSI",), (1,)),
+        (smoothed.ktn, ("KTN_UPPER", "KTN_MID", "KTN_LOWER"), (9, 0, 9)),
+        (smoothed.trix, ("TRIX", "TRMA"), (1, 20)),
+        (smoothed.xsii, ("TD1", "TD2", "TD3", "TD4"), (4, 4, 0, 0)),
     ],
 )
 def test_first_rows_of_smoothed_indicators(bars, make, columns, expected):
-    assert first_rows(make(bars), columns) == expected
+    assert first_rows(smoothed.add(bars, make()), columns) == expected
 
 
 def test_windows_share_one_shuffle(bars):
