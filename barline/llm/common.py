@@ -67,3 +67,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """df, marked for broadcast if it has so many rows at most; else as it is, for a shuffled join. Counts df, so it had better be durable."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barline.llm.common import durable, text_of, word_count
+from barline.llm.common import broadcast_if_small, durable, text_of, word_count
 
 #: Relative weights of the sources in the order of their names, repeating.
 WEIGHTS = (1, 2, 3)
@@ -64,7 +64,7 @@ def _slim(docs: DataFrame) -> DataFrame:
 
 def _ranked(slim: DataFrame, plan: DataFrame) -> DataFrame:
     """slim with its source's columns of plan, certain copies, and rank: odds of the draw by inclusion odds, then doc_id and size."""
-    joined = slim.withColumn("key", source_key(F.col("source"))).join(plan, "key")
+    joined = slim.withColumn("key", source_key(F.col("source"))).join(broadcast_if_small(plan), "key")
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     joined = joined.withColumn("certain", F.floor(expected)).withColumn("chance", expected - F.floor(expected))
     odds = F.when(F.col("chance") > 0, F.col("u") / (1 - F.col("u")) / (F.col("chance") / (1 - F.when(F.col("chance") > 0, F.col("chance")))))
