@@ -164,6 +164,40 @@ def test_one_document_of_each_group_stays(spark):
     assert [r["component_id"] for r in found if r["doc_id"] is None].count(None) == 2 and len(found) == 7
 
 
+def test_near_copies_of_five_words_go(spark):
+    rng, texts = random.Random(8), {}
+
+    def shingles(words):
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+    for group in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        texts[100 * group] = words
+        for k, edits in enumerate((1, 3, 6, 8, 12, 20), 1):
+            copy = list(words)
+            for at in rng.sample(range(300), edits):
+                copy[at] = "changed"
+            texts[100 * group + k] = copy
+    sets = {i: shingles(w) for i, w in texts.items()}
+    component, planted = {i: i for i in texts}, []
+    for i in sorted(texts):
+        for j in range(i - i % 100, i):
+            similarity = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            if similarity >= 0.8:
+                planted.append(similarity)
+                old, new = sorted((component[i], component[j]), reverse=True)
+                component = {k: new if c == old else c for k, c in component.items()}
+    assert sum(s < 0.85 for s in planted) >= 20 and sum(s > 0.95 for s in planted) >= 20
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.keep_one(df.repartition(4)).collect()} == set(component.values())
+
+
+def test_near_copies_link_across_stars(spark):
+    words = [f"w{i}" for i in range(400)]  # a long chain of windows: neighbours are alike, the ends are not
+    df = spark.createDataFrame([(i, " ".join(words[i * 10 : i * 10 + 200])) for i in range(20)] + [(99, None), (98, ""), (97, "a b"), (96, "A  b")], "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.keep_one(df).collect()} == {0, 96, 98}
+
+
 def test_simhash_query_by_brute_force(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").collect()}
     ids = sorted(texts)
