@@ -5,8 +5,9 @@ decides. A context is used at the longest order at which it was kept; shorter or
 figure is the difference of its log-likelihoods under the two models divided by its length, and the threshold is
 calibrated on the figures of the same URLs.
 
-Counts are made batch by batch in the tasks, then summed by n-gram; the kept n-grams, at most MOST_GRAMS a model
-and order, are all that reaches the driver.
+Counts are made batch by batch in the tasks, then summed by n-gram, and stay distributed tables: all n-grams and
+contexts count. The longest n-gram at a character fixes its estimate at every order, so each distinct one is
+estimated once, by joins with the counts, and joined to the URLs that hold it.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barline.llm.common import durable
@@ -30,9 +30,11 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-ORDER, MOST_GRAMS, LEAST_COUNT = 4, 50_000, 2
+ORDER, LEAST_COUNT = 4, 1
 #: Weight of the shorter order in a context's estimate, in observations.
 SMOOTHING = 4.0
+#: Parts that the URLs of one n-gram are dealt to; n-grams of every URL would else meet in one task.
+SALTS = 16
 #: Bins of the histogram that calibrates the threshold, from -SPAN to SPAN.
 BINS, SPAN = 2000, 5.0
 CHARACTERS = "abcdefghijklmnopqrstuvwxyz0123456789.-/_"
@@ -150,14 +152,12 @@ class Filter:
 
 
 def fit(texts: DataFrame) -> Filter:
-    """A filter from texts (verdict allow or block, text): every row is counted.
+    """A filter in memory from texts (verdict allow or block, text), for tables that fit: every row is counted. judge has the same figures without it.
 
     Without rows of both verdicts the figures are 0 and everything is allowed.
     """
     texts = durable(texts)
-    wide = W.partitionBy("verdict", "n").orderBy(F.desc("count"), "gram")
-    kept = count_grams(texts).where((F.col("n") == 0) | (F.col("count") >= LEAST_COUNT))
-    kept = kept.withColumn("place", F.row_number().over(wide)).where(F.col("place") <= MOST_GRAMS).toPandas()
+    kept = count_grams(texts).where(F.col("count") >= LEAST_COUNT).toPandas()
     models = {}
     for verdict in ("allow", "block"):
         parts = [kept[(kept["verdict"] == verdict) & (kept["n"] == order)].sort_values("gram") for order in range(ORDER + 1)]
@@ -166,7 +166,12 @@ def fit(texts: DataFrame) -> Filter:
     if not all(len(m.grams[0]) for m in models.values()):
         return Filter(empty, empty, 0.0)
     plain = Filter(models["allow"], models["block"], 0.0)
-    bins = with_scores(texts, plain).groupBy("verdict", F.floor((F.greatest(F.least("score", F.lit(SPAN)), F.lit(-SPAN)) + SPAN) / (2 * SPAN) * BINS).alias("bin")).count()
+    return Filter(models["allow"], models["block"], calibrated(with_scores(texts, plain)))
+
+
+def calibrated(scored: DataFrame) -> float:
+    """The threshold with the fewest errors, as shares of each verdict, on scored rows (verdict, score)."""
+    bins = scored.groupBy("verdict", F.floor((F.greatest(F.least("score", F.lit(SPAN)), F.lit(-SPAN)) + SPAN) / (2 * SPAN) * BINS).alias("bin")).count()
     shares = np.zeros((2, BINS + 1))
     for row in bins.collect():  # two rows a bin at most
         shares[int(row["verdict"] == "allow"), row["bin"]] = row["count"]
@@ -175,7 +180,57 @@ def fit(texts: DataFrame) -> Filter:
     errors = np.r_[0, np.cumsum(shares[1])] + np.r_[0, np.cumsum(shares[0])][-1] - np.r_[0, np.cumsum(shares[0])]
     best = np.flatnonzero(errors <= errors.min() + 1e-12)
     cut = best[len(best) // 2]
-    return Filter(models["allow"], models["block"], float(cut / BINS * 2 * SPAN - SPAN))
+    return float(cut / BINS * 2 * SPAN - SPAN)
+
+
+def grams_of(texts: DataFrame) -> DataFrame:
+    """key, gram and times of the distinct longest n-grams of each text (key, text); nothing for an empty one."""
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, len(batch), 1000):
+                part = batch.slice(start, 1000)
+                found = part.column(1).to_pylist()
+                codes, at = _codes(found)
+                owner = np.repeat(np.arange(len(found)), [len(t.lower().encode("utf-8")) for t in found])
+                size = _BASE ** (ORDER + 1)
+                pairs, times = np.unique(owner * size + _grams(codes, at, ORDER), return_counts=True)
+                keys = part.column(0).to_numpy(zero_copy_only=False)[pairs // size]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(pairs % size), pa.array(times.astype(np.int64))], names=["key", "gram", "times"])
+
+    return texts.select("key", "text").mapInArrow(grams, "key long, gram long, times long")
+
+
+def estimates(grams: DataFrame, counts: DataFrame) -> DataFrame:
+    """gram and difference: its log-likelihood under the accepted model less that under the rejected one.
+
+    grams: distinct longest n-grams; counts as of count_grams. Tables of few characters are bounded by the alphabet, and broadcast.
+    """
+    sides = {"a": "allow", "b": "block"}
+    made = grams.select("gram", *[F.lit(1 / _BASE).alias(f"p_{x}") for x in sides])
+    for order in range(ORDER + 1):
+        of_order = counts.where(F.col("n") == order)
+        of = [F.sum(F.when(F.col("verdict") == verdict, F.col("count")).otherwise(0)) for verdict in sides.values()]
+        seen = of_order.groupBy(F.col("gram").alias("own")).agg(*[c.alias(f"seen_{x}") for x, c in zip(sides, of, strict=True)])
+        total = of_order.groupBy(F.expr(f"gram div {_BASE}").alias("context")).agg(*[c.alias(f"total_{x}") for x, c in zip(sides, of, strict=True)])
+        made = made.withColumn("own", F.col("gram") % _BASE ** (order + 1)).withColumn("context", F.expr(f"own div {_BASE}"))
+        made = made.join(F.broadcast(seen) if order < 3 else seen, "own", "left").join(F.broadcast(total) if order < 4 else total, "context", "left")
+        p = [((F.coalesce(f"seen_{x}", F.lit(0)) + SMOOTHING * F.col(f"p_{x}")) / (F.coalesce(f"total_{x}", F.lit(0)) + SMOOTHING)).alias(f"p_{x}") for x in sides]
+        made = made.select("gram", *p)
+    return made.select("gram", (F.log("p_a") - F.log("p_b")).alias("difference"))
+
+
+def raw_scores(texts: DataFrame, training: DataFrame) -> DataFrame:
+    """text and score, without a threshold, of the distinct texts (text), by models of training (verdict, text)."""
+    keyed = durable(texts.select("text").distinct().withColumn("key", F.monotonically_increasing_id()))
+    counts = durable(count_grams(training))
+    if counts.select("verdict").distinct().count() < 2:
+        return keyed.select("text", F.lit(0.0).alias("score"))
+    held = grams_of(keyed)
+    table = estimates(held.select("gram").distinct(), counts).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = held.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(table, ["gram", "salt"])
+    sums = met.groupBy("key").agg((F.sum(F.col("times") * F.col("difference")) / F.sum("times")).alias("score"))
+    return keyed.join(sums, "key", "left").select("text", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def with_scores(texts: DataFrame, model: Filter, text: str = "text") -> DataFrame:
@@ -193,14 +248,17 @@ def with_scores(texts: DataFrame, model: Filter, text: str = "text") -> DataFram
 def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, url: str = "url") -> DataFrame:
     """pages with host, path, rule, verdict (allow or block) and score, the method's figure for every row.
 
-    A rule's verdict stands; elsewhere a score of 0 or more allows. A null URL, or one without ://, has empty
-    host and path and a score like any other. Repeated rows count as often as they come. Columns of pages
+    A rule's verdict stands; elsewhere a score of 0 or more allows. The models see the whole URL, a null one as empty;
+    rules see host and path, which are empty without ://. Repeated rows count as often as they come. Columns of pages
     with these names are replaced. An empty table gives no rows.
     """
     parts = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
-    parts = parts.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("_text", F.concat("host", "path"))
-    model = fit(parts.where("_rule is not null").select(F.col("_rule.verdict").alias("verdict"), F.col("_text").alias("text")))
-    scored = with_scores(parts, model, "_text")
+    parts = parts.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("_text", F.coalesce(F.col(url), F.lit("")))
+    training = durable(parts.where("_rule is not null").select(F.col("_rule.verdict").alias("verdict"), F.col("_text").alias("text")))
+    scores = durable(raw_scores(parts.select(F.col("_text").alias("text")), training))
+    both = training.select("verdict").distinct().count() == 2
+    threshold_ = calibrated(training.join(scores, "text")) if both else 0.0
+    scored = parts.drop("score").join(scores.select(F.col("text").alias("_text"), (F.col("score") - threshold_).alias("score")), "_text")
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("score") >= 0, "allow").otherwise("block"))
     return scored.withColumn("rule", F.col("_rule.rule")).withColumn("verdict", verdict).drop("_rule", "_text")
 

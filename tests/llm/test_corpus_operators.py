@@ -376,6 +376,17 @@ def test_models_by_brute_force(spark, monkeypatch):
     assert model.scores(["ab.com/y"])[0] > 0 > model.scores(["zz.net/3"])[0]
 
 
+def test_every_gram_counts_and_whole_urls_are_judged(spark):
+    urls = [f"http://x.com/{'fr' if i % 2 else 'de'}/p{i * 7919 % 1000}?q={i}" for i in range(200)]
+    urls += ["http://x.net/a?lang=fr", "http://x.net/a?lang=de", "x.com/fr/p1?q=1", "x.com/de/p2?q=2", None]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rows = url_filter.report(df.repartition(3)).orderBy("page_id").collect()
+    training = [(r["verdict"], urls[r["page_id"]]) for r in rows if r["rule"]]
+    model = url_filter.fit(spark.createDataFrame(training, "verdict string, text string"))
+    assert [r["score"] for r in rows] == pytest.approx(list(model.scores([u or "" for u in urls])))
+    assert len({r["score"] for r in rows[-5:]}) == 5
+
+
 def test_url_query(spark):
     found = queries.QUERIES["op9_url_filter"](spark, f"{DATA}/sf0.01")
     pages = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{DATA}/sf0.01/pages.parquet").collect()}
