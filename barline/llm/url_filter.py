@@ -1,9 +1,9 @@
 """URL filter: host and path rules, and a character language-model ratio where no rule fits.
 
 Two variable-order Markov models, of accepted and of rejected URLs, are counted over every URL that a rule
-decides. A context is used at the longest order at which it was kept; shorter orders smooth longer ones. A URL's
-figure is the difference of its log-likelihoods under the two models divided by its length, and the threshold is
-calibrated on the figures of the same URLs.
+decides. A context is used at the longest order at which it was seen; shorter orders smooth longer ones. A URL's
+figure is the difference of its log-likelihoods under the two models divided by its length. The threshold is
+calibrated on figures of URLs that were held out of models made for that; the models that judge count all.
 
 Counts are made batch by batch in the tasks, then summed by n-gram, and stay distributed tables: all n-grams and
 contexts count. The longest n-gram at a character fixes its estimate at every order, so each distinct one is
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import durable
+from barline.llm.common import durable, join_counted
 
 #: (verdict, host, start of the path)
 RULES = (
@@ -30,9 +30,11 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-ORDER, LEAST_COUNT = 4, 1
+ORDER = 4
 #: Weight of the shorter order in a context's estimate, in observations.
 SMOOTHING = 4.0
+#: One URL in so many, by hash, is held out to calibrate the threshold.
+HELD_OUT = 5
 #: Parts that the URLs of one n-gram are dealt to; n-grams of every URL would else meet in one task.
 SALTS = 16
 #: Bins of the histogram that calibrates the threshold, from -SPAN to SPAN.
@@ -116,23 +118,25 @@ def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.nda
 
 
 def count_grams(texts: DataFrame) -> DataFrame:
-    """verdict, n (order), gram and count over all rows of texts (verdict, text)."""
+    """verdict, n (order), gram and count over all rows of texts (verdict, text, times: how often the row counts)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            allowed = np.array(batch.column(0).to_pylist(), object) == "allow"
-            texts_ = batch.column(1).to_pylist()
+            verdicts, texts_, times = (batch.column(i).to_pylist() for i in range(3))
             for verdict in ("allow", "block"):
-                chosen = [t for t, a in zip(texts_, allowed, strict=True) if a == (verdict == "allow")]
-                codes, at = _codes(chosen)
+                chosen = [i for i, v in enumerate(verdicts) if v == verdict]
+                codes, at = _codes([texts_[i] for i in chosen])
+                weights = np.repeat([times[i] for i in chosen], [len(texts_[i].lower().encode("utf-8")) for i in chosen])
                 for order in range(ORDER + 1):
-                    gram, counts = np.unique(_grams(codes, at, order), return_counts=True)
+                    gram, place = np.unique(_grams(codes, at, order), return_inverse=True)
+                    counts = np.bincount(place, weights, minlength=len(gram)).astype(np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([verdict] * len(gram), pa.string()), pa.array(np.full(len(gram), order, np.int32)), pa.array(gram), pa.array(counts.astype(np.int64))],
+                        [pa.array([verdict] * len(gram), pa.string()), pa.array(np.full(len(gram), order, np.int32)), pa.array(gram), pa.array(counts)],
                         names=["verdict", "n", "gram", "count"],
                     )
 
-    return texts.select("verdict", "text").mapInArrow(count, "verdict string, n int, gram long, count long").groupBy("verdict", "n", "gram").agg(F.sum("count").alias("count"))
+    counted = texts.select("verdict", "text", "times").mapInArrow(count, "verdict string, n int, gram long, count long")
+    return counted.groupBy("verdict", "n", "gram").agg(F.sum("count").alias("count"))
 
 
 @dataclass(frozen=True)
@@ -156,8 +160,8 @@ def fit(texts: DataFrame) -> Filter:
 
     Without rows of both verdicts the figures are 0 and everything is allowed.
     """
-    texts = durable(texts)
-    kept = count_grams(texts).where(F.col("count") >= LEAST_COUNT).toPandas()
+    texts = durable(texts.groupBy("verdict", "text").agg(F.count("*").alias("times")))
+    kept = count_grams(texts).toPandas()
     models = {}
     for verdict in ("allow", "block"):
         parts = [kept[(kept["verdict"] == verdict) & (kept["n"] == order)].sort_values("gram") for order in range(ORDER + 1)]
@@ -165,13 +169,28 @@ def fit(texts: DataFrame) -> Filter:
     empty = Markov((np.zeros(0, np.int64),) * (ORDER + 1), (np.zeros(0, np.int64),) * (ORDER + 1))
     if not all(len(m.grams[0]) for m in models.values()):
         return Filter(empty, empty, 0.0)
-    plain = Filter(models["allow"], models["block"], 0.0)
-    return Filter(models["allow"], models["block"], calibrated(with_scores(texts, plain)))
+    return Filter(models["allow"], models["block"], threshold_of(texts))
+
+
+def is_held_out(text: Column) -> Column:
+    return F.pmod(F.xxhash64(text, F.lit("held out")), F.lit(HELD_OUT)) == 0
+
+
+def held_out_scores(training: DataFrame) -> DataFrame:
+    """verdict, score (without a threshold) and times of the held-out URLs, by models of the others. training: distinct URLs and their times."""
+    held = durable(training.where(is_held_out(F.col("text"))))
+    return held.join(raw_scores(held, training.where(~is_held_out(F.col("text")))), "text").select("verdict", "score", "times")
+
+
+def threshold_of(training: DataFrame) -> float:
+    """The threshold from held-out URLs; 0 if these or the others aren't of both verdicts."""
+    scores = durable(held_out_scores(training))
+    return calibrated(scores) if scores.select("verdict").distinct().count() == 2 else 0.0
 
 
 def calibrated(scored: DataFrame) -> float:
-    """The threshold with the fewest errors, as shares of each verdict, on scored rows (verdict, score)."""
-    bins = scored.groupBy("verdict", F.floor((F.greatest(F.least("score", F.lit(SPAN)), F.lit(-SPAN)) + SPAN) / (2 * SPAN) * BINS).alias("bin")).count()
+    """The threshold with the fewest errors, as shares of each verdict, on scored rows (verdict, score, times)."""
+    bins = scored.groupBy("verdict", F.floor((F.greatest(F.least("score", F.lit(SPAN)), F.lit(-SPAN)) + SPAN) / (2 * SPAN) * BINS).alias("bin")).agg(F.sum("times").alias("count"))
     shares = np.zeros((2, BINS + 1))
     for row in bins.collect():  # two rows a bin at most
         shares[int(row["verdict"] == "allow"), row["bin"]] = row["count"]
@@ -221,7 +240,7 @@ def estimates(grams: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def raw_scores(texts: DataFrame, training: DataFrame) -> DataFrame:
-    """text and score, without a threshold, of the distinct texts (text), by models of training (verdict, text)."""
+    """text and score, without a threshold, of the distinct texts (text), by models of training (verdict, text, times)."""
     keyed = durable(texts.select("text").distinct().withColumn("key", F.monotonically_increasing_id()))
     counts = durable(count_grams(training))
     if counts.select("verdict").distinct().count() < 2:
@@ -250,17 +269,17 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, url
 
     A rule's verdict stands; elsewhere a score of 0 or more allows. The models see the whole URL, a null one as empty;
     rules see host and path, which are empty without ://. Repeated rows count as often as they come. Columns of pages
-    with these names are replaced. An empty table gives no rows.
+    with these names are replaced, all others are kept. An empty table gives no rows.
     """
-    parts = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
-    parts = parts.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("_text", F.coalesce(F.col(url), F.lit("")))
-    training = durable(parts.where("_rule is not null").select(F.col("_rule.verdict").alias("verdict"), F.col("_text").alias("text")))
-    scores = durable(raw_scores(parts.select(F.col("_text").alias("text")), training))
-    both = training.select("verdict").distinct().count() == 2
-    threshold_ = calibrated(training.join(scores, "text")) if both else 0.0
-    scored = parts.drop("score").join(scores.select(F.col("text").alias("_text"), (F.col("score") - threshold_).alias("score")), "_text")
-    verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("score") >= 0, "allow").otherwise("block"))
-    return scored.withColumn("rule", F.col("_rule.rule")).withColumn("verdict", verdict).drop("_rule", "_text")
+    made = ("host", "path", "rule", "verdict", "score")
+    given = pages.select(F.struct(*[F.col(f"`{name}`") for name in pages.columns]).alias("page"), F.coalesce(F.col(f"`{url}`"), F.lit("")).alias("text"))
+    urls = durable(given.groupBy("text").agg(F.count("*").alias("n")).withColumn("host", host_of(F.col("text"))).withColumn("path", path_of(F.col("text"))))
+    urls = urls.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
+    training = durable(urls.where("rule is not null").select("rule.verdict", "text", F.col("n").alias("times")))
+    scores = raw_scores(urls, training).withColumn("score", F.col("score") - F.lit(threshold_of(training)))
+    verdict = F.coalesce(F.col("rule.verdict"), F.when(F.col("score") >= 0, "allow").otherwise("block"))
+    judged = durable(urls.join(scores, "text").select("text", "n", "host", "path", F.col("rule.rule").alias("rule"), verdict.alias("verdict"), "score"))
+    return join_counted(given, judged, "text", pages.count()).select(*[F.col("page")[name].alias(name) for name in pages.columns if name not in made], *made)
 
 
 def report(pages: DataFrame) -> DataFrame:
