@@ -117,7 +117,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Ranker:
     """A ranker from docs (doc_id, text) and labels (doc_id, quality 0 or 1).
 
     Rows with a null doc_id, text or quality are not learnt from; of several labels of a doc_id the lowest
-    counts. The sample is the rows of least hash of doc_id, so reruns agree.
+    counts, and of several texts that with the least features. The sample is at most limit doc_ids, those of
+    least hash, so reruns agree.
     """
     wanted = (
         labels.where("doc_id is not null and quality in (0, 1)")
@@ -126,14 +127,14 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Ranker:
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(limit)
     )
-    # At most LABELLED rows of two numbers, so the broadcast has a bound.
+    # At most limit rows of two numbers, so the broadcast has a bound; and as many rows of features reach the driver.
     rows = (
         docs.select("doc_id", "text")
         .where("text is not null")
         .join(F.broadcast(wanted), "doc_id")
-        .select("doc_id", "quality", features(F.col("text")).alias("x"))
-        .orderBy("doc_id", "x")
-        .limit(2 * limit)
+        .groupBy("doc_id")
+        .agg(F.min(features(F.col("text"))).alias("x"), F.min("quality").alias("quality"))
+        .orderBy("doc_id")
         .toPandas()
     )
     if not len(rows):
@@ -147,7 +148,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def judge(docs: DataFrame, ranker: Ranker, text: str = "text") -> DataFrame:
-    """docs with score and predicted (1 or 0). Every row is judged by its own text; a null text counts as empty."""
+    """docs with score and predicted (1 or 0), which replace columns of these names. Every row is judged by its own text; a null text counts as empty."""
     scored = docs.withColumn("score", ranker.score(text_of(text)))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
@@ -164,5 +165,5 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, ranker: Ranker) -> DataFrame:
-    """The documents that the ranker predicts good."""
-    return judge(docs, ranker).where("predicted = 1").select(docs.columns)
+    """The documents that the ranker predicts good, with their own columns. Null texts count as empty; repeated rows are each kept or not."""
+    return docs.where(ranker.score(text_of()) >= THRESHOLD)

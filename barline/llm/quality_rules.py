@@ -91,14 +91,12 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < WINDOW, 0).otherwise(let(hashes, by_hash)).cast("long")
 
 
-def assess(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with clean_text, the figures of the text, base_failed and kept.
+FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_chars")
 
-    A null text counts as empty: no words, base_failed. Lines are cut at \\n; blank lines stay and count
-    for nothing. Rows are judged by themselves, so ties and repeated rows are judged alike. Columns of docs
-    with the name of a result are replaced; other columns are kept. An empty table gives no rows.
-    """
-    body = text_of(text)
+
+def _assessed(docs: DataFrame, text: str) -> DataFrame:
+    """doc (a struct of the columns of docs), clean_text and FIGURES."""
+    body = text_of("body")
 
     def of_words(words: Column) -> Column:
         return F.struct(
@@ -116,23 +114,32 @@ def assess(docs: DataFrame, text: str = "text") -> DataFrame:
         )
 
     found = (
-        docs.withColumn("_words", let(words_of(body), of_words))
-        .withColumn("_lines", let(F.split(body, "\n"), of_lines))
-        .withColumn("n_words", F.col("_words.n_words"))
-        .withColumn("word_chars", F.col("_words.word_chars"))
-        .withColumn("n_symbols", _symbols(body).cast("long"))
-        .withColumn("n_dup_lines", F.col("_lines.n_dup_lines"))
-        .withColumn("n_repeat_words", F.col("_words.n_repeat_words"))
-        .withColumn("clean_chars", F.col("_words.word_chars") - F.col("_lines.lost"))
-        .withColumn("clean_text", F.when(F.col("_lines.lost") == 0, body).otherwise(F.array_join(F.filter(F.split(body, "\n"), lambda x: ~line_fails(x)), "\n")))
-        .drop("_words", "_lines")
+        docs.select(F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("doc"), F.col(f"`{text}`").alias("body"))
+        .withColumn("words", let(words_of(body), of_words))
+        .withColumn("lines", let(F.split(body, "\n"), of_lines))
+        .select(
+            "doc",
+            "words.*",
+            _symbols(body).cast("long").alias("n_symbols"),
+            "lines.n_dup_lines",
+            (F.col("words.word_chars") - F.col("lines.lost")).alias("clean_chars"),
+            F.when(F.col("lines.lost") == 0, body).otherwise(F.array_join(F.filter(F.split(body, "\n"), lambda x: ~line_fails(x)), "\n")).alias("clean_text"),
+        )
     )
     base_failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     lost_much = 100 * (F.col("word_chars") - F.col("clean_chars")) > MOST_LOST * F.col("word_chars")
     return found.withColumn("base_failed", base_failed).withColumn("kept", ~(base_failed | lost_much))
 
 
-FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_chars")
+def assess(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with clean_text, the figures of the text, base_failed and kept.
+
+    A null text counts as empty: no words, base_failed. Lines are cut at \\n; blank lines stay and count
+    for nothing. Rows are judged by themselves, so ties and repeated rows are judged alike. Columns of docs
+    with the name of a result are replaced; other columns are kept. An empty table gives no rows.
+    """
+    results = ("clean_text", *FIGURES)
+    return _assessed(docs, text).select(*[F.col("doc")[name].alias(name) for name in docs.columns if name not in results], *results)
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -141,11 +148,12 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """The kept documents, without their failing lines; a column n_chars follows the text."""
-    kept = assess(docs).where("kept").withColumn("text", F.col("clean_text"))
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.select(docs.columns)
+    """The kept documents, without their failing lines; a column n_chars follows the text. All other columns are kept as they are,
+    whatever their names. Null and empty texts are rejected, repeated rows are each kept or not."""
+    changed = {"text": F.col("clean_text"), "n_chars": F.char_length("clean_text")}
+    return _assessed(docs, "text").where("kept").select(
+        *[changed[f.name].cast(f.dataType).alias(f.name) if f.name in changed else F.col("doc")[f.name].alias(f.name) for f in docs.schema]
+    )
 
 
 _SYMBOL_CLASS = "[#*$%&|<>]"
