@@ -3,7 +3,7 @@
 A text is cut by the vocabulary's pattern; each match is encoded by itself. A segment tree
 over the byte positions of a match holds the lowest pair rank of every span, the leftmost
 position winning ties; a merge replaces the ranks at the joined position and at its two live
-neighbours, each by one walk from leaf to root.
+neighbours, by walks from leaf to root.
 
 Python in the tasks: the merge loop has no DataFrame form, and cutting by the pattern in the
 same pass saves an explode of every word. Text and ids travel as Arrow batches, each row is
@@ -13,19 +13,23 @@ independent, so a lost task is simply run again.
 from __future__ import annotations
 
 import base64
+import sys
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from hashlib import sha256
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most matches in each half of what a worker remembers.
-CACHE_ENTRIES = 300_000
+#: Bytes that the remembered matches of a worker may take, about; they are kept in two halves.
+CACHE_BYTES = 64 << 20
+#: Bytes of an entry besides its match and its ids: the slots of the dictionary.
+ENTRY_BYTES = 100
 #: Longest match worth remembering.
 CACHE_CHARS = 32
-#: Characters of a text whose matches are listed at once; a longer text's are found one by one.
+#: Matches of a text that are listed at once.
 MATCHES_AT_ONCE = 50_000
 _NONE = 1 << 62
 
@@ -67,32 +71,24 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
             rank = find(piece[at : end[stop]])
             if rank is not None:
                 tree[size + at] = rank * size + at
-        if (left := before[at]) >= 0:
+        left = before[at]
+        if left >= 0:
             rank = find(piece[left:stop])
             tree[size + left] = _NONE if rank is None else rank * size + left
-            node = (size + left) >> 1
-            while node:
-                a, b = tree[2 * node], tree[2 * node + 1]
-                if b < a:
-                    a = b
-                if tree[node] == a:
-                    break
-                tree[node] = a
-                node >>= 1
-        node = (size + gone) >> 1
-        while node:
-            a, b = tree[2 * node], tree[2 * node + 1]
-            if b < a:
-                a = b
-            if tree[node] == a:
-                break
-            tree[node] = a
-            node >>= 1
-        node = (size + at) >> 1
-        while node:  # the joined position held the least value, so every span above it changes
-            a, b = tree[2 * node], tree[2 * node + 1]
-            tree[node] = a if a < b else b
-            node >>= 1
+        else:
+            left = at
+        # The three changed leaves are walked up together; where their paths meet, a node is set once.
+        low, middle, high = size + left, size + at, size + gone
+        while high > 1:
+            low, middle, high = low >> 1, middle >> 1, high >> 1
+            a, b = tree[2 * high], tree[2 * high + 1]
+            tree[high] = a if a < b else b
+            if middle != high:
+                a, b = tree[2 * middle], tree[2 * middle + 1]
+                tree[middle] = a if a < b else b
+            if low != middle:
+                a, b = tree[2 * low], tree[2 * low + 1]
+                tree[low] = a if a < b else b
     ids, at = [], 0
     while at < n:
         ids.append(ranks[piece[at : end[at]]])
@@ -101,41 +97,49 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Known(dict):
-    """Ids by match; works out what it lacks and keeps what is short.
+    """Ids by match; works out what it lacks and keeps what is short. older: what was known before, used again when asked for."""
 
-    When full, what was used since the last time it was full is kept as the older half.
-    """
-
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], older: dict[str, tuple[int, ...]]):
         super().__init__()
-        self.ranks = ranks
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.ranks, self.older, self.bytes = ranks, older, 0
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
         ids = self.older.get(piece)
         if ids is None:
             ids = tuple(merge_bytes(piece.encode("utf-8"), self.ranks))
         if len(piece) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
-                self.older = dict(self)
-                self.clear()
             self[piece] = ids
+            self.bytes += sys.getsizeof(piece) + sys.getsizeof(ids) + ENTRY_BYTES
         return ids
 
 
 class Encoder:
-    """Encodes texts in one Python worker; remembers the ids of short matches."""
+    """Encodes texts in one Python worker; remembers the ids of short matches, CACHE_BYTES at most and what one run of matches adds."""
 
     def __init__(self, path: str, pattern: str):
         import regex
 
         self.pattern = regex.compile(pattern)
-        self.known = _Known(load_ranks(path))
+        self.ranks = load_ranks(path)
+        self.known = _Known(self.ranks, {})
 
-    def __call__(self, text: str) -> Iterator[int]:
+    def runs(self, text: str) -> Iterator[list[str]]:
+        """The matches of a text, in order, in runs of bounded length."""
         if len(text) <= MATCHES_AT_ONCE:
-            return chain.from_iterable(map(self.known.__getitem__, self.pattern.findall(text)))
-        return chain.from_iterable(self.known[m.group()] for m in self.pattern.finditer(text))
+            yield self.pattern.findall(text)
+            return
+        matches = (m.group() for m in self.pattern.finditer(text))
+        while run := list(islice(matches, MATCHES_AT_ONCE)):
+            yield run
+
+    def __call__(self, text: str) -> array:
+        ids = array("i")
+        for run in self.runs(text):
+            if self.known.bytes > CACHE_BYTES // 2:  # the newer half becomes the older one, which goes
+                self.known.older = {}
+                self.known = _Known(self.ranks, self.known)
+            ids.extend(chain.from_iterable(map(self.known.__getitem__, run)))
+        return ids
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -169,7 +173,7 @@ def encode(text: Column, path: str, pattern: str) -> Column:
         for texts in batches:
             offsets, ids = array("i", [0]), array("i")
             for value in texts:
-                ids.extend(to_ids(value.as_py() or ""))
+                ids += to_ids(value.as_py() or "")
                 offsets.append(len(ids))
             bounds, values = (pa.Array.from_buffers(pa.int32(), len(x), [None, pa.py_buffer(x)]) for x in (offsets, ids))
             yield pa.ListArray.from_arrays(bounds, values)
@@ -200,12 +204,28 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
     return docs.withColumn(ids, encode(F.col(text), path, pattern)).withColumn(decoded, decode(F.col(ids), path))
 
 
-def digests(docs: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
-    """Per row: doc_id, n_tokens, and SHA-256 of the comma-joined ids and of the decoded bytes."""
-    coded = encode_documents(docs.select("doc_id", "text"), path, pattern)
-    return coded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+def digest(text: Column, path: str, pattern: str) -> Column:
+    """struct(n_tokens, ids_sha256, decoded_sha256) of a text, encoded and decoded in one pass: the ids stay in the task.
+
+    The digests are of the decimal ids joined by commas, and of the bytes that the ids decode to. A null text counts as empty.
+    """
+
+    @F.arrow_udf("struct<n_tokens:long,ids_sha256:string,decoded_sha256:string>")
+    def encode_and_decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        to_ids, known = encoder(path, pattern), tokens(path)
+        decimal = list(map(str, range(len(known))))
+        for texts in batches:
+            counts, coded, decoded = [], [], []
+            for value in texts:
+                ids = to_ids(value.as_py() or "")
+                counts.append(len(ids))
+                coded.append(sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
+                decoded.append(sha256(b"".join(map(known.__getitem__, ids))).hexdigest())
+            yield pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], names=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return encode_and_decode(text)
+
+
+def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 (as of digest) of every row; other columns play no part."""
+    return docs.select("doc_id", digest(F.col("text"), path, pattern).alias("digest")).select("doc_id", "digest.*")
