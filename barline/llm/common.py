@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 #: The white space between words: space and the five controls from tab to carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 SPACES_PATTERN = r"[\x20\x09-\x0D]+"
+#: A key with more rows than these is heavy, if it also has more than a MOST_HEAVY-th of all rows.
+HEAVY_ROWS, MOST_HEAVY = 100_000, 1000
+#: The same for the last join of a result, whose rows are all documents.
+HEAVY_DOCUMENTS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +73,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 20_000) -> DataFrame:
-    """df, marked for broadcast if it has so many rows at most; else as it is, for a shuffled join. Counts df, so it had better be durable."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def join_counted(rows: DataFrame, table: DataFrame, key: str, total: int, how: str = "inner", heavy_rows: int | None = None) -> DataFrame:
+    """rows (total in all) joined to table by key, however many rows one key has.
+
+    table has one row a key, and n, how many of rows have it (n isn't in the result). A key of more than heavy_rows rows (HEAVY_ROWS)
+    that is also more than a MOST_HEAVY-th of all rows meets them by broadcast, so at most MOST_HEAVY rows of table are broadcast;
+    the others meet theirs by a shuffle. Both are read more than once where there are as many rows, so they had better be durable.
+    """
+    heavy_rows = HEAVY_ROWS if heavy_rows is None else heavy_rows
+    is_heavy = F.col("n") > max(heavy_rows, total // MOST_HEAVY)
+    heavy = table.where(is_heavy).drop("n")
+    if total <= heavy_rows or heavy.isEmpty():
+        return rows.join(table.drop("n"), key, how)
+    heavy = F.broadcast(heavy)
+    return rows.join(heavy, key).unionByName(rows.join(heavy.select(key), key, "left_anti").join(table.where(~is_heavy).drop("n"), key, how))

@@ -12,10 +12,8 @@ reach meets exactly once. A shard with more members than CHUNK is split into chu
 visitors go to each chunk, so no task holds more than one chunk of members; visitors stream past.
 
 Links: a chunk emits the edges of a spanning forest of what it saw, never all pairs of a group.
-Components: alternating large-star and small-star contraction of those edges, a few joins a round.
-
-keep_one has a measure of its own: near_copies finds texts alike in their five-word shingles by bands of
-least hash values, and checks every candidate.
+Components: alternating large-star and small-star contraction of those edges, a few joins a round. Hubs, and
+fingerprints of many documents, meet their rows by broadcast: there are few of them, by counting.
 """
 
 from __future__ import annotations
@@ -27,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import durable
+from barline.llm import common
+from barline.llm.common import HEAVY_DOCUMENTS, durable, join_counted
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -38,14 +37,6 @@ SHARD, CHUNK = 4096, 8192
 MOST_SHARDS, SAMPLE_PER_SHARD = 1 << 15, 16
 #: Shingles whose bits are counted at a time.
 SHINGLES_AT_ONCE = 1 << 16
-#: Near copies that keep_one removes: words of a shingle, least Jaccard similarity (a fraction).
-KEEP_WORDS, SIMILAR = 5, (4, 5)
-#: Bands of a text and least values in a band's key: a pair at 0.8 shares none with a chance of (1 - 0.8^5)^20, 0.04 %.
-BANDS, BAND_ROWS = 20, 5
-#: Bits in which the sketches (two bits of each least value) of a candidate may differ: 20 are expected at 0.8, with a deviation of 5.1.
-SKETCH_APART = 38
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-_FLIPS, _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), dtype=np.uint64) | np.uint64(1)
 
 
 def fingerprint(text: str | None) -> int:
@@ -267,27 +258,36 @@ def links(points: DataFrame, reach: int = RADIUS) -> DataFrame:
     return met.mapInArrow(lambda batches: _edges_of_chunks(batches, reach), "a long, b long")
 
 
+def _size_unless_stars(edges: DataFrame) -> int:
+    """The number of edges; 0 if they are a forest of stars: each a has one b, and no b is an a."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("below")), F.struct(F.col("b").alias("node"), F.lit(0).alias("below")))).alias("x"))
+    nodes = ends.groupBy("x.node").agg(F.sum("x.below").alias("below"), F.min("x.below").alias("leaf"))
+    found = nodes.agg(F.sum("below").alias("edges"), F.count(F.when((F.col("below") > 1) | ((F.col("below") == 1) & (F.col("leaf") == 0)), 1)).alias("others")).first()
+    return found["edges"] if found["others"] else 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the nodes of the edges: root is the smallest node that it is connected to.
 
-    Large-star then small-star until nothing changes; the number of rounds grows with the logarithm of a
-    component's size. A hub's neighbours are never gathered: least neighbours are aggregated, then joined.
+    Large-star then small-star until a star is left of each component; the number of rounds grows with the
+    logarithm of a component's size. A hub's neighbours are never gathered: least neighbours are aggregated,
+    then joined, a hub's by broadcast.
     """
+
+    def least(edges: DataFrame, total: int) -> DataFrame:
+        """(a, m, n): of each a, its least b, or itself if that is less; and how many it has."""
+        found = edges.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n"))
+        return durable(found) if total > common.HEAVY_ROWS else found
+
     now = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
-    while True:
+    while total := _size_unless_stars(now):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = join_counted(both, least(both, 2 * total), "a", 2 * total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("x"))
-        after = durable(small.select(F.col("x.b").alias("a"), F.col("x.m").alias("b")).where("a <> b").distinct())
-        state = after.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
-        if state == before:
-            roots = after.select("b").distinct()
-            return after.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots.select("b", "b"))
-        before, now = state, after
+        down = durable(down) if total > common.HEAVY_ROWS else down
+        small = join_counted(down, least(down, total), "a", total).select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("x"))
+        now = durable(small.select(F.col("x.b").alias("a"), F.col("x.m").alias("b")).where("a <> b").distinct())
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
 
 
 def near_duplicates(docs: DataFrame, reach: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -300,152 +300,14 @@ def near_duplicates(docs: DataFrame, reach: int = RADIUS, doc_id: str = "doc_id"
     of docs play no part.
     """
     marked = durable(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "fingerprint"))
-    distinct = durable(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id")))
+    distinct = durable(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")))
     nodes = components(links(distinct.select("fingerprint"), reach))
     joined = durable(nodes.join(distinct, F.col("node") == F.col("fingerprint")).select("fingerprint", "root", "least_id"))
-    smallest = joined.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    linked = joined.join(smallest, "root").select("fingerprint", "component_id", F.lit(True).alias("linked"))
+    smallest = joined.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n"))
+    linked = join_counted(joined, durable(smallest), "root", joined.count()).select("fingerprint", "component_id", F.lit(True).alias("linked"))
     ids = distinct.join(linked, "fingerprint", "left").select(
-        "fingerprint", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least_id")).alias("component_id")
+        "fingerprint", "n", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("least_id")).alias("component_id")
     )
-    return marked.join(ids, "fingerprint").select(
+    return join_counted(marked, durable(ids), "fingerprint", marked.count(), heavy_rows=HEAVY_DOCUMENTS).select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def _shingle_hashes(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the runs of KEEP_WORDS words, cut and lower-cased as for fingerprints.
-
-    A text of fewer words is one shingle; one without words has none. Sets are compared by these hashes, so two
-    shingles count as one only if 64 bits collide within a pair of texts.
-    """
-    import xxhash
-
-    words = (text or "").encode("utf-8").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    digest, known = xxhash.xxh64_intdigest, {}
-    for word in set(words):
-        known[word] = digest(word, SEED)
-    hashes = np.array([known[word] for word in words], np.uint64)
-    n, wide = max(1, len(words) - KEEP_WORDS + 1), min(KEEP_WORDS, len(words))
-    mixed = np.full(n, wide, np.uint64)
-    for k in range(wide):
-        mixed = (mixed ^ hashes[k : k + n]) * _ODD
-        mixed ^= mixed >> np.uint64(29)
-    return np.unique(mixed)
-
-
-def _bands(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit key for each band, of the least values of BAND_ROWS permutations of the set; and the sketch of all, four words."""
-    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for start in range(0, len(hashes), 1024):
-        some = hashes[start : start + 1024, None] ^ _FLIPS
-        some *= _FACTORS
-        some ^= some >> np.uint64(32)
-        some *= _ODD
-        np.minimum(least, some.min(axis=0), out=least)
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64) * _ODD
-    for row in least.reshape(BANDS, BAND_ROWS).T:
-        keys = (keys ^ row) * _ODD
-        keys ^= keys >> np.uint64(31)
-    bits = np.zeros(256, np.uint8)
-    bits[: 2 * len(least)] = np.concatenate([least & np.uint64(1), least >> np.uint64(1) & np.uint64(1)])
-    return keys, np.packbits(bits).view(np.uint64)
-
-
-def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, node (hash of the set of shingles), size of the set, band keys and sketch of each row."""
-    import xxhash
-
-    @F.arrow_udf("struct<node:long,size:int,bands:array<long>,sketch:array<long>>")
-    def sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            nodes, sizes = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.int32)
-            bands, sketches = np.zeros((len(texts), BANDS), np.uint64), np.zeros((len(texts), 4), np.uint64)
-            for i, text in enumerate(texts):
-                hashes = _shingle_hashes(text.as_py())
-                nodes[i], sizes[i] = xxhash.xxh64_intdigest(hashes.tobytes(), SEED), len(hashes)
-                bands[i], sketches[i] = _bands(hashes)
-            lists = [pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * x.shape[1], x.reshape(-1).view(np.int64)) for x in (bands, sketches)]
-            yield pa.StructArray.from_arrays([pa.array(nodes.view(np.int64)), pa.array(sizes), *lists], names=["node", "size", "bands", "sketch"])
-
-    return docs.select("doc_id", sign(F.col("text")).alias("s")).select("doc_id", "s.node", "s.size", "s.bands", "s.sketch")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose sets of shingles have a Jaccard similarity of SIMILAR or more."""
-
-    @F.arrow_udf("struct<node:long,shingles:array<long>>")
-    def shingled(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        import xxhash
-
-        for texts in batches:
-            sets = [_shingle_hashes(text.as_py()) for text in texts]
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-            nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
-            yield pa.StructArray.from_arrays([pa.array(nodes), pa.ListArray.from_arrays(ends, flat)], names=["node", "shingles"])
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(distinct, "node").select("node", F.col("least_id").alias("doc_id"))
-    texts = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = durable(texts.select(shingled(F.col("text")).alias("s")).select("s.node", "s.shingles").dropDuplicates(["node"]))
-    left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}")) for x in ("a", "b"))
-    shared, total = F.size(F.array_intersect("of_a", "of_b")), F.size("of_a") + F.size("of_b")
-    above, below = SIMILAR
-    return pairs.join(left, "a").join(right, "b").where(shared * below >= (total - shared) * above).select("a", "b")
-
-
-def near_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id) of the rows of docs (doc_id, text) with a doc_id: the smallest doc_id that can be reached
-    over pairs of texts whose sets of KEEP_WORDS-word shingles have a Jaccard similarity of SIMILAR or more.
-
-    Texts with one set are one node. Nodes that share the key of a band (least values of a few permutations) are
-    candidates, unless their sizes or sketches rule it out; every link is checked on the whole sets. Each node of a band's group first meets one node of the group,
-    another one in each band; then those pairs of a group meet that are in different components still, so a group of
-    near copies isn't compared all with all.
-    """
-    signed = durable(_signed(docs.where("doc_id is not null")))
-    distinct = durable(signed.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
-    met = distinct.select("node", F.struct("size", "sketch").alias("look"), F.explode("bands").alias("band"))
-    shared = met.groupBy("band").agg(F.min_by("node", F.xxhash64("node", "band")).alias("head"), F.count("*").alias("n")).where("n > 1")
-    met = durable(met.join(shared, "band").select("band", "node", "look", "head"))
-    ids = distinct.select("node", "least_id")
-
-    def fits(a: str, b: str) -> Column:
-        """Neither sizes nor sketches rule the similarity out."""
-        one, other = F.col(a), F.col(b)
-        apart = sum((F.bit_count(one["sketch"][k].bitwiseXOR(other["sketch"][k])) for k in range(4)), F.lit(0))
-        return (F.least(one["size"], other["size"]) * SIMILAR[1] >= F.greatest(one["size"], other["size"]) * SIMILAR[0]) & (apart <= SKETCH_APART)
-
-    heads = met.where("node = head").select("band", F.col("look").alias("of_head"))
-    stars = met.where("node <> head").join(heads, "band").where(fits("look", "of_head"))
-    stars = durable(stars.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct())
-    links_ = durable(_verified(stars, docs, ids))
-    roots = durable(components(links_))
-    rooted = met.join(roots, "node", "left").select("band", "node", "look", F.coalesce("root", "node").alias("root"))
-    apart = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
-    rooted = durable(rooted.join(apart, "band", "left_semi"))
-    others = rooted.select("band", F.col("node").alias("b"), F.col("look").alias("look_b"), F.col("root").alias("root_b"))
-    rest = rooted.withColumnRenamed("node", "a").join(others, "band").where((F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b")) & fits("look", "look_b"))
-    rest = durable(rest.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"))
-    more = durable(_verified(rest, docs, ids))
-    if more.limit(1).count():
-        roots = components(links_.union(more))
-    joined = ids.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = joined.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return signed.select("doc_id", "node").join(joined.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component of near_copies: the row whose doc_id is the component's smallest.
-
-    Of several rows with that doc_id one stays. Rows with a null doc_id can't be named in a component;
-    of those with one text, one stays.
-    """
-    found = near_copies(docs).where("doc_id = component_id")
-    heads = durable(found.groupBy("doc_id").agg(F.count("*").alias("rows")))
-    alone = docs.join(heads.where("rows = 1"), "doc_id", "left_semi")
-    repeated = docs.join(heads.where("rows > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id is null").dropDuplicates(["text"])
-    return alone.select(docs.columns).unionByName(repeated.select(docs.columns)).unionByName(nameless)
