@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,13 +65,18 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet in the shared folder and read again."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """df, written as Parquet and read again."""
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store that nothing reads any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def join_counted(rows: DataFrame, table: DataFrame, key: str, total: int, how: str = "inner", heavy_rows: int | None = None) -> DataFrame:
     """rows (total in all) joined to table by key, however many rows one key has.
 
