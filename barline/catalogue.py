@@ -6,11 +6,13 @@ from those before it. Numbers are rounded on both sides, and what isn't finite i
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from barline.functions import codes, dates
 from barline.functions import numeric as N
@@ -220,14 +222,14 @@ SERIES: dict[str, SeriesQuery] = {
     "valuewhen": SeriesQuery(lambda p: {"at_rise": S.VALUEWHEN(p.up, p.close)}, {"at_rise": f"last_value(CASE WHEN up THEN close END IGNORE NULLS) OVER ({_W} ROWS UNBOUNDED PRECEDING)"}, (_UP_SQL,)),
     "between": SeriesQuery(lambda p: {"inside": BETWEEN(p.close, S.REF(p.high), S.REF(p.low))}, {"inside": "(h1 < close AND close < l1) OR (h1 > close AND close > l1)"}, ({"h1": _ref("high"), "l1": _ref("low")},), _bools("inside")),
     "toprange": SeriesQuery(
-        lambda df: recursive.with_recursive(df, {"top": recursive.Range(("close",)), "low_range": recursive.Range(("close",), lowest=True)}),
+        lambda df: recursive.ranges(df, "close", "top", "low_range"),
         {"top": "rn - 1 - coalesce((SELECT max(b.rn) FROM l0 b WHERE b.code = l0.code AND b.rn < l0.rn AND b.close >= l0.close), 0)", "low_range": "rn - 1 - coalesce((SELECT max(b.rn) FROM l0 b WHERE b.code = l0.code AND b.rn < l0.rn AND b.close <= l0.close), 0)"},
         kinds=_ints("top", "low_range"), source="ticks", frame=True,
     ),
     "toprange_window": SeriesQuery(
-        lambda p: {"top": S.TOPRANGE(p.close), "low_range": S.LOWRANGE(p.close)},
+        lambda df: recursive.ranges(df.select("code", "trade_date", "close"), "close", "top", "low_range"),
         {"top": "rn - 1 - coalesce((SELECT max(b.rn) FROM l0 b WHERE b.code = l0.code AND b.rn < l0.rn AND b.close >= l0.close), 0)", "low_range": "rn - 1 - coalesce((SELECT max(b.rn) FROM l0 b WHERE b.code = l0.code AND b.rn < l0.rn AND b.close <= l0.close), 0)"},
-        kinds=_ints("top", "low_range"), source="ticks",
+        kinds=_ints("top", "low_range"), source="ticks", frame=True,
     ),
     # Recursive
     "ema": SeriesQuery(lambda df: recursive.with_recursive(df, {"ema12": recursive.EMA("close", 12), "ema26": recursive.EMA("close", 26)}), {"ema12": "e12", "ema26": "e26"}, (Ewm({"e12": ("close", 2 / 13), "e26": ("close", 2 / 27)}),), source="ticks", frame=True),
@@ -245,8 +247,8 @@ SERIES: dict[str, SeriesQuery] = {
     "rsi": SeriesQuery(_named(lambda: smoothed.rsi(), rsi="RSI"), {"rsi": "round(r / m * 100, 2)"}, ({"mv": f"close - {_ref('close')}"}, {"rise": "greatest(mv, 0)", "mov": "abs(mv)"}, Ewm({"r": ("rise", 1 / 24), "m": ("mov", 1 / 24)})), frame=True),
     "wr": SeriesQuery(lambda p: dict(zip(("wr10", "wr6"), T.WR(p.close, p.high, p.low), strict=True)), {f"wr{n}": f"round(({_roll('max', 'high', n)} - close) / ({_roll('max', 'high', n)} - {_roll('min', 'low', n)}) * 100, 2)" for n in (10, 6)}),
     "bias": SeriesQuery(lambda p: dict(zip(("b6", "b12", "b24"), T.BIAS(p.close), strict=True)), {f"b{n}": f"round((close - {_ma('close', n)}) / {_ma('close', n)} * 100, 2)" for n in (6, 12, 24)}),
-    # Means of 20 prices in cents end in half cents, which no two ways of summing round alike; of 21, hardly ever.
-    "boll": SeriesQuery(lambda p: dict(zip(("upper", "mid", "lower"), T.BOLL(p.close, 21), strict=True)), {"upper": "round(m + s * 2, 2)", "mid": "round(m, 2)", "lower": "round(m - s * 2, 2)"}, ({"m": _ma("close", 21), "s": _roll("stddev_pop", "close", 21)},)),
+    # The bands are compared before they are rounded to cents: means of 20 prices in cents end in half cents, which no two ways of summing round alike.
+    "boll": SeriesQuery(lambda p: dict(zip(("upper", "mid", "lower"), T.BOLL(p.close, digits=None), strict=True)), {"upper": "m + s * 2", "mid": "m", "lower": "m - s * 2"}, ({"m": _ma("close", 20), "s": _roll("stddev_pop", "close", 20)},)),
     "psy": SeriesQuery(lambda p: dict(zip(("psy", "psyma"), T.PSY(p.close), strict=True)), {"psy": "round(p, 2)", "psyma": f"round({_ma('p', 6)}, 2)"}, (_UP_SQL, {"p": f"{_sum('up::INT', 12)} / 12.0::DOUBLE * 100"})),
     "cci": SeriesQuery(lambda p: {"cci": T.CCI(p.close, p.high, p.low)}, {"cci": _full("tp", 14, "(tp - m) / (list_sum(list_transform(w, lambda v: abs(v - m))) / 14 * 0.015)")}, ({"tp": _TP}, {"m": f"avg(tp) OVER {_last(14)}", "w": f"list(tp) OVER {_last(14)}"}), kinds={"cci": 4}),
     "atr": SeriesQuery(lambda p: {"atr": T.ATR(p.close, p.high, p.low)}, {"atr": _ma("tr", 20)}, (_TR,)),
@@ -351,7 +353,7 @@ def count_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def last_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.ticks(spark, sf_dir).groupBy("code").agg(S.RET("close", 1).alias("last_close"), S.RET("close", 60).alias("close_60"))
+    return S.RET(fixtures.ticks(spark, sf_dir), last_close=("close", 1), close_60=("close", 60))
 
 
 def screen_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -412,26 +414,55 @@ def kline_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view.select("code", "trade_date", *[finite(F.col(c), 6).alias(c.lower()) for c in ("pct_chg", "MA5", "MA60", "CCI", "BIAS60", "DIF", "DEA", "MACD", "K", "D", "J", "RSI", "VOL5")], *[F.col(c).cast("double").alias(c) for c in ("JXB", "JXT")])
 
 
-#: Columns of all_indicators and where the single queries have them; those rounded at half cents, or of large values, are left to the single queries.
+#: All columns of all indicators, by where the single queries have them.
 _ALL = {
     "macd": {"dif": "DIF", "dea": "DEA", "macd": "MACD"}, "kdj": {"k": "K", "d": "D", "j": "J"}, "rsi": {"rsi": "RSI"}, "trix": {"trix": "TRIX", "trma": "TRMA"},
     "expma": {"e12": "EXPMA1", "e50": "EXPMA2"}, "wr": {"wr10": "WR1", "wr6": "WR2"}, "psy": {"psy": "PSY", "psyma": "PSYMA"}, "atr": {"atr": "ATR"},
     "bbi": {"bbi": "BBI"}, "dmi": {"pdi": "PDI", "mdi": "MDI", "adx": "ADX", "adxr": "ADXR"}, "taq": {"up": "TAQ_UP", "mid": "TAQ_MID", "down": "TAQ_DOWN"},
     "dpo": {"dpo": "DPO", "madpo": "MADPO"}, "dfma": {"dif": "DFMA", "difma": "DIFMA"}, "mtm": {"mtm": "MTM", "mtmma": "MTMMA"}, "mass": {"mass": "MASS", "mamass": "MA_MASS"},
     "roc": {"roc": "ROC", "maroc": "MAROC"}, "obv": {"obv": "OBV"}, "mfi": {"mfi": "MFI"}, "asi": {"asi": "ASI", "asit": "ASIT"},
+    "bias": {"b6": "BIAS1", "b12": "BIAS2", "b24": "BIAS3"}, "boll": {"upper": "BOLL_UPPER", "mid": "BOLL_MID", "lower": "BOLL_LOWER"}, "cci": {"cci": "CCI"}, "ktn": {"upper": "KTN_UPPER", "mid": "KTN_MID", "lower": "KTN_LOWER"},
+    "vr": {"vr": "VR"}, "cr": {"cr": "CR"}, "emv": {"emv": "EMV", "maemv": "MAEMV"}, "brar": {"ar": "AR", "br": "BR"}, "xsii": {"td1": "TD1", "td2": "TD2", "td3": "TD3", "td4": "TD4"},
+    "nmm": {"nmm": "NMM", "NMMB": "NMMB", "NMMT": "NMMT"}, "nmr": {"nmr": "NMR"}, "w_jx": {n: n for n in _JX}, "w_td": {n: n for n in _TD}, "w_gl": {n: n for n in _GL},
 }
 
 
 def calc_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every indicator in one plan."""
-    made = indicators.all_indicators(fixtures.bars(spark, sf_dir))
-    return made.select("code", "trade_date", *[finite(F.col(column), SERIES[name].kinds.get(own, 6)).alias(f"{name}_{own}") for name, columns in _ALL.items() for own, column in columns.items()])
+    made = indicators.all_indicators(fixtures.bars(spark, sf_dir), boll_digits=None)  # compared as boll is
+
+    def compared(column: str, kind: object) -> Column:
+        return F.col(column).cast("double") if kind in ("int", "bool") else finite(F.col(column), kind)
+
+    return made.select("code", "trade_date", *[compared(column, SERIES[name].kinds.get(own, 6)).alias(f"{name}_{own}") for name, columns in _ALL.items() for own, column in columns.items()])
+
+
+def _stored_customers(spark: SparkSession) -> tuple[catalog.Catalog, str]:
+    """A catalogue of its own with an empty table of customers."""
+    schema = T_.StructType([T_.StructField("c_custkey", T_.LongType(), False), T_.StructField("c_mktsegment", T_.StringType()), T_.StructField("c_acctbal", T_.DoubleType())])
+    return catalog.Catalog(spark, f"barline_{uuid.uuid4().hex}", {"customers": schema}).create(), "customers"
+
+
+def catalog_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored table after two batches, the second of which repeats keys; and what each insert reported."""
+    market, name = _stored_customers(spark)
+    stored, batch = _halves(spark, sf_dir)
+    first, second = market.insert(name, stored), market.batch_insert_ignore(name, batch.union(batch))
+    rows = market.select(name, [("c_custkey", ">", 0)], ["c_mktsegment", "c_acctbal"])
+    found = rows.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
+    return found.select("*", *[F.lit(report[what]).cast("long").alias(f"{what}_{at}") for at, report in (("first", first), ("second", second)) for what in ("inserted", "ignored")])
 
 
 def truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An emptied table, counted."""
-    stored, _ = _halves(spark, sf_dir)
-    return catalog.deleted(stored, F.lit(True)).agg(F.count("*").alias("n"))
+    """A stored table after it was filled, emptied, and filled with another batch."""
+    market, name = _stored_customers(spark)
+    stored, batch = _halves(spark, sf_dir)
+    market.insert(name, stored)
+    market.truncate(name)
+    emptied = market.read(name).count()
+    market.insert(name, batch)
+    market.vacuum()
+    return market.read(name).agg(F.count("*").alias("n"), F.max("c_custkey").alias("last")).select(F.lit(emptied).cast("long").alias("emptied"), "n", "last")
 
 
 def rounded_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -485,6 +516,60 @@ def landed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landing.daily_bars(raw).withColumn("trade_date", F.col("trade_date").cast("string"))
 
 
+def _landed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vendor rows with codes in many spellings, a day, and text for numbers."""
+    return _codes(spark, sf_dir).selectExpr(
+        "raw AS code", "concat('2024', lpad(cast(c_custkey % 12 + 1 AS string), 2, '0'), lpad(cast(c_custkey % 28 + 1 AS string), 2, '0')) AS date", "c_custkey",
+        "CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN '-' ELSE cast(c_custkey / 4 AS string) END AS number",
+    )
+
+
+def landed_index_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = _landed(spark, sf_dir).select("code", "date", F.col("number").alias("close"), *[F.col("number").alias(c) for c in ("open", "high", "low", "volume")], F.lit("").alias("amount"))
+    return landing.VENDORS["terminal"].clean("index_daily", raw).withColumn("trade_date", F.col("trade_date").cast("string"))
+
+
+def landed_dividends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = _landed(spark, sf_dir).select("code", "date", (F.col("c_custkey") % 3).alias("Type"), *[F.col("number").alias(c) for c in ("Bonus", "ShareBonus", "Allotment", "AllotPrice")])
+    return landing.VENDORS["terminal"].clean("stock_dividend", raw).withColumn("trade_date", F.col("trade_date").cast("string"))
+
+
+def landed_capital(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = _landed(spark, sf_dir).select("code", "date", F.col("number").alias("Zgb"), F.col("c_custkey").cast("string").alias("Ltgb"))
+    return landing.VENDORS["terminal"].clean("capital_daily", raw).withColumn("trade_date", F.col("trade_date").cast("string"))
+
+
+def landed_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return landing.VENDORS["terminal"].clean("trade_date", _landed(spark, sf_dir)).select(F.col("trade_date").cast("string").alias("trade_date"))
+
+
+def landed_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stocks and indices, with the codes as the two vendors' requests spell them."""
+    raw = _landed(spark, sf_dir).select("code", F.concat(F.lit(" n"), "c_custkey", F.lit(" ")).alias("name"))
+    lists = [landing.VENDORS["terminal"].clean(kind, raw).withColumn("kind", F.lit(kind)) for kind in ("stock_list", "index_list")]
+    made = catalog.union(lists)
+    return made.select("kind", "code", "name", landing.VENDORS["terminal"].code(F.col("code")).alias("terminal"), landing.VENDORS["archive"].code(F.col("code")).alias("archive"))
+
+
+def landed_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fields of the second vendor's bars."""
+    raw = _landed(spark, sf_dir).select("code", "date", *[(F.col("number") if i % 2 else F.col("c_custkey").cast("string")).alias(old) for i, old in enumerate(landing.ARCHIVE_FIELDS)])
+    return landing.VENDORS["archive"].clean("stock_daily", raw).withColumn("trade_date", F.col("trade_date").cast("string"))
+
+
+def code_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All forms of a code, or why it can't be read."""
+    raw = F.when(F.col("c_custkey") % 10 != 0, F.col("raw"))
+    return _codes(spark, sf_dir).select("c_custkey", codes.normalize_code(raw, None).alias("made")).select("c_custkey", "made.*")
+
+
+def date_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates and timestamps of texts, or why they can't be read."""
+    rows = _table(spark, sf_dir, "orders").selectExpr("o_orderkey", "substr(cast(o_orderdate as string), 1, 10) AS d").selectExpr("o_orderkey", f"{_DAY_TEXT} AS raw")
+    made = rows.select("o_orderkey", dates.normalize_trade_date(F.col("raw"), None).alias("made"))
+    return made.select("o_orderkey", F.col("made.date_class").cast("string").alias("day"), F.col("made.datetime_class").cast("string").alias("moment"), F.col("made.error").alias("error"))
+
+
 QUERIES: dict[str, Query] = {name: query.run for name, query in SERIES.items()} | {
     "select_filter": select_filter, "insert_ignore": insert_ignore, "update_record": update_record, "delete_where": delete_where,
     "agg_global": agg_global, "agg_groupby": agg_groupby, "max_date": max_date, "count_bars": count_bars, "last_value": last_value,
@@ -492,6 +577,8 @@ QUERIES: dict[str, Query] = {name: query.run for name, query in SERIES.items()}
     "qfq_view": qfq_view, "forward_factors": forward_factors, "semi_dividend_dates": semi_dividend_dates,
     "anti_missing_codes": anti_missing_codes, "sync_due": sync_due, "breadth": breadth_query, "kline": kline_query,
     "calc_all": calc_all, "truncate": truncate, "rounded_numbers": rounded_numbers, "viewport": viewport, "labels": labels, "normalize_codes": normalize_codes, "normalize_dates": normalize_dates, "landed_bars": landed_bars,
+    "catalog_insert": catalog_insert, "landed_index_bars": landed_index_bars, "landed_dividends": landed_dividends, "landed_capital": landed_capital, "landed_calendar": landed_calendar,
+    "landed_lists": landed_lists, "landed_archive": landed_archive, "code_errors": code_errors, "date_classes": date_classes,
 }
 
 _FIX = "WITH " + fixtures.SQL.strip()
@@ -549,7 +636,13 @@ _KLINE = {
     "rsi": "round(ri / mo * 100, 2)", "vol5": _ma("volume / 1000000", 5),
 }
 _DIGITS_SQL = "(CASE c_custkey % 9 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(_STARTS)) + " END || right('000' || c_custkey::VARCHAR, 3))"
-_RAW_SQL = f"WITH c0 AS (SELECT c_custkey, {_DIGITS_SQL} AS d FROM customer), c1 AS (SELECT c_custkey, {_CODE} AS raw FROM c0), c2 AS (SELECT *, upper(trim(raw)) AS t FROM c1), c3 AS (SELECT *, regexp_matches(t, '{codes.PATTERN}') AS ok, regexp_extract(t, '{codes.PATTERN}', 1) AS b, regexp_extract(t, '{codes.PATTERN}', 2) AS d, regexp_extract(t, '{codes.PATTERN}', 3) AS a FROM c2), c4 AS (SELECT *, CASE WHEN a <> '' THEN a ELSE b END AS w FROM c3)"
+_RAW_SQL = f"""WITH c0 AS (SELECT c_custkey, {_DIGITS_SQL} AS d FROM customer), c1 AS (SELECT c_custkey, {_CODE} AS raw FROM c0),
+c2 AS (SELECT c_custkey, raw, replace(replace(upper(raw), ' ', ''), '.', '') AS t FROM c1),
+c3 AS (SELECT *, translate(t, '0123456789', '') AS w, right(rtrim(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), 6) AS d FROM c2),
+c4 AS (SELECT *, length(w) IN (0, 2) AND length(d) = 6 AS ok FROM c3)"""
+_LANDED_SQL = f"""{_RAW_SQL}, landed AS (
+    SELECT c_custkey, CASE WHEN ok THEN d END AS code, '2024-' || lpad((c_custkey % 12 + 1)::VARCHAR, 2, '0') || '-' || lpad((c_custkey % 28 + 1)::VARCHAR, 2, '0') AS trade_date,
+        CASE WHEN c_custkey % 5 > 1 THEN c_custkey / 4 END::DOUBLE AS x, c4.* EXCLUDE (c_custkey) FROM c4)"""
 
 
 def _market_sql(kind: str) -> str:
@@ -557,6 +650,11 @@ def _market_sql(kind: str) -> str:
     return f"(CASE WHEN NOT ok THEN NULL WHEN w IN ('SZ', 'SH', 'BJ') THEN w WHEN w <> '' THEN 'UNKNOWN' {found} ELSE 'UNKNOWN' END)"
 
 
+def _guessed_sql() -> str:
+    """The market of a bare stock code."""
+    return "(CASE " + " ".join(f"WHEN substr(d, 1, 3) IN ({', '.join(repr(p) for p in prefixes)}) THEN '{market}'" for market, prefixes in codes.PREFIXES["stock"].items()) + " ELSE 'UNKNOWN' END)"
+
+
 def _kind_sql(kind: str) -> str:
     found = " OR ".join(f"({_market_sql(kind)} = '{market}' AND substr(d, 1, 3) IN ({', '.join(repr(p) for p in prefixes)}))" for market, prefixes in codes.PREFIXES[kind].items() if prefixes)
     return f"coalesce(ok AND ({found}), FALSE)"
@@ -592,7 +690,14 @@ ORACLE_SQL: dict[str, str] = {name: query.sql for name, query in SERIES.items()}
     ),
     "kline": _on_adjusted(_KLINE | _JX, dict.fromkeys(_KLINE, 6) | _bools(*_JX), _KLINE_LAYERS, "SELECT * REPLACE (strftime(trade_date, '%Y-%m-%d') AS trade_date) FROM ({sql})"),
     "calc_all": "SELECT code, trade_date, " + ", ".join(f"{n}.{own} AS {n}_{own}" for n, columns in _ALL.items() for own in columns) + " FROM " + " JOIN ".join(f"({SERIES[n].sql}) {n}" + (" USING (code, trade_date)" if i else "") for i, n in enumerate(_ALL)),
-    "truncate": "SELECT 0::BIGINT AS n",
+    "truncate": f"{_HALVES} SELECT 0::BIGINT AS emptied, count(*) AS n, max(c_custkey) AS last FROM batch",
+    "catalog_insert": f"""{_HALVES}, fresh AS (SELECT * FROM batch WHERE c_custkey NOT IN (SELECT c_custkey FROM stored)), both_ AS (SELECT * FROM stored UNION ALL SELECT * FROM fresh)
+        SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal::DOUBLE), 2) AS balance, (SELECT count(*) FROM stored) AS inserted_first, 0::BIGINT AS ignored_first,
+            (SELECT count(*) FROM fresh) AS inserted_second, 2 * (SELECT count(*) FROM batch) - (SELECT count(*) FROM fresh) AS ignored_second FROM both_ WHERE c_custkey > 0 GROUP BY c_mktsegment""",
+    "landed_index_bars": f"{_LANDED_SQL} SELECT code, trade_date, x AS open, x AS high, x AS low, x AS close, x AS volume, 0.0::DOUBLE AS amount FROM landed WHERE ok AND x > 0",
+    "landed_dividends": f"{_LANDED_SQL} SELECT code, trade_date, (c_custkey % 3)::VARCHAR AS category, x AS dividend, x AS bonus_ratio, x AS rights_ratio, x AS rights_price FROM landed",
+    "landed_capital": f"{_LANDED_SQL} SELECT code, trade_date, x AS total_share, c_custkey::DOUBLE AS float_share FROM landed",
+    "landed_calendar": f"{_LANDED_SQL} SELECT DISTINCT trade_date FROM landed",
     "rounded_numbers": f"{_FIX} SELECT code, trade_date, round(high / 7, 3) AS high, round(low / 7, 3) AS low FROM bars",
     "viewport": f"{_FIX} SELECT code, trade_date, close FROM ticks QUALIFY row_number() OVER (PARTITION BY code ORDER BY trade_date DESC) <= 20",
     "labels": f"{_FIX} SELECT code, name, code || ' - ' || name AS label, code AS back FROM stock_list",
@@ -601,6 +706,14 @@ ORACLE_SQL: dict[str, str] = {name: query.sql for name, query in SERIES.items()}
         SELECT o_orderkey, coalesce(try_strptime(raw, '%Y%m%d'), try_strptime(raw, '%Y/%m/%d %H:%M'), try_strptime(raw, '%Y.%m.%d'), try_strptime(raw, '%Y-%m-%d %H:%M:%S')) AS t FROM d1)
     SELECT o_orderkey, strftime(t, '%Y%m%d') AS pure_num, strftime(t, '%Y-%m-%d') AS hyphen, strftime(t, '%Y/%m/%d') AS slash, strftime(t, '%Y.%m.%d') AS dot, strftime(t, '%Y年%m月%d日') AS chinese,
         strftime(t, '%Y-%m-%d %H:%M:%S') AS hyphen_datetime, strftime(t, '%Y/%m/%d %H:%M:%S') AS slash_datetime, strftime(t, '%Y年%m月%d日 %H时%M分%S秒') AS chinese_datetime FROM d2""",
+    "landed_lists": f"{_LANDED_SQL} SELECT kind, code, 'n' || c_custkey AS name, code || '.' || {_guessed_sql()} AS terminal, lower({_guessed_sql()}) || '.' || code AS archive FROM landed, (VALUES ('stock_list'), ('index_list')) k(kind) WHERE ok",
+    "landed_archive": f"{_LANDED_SQL} SELECT code, trade_date, " + ", ".join(f"{'x' if i % 2 else 'c_custkey::DOUBLE'} AS {new}" for i, new in enumerate(landing.ARCHIVE_FIELDS.values())) + " FROM landed WHERE ok",
+    "code_errors": f"""{_RAW_SQL}, e AS (SELECT *, ok AND c_custkey % 10 <> 0 AS good, {_market_sql('stock')} AS m FROM c4)
+        SELECT c_custkey, CASE WHEN good THEN d END AS pure_code, CASE WHEN good THEN d || '.' || m END AS suffix, CASE WHEN good THEN m || '.' || d END AS prefix_dot, CASE WHEN good THEN m || d END AS prefix,
+            CASE WHEN c_custkey % 10 = 0 THEN 'code is null' WHEN NOT ok THEN 'not a code: ' || upper(trim(raw)) END AS error FROM e""",
+    "date_classes": f"""WITH d0 AS (SELECT o_orderkey, left(o_orderdate::VARCHAR, 10) AS d FROM orders), d1 AS (SELECT o_orderkey, {_DAY_TEXT} AS raw FROM d0), d2 AS (
+        SELECT o_orderkey, raw, coalesce(try_strptime(raw, '%Y%m%d'), try_strptime(raw, '%Y/%m/%d %H:%M'), try_strptime(raw, '%Y.%m.%d'), try_strptime(raw, '%Y-%m-%d %H:%M:%S')) AS t FROM d1)
+        SELECT o_orderkey, strftime(t, '%Y-%m-%d') AS day, strftime(t, '%Y-%m-%d %H:%M:%S') AS moment, CASE WHEN t IS NULL THEN 'not a date: ' || raw END AS error FROM d2""",
     "landed_bars": f"""{_RAW_SQL}, v AS (
         SELECT d AS code, '2024-01-05' AS trade_date, (CASE WHEN c_custkey % 4 <> 0 THEN c_custkey END)::DOUBLE AS c, (c_custkey + 1)::DOUBLE AS o, (CASE WHEN c_custkey % 3 <> 0 THEN 0 END)::DOUBLE AS l FROM c4 WHERE ok)
     SELECT code, trade_date, o AS open, coalesce(c, o) AS high, coalesce(l, c, o) AS low, coalesce(c, o) AS close, 0.0::DOUBLE AS volume, 12.5::DOUBLE AS amount FROM v WHERE coalesce(c, o) > 0""",

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from barline.functions.numeric import once
 from barline.schema import DateFormat
 
-PATTERN = r"^(\d{4})[-/.\s]?(\d{1,2})[-/.\s]?(\d{1,2})(?:\s+(\d{1,2}):?(\d{0,2}):?(\d{0,2}))?$"
-#: Spellings by format; dates and timestamps keep their type.
+_BETWEEN = r"[\s./-]?"
+#: What a text starts with: year, month and day, and what may follow: a time whose minutes and seconds can be missing.
+DAY = "^([0-9]{4})" + _BETWEEN + "([0-9]{1,2})" + _BETWEEN + "([0-9]{1,2})"
+TIME = r"^\s+([0-9]{1,2})" + ":?([0-9]{0,2})" * 2 + "$"
+#: Spellings by format; dates and timestamps keep their type.
 SPELLINGS = {
     DateFormat.PURE_NUM: "yyyyMMdd",
     DateFormat.HYPHEN: "yyyy-MM-dd",
@@ -28,20 +32,32 @@ def today() -> Column:
 
 def parse_trade_date(text: Column) -> Column:
     """A timestamp without time zone; null if the text isn't a date. A null or blank text is today."""
-    text = F.trim(text.cast("string"))
-    part = [F.regexp_extract(text, PATTERN, i) for i in range(1, 7)]
-    number = [F.coalesce(F.expr("null").cast("int"), F.nullif(p, F.lit("")).cast("int")) for p in part]
-    spelled = F.concat_ws(" ", F.concat_ws("-", part[0], F.lpad(part[1], 2, "0"), F.lpad(part[2], 2, "0")), F.concat_ws(":", *[F.lpad(F.coalesce(n.cast("string"), F.lit("0")), 2, "0") for n in number[3:]]))
-    read = F.try_to_timestamp(F.when(text.rlike(PATTERN), spelled), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
-    return F.when(text.isNull() | (text == ""), today().cast("timestamp_ntz")).otherwise(read)
+
+    def read(text: Column) -> Column:
+        def parts(head: Column) -> Column:
+            rest = F.substr(text, F.length(head) + 1)
+            day = F.split(F.regexp_replace(head, DAY, "$1-$2-$3"), "-")
+            time = F.when(rest == "", "0:0:0").when(rest.rlike(TIME), F.regexp_replace(rest, TIME, "$1:$2:$3"))
+            return once(F.concat(day, F.split(time, ":")), moment)
+
+        def moment(numbers: Column) -> Column:
+            whole = [F.coalesce(F.nullif(F.get(numbers, F.lit(i)), F.lit("")), F.lit("0")).cast("int") for i in range(6)]
+            return F.when(F.size(numbers) == 6, F.try_make_timestamp_ntz(*whole))
+
+        return F.when(text.isNull() | (text == ""), today().cast("timestamp_ntz")).when(text.rlike(DAY), once(F.regexp_extract(text, DAY, 0), parts))
+
+    return once(F.trim(text.cast("string")), read)
 
 
 def normalize_trade_date(text: Column, form: str | None = DateFormat.HYPHEN) -> Column:
     """The date in a form, null if it isn't one; without a form, a struct of all forms and error."""
-    moment = parse_trade_date(text)
-    forms = {name: F.date_format(moment, spelling) for name, spelling in SPELLINGS.items()}
-    forms |= {DateFormat.DATE_CLASS: F.to_date(moment), DateFormat.DATETIME_CLASS: moment}
-    if form:
-        return forms[form]
-    error = F.when(moment.isNull(), F.concat(F.lit("not a date: "), text.cast("string")))
-    return F.struct(*[column.alias(str(name)) for name, column in forms.items()], error.alias("error"))
+
+    def formed(moment: Column) -> Column:
+        forms = {name: F.date_format(moment, spelling) for name, spelling in SPELLINGS.items()}
+        forms |= {DateFormat.DATE_CLASS: F.to_date(moment), DateFormat.DATETIME_CLASS: moment}
+        if form:
+            return forms[form]
+        error = F.when(moment.isNull(), F.concat(F.lit("not a date: "), text.cast("string")))
+        return F.struct(*[column.alias(str(name)) for name, column in forms.items()], error.alias("error"))
+
+    return once(parse_trade_date(text), formed)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,16 +17,18 @@ def as_column(x: Column | float | int | bool | str) -> Column:
     return F.col(x) if isinstance(x, str) else F.lit(x)
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fdiv(a: Column | float, b: Column | float) -> Column:
-    """a / b as IEEE does it: x/0 is an infinity, 0/0 is NaN; a null on either side gives null."""
+    """a / b as IEEE does it: x/0 is an infinity, 0/0 is NaN; a null on either side gives null.
+
+    Each side stands in the expression twice only, so that nested quotients of windows stay small.
+    """
     a, b = as_column(a).cast("double"), as_column(b).cast("double")
-    return (
-        F.when(b != 0, a / F.when(b != 0, b))
-        .when(a.isNull() | b.isNull(), F.lit(None).cast("double"))
-        .when(F.isnan(a) | (a == 0), F.lit(NAN))
-        .when(a > 0, F.lit(INFINITY))
-        .otherwise(F.lit(-INFINITY))
-    )
+    return F.coalesce(F.try_divide(a, b), a * (b + F.lit(INFINITY)))  # no quotient: b is 0, or a side is null
 
 
 def finite(x: Column, digits: int | None = None) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -64,10 +64,14 @@ class Series:
         """The series' last value, on every row."""
         return F.last(as_column(x)).over(self.whole)
 
-    def RET(self, x: Column | str, n: int = 1) -> Column:
-        """An aggregate: the n-th value from the series' end; null if the series is shorter."""
-        ordered = F.sort_array(F.collect_list(F.struct(F.col(self.order), as_column(x).alias("value"))))
-        return F.try_element_at(ordered, F.lit(-n))["value"]
+    def RET(self, df: DataFrame, **wanted: tuple[str, int]) -> DataFrame:
+        """A row for each series, with the n-th value of a column from the series' end by name: (column, n); null if the series is shorter.
+
+        Only the last rows of each series are shuffled.
+        """
+        newest = F.row_number().over(W.partitionBy(*self.keys).orderBy(F.desc(self.order)))
+        last = df.withColumn("_newest", newest).where(F.col("_newest") <= max(n for _, n in wanted.values()))
+        return last.groupBy(*self.keys).agg(*[F.max(F.when(F.col("_newest") == n, F.col(x))).alias(name) for name, (x, n) in wanted.items()])
 
     # Windows of n rows
 
@@ -170,21 +174,6 @@ class Series:
         """x on the last row on which the condition held (and x wasn't null)."""
         return F.last(F.when(condition, as_column(x)), ignorenulls=True).over(self.so_far)
 
-    def TOPRANGE(self, x: Column | str) -> Column:
-        """How many rows directly before are below the current value."""
-        return self._range(x, lambda before, now: before >= now)
-
-    def LOWRANGE(self, x: Column | str) -> Column:
-        """How many rows directly before are above the current value."""
-        return self._range(x, lambda before, now: before <= now)
-
-    def _range(self, x: Column | str, stops: Callable[[Column, Column], Column]) -> Column:
-        # Column form, for short series; operators.recursive has TOPRANGE and LOWRANGE steps for long ones.
-        x = as_column(x)
-        before = F.reverse(F.collect_list(x).over(self.rows.rowsBetween(W.unboundedPreceding, -1)))
-        place = F.array_position(F.transform(before, lambda v: stops(v, x)), True)
-        return F.when(place == 0, self.position - 1).otherwise(place - 1).cast("int")
-
 
 def BETWEEN(x: Column, a: Column | float, b: Column | float) -> Column:
     """Whether x lies strictly between a and b, whichever is larger."""

@@ -27,10 +27,11 @@ def BIAS(close: Column, l1: int = 6, l2: int = 12, l3: int = 24, s: Series = S)
     return one, two, three
 
 
-def BOLL(close: Column, n: int = 20, p: float = 2, s: Series = S) -> tuple[Column, Column, Column]:
-    """Upper, middle and lower band."""
+def BOLL(close: Column, n: int = 20, p: float = 2, s: Series = S, digits: int | None = 2) -> tuple[Column, Column, Column]:
+    """Upper, middle and lower band; unrounded without digits."""
     middle, spread = s.MA(close, n), s.STD(close, n) * p
-    return RD(middle + spread), RD(middle), RD(middle - spread)
+    bands = middle + spread, middle, middle - spread
+    return bands if digits is None else tuple(RD(band, digits) for band in bands)
 
 
 def PSY(close: Column, n: int = 12, m: int = 6, s: Series = S) -> tuple[Column, Column]:
@@ -143,6 +144,9 @@ def ASI(open_: Column, close: Column, high: Column, low: Column, m1: int = 26, m
     return asi, s.MA(asi, m2)
 
 
+# The factors and limits of the published formulas of ASI, W_TD and NMM stand in them as numbers.
+
+
 def W_TD(open_: Column, high: Column, low: Column, close: Column, s: Series = S) -> tuple[Column, Column, Column]:
     """Bottom signal and two top signals of a channel of short averages."""
     prices = (high, low, close, open_)

@@ -1,7 +1,8 @@
 """Stored tables: scan, aggregate, insert-ignore, update, delete, truncate.
 
 Parquet tables can't be changed in place, so changes write a new generation of a table's files beside the current one
-and then switch the table over to it; readers of the old files aren't disturbed and a failed write changes nothing.
+and then switch the table over to it; readers of the old files aren't disturbed and a failed write changes nothing. Catalog.vacuum removes generations that are
+no longer in use.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from collections.abc import Callable, Iterable
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,6 +51,14 @@ def union(frames: Iterable[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
+def _observed(rows: Observation) -> int:
+    """How many rows went by; a plan that turns out to be empty while it runs is cut short, and its observation has no value."""
+    try:
+        return rows.get["n"]
+    except Py4JJavaError:
+        return 0
+
+
 class Catalog:
     """The tables and views of a database in the session's catalogue."""
 
@@ -104,19 +114,18 @@ class Catalog:
         the batch, are passed over; replace: the rows become the table; append: all are added."""
         schema = self.schemas[name]
         rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
-        if mode == InsertMode.IGNORE:
-            given = rows.count()
-            fresh = insert_ignore(self.read(name), rows, keys_of(schema))
-        else:
-            given, fresh = None, rows
-        before = 0 if mode == InsertMode.REPLACE else self.read(name).count()
+        # Rows are counted as they are written: the batch is worked out once, and the table isn't counted.
+        given, written = Observation(), Observation()
+        rows = rows.observe(given, F.count(F.lit(1)).alias("n"))
+        fresh = insert_ignore(self.read(name), rows, keys_of(schema)) if mode == InsertMode.IGNORE else rows
+        fresh = fresh.observe(written, F.count(F.lit(1)).alias("n"))
         if mode == InsertMode.REPLACE:
             self._point(name, self._write(name, fresh))
         else:
             fresh.write.mode("append").format("parquet").insertInto(self.target(name))
             self.spark.catalog.refreshTable(self.target(name))
-        inserted = self.read(name).count() - before
-        return {"inserted": inserted, "ignored": (given or inserted) - inserted}
+        inserted = _observed(written)
+        return {"inserted": inserted, "ignored": _observed(given) - inserted}
 
     batch_insert_ignore = insert
 
@@ -153,9 +162,22 @@ class Catalog:
             return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schemas[like]])
         return df
 
+    def vacuum(self) -> int:
+        """Removes the generations of tables that are no longer in use, for when nobody reads them; returns how many."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self._folder())
+        files, gone = folder.getFileSystem(self.spark._jsc.hadoopConfiguration()), 0
+        used = {self.spark.sql(f"describe formatted {self.target(name)}").where("col_name = 'Location'").first()[1].rstrip("/").rsplit("/", 1)[1] for name in self.schemas}
+        for status in files.listStatus(folder):
+            generation = status.getPath().getName()
+            if generation not in used and generation.rsplit("-", 1)[0] in self.schemas:
+                gone += files.delete(status.getPath(), True)
+        return gone
+
+    def _folder(self) -> str:
+        return self.spark.sql(f"describe database {self.database}").where("info_name = 'Location'").first()[1]
+
     def _write(self, name: str, df: DataFrame) -> str:
-        folder = self.spark.sql(f"describe database {self.database}").where("info_name = 'Location'").first()[1]
-        path = f"{folder}/{name}-{uuid.uuid4().hex}"
+        path = f"{self._folder()}/{name}-{uuid.uuid4().hex}"
         nullable = T.StructType([T.StructField(f.name, f.dataType) for f in self.schemas[name]])
         df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in nullable]).write.parquet(path)
         return path

@@ -158,7 +158,9 @@ def _numbers(column: pa.Array) -> list:
 def with_recursive(df: DataFrame, steps: dict[str, Step], series: Series | None = None) -> DataFrame:
     """df with a column for each step, made in order; a later step may take an earlier one's.
 
-    One shuffle by the series' keys, and one sort. Rows of one series with equal order are taken as they come.
+    One shuffle by the series' keys, and one sort. Rows of one series with equal order are taken as they come. Whole rows pass
+    through Python, as Arrow columns that it doesn't touch: joining results back by key and order would shuffle the rows once more,
+    and keys and order need not be unique.
     """
     series = series or Series()
     schema = T.StructType([*df.schema.fields, *(T.StructField(name, step.kind) for name, step in steps.items())])
@@ -188,3 +190,8 @@ def with_recursive(df: DataFrame, steps: dict[str, Step], series: Series | None
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return df.repartition(*series.keys).sortWithinPartitions(*series.keys, series.order).mapInArrow(run, schema)
+
+
+def ranges(df: DataFrame, x: str, top: str = "TOPRANGE", low: str = "LOWRANGE", series: Series | None = None) -> DataFrame:
+    """df with the numbers of rows directly before that lie below and above the current value of x; linear in a series."""
+    return with_recursive(df, {top: Range((x,)), low: Range((x,), lowest=True)}, series)

@@ -22,19 +22,19 @@ _PRICES = {
 }
 
 
-def window_columns(s: Series | None = None, prefix: str = "") -> dict[str, Column]:
+def window_columns(s: Series | None = None, prefix: str = "", boll_digits: int | None = 2) -> dict[str, Column]:
     """Every indicator made of windows only, with default parameters, by name of column."""
     s, found = s or Series(), {}
     price = {name[0]: F.col(prefix + name) for name in ("open", "high", "low", "close", "volume")}
     for name, prices in _PRICES.items():
-        made = getattr(T, name)(*[price[p] for p in prices], s=s)
+        made = getattr(T, name)(*[price[p] for p in prices], s=s, **({"digits": boll_digits} if name == "BOLL" else {}))
         found |= dict(zip(_NAMES[name], made if isinstance(made, tuple) else (made,), strict=True))
     found |= dict(zip(("TAQ_UP", "TAQ_MID", "TAQ_DOWN"), T.TAQ(price["h"], price["l"], 20, s), strict=True))
     return found
 
 
-def all_indicators(bars: DataFrame, s: Series | None = None) -> DataFrame:
+def all_indicators(bars: DataFrame, s: Series | None = None, boll_digits: int | None = 2) -> DataFrame:
     """bars with every indicator: two shuffles and sorts for the first windows and the recursive pass, one for the last windows."""
     s = s or Series()
     recursive = [smoothed.macd(), smoothed.kdj(s=s), smoothed.rsi(s=s), smoothed.ktn(s=s), smoothed.trix(s=s), smoothed.expma(), smoothed.xsii(s=s), smoothed.w_jx(s=s)]
-    return smoothed.add(bars, *recursive, s=s, more=window_columns(s))
+    return smoothed.add(bars, *recursive, s=s, more=window_columns(s, boll_digits=boll_digits))

@@ -34,7 +34,7 @@ def test_fixed_vectors(spark):
     assert values(df, S.SUM(c, 0))[-1] == sum(CLOSE)
     assert values(df, S.CONST(c)) == [15.0] * 10
     assert values(df, S.REF(c, -1))[-1] is None
-    assert df.groupBy("code").agg(S.RET(c, 2).alias("x"), S.RET(c, 11).alias("y")).first()[1:] == (13.5, None)
+    assert S.RET(df, x=("close", 2), y=("close", 11)).first()[1:] == (13.5, None)
 
 
 def test_windows_wait_for_values_that_are_not_null(spark):
