@@ -60,7 +60,7 @@ def features(text: Column) -> Column:
         _kept(text, "|") / n,
         _kept(text, ".?") / n,
         _kept(text, ",;:") / n,
-        _kept(text, "\\\\n") / n,
+        _kept(text, "\\n") / n,
     )
     return F.concat(let(words_of(text), of_words), let(F.split(text, "\n"), of_lines), shares).cast("array<double>")
 
