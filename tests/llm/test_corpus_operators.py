@@ -9,7 +9,8 @@ import pytest
 from conftest import DATA, same_rows
 from pyspark.sql import functions as F
 
-from barline.llm import html_extract, mixing, queries, sharding, simhash, topk, url_filter
+from barline.llm import common, html_extract, mixing, near_copies, queries, sharding, simhash, topk, url_filter
+from barline.llm.common import durable
 
 # Top-k search
 
@@ -39,11 +40,51 @@ def test_search_as_sql(spark, duck):
 def test_search_by_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(size=8).astype(np.float32).tolist()) for i in range(0, 700, 2)]
+    rows += [(i, rng.normal(size=3).astype(np.float32).tolist()) for i in range(1000, 1150, 5)] + [(7, rows[3][1]), (7, rows[3][1])]
+    want = brute_top(rows)
+    found = search(spark, rows)
+    assert found == want
+    monkeypatch.setattr(topk, "GROUP_ROWS", 16)
+    monkeypatch.setattr(topk, "GROUP_VALUES", 100)
+    assert search(spark, rows) == want
+
+
+@pytest.mark.parametrize("size", [1e4, 1e6, 1e12, 1e30])
+def test_search_takes_vectors_of_any_size(spark, size):
+    rng = np.random.default_rng(1)
+    rows = [(i, (rng.normal(size=6) * (size if i % 3 else 1.0)).tolist()) for i in range(0, 300, 5)]
+    if size == 1e30:  # only scores that fit a long can be returned
+        rows = [(i, [v[0] if i % 10 else 0.0, 0.0 if i % 10 else v[1] / size, *([0.0] * 4)]) for i, v in rows]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    found = {tuple(r) for r in topk.search(df, F.col("vec_id") % 100 == 0).collect()} if size < 1e10 or size == 1e30 else None
+    if found is not None:
+        assert found == brute_top(rows)
+    else:  # scores of about 10^30 don't fit
+        with pytest.raises(Exception, match="long|int64|too (big|large)"):
+            topk.search(df, F.col("vec_id") % 100 == 0).collect()
+
+
+def test_search_of_wide_vectors(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, (rng.normal(size=4096) * 1000).astype(np.float32).tolist()) for i in range(0, 400, 10)]
     assert search(spark, rows) == brute_top(rows)
-    monkeypatch.setattr(topk, "QUERIES_AT_ONCE", 2)
-    monkeypatch.setattr(topk, "BLOCKS_TOGETHER", 2)
-    monkeypatch.setattr(topk, "CANDIDATES_AT_ONCE", 16)
-    assert search(spark, rows) == brute_top(rows)
+
+
+def test_bounds_save_products_and_lose_no_pair():
+    rng = np.random.default_rng(3)
+    decay = 1 / (1 + np.arange(64))
+    vectors = rng.normal(size=(3000, 64)) * rng.permutation(decay)
+    rows = topk.Block(np.arange(3000), vectors)
+    asked = topk.Block(np.arange(0, 3000, 100), vectors[::100], rows.order)
+    score = np.floor(1024 * vectors[::100]) @ np.floor(1024 * vectors).T
+    score[np.arange(30), np.arange(0, 3000, 100)] = -np.inf
+    low = np.sort(score, axis=1)[:, -10]
+    at, to, products = topk.in_reach(asked, rows, low)
+    assert {tuple(x) for x in np.argwhere(score >= low[:, None])} <= set(zip(at.tolist(), to.tolist()))
+    assert products < 0.4 * score.size * 64 and len(at) < 0.02 * score.size
+    assert topk.exact(asked, rows, at, to).tolist() == score[at, to].tolist()
+    everything = topk.in_reach(asked, rows, np.full(30, -np.inf))
+    assert len(everything[0]) == score.size - 30 and everything[2] == score.size * 64
 
 
 def test_search_with_ties_nulls_and_few_rows(spark):
@@ -149,6 +190,19 @@ def test_every_pair_in_reach_meets():
                 assert home[high] in there[low] and home[low] not in there[high]
 
 
+def test_hubs_meet_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY_ROWS", 5)
+    monkeypatch.setattr(common, "MOST_HEAVY", 8)
+    edges = [(7, i) for i in range(8, 60)] + [(i, 500) for i in range(100, 140)] + [(1, 139), (2, 3), (900, 901), (901, 902)] + [(300 + i, 301 + i) for i in range(40)]
+    rows = {tuple(r) for r in simhash.components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()}
+    want = {(i, 7) for i in range(7, 60)} | {(i, 1) for i in (1, 500, *range(100, 140))} | {(2, 2), (3, 2), (900, 900), (901, 900), (902, 900)} | {(300 + i, 300) for i in range(41)}
+    assert rows == want
+    texts = ["one and the same text"] * 60 + [f"own text {i} of words w{i} x{i} y{i}" for i in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r["doc_id"] for r in near_copies.keep_one(docs).collect()} == {0, *range(60, 80)}
+    assert {r["component_id"] for r in simhash.near_duplicates(docs).where("doc_id < 60").collect()} == {0}
+
+
 def test_long_chain_and_empty_tables(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
     assert {r["root"] for r in simhash.components(chain).collect()} == {0}
@@ -158,13 +212,16 @@ def test_long_chain_and_empty_tables(spark):
 
 def test_one_document_of_each_group_stays(spark):
     rows = [(1, "a b c"), (2, "A B C"), (3, "other words here"), (3, "other words here"), (None, "a b c"), (None, "lonely text x"), (None, "lonely text x")]
-    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    kept = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [(0, "a b c"), (0, "lonely text x"), (1, "a b c"), (3, "other words here")]
     found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert [r["component_id"] for r in found if r["doc_id"] is None].count(None) == 2 and len(found) == 7
 
 
-def test_near_copies_of_five_words_go(spark):
+@pytest.mark.parametrize("block", [256, 2])
+def test_near_copies_of_five_words_go(spark, monkeypatch, block):
+    monkeypatch.setattr(near_copies, "LEAST_BLOCK", block)
+    monkeypatch.setattr(near_copies, "MOST_BLOCK", block)
     rng, texts = random.Random(8), {}
 
     def shingles(words):
@@ -189,13 +246,13 @@ def test_near_copies_of_five_words_go(spark):
                 component = {k: new if c == old else c for k, c in component.items()}
     assert sum(s < 0.85 for s in planted) >= 20 and sum(s > 0.95 for s in planted) >= 20
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
-    assert {r["doc_id"] for r in simhash.keep_one(df.repartition(4)).collect()} == set(component.values())
+    assert {r["doc_id"] for r in near_copies.keep_one(df.repartition(4)).collect()} == set(component.values())
 
 
 def test_near_copies_link_across_stars(spark):
     words = [f"w{i}" for i in range(400)]  # a long chain of windows: neighbours are alike, the ends are not
     df = spark.createDataFrame([(i, " ".join(words[i * 10 : i * 10 + 200])) for i in range(20)] + [(99, None), (98, ""), (97, "a b"), (96, "A  b")], "doc_id long, text string")
-    assert {r["doc_id"] for r in simhash.keep_one(df).collect()} == {0, 96, 98}
+    assert {r["doc_id"] for r in near_copies.keep_one(df).collect()} == {0, 96, 98}
 
 
 def test_simhash_query_by_brute_force(spark):
@@ -233,6 +290,36 @@ def test_sharding_query(spark):
     assert max(loads) <= 1.02 * sum(loads) / 24
 
 
+def test_sharding_query_by_brute_force(spark):
+    import hashlib
+
+    import xxhash
+
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").collect()
+    sizes, of = defaultdict(int), {}
+    for row in docs:
+        data = (row["text"] or "").encode()
+        of[row["doc_id"]] = hashlib.sha256(data).hexdigest()
+        sizes[of[row["doc_id"]]] += len(data) + 8
+    total, units = sum(sizes.values()), defaultdict(int)
+    name = {}
+    for group, size in sizes.items():
+        heavy = size * 24 * sharding.HEAVY > total
+        name[group] = f"group {group}" if heavy else f"parcel {xxhash.xxh64_intdigest(group.encode(), 42) % sharding.LIGHT}"
+        units[name[group]] += size
+    loads, place = [0] * 24, {}
+    for unit in sorted(units, key=lambda u: (-units[u], u)):
+        shard = loads.index(min(loads))
+        place[unit] = shard
+        loads[shard] += units[unit]
+    rows = queries.QUERIES["op7_sharding"](spark, f"{DATA}/sf0.01").collect()
+    assert {r["doc_id"]: r["shard"] for r in rows} == {i: place[name[g]] for i, g in of.items()}
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
 def test_sharding_of_awkward_rows(spark):
     texts = [None, "", "a", "a", "é", "x" * 100_000] + ["copy"] * 300 + [str(i) for i in range(300)]
     df = spark.createDataFrame([(i, t, "mine") for i, t in enumerate(texts)], "doc_id long, text string, shard string")
@@ -302,6 +389,45 @@ def test_mixing_edges(spark):
     assert (alone["target"], alone["taken"]) == (3.0, 3)
 
 
+def test_mixing_of_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
+    monkeypatch.setattr(common, "HEAVY_ROWS", 20)
+    monkeypatch.setattr(common, "MOST_HEAVY", 20)
+    rng = random.Random(3)
+    rows = [(i, "w " * rng.randint(1, 9), rng.choice(["s"] * 300 + [f"t{k}" for k in range(500)] + [None])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    check_mix(mixing.report(df).orderBy("doc_id").collect(), [r[2] for r in rows])
+    assert mixing.mix(df).count() == sum(r["taken"] // r["size"] for r in mixing.report(df).collect())
+
+
+def test_chances_follow_the_weights_of_documents(spark, monkeypatch):
+    rows = [(i, "w", "a", float(1 + i % 4)) for i in range(400)] + [(i, "w", "b", 1.0) for i in range(400, 500)] + [(999, "w w w", "a", None), (998, "w", "a", -1.0)]
+    df = durable(spark.createDataFrame(rows, "doc_id long, text string, source string, weight double"))
+    sizes = {"a": 404, "b": 100}
+    target, times = fill(sizes), defaultdict(int)
+    draws = 12
+    for seed in range(draws):
+        monkeypatch.setattr(mixing, "draw", lambda doc_id, seed=seed, plain=mixing.draw: F.expr(f"(pmod(xxhash64(doc_id, {seed}), 1000003) + 0.5) / 1000003"))
+        found = mixing.report(df, F.col("weight")).collect()
+        taken = defaultdict(int)
+        for r in found:
+            taken["a" if r["doc_id"] < 400 or r["doc_id"] > 900 else "b"] += r["taken"]
+            times[r["doc_id"]] += r["taken"]
+        assert all(abs(taken[s] - target[s]) <= 1 for s in target)
+    assert times[999] == times[998] == 0
+    rate = target["a"] / sum(w for _, _, s, w in rows if s == "a" and w and w > 0)
+    for k in range(4):
+        mean = sum(times[i] for i in range(k, 400, 4)) / 100 / draws
+        assert mean == pytest.approx(min(3, rate * (k + 1)), abs=0.06), k
+
+
+def test_limits_of_copies_are_reshared(spark):
+    rows = [(i, "w", "a", 1.0) for i in range(100)] + [(100, "w", "a", 1e6), (101, "w", None, 1.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, weight double")
+    found = {r["doc_id"]: r for r in mixing.report(df, F.col("weight")).collect()}
+    assert found[100]["taken"] == 3 and abs(sum(r["taken"] for i, r in found.items() if i <= 100) - found[0]["target"]) <= 1
+
+
 # URL filter
 
 
@@ -354,8 +480,7 @@ def plain_likelihood(text, counts, order, characters):
     return total
 
 
-def test_models_by_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(url_filter, "LEAST_COUNT", 1)
+def test_models_by_brute_force(spark):
     training = [("allow", t) for t in ("ab.com/x", "ac.com/y", "ab.com/z")] + [("block", t) for t in ("zz.net/1", "zy.net/22")]
     model = url_filter.fit(spark.createDataFrame(training, "verdict string, text string"))
     tests = ["ab.com/x", "zz.net/9", "q", ""]
@@ -387,6 +512,28 @@ def test_every_gram_counts_and_whole_urls_are_judged(spark):
     assert len({r["score"] for r in rows[-5:]}) == 5
 
 
+def test_threshold_is_of_urls_that_were_held_out(spark, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY_ROWS", 30)
+    monkeypatch.setattr(common, "MOST_HEAVY", 30)
+    urls = [f"http://x.com/{'fr' if i % 2 else 'de'}/p{i * 7919 % 1000}?q={i}" for i in range(300)] + ["http://x.com/fr/same"] * 90 + ["http://y.net/fr/1", "http://y.net/de/1"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    rows = url_filter.judge(df).collect()
+    training = [("allow" if "/fr/" in u else "block", u) for u in urls if "y.net" not in u]
+    frame = spark.createDataFrame(training, "verdict string, text string")
+    held = {r["text"] for r in frame.where(url_filter.is_held_out(F.col("text"))).collect()}
+    model = url_filter.fit(frame.where(~url_filter.is_held_out(F.col("text"))))
+    raw = dict(zip(sorted(held), model.scores(sorted(held)) + model.threshold, strict=True))
+    scores = [(raw[u], v) for v, u in training if u in held]
+    threshold = url_filter.fit(frame).threshold
+
+    def errors(cut):
+        return sum(np.mean([(s >= cut) != (v == "allow") for s, v in scores if v == side]) for side in ("allow", "block"))
+
+    step = 2 * url_filter.SPAN / url_filter.BINS
+    assert errors(threshold) <= min(errors(s + d) for s, _ in scores for d in (-step, step)) + 1e-9
+    assert len(rows) == len(urls) and {r["verdict"] for r in rows if "fr" in r["url"]} == {"allow"} and {r["verdict"] for r in rows if "de" in r["url"]} == {"block"}
+
+
 def test_url_query(spark):
     found = queries.QUERIES["op9_url_filter"](spark, f"{DATA}/sf0.01")
     pages = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{DATA}/sf0.01/pages.parquet").collect()}
@@ -405,6 +552,23 @@ ARTICLE = "<article><h1>Title &amp; more</h1><p>First   paragraph &lt;here&gt; w
 TEXT = "Title & more\n\nFirst paragraph <here> with some bold text that goes on for a while.\n\nSecond one, with a link, unclosed. After a break."
 
 
+NINE = "".join(f"<p>Paragraph {i} has some words, enough of them to be told from a menu.</p>" for i in range(9))
+NINE_TEXT = "\n\n".join(f"Paragraph {i} has some words, enough of them to be told from a menu." for i in range(9))
+
+
+def test_deep_and_unclosed_pages_take_linear_memory_and_time():
+    import time
+    import tracemalloc
+
+    for page in ("<div>" * 200_000 + "deep", "<b>" * 60_000 + "<hr>x" * 60_000, "<div>" * 60_000 + "</span>" * 60_000 + "deep", "<div>text" * 30_000, "<p><i>" * 60_000 + "x"):
+        tracemalloc.start()
+        began = time.process_time()
+        blocks = html_extract.content_blocks(page)
+        assert tracemalloc.get_traced_memory()[1] < 150e6 and time.process_time() - began < 60
+        tracemalloc.stop()
+        assert blocks and len(blocks) == page.count("x") + page.count("deep") if "text" not in page else len(blocks) == 30_000
+
+
 @pytest.mark.parametrize(
     ("html", "text"),
     [
@@ -418,6 +582,17 @@ TEXT = "Title & more\n\nFirst paragraph <here> with some bold text that goes on
         ("plain words only", "plain words only"),
         ("<ul><li>one<li>two</ul>", "one\n\ntwo"), ("<table><tr><td>a<td>b</table>", "a\n\nb"),
         (f"<div><h1>Head</h1><div class='has-sidebar'>{'<p>Some more long text of a body.' * 5}</div></div><div>x</div>", "\n\n".join(["Head"] + ["Some more long text of a body."] * 5)),
+        (f"<body><div><section>{NINE}</section><section><p>A tenth one.</p></section></div></body>", NINE_TEXT + "\n\nA tenth one."),
+        (f"<body><div id='page'><div>{NINE}</div><div><h2>Notes</h2><p>{'The tenth is long as well. ' * 9}</p></div></div></body>", NINE_TEXT + "\n\nNotes\n\n" + " ".join(["The tenth is long as well."] * 9)),
+        (f"<head><title>T</title><body><article><h1>A</h1>{NINE}</article>", "A\n\n" + NINE_TEXT), (f"<head><meta x><div><p>Lead.{NINE}</div>", "Lead.\n\n" + NINE_TEXT), ("<head>plain words", "plain words"),
+        (f"<article><header><h1>Head</h1></header><div class='entry-header'>Under it</div>{NINE}<footer>by me</footer></article><header><h2>Site</h2></header>", "Head\n\nUnder it\n\n" + NINE_TEXT),
+        (f"<form id=aspnet><nav>menu</nav><div>{NINE}</div><label>Find</label><input><button>Go</button></form>", NINE_TEXT),
+        (f"<article><h1>A</h1>{NINE}<form><p>Sign up here, please.</p></form></article>", "A\n\n" + NINE_TEXT), ("<form><p>Name</p><input></form>", ""),
+        (f"<body><div class='werbung'>Jetzt kaufen</div><div class='barra'><ul><li><a>uno</a><li><a>dos</a><li><a>tres</a></ul></div><div>{NINE}</div><div id='comentarios'>{NINE}</div></body>", NINE_TEXT),
+        (f"<article class='post comments-open'>{NINE}</article><article class='comment'><p>{'Nice. ' * 60}</p></article>", NINE_TEXT),
+        (f"<div role='main'><div>{NINE}</div></div><div><p>{'Something else. ' * 9}</p></div>", NINE_TEXT), (f"<div style='display: none'>gone</div><div>{NINE}</div>", NINE_TEXT),
+        (f"<article>{NINE}</article><article>{NINE}</article>", NINE_TEXT + "\n\n" + NINE_TEXT), ("<div>text" * 500, "\n\n".join(["text"] * 500)), ("<title>no head</title><p>x", "x"),
+        (f"<table><tr><td>{NINE}<td>side</table>", NINE_TEXT + "\n\nside"),
         ("<p>x <b>y", "x y"), ("<", "<"), ("", ""), (None, ""), ("<nav>only menu</nav>", ""), ("<script>x", ""),
     ],
 )

@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import sys
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -137,49 +139,87 @@ def test_scores_of_awkward_rows(spark):
 # License scan
 
 
-def dice(a, b):
+def plain_scan(text):
+    """All windows of all sizes within the bounds, with plain counts; templates in which too few bigrams of the text occur can't match."""
     def grams(text):
         words = re.findall(r"[^\W_]+", text.lower())
         return list(zip(words, words[1:]))
 
-    left, right = grams(a), grams(b)
-    shared = sum(min(left.count(g), right.count(g)) for g in set(left))
-    return 2 * shared / (len(left) + len(right)) if left and right else 0.0
-
-
-def test_pruning_loses_no_match():
+    own, matches = grams(text or ""), []
+    for name, template in license_scan.TEMPLATES.items():
+        wanted = Counter(grams(template))
+        size = sum(wanted.values())
+        if sum(g in wanted for g in own) < 2 * size / 3 - 1e-9:
+            continue
+        best = []
+        for start in range(len(own)):
+            left, shared = Counter(), 0
+            for stop in range(start, min(len(own), start + int(1.5 * size + 1e-9))):
+                left[own[stop]] += 1
+                shared += left[own[stop]] <= wanted[own[stop]]
+                value = 2 * shared / (stop - start + 1 + size)
+                if value >= license_scan.THRESHOLD:
+                    best.append((value, name, start, stop, shared))
+        while best:  # windows that overlap: the highest coefficient
+            top = max((m for m in best if m[2] == best[0][2]), key=lambda m: (m[0], -m[3]))
+            for start in sorted({m[2] for m in best})[1:]:
+                here = max((m for m in best if m[2] == start), key=lambda m: (m[0], -m[3]))
+                if start > top[3]:
+                    break
+                top = here if here[0] > top[0] else top
+            matches.append(top)
+            best = [m for m in best if m[2] > top[3]]
+    chosen = []
+    for match in sorted(matches, key=lambda m: (-m[4], -m[0], m[1], m[2])):
+        if all(match[3] < other[2] or match[2] > other[3] for other in chosen):
+            chosen.append(match)
+    return sorted((start, name, value, stop - start + 2) for value, name, start, stop, _ in chosen)
+
+
+def test_windows_by_brute_force():
     rng, scanner = random.Random(2), license_scan.Scanner()
-    for _ in range(400):
-        words = rng.choice(list(license_scan.TEMPLATES.values())).split()
-        for _ in range(rng.randint(0, max(1, len(words) // 4))):
-            words[rng.randrange(len(words))] = rng.choice(["other", "words", "License,"])
-        text = " ".join(words[: rng.randint(1, len(words))])
-        best = max((dice(text, t), name) for name, t in license_scan.TEMPLATES.items())
-        found = scanner.compare(re.findall(r"[^\W_]+", text.lower()))
-        if best[0] >= license_scan.THRESHOLD:
-            assert found and found[0] == pytest.approx(best[0])
-        else:
-            assert found is None
+    names = sorted(license_scan.TEMPLATES, key=lambda n: len(license_scan.TEMPLATES[n]))[:16]
+    for _ in range(150):
+        text = []
+        for _ in range(rng.randint(1, 3)):
+            words = license_scan.TEMPLATES[rng.choice(names)].split()
+            for _ in range(rng.randint(0, max(1, len(words) // 5))):
+                words[rng.randrange(len(words))] = rng.choice(["other", "words", "License,"])
+            text += ["so"] * rng.randint(0, 9) + words[rng.randint(0, len(words) // 5) : rng.randint(1, len(words))]
+        text = " ".join(text)
+        assert [(c, a, pytest.approx(b), d) for a, b, c, d in scanner.scan(text)] == plain_scan(text)
+
+
+def test_every_template_is_found_wrapped_and_embedded():
+    scanner, rng = license_scan.Scanner(), random.Random(5)
+    for name, template in license_scan.TEMPLATES.items():
+        words = template.split()
+        wrapped = "".join(w + rng.choice([" ", " ", "\n", "\n * ", "\r\n# "]) for w in words)
+        for text in (template, f"It begins here and {wrapped} and goes on. " * 2, f"/* {wrapped} */\n\nint x;"):
+            found = scanner.scan(text)
+            assert {f[0] for f in found} == {name} and found[0][1] == pytest.approx(1.0, abs=0.15)
+    assert [f[0] for f in scanner.scan("see: licensed under the GNU General\nPublic License, version 3. more")] == ["GPL-3.0 line"]
 
 
 def test_notices_in_documents(spark):
     mit = license_scan.TEMPLATES["MIT"]
-    texts = ["Some words. Released under the MIT License. More words.", "a\n\n" + mit.replace(" to ", "\nto ", 2) + "\n\nb", "nothing here", None, "", "MIT License", "All rights reserved.", "All rights reserved."]
+    texts = ["Some words. Released under the MIT License. More words.", "a\n\n" + mit.replace(" to ", "\nto ", 2) + "\n\nb", "nothing here", None, "", "MIT License", "All rights reserved.", "All rights reserved.", "words " * 300_000 + mit + " more" * 100_000]
     rows = license_scan.report(frame(spark, texts, licenses="mine", best="mine")).orderBy("doc_id").collect()
-    assert [r["license"] for r in rows] == ["MIT line", "MIT", None, None, None, None, "All rights reserved", "All rights reserved"]
-    assert [r["flagged"] for r in rows] == [True, True, False, False, False, False, True, True]
+    assert [r["license"] for r in rows] == ["MIT line", "MIT", None, None, None, None, "All rights reserved", "All rights reserved", "MIT"]
+    assert [r["flagged"] for r in rows] == [True, True, False, False, False, False, True, True, True]
     assert rows[0]["dice"] == 1.0 and rows[3]["n_notices"] == 0
     assert license_scan.report(frame(spark, [])).count() == 0
 
 
-def test_license_query_against_its_scanner(spark):
+def test_license_query_by_brute_force(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").collect()}
     rows = queries.QUERIES["op5_license_scan"](spark, f"{DATA}/sf0.001").collect()
-    assert len(rows) == len(docs)
+    assert len(rows) == len(docs) and sum(r["flagged"] for r in rows) > 0
     for row in rows:
-        lines = [s for line in docs[row["doc_id"]].split("\n") for s in [line, *re.split(r"(?<=[.!?])[ \t]+", line)]]
-        best = max(dice(s, t) for s in lines for t in license_scan.TEMPLATES.values()) if row["flagged"] or "icense" in docs[row["doc_id"]] else 0
-        assert row["flagged"] == (best >= license_scan.THRESHOLD)
+        want = plain_scan(docs[row["doc_id"]])
+        best = min(((-value, -words, name) for _, name, value, words in want), default=None)
+        assert (row["license"], row["n_notices"], row["flagged"]) == (best and best[2], len(want), bool(want))
+        assert row["dice"] == (pytest.approx(-best[0]) if best else None)
 
 
 # Byte-level BPE
@@ -207,9 +247,12 @@ def test_long_matches_and_texts(reference, monkeypatch):
     for text in ("x" * 3000, "ab" * 2000, LONG, " " * 500 + "a"):
         assert list(encoder(text)) == reference.encode_ordinary(text)
     monkeypatch.setattr(bpe, "MATCHES_AT_ONCE", 10)
-    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 5)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 3000)
     small = bpe.Encoder(queries.RANKS, queries.PATTERN)
-    assert list(small(LONG[:2000])) == reference.encode_ordinary(LONG[:2000])
+    for text in (LONG[:2000], "".join(f" {i} word{i}" for i in range(500))):
+        assert list(small(text)) == reference.encode_ordinary(text)
+        assert small.known.bytes + sum(sys.getsizeof(x) + sys.getsizeof(y) + bpe.ENTRY_BYTES for x, y in small.known.older.items()) < 3000 + 2 * 10 * 250
+        assert not getattr(small.known.older, "older", None)
 
 
 def test_digests(spark, reference):
@@ -222,6 +265,17 @@ def test_digests(spark, reference):
     assert bpe.digests(docs.limit(0), queries.RANKS, queries.PATTERN).count() == 0
 
 
-def test_bpe_query_round_trips(spark):
+def test_ids_and_bytes_as_columns(spark, reference):
+    docs = frame(spark, AWKWARD, ids="mine", decoded="mine")
+    for row in bpe.encode_documents(docs, queries.RANKS, queries.PATTERN).collect():
+        text = AWKWARD[row["doc_id"]] or ""
+        assert row["ids"] == reference.encode_ordinary(text) and bytes(row["decoded"]) == text.encode()
+
+
+def test_bpe_query_as_the_library(spark, reference):
     rows = queries.QUERIES["op6_byte_bpe"](spark, f"{DATA}/sf0.001").join(spark.read.parquet(f"{DATA}/sf0.001/documents.parquet"), "doc_id").collect()
-    assert len(rows) == 200 and all(r["decoded_sha256"] == hashlib.sha256(r["text"].encode()).hexdigest() for r in rows)
+    assert len(rows) == 200
+    for row in rows:
+        ids = reference.encode_ordinary(row["text"])
+        assert row["n_tokens"] == len(ids) and row["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert row["decoded_sha256"] == hashlib.sha256(row["text"].encode()).hexdigest()
