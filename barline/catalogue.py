@@ -254,9 +254,10 @@ SERIES: dict[str, SeriesQuery] = {
     "atr": SeriesQuery(lambda p: {"atr": T.ATR(p.close, p.high, p.low)}, {"atr": _ma("tr", 20)}, (_TR,)),
     "bbi": SeriesQuery(lambda p: {"bbi": T.BBI(p.close)}, {"bbi": f"({_ma('close', 3)} + {_ma('close', 6)} + {_ma('close', 12)} + {_ma('close', 20)}) / 4"}),
     "dmi": SeriesQuery(
-        lambda p: dict(zip(("pdi", "mdi", "adx", "adxr"), T.DMI(p.close, p.high, p.low), strict=True)),
+        lambda df: T.with_dmi(df).withColumnsRenamed({"PDI": "pdi", "MDI": "mdi", "ADX": "adx", "ADXR": "adxr"}),
         {"pdi": "p", "mdi": "m", "adx": "x", "adxr": f"(x + {_ref('x', 6)}) / 2"},
         (_TR | {"hd": f"high - {_ref('high')}", "ld": f"{_ref('low')} - low"}, {"dp": "CASE WHEN hd > 0 AND hd > ld THEN hd ELSE 0 END", "dm": "CASE WHEN ld > 0 AND ld > hd THEN ld ELSE 0 END"}, {"p": f"{_sum('dp', 14)} * 100 / {_sum('tr', 14)}", "m": f"{_sum('dm', 14)} * 100 / {_sum('tr', 14)}"}, {"x0": "abs(m - p) / (p + m) * 100"}, {"x": _ma("x0", 6)}),
+        frame=True,
     ),
     "taq": SeriesQuery(lambda p: dict(zip(("up", "mid", "down"), T.TAQ(p.high, p.low, 20), strict=True)), {"up": "u", "mid": "(u + d) / 2", "down": "d"}, ({"u": _roll("max", "high", 20), "d": _roll("min", "low", 20)},)),
     "ktn": SeriesQuery(_named(lambda: smoothed.ktn(), upper="KTN_UPPER", mid="KTN_MID", lower="KTN_LOWER"), {"upper": "e + 2 * a", "mid": "e", "lower": "e - 2 * a"}, (_TR | {"tp": _TP}, {"a": _ma("tr", 10)}, Ewm({"e": ("tp", 2 / 21)})), frame=True),
@@ -285,7 +286,7 @@ SERIES: dict[str, SeriesQuery] = {
         kinds=dict.fromkeys(("td1", "td2", "td3", "td4"), 8), frame=True,
     ),
     "w_jx": SeriesQuery(lambda df: smoothed.add(df, smoothed.w_jx()), _JX, _jx_layers(), _bools(*_JX), frame=True),
-    "w_td": SeriesQuery(lambda p: dict(zip(_TD, T.W_TD(p.open, p.high, p.low, p.close), strict=True)), _TD, _TD_LAYERS, _bools(*_TD)),
+    "w_td": SeriesQuery(lambda df: T.with_td(df), _TD, _TD_LAYERS, _bools(*_TD), frame=True),
     "w_gl": SeriesQuery(lambda p: dict(zip(_GL, T.W_GL(p.close), strict=True)), _GL, _GL_LAYERS, _bools(*_GL)),
     "nmm": SeriesQuery(lambda p: dict(zip(("nmm", *_NMM), T.NMM(p.close), strict=True)), {"nmm": "nm"} | _NMM, _NMM_LAYERS, {"nmm": 2} | _bools(*_NMM)),
     "nmr": SeriesQuery(lambda p: {"nmr": T.NMR(p.close)}, {"nmr": f"now_ln * {sum(_NMR_W)!r}::DOUBLE - weighted"}, _nm_layers(_NMR_W), {"nmr": 3}),

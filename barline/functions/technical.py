@@ -5,7 +5,7 @@ Indicators that smooth recursively are in operators.smoothed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barline.functions.numeric import ABS, IF, LN, MAX, RD, fdiv
@@ -198,3 +198,49 @@ def NMR(close: Column, period: int = 100, strict: bool = False, s: Series = S) -
     weights = [1000 * (j**0.5 - (j - 1) ** 0.5) for j in range(1, period + 1)]
     log, before = _lag_weighted(close, weights, strict, s)
     return log * sum(weights) - before
+
+
+# Nested windows in stages: each stage's columns are made from those before it, so that none is spelled out twice in a plan. All
+# windows are the series' own, so stages cost no further shuffle or sort.
+
+
+def staged(df: DataFrame, *stages: dict[str, Column]) -> DataFrame:
+    """df with the columns of the last stage; those of the stages before are dropped, but for names that later stages have."""
+    made = df
+    for stage in stages:
+        made = made.withColumns(stage)
+    return made.select(*[name for name in df.columns if name not in stages[-1]], *stages[-1])
+
+
+def with_dmi(df: DataFrame, close: str = "close", high: str = "high", low: str = "low", m1: int = 14, m2: int = 6, s: Series = S) -> DataFrame:
+    """df with PDI, MDI, ADX and ADXR, as DMI makes them."""
+    c, h, low_ = F.col(close), F.col(high), F.col(low)
+    up, down, pdi, mdi, adx = (F.col(f"_dmi_{name}") for name in ("up", "down", "pdi", "mdi", "adx"))
+    return staged(
+        df,
+        {"_dmi_range": true_range(c, h, low_, s), "_dmi_up": s.DIFF(h), "_dmi_down": s.REF(low_) - low_},
+        {"_dmi_rise": IF((up > 0) & (up > down), up, 0.0), "_dmi_fall": IF((down > 0) & (down > up), down, 0.0)},
+        {"_dmi_span": s.SUM("_dmi_range", m1), "_dmi_rises": s.SUM("_dmi_rise", m1), "_dmi_falls": s.SUM("_dmi_fall", m1)},
+        {"_dmi_pdi": fdiv(F.col("_dmi_rises") * 100, F.col("_dmi_span")), "_dmi_mdi": fdiv(F.col("_dmi_falls") * 100, F.col("_dmi_span"))},
+        {"_dmi_x": fdiv(ABS(mdi - pdi), pdi + mdi) * 100},
+        {"_dmi_adx": s.MA("_dmi_x", m2)},
+        {"PDI": pdi, "MDI": mdi, "ADX": adx, "ADXR": (adx + s.REF(adx, m2)) / 2},
+    )
+
+
+def with_td(df: DataFrame, open_: str = "open", high: str = "high", low: str = "low", close: str = "close", s: Series = S) -> DataFrame:
+    """df with TDB, TDT1 and TDT2, as W_TD makes them."""
+    prices = [F.col(name) for name in (high, low, close, open_)]
+    middle, fast, slow, change = (F.col(f"_td_{name}") for name in ("middle", "fast", "slow", "change"))
+    sums = sum((s.MA(p, n) for n in (5, 3, 2) for p in prices), F.lit(0.0))
+    return staged(
+        df,
+        {"_td_middle": (sums + sum(prices, F.lit(0.0))) / 16, "_td_fast": s.MA(close, 5) * 1.01, "_td_slow": s.MA(open_, 8) * 1.01, "_td_change": fdiv(F.col(close), s.REF(close))},
+        {"_td_high": IF(slow > middle, slow, middle), "_td_low": IF(slow < middle, slow, middle)},
+        {"_td_upper": s.MA("_td_high", 5) * 1.03, "_td_lower": s.MA("_td_low", 5) * 0.97},
+        {
+            "TDB": (middle - F.col("_td_lower") < 0.038) & (change > 0.903) & ((change > 0.952) | (change < 0.948)),
+            "TDT1": middle > F.col("_td_upper"),
+            "TDT2": fast > F.col("_td_upper"),
+        },
+    )

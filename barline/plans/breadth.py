@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barline.functions.series import Series
-from barline.functions.technical import NMM, W_GL, W_TD
+from barline.functions.technical import NMM, W_GL, with_td
 from barline.operators import smoothed
 
 SIGNALS = ("JXB", "JXT", "GLB", "GLGB", "GLT", "GLGT", "TDB", "TDT1", "TDT2", "NMMB", "NMMT")
@@ -18,12 +18,10 @@ def with_signals(bars: DataFrame, prefix: str = "", s: Series | None = None) ->
     """bars with the signal columns, from price columns whose names start with prefix."""
     s = s or Series()
     names = [prefix + c for c in ("open", "high", "low", "close")]
-    o, h, low, c = (F.col(n) for n in names)
-    glb, glgb, glt, glgt = W_GL(c, s)
-    tdb, tdt1, tdt2 = W_TD(o, h, low, c, s)
-    _, nmmb, nmmt = NMM(c, s=s)
-    windows = {"GLB": glb, "GLGB": glgb, "GLT": glt, "GLGT": glgt, "TDB": tdb, "TDT1": tdt1, "TDT2": tdt2, "NMMB": nmmb, "NMMT": nmmt}
-    return smoothed.add(bars, smoothed.w_jx(*names, s=s), s=s, more=windows)
+    close = F.col(names[3])
+    _, nmmb, nmmt = NMM(close, s=s)
+    windows = dict(zip(("GLB", "GLGB", "GLT", "GLGT"), W_GL(close, s), strict=True)) | {"NMMB": nmmb, "NMMT": nmmt}
+    return smoothed.add(with_td(bars, *names, s=s), smoothed.w_jx(*names, s=s), s=s, more=windows)
 
 
 def breadth(signals: DataFrame, close: str = "close", names: Iterable[str] = SIGNALS) -> DataFrame:
