@@ -242,6 +242,21 @@ def test_segment_tree_as_the_library(reference):
         assert b"".join(bpe.tokens(queries.RANKS)[i] for i in ids).decode() == text
 
 
+def test_narrow_pattern_is_the_pattern():
+    import regex
+
+    whole, quick = regex.compile(queries.PATTERN), bpe.narrow(queries.PATTERN)
+    signs = [chr(i) for i in range(256)]
+    for a in signs:
+        for text in (a, " " + a, a + a, "a" + a, "1" + a, a + " ", "  " + a + "x", "'" + a + "l"):
+            assert quick.findall(text) == whole.findall(text)
+    rng = random.Random(3)
+    for _ in range(300):
+        text = "".join(rng.choice(signs[:128] + [" ", "a", "1", "'"] * 20) for _ in range(100))
+        assert quick.findall(text) == whole.findall(text)
+    assert bpe.narrow(r"\w+|.") is None
+
+
 def test_long_matches_and_texts(reference, monkeypatch):
     encoder = bpe.Encoder(queries.RANKS, queries.PATTERN)
     for text in ("x" * 3000, "ab" * 2000, LONG, " " * 500 + "a"):
