@@ -51,12 +51,12 @@ def union(frames: Iterable[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def _observed(rows: Observation) -> int:
-    """How many rows went by; a plan that turns out to be empty while it runs is cut short, and its observation has no value."""
+def _observed(rows: Observation) -> int | None:
+    """How many rows went by; None if the plan was cut short, as one is that turns out to be empty while it runs."""
     try:
         return rows.get["n"]
     except Py4JJavaError:
-        return 0
+        return None
 
 
 class Catalog:
@@ -114,18 +114,18 @@ class Catalog:
         the batch, are passed over; replace: the rows become the table; append: all are added."""
         schema = self.schemas[name]
         rows = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
-        # Rows are counted as they are written: the batch is worked out once, and the table isn't counted.
+        # Rows are counted as they are written: the table isn't counted, and the batch is worked out once (twice if none of it is new).
         given, written = Observation(), Observation()
-        rows = rows.observe(given, F.count(F.lit(1)).alias("n"))
-        fresh = insert_ignore(self.read(name), rows, keys_of(schema)) if mode == InsertMode.IGNORE else rows
+        counted = rows.observe(given, F.count(F.lit(1)).alias("n"))
+        fresh = insert_ignore(self.read(name), counted, keys_of(schema)) if mode == InsertMode.IGNORE else counted
         fresh = fresh.observe(written, F.count(F.lit(1)).alias("n"))
         if mode == InsertMode.REPLACE:
             self._point(name, self._write(name, fresh))
         else:
             fresh.write.mode("append").format("parquet").insertInto(self.target(name))
             self.spark.catalog.refreshTable(self.target(name))
-        inserted = _observed(written)
-        return {"inserted": inserted, "ignored": _observed(given) - inserted}
+        inserted, n = _observed(written) or 0, _observed(given)
+        return {"inserted": inserted, "ignored": (rows.count() if n is None else n) - inserted}
 
     batch_insert_ignore = insert
 

@@ -70,6 +70,16 @@ def test_replace_aggregate_truncate_and_sql(spark, market):
     assert market.truncate_all(confirm=True) == {"tables_cleared": 7}
 
 
+def test_vacuum_removes_what_is_not_in_use(spark, market):
+    market.insert("stock_daily", bars(spark, ("a", 0, 1.0)), "replace")
+    market.truncate("stock_daily")
+    market.insert("stock_daily", bars(spark, ("a", 0, 1.0), ("a", 1, 2.0)))
+    assert market.vacuum() > 0 and market.vacuum() == 0
+    assert market.read("stock_daily").count() == 2
+    assert market.insert("stock_daily", bars(spark, ("a", 0, 1.0))) == {"inserted": 0, "ignored": 1}
+    assert market.insert("stock_daily", bars(spark).limit(0)) == {"inserted": 0, "ignored": 0}
+
+
 def test_views_can_be_selected(spark, market):
     market.insert("stock_daily", bars(spark, ("a", 0, 1.0), ("b", 0, 2.0)))
     market.insert("stock_list", spark.createDataFrame([("a", "A")], TABLES["stock_list"]))

@@ -66,6 +66,35 @@ def test_landing(spark):
     assert landing.trade_dates(raw).count() == 1
 
 
+def test_vendors_spell_requests_their_way(spark):
+    terminal, archive = landing.VENDORS["terminal"], landing.VENDORS["archive"]
+    assert [terminal.period(p) for p in ("5m", "day", "quar")] == ["5m", "1d", "1q"] and [archive.period(p) for p in ("5m", "1h", "month")] == ["5", "60", "m"]
+    assert (terminal.adjustment("front"), archive.adjustment("front"), archive.adjustment("none")) == ("front", "2", "3")
+    for wrong in (lambda: archive.period("1m"), lambda: terminal.period("hour"), lambda: terminal.adjustment("both"), lambda: archive.clean("stock_dividend", None)):
+        with pytest.raises(ValueError, match="the vendor has no"):
+            wrong()
+    assert one(spark, terminal.code, "sh600000") == "600000.SH" and one(spark, archive.code, "600000") == "sh.600000" and one(spark, archive.code, "x") is None
+    assert one(spark, lambda c: terminal.code(c, index=True), "000001") == "000001.SH"
+    assert one(spark, terminal.date, "2024/1/5") == "20240105" and one(spark, archive.date, "20240105") == "2024-01-05"
+
+
+def test_archive_bars_have_all_fields(spark):
+    names = ["date", "code", *landing.ARCHIVE_FIELDS]
+    raw = spark.createDataFrame([("2024-01-05", "sh.600000", *map(str, range(len(names) - 3)), ""), ("2024-01-05", "sh.x", *["1"] * (len(names) - 2))], ", ".join(f"{n} string" for n in names))
+    rows = landing.VENDORS["archive"].clean("stock_daily", raw).collect()
+    assert len(names) == 16 and [r[:] for r in rows] == [("600000", datetime.date(2024, 1, 5), *map(float, range(len(names) - 3)), None)]
+
+
+@pytest.mark.parametrize(("raw", "want"), [("SH.600000", "600000.SH"), ("600000 . sz", "600000.SZ"), (".600000", "600000.SH"), ("SH..600000", None), ("S H600000", None), ("60 0000", None), ("SHX600000", None), ("600000.SH1", None), ("\t600000\n", "600000.SH"), ("1234567", None), ("1234", None)])
+def test_what_may_stand_around_the_digits(spark, raw, want):
+    assert one(spark, lambda c: codes.normalize_stock_code(c, "suffix"), raw) == want
+
+
+@pytest.mark.parametrize(("raw", "want"), [("2024 1 5", "2024-01-05 00:00:00"), ("202415", "2024-01-05 00:00:00"), ("20240105 9", "2024-01-05 09:00:00"), ("20240105 0930", "2024-01-05 09:30:00"), ("20240105 093015", "2024-01-05 09:30:15"), ("20240105 9:5:7", "2024-01-05 09:05:07"), ("20240105T9", None), ("20240105 9:60", None), ("2024010", None), ("20240105 1234567", None), ("  2024.01.05  ", "2024-01-05 00:00:00")])
+def test_spellings_of_days_and_times(spark, raw, want):
+    assert one(spark, lambda c: dates.normalize_trade_date(c, "hyphen_datetime"), raw) == want
+
+
 def prices(spark, closes):
     return spark.createDataFrame([("a", datetime.date(2024, 1, 1 + i), c, c) for i, c in enumerate(closes)], "code string, trade_date date, open double, close double")
 

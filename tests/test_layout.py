@@ -24,3 +24,20 @@ def test_entry_works_without_the_corpus_operators(monkeypatch):
         assert "breadth" in entry.queries() and "pipeline" not in entry.queries() and "breadth" in entry.oracle_sql()
     finally:
         del sys.modules["__spark_entry__"]
+
+
+def test_other_missing_modules_are_errors(monkeypatch):
+    import importlib
+    import sys
+
+    import pytest
+
+    if not (ROOT / "corpus_pipeline.py").exists():
+        pytest.skip("the corpus operators are gone")
+    for name in [n for n in sys.modules if n == "corpus_pipeline" or n.startswith("barline.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "public_tokenizers", None)
+    monkeypatch.delitem(sys.modules, "__spark_entry__", raising=False)
+    with pytest.raises(ModuleNotFoundError, match="public_tokenizers"):
+        importlib.import_module("__spark_entry__")
+    sys.modules.pop("__spark_entry__", None)
