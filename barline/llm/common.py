@@ -26,6 +26,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def quoted(name: str) -> str:
+    """A column's name as F.col() takes it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def text_of(column: str = "text") -> Column:
     """The text; a null one counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))

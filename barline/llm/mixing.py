@@ -177,7 +177,7 @@ def mix(docs: DataFrame, weight: Column | None = None) -> DataFrame:
     cuts = allocate(durable(_slim(docs, weight)), weight is not None)
     given = F.lit(1.0) if weight is None else F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(0.0))
     size, u = word_count(text_of()), draw(F.col("doc_id"))
-    ranked = _ranked(docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "source", size.alias("size"), u.alias("u"), given.alias("weight")), cuts)
+    ranked = _ranked(docs.select(F.struct("*").alias("doc"), "doc_id", "source", size.alias("size"), u.alias("u"), given.alias("weight")), cuts)
     copies = F.when(F.col("size") > 0, _copies(ranked)).otherwise(0)
     taken = ranked.select("doc", copies.alias("copies")).where("copies > 0")
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")

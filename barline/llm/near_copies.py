@@ -17,10 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import HEAVY_DOCUMENTS, durable, join_counted
+from barline.llm.common import HEAVY_DOCUMENTS, durable, join_counted, quoted
 from barline.llm.simhash import SEED, components
 
 #: Words of a shingle, and the least Jaccard similarity of a link (a fraction).
@@ -37,8 +37,8 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _FLIPS, _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), dtype=np.uint64) | np.uint64(1)
 
 
-def shingle_hashes(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the runs of SHINGLE_WORDS words; A-Z are lower-cased, words end at space and \\t to \\r.
+def shingle_hashes(text: str | None, shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the runs of so many words; A-Z are lower-cased, words end at space and \\t to \\r.
 
     A text of fewer words is one shingle; one without words has none. Sets are compared by these hashes, so two
     shingles count as one only if 64 bits collide within a pair of texts.
@@ -51,7 +51,7 @@ def shingle_hashes(text: str | None) -> np.ndarray:
     digest = xxhash.xxh64_intdigest
     known = {word: digest(word, SEED) for word in set(words)}
     hashes = np.array([known[word] for word in words], np.uint64)
-    n, wide = max(1, len(words) - SHINGLE_WORDS + 1), min(SHINGLE_WORDS, len(words))
+    n, wide = max(1, len(words) - shingle_words + 1), min(shingle_words, len(words))
     mixed = np.full(n, wide, np.uint64)
     for k in range(wide):
         mixed = (mixed ^ hashes[k : k + n]) * _ODD
@@ -102,19 +102,16 @@ def _signed(docs: DataFrame) -> DataFrame:
 
 
 def _sets(texts: DataFrame) -> DataFrame:
-    """texts (with node) without the text, and with its set of shingles, where that is the node's (a doc_id can have several texts)."""
+    """doc_id, node and set of shingles of each row."""
 
-    # The node is an input, so that a join that gives it comes first, and only its rows are shingled.
-    @F.arrow_udf("array<long>")
-    def shingles_of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for some, nodes in batches:
-            sets = [shingle_hashes(text.as_py()).view(np.int64) for text in some]
-            right = [np.array(node_of(x.view(np.uint64)), np.uint64).view(np.int64) == node.as_py() for x, node in zip(sets, nodes, strict=True)]
-            yield pa.array([x if kept else None for x, kept in zip(sets, right, strict=True)], pa.list_(pa.int64()))
+    @F.arrow_udf("struct<node:long,shingles:array<long>>")
+    def shingles_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for some in batches:
+            sets = [shingle_hashes(text.as_py()) for text in some]
+            nodes = np.array([node_of(x) for x in sets], np.uint64).view(np.int64)
+            yield pa.StructArray.from_arrays([pa.array(nodes), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    others = [name for name in texts.columns if name not in ("doc_id", "node", "text")]
-    made = texts.withColumn("shingles", shingles_of("text", "node")).groupBy("doc_id", "node")
-    return made.agg(*[F.first(name).alias(name) for name in others], F.first("shingles", ignorenulls=True).alias("shingles"))
+    return texts.select("doc_id", shingles_of("text").alias("s")).select("doc_id", "s.node", "s.shingles")
 
 
 class Pair:
@@ -206,8 +203,11 @@ def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     block = F.greatest(F.lit(LEAST_BLOCK), F.least(F.lit(MOST_BLOCK), F.col("n") / FEW_BLOCKS))
     sizes = sizes.withColumn("blocks", F.ceil(F.greatest(F.col("n") / block, F.col("shingles") / BLOCK_SHINGLES)).cast("int")).drop("shingles")
     members = join_counted(members, durable(sizes), "root", members.count())
-    wanted = members.select(F.col("least_id").alias("doc_id"), "node", "root", "blocks", "sketch")
-    sets = _sets(docs.select("doc_id", "text").join(wanted, "doc_id")).withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    wanted = members.select("node", "root", "blocks", "sketch")
+    texts, least = docs.select("doc_id", "text"), members.select(F.col("least_id").alias("doc_id")).distinct()
+    # Each row of a wanted doc_id is shingled once, whatever number of texts that doc_id has; of the rows of one set one is needed.
+    sets = _sets(texts.join(least, texts["doc_id"].eqNullSafe(least["doc_id"]), "left_semi")).groupBy("node").agg(F.first("shingles").alias("shingles"))
+    sets = sets.join(wanted, "node").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     met = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "sketch", "shingles"
     )
@@ -215,30 +215,63 @@ def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     return met.mapInArrow(_edges, "a long, b long")
 
 
+def name_components(signed: DataFrame, roots: DataFrame) -> DataFrame:
+    """signed (doc_id, node, ...) with the component's doc_id and node of the row that comes first, by doc_id (null last), then node:
+    component_id, component_node.
+
+    roots: (node, root) of the nodes with a link; other nodes are components of their own. signed had better be durable.
+    """
+    order = F.struct(F.col("least_id").isNull(), "least_id", "node")
+    distinct = signed.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("rows"))
+    joined = durable(distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    least = joined.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n"))
+    least = least.select("root", F.col("first.least_id").alias("component_id"), F.col("first.node").alias("component_node"), "n")
+    named = join_counted(joined.select("node", "root", "rows"), durable(least), "root", joined.count()).drop("root").withColumnRenamed("rows", "n")
+    return join_counted(signed, durable(named), "node", signed.count(), heavy_rows=HEAVY_DOCUMENTS)
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """doc_id, node, component_id and component_node of every row."""
+    docs = docs.select("doc_id", "text")
+    signed = durable(_signed(docs))
+    firsts = [F.first(name).alias(name) for name in ("size", "bands", "sketch")]
+    distinct = durable(signed.groupBy("node").agg(F.min("doc_id").alias("least_id"), *firsts))
+    return name_components(signed.select("doc_id", "node"), durable(components(links(docs, distinct))))
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id) of the rows of docs (doc_id, text) with a doc_id: the smallest doc_id that can be reached over pairs of
-    texts whose sets of SHINGLE_WORDS-word shingles have a Jaccard similarity of SIMILAR or more.
+    """(doc_id, component_id) of the rows of docs (doc_id, text): the smallest doc_id that can be reached over pairs of texts whose
+    sets of SHINGLE_WORDS-word shingles have a Jaccard similarity of SIMILAR or more.
 
-    Texts without words are copies of one another. Repeated rows are returned each; an empty table gives no rows.
+    Texts without words are copies of one another. Rows without a doc_id link others; their component_id is null only if no row of
+    the component has one. Repeated rows are returned each; an empty table gives no rows.
     """
-    signed = durable(_signed(docs.where("doc_id is not null")))
-    distinct = durable(signed.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.count("*").alias("n")))
-    roots = durable(components(links(docs, distinct.drop("n"))))
-    joined = durable(distinct.select("node", "least_id", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    least = joined.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n"))
-    named = join_counted(joined.withColumnRenamed("n", "rows"), durable(least), "root", joined.count()).select("node", "component_id", F.col("rows").alias("n"))
-    return join_counted(signed.select("doc_id", "node"), durable(named), "node", signed.count(), heavy_rows=HEAVY_DOCUMENTS).select("doc_id", "component_id")
+    return _named(docs).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component of near_copies: the row whose doc_id is the component's smallest.
+    """One row of each component of near_copies: of its rows with the smallest doc_id (null comes last), that with the least node.
 
-    Of several rows with that doc_id one stays. Rows with a null doc_id can't be named in a component; of those with one text,
-    one stays. Other columns are kept as they are. An empty table gives no rows.
+    So each text stays or has a near copy that does, whatever doc_ids rows share. Of rows with one doc_id and one set of shingles, the
+    one with the least text stays, of equal texts the one with the least hash of all columns. Columns are kept, whatever their names.
+    An empty table gives no rows.
     """
-    found = near_copies(docs.select("doc_id", "text")).groupBy("doc_id").agg(F.count("*").alias("rows"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
+
+    @F.arrow_udf("long")
+    def node(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(np.array([node_of(shingle_hashes(text.as_py())) for text in texts], np.uint64).view(np.int64))
+
+    first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("node") == F.col("component_node"))
+    found = _named(docs).groupBy("doc_id", "node").agg(F.count("*").alias("rows"), F.max(first).alias("stays"))
     odd = durable(found.where("rows > 1 or not stays"))  # those that go, or are there more than once
-    alone = docs.where("doc_id is not null").join(odd, "doc_id", "left_anti")
-    repeated = docs.join(odd.where("stays"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    nameless = docs.where("doc_id is null").dropDuplicates(["text"])
-    return alone.unionByName(repeated.select(docs.columns)).unionByName(nameless)
+    hashed = [F.col(quoted(name)) for name, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    marked = docs.select("doc_id", node("text").alias("node"), F.struct(F.col("text"), F.xxhash64(*hashed)).alias("order"), F.struct("*").alias("row"))
+
+    def same(other: DataFrame) -> Column:
+        return marked["doc_id"].eqNullSafe(other["doc_id"]) & (marked["node"] == other["node"])
+
+    alone = marked.join(odd, same(odd), "left_anti").select("row")
+    staying = odd.where("stays")
+    repeated = marked.join(staying, same(staying), "left_semi").groupBy("doc_id", "node").agg(F.min_by("row", "order").alias("row")).select("row")
+    return alone.union(repeated).select("row.*")

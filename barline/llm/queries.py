@@ -7,7 +7,21 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barline.llm import bpe, html_extract, license_scan, mixing, quality_ranker, quality_rules, sharding, simhash, topk, url_filter
+from barline.llm import (
+    bpe,
+    collocations,
+    hard_negatives,
+    html_extract,
+    license_scan,
+    mixing,
+    parity_join,
+    quality_ranker,
+    quality_rules,
+    sharding,
+    simhash,
+    topk,
+    url_filter,
+)
 from barline.llm.common import table
 
 #: Rank file and pattern of the encoding queries.
@@ -55,6 +69,18 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.report(table(spark, sf_dir, "pages"))
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.report(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.report(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_topk": op2_topk,
@@ -66,6 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_url_filter": op9_url_filter,
     "op10_html_extract": op10_html_extract,
+    "op11_ngram_join": op11_ngram_join,
+    "op12_collocations": op12_collocations,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 #: DuckDB SQL for the same rows, where SQL can express them.
@@ -73,4 +102,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op2_topk": topk.ORACLE,
     "op8_mixing": mixing.ORACLE,
+    "op12_collocations": collocations.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }
