@@ -359,8 +359,7 @@ def last_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def screen_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = breadth.screen(fixtures.ticks(spark, sf_dir).withColumn("trade_date", F.to_date("trade_date")), {"close": (2.0, 40.0)})
-    median, mean = breadth.by_date(rows, "close", "median"), breadth.by_date(rows, "close", "mean")
-    found = median.join(mean, "trade_date").join(breadth.by_date(rows, "close", "max"), "trade_date").join(breadth.by_date(rows, "close", "min"), "trade_date")
+    found = breadth.by_date(rows, "close", "median", "mean", "max", "min")
     return _rounded(found.withColumn("trade_date", F.col("trade_date").cast("string")))
 
 
@@ -490,12 +489,13 @@ def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalize_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms and kinds of codes, each read once as a stock's and once as an index's."""
     raw = F.col("raw")
-    return _codes(spark, sf_dir).select(
-        "c_custkey", "raw",
-        codes.normalize_stock_code(raw).alias("pure"), codes.normalize_stock_code(raw, "suffix").alias("suffix"),
-        codes.normalize_index_code(raw, "prefix_dot").alias("index_dot"), codes.normalize_index_code(raw, "prefix").alias("index_prefix"),
-        codes.is_stock(raw).alias("stock"), codes.is_etf(raw).alias("etf"), codes.is_index(raw).alias("index_"),
+    read = _codes(spark, sf_dir).select("c_custkey", "raw", codes.parse_code(raw).alias("stock"), codes.parse_code(raw, "etf").alias("etf"), codes.parse_code(raw, "index").alias("index"))
+    stock, index = codes.forms(F.col("stock")), codes.forms(F.col("index"))
+    return read.select(
+        "c_custkey", "raw", stock["pure_code"].alias("pure"), stock["suffix"].alias("suffix"), index["prefix_dot"].alias("index_dot"), index["prefix"].alias("index_prefix"),
+        *[codes.parsed_is(F.col(kind), kind).alias(name) for kind, name in (("stock", "stock"), ("etf", "etf"), ("index", "index_"))],
     )
 
 
@@ -504,8 +504,8 @@ _DAY_TEXT = "CASE o_orderkey % 6 WHEN 0 THEN replace(d, '-', '') WHEN 1 THEN rep
 
 def normalize_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "orders").selectExpr("o_orderkey", "substr(cast(o_orderdate as string), 1, 10) AS d").selectExpr("o_orderkey", f"{_DAY_TEXT} AS raw")
-    raw = F.col("raw")
-    return rows.select("o_orderkey", *[dates.normalize_trade_date(raw, f).alias(f) for f in ("pure_num", "hyphen", "slash", "dot", "chinese", "hyphen_datetime", "slash_datetime", "chinese_datetime")])
+    forms = ("pure_num", "hyphen", "slash", "dot", "chinese", "hyphen_datetime", "slash_datetime", "chinese_datetime")
+    return rows.select("o_orderkey", dates.normalize_trade_date(F.col("raw"), None).alias("date")).select("o_orderkey", *[f"date.{form}" for form in forms])
 
 
 def landed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,8 +50,9 @@ def screen(df: DataFrame, ranges: dict[str, tuple[float | None, float | None]])
 STATISTICS = {"mean": F.avg, "median": F.median, "max": F.max, "min": F.min}
 
 
-def by_date(df: DataFrame, metric: str, statistic: str = "mean") -> DataFrame:
-    return df.groupBy("trade_date").agg(STATISTICS[statistic](metric).alias(statistic))
+def by_date(df: DataFrame, metric: str, *statistics: str) -> DataFrame:
+    """The statistics (by default the mean) of each date, in one aggregation."""
+    return df.groupBy("trade_date").agg(*[STATISTICS[name](metric).alias(name) for name in statistics or ("mean",)])
 
 
 def count_range(df: DataFrame) -> DataFrame:
