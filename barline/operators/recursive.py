@@ -1,8 +1,9 @@
 """Recursive series: each row's value needs the one before it, which no window function can give.
 
 with_recursive deals the rows by series, sorts them, and runs every step in one pass over Arrow batches. A step keeps
-a few numbers from row to row, so a series needs no more memory than a batch, however long it is, and a key with a
-third of the rows is one long stream rather than one large group. Nulls (absent) and NaN (poisonous) are kept apart.
+a few numbers from row to row, so a series needs no more memory than a batch, however long it is. Where a series has more
+than LONG_SERIES rows, series are cut into blocks instead (see blocks), and one series is the work of many tasks. Nulls
+(absent) and NaN (poisonous) are kept apart.
 """
 
 from __future__ import annotations
@@ -13,14 +14,26 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barline.functions.series import Series
+from barline.operators import blocks as cut
+from barline.operators.blocks import numbers, runs
+
+#: A series of more rows is cut into blocks. Whether there is one is asked only if the plan's size says that there may be one.
+LONG_SERIES = 5_000_000
+#: Bytes of a row at least, as Spark estimates them.
+LEAST_ROW = 16
 
 
 @dataclass(frozen=True)
 class Step:
-    """Makes a column from columns of the input or of earlier steps."""
+    """Makes a column from columns of the input or of earlier steps.
+
+    What some rows do to the state, whatever it is before them, is a map: mapped(values) gives it, composed(first, then) joins two,
+    and after(state, map) is the state after the rows.
+    """
 
     inputs: tuple[str, ...]
     kind: T.DataType = field(default_factory=T.DoubleType)
@@ -32,6 +45,15 @@ class Step:
     def run(self, state: list, values: list[list]) -> list:
         raise NotImplementedError
 
+    def mapped(self, values: list[list]) -> tuple:
+        raise NotImplementedError
+
+    def composed(self, first: tuple, then: tuple) -> tuple:
+        raise NotImplementedError
+
+    def after(self, state: list, there: tuple) -> list:
+        raise NotImplementedError
+
 
 @dataclass(frozen=True)
 class Ewm(Step):
@@ -60,6 +82,42 @@ class Ewm(Step):
         state[:] = [y, weight]
         return out
 
+    # A map is (rows before the first value, that value, c, d, weight at the end): y becomes c y + d once it has taken in the first
+    # value. Without a value, it is (rows, None, 1, 0, 1), and the weight fades.
+
+    def mapped(self, values: list[list]) -> tuple:
+        alpha, keep, xs = self.alpha, 1 - self.alpha, values[0]
+        first = next((i for i, x in enumerate(xs) if x is not None), None)
+        if first is None:
+            return len(xs), None, 1.0, 0.0, 1.0
+        c, d, weight = 1.0, 0.0, 1.0
+        for x in xs[first + 1 :]:
+            weight *= keep
+            if x is not None:
+                share = weight / (weight + alpha)
+                c, d, weight = share * c, share * d + (1 - share) * x, 1.0
+        return first, xs[first], c, d, weight
+
+    def composed(self, first: tuple, then: tuple) -> tuple:
+        (n, x, c, d, weight), (n2, x2, c2, d2, weight2), keep = first, then, 1 - self.alpha
+        if x is None:
+            return (n + n2, *then[1:])
+        if x2 is None:
+            return n, x, c, d, weight * keep**n2
+        faded = weight * keep ** (n2 + 1)
+        share = faded / (faded + self.alpha)
+        return n, x, c2 * share * c, c2 * (share * d + (1 - share) * x2) + d2, weight2
+
+    def after(self, state: list, there: tuple) -> list:
+        (y, weight), (n, x, c, d, weight2), keep = state, there, 1 - self.alpha
+        if x is None:
+            return [y, weight if y is None else weight * keep**n]
+        if y is not None:
+            faded = weight * keep ** (n + 1)
+            share = faded / (faded + self.alpha)
+            x = share * y + (1 - share) * x
+        return [c * x + d, weight2]
+
 
 def EMA(x: str, n: int) -> Step:
     return Ewm((x,), alpha=2 / (n + 1))
@@ -92,6 +150,30 @@ class DMA(Step):
         state[:] = [begun, y]
         return out
 
+    # A map is (first x, its weight or None, c, d): y becomes c y + d once it has taken in the first x.
+
+    def mapped(self, values: list[list]) -> tuple:
+        xs = [math.nan if x is None else x for x in values[0]]
+        weights = values[1] if self.weight is None else [self.weight] * len(xs)
+        weights = [None if a is None or math.isnan(a) else a for a in weights]
+        c, d = 1.0, 0.0
+        for x, a in zip(xs[1:], weights[1:], strict=True):
+            if a is not None:
+                c, d = (1.0 - a) * c, (1.0 - a) * d + a * x
+        return xs[0], weights[0], c, d
+
+    def composed(self, first: tuple, then: tuple) -> tuple:
+        (x, a, c, d), (x2, a2, c2, d2) = first, then
+        if a2 is not None:
+            c, d = (1.0 - a2) * c, (1.0 - a2) * d + a2 * x2
+        return x, a, c2 * c, c2 * d + d2
+
+    def after(self, state: list, there: tuple) -> list:
+        (begun, y), (x, a, c, d) = state, there
+        if begun:
+            x = y if a is None else a * x + (1.0 - a) * y
+        return [True, c * x + d]
+
 
 @dataclass(frozen=True)
 class Filter(Step):
@@ -112,6 +194,22 @@ class Filter(Step):
         state[:] = [quiet]
         return out
 
+    # A map is a table: rows still quiet at the end, by rows still quiet at the start (0 to n).
+
+    def mapped(self, values: list[list]) -> tuple:
+        rows = len(values[0])
+        ends = [0] * (rows + 1)  # by the row from which on nothing is quiet
+        for i in range(rows - 1, -1, -1):
+            again = i + self.n + 1
+            ends[i] = ends[i + 1] if not values[0][i] else ends[again] if again <= rows else again - rows
+        return tuple(ends[quiet] if quiet <= rows else quiet - rows for quiet in range(self.n + 1))
+
+    def composed(self, first: tuple, then: tuple) -> tuple:
+        return tuple(then[quiet] for quiet in first)
+
+    def after(self, state: list, there: tuple) -> list:
+        return [there[state[0]]]
+
 
 @dataclass(frozen=True)
 class Range(Step):
@@ -150,22 +248,51 @@ class Linear(Step):
         return [None if any(x is None for x in row) else sum(f * x for f, x in zip(self.factors, row, strict=True)) for row in zip(*values, strict=True)]
 
 
-def _numbers(column: pa.Array) -> list:
-    """Python values, with floats for decimals."""
-    return (column.cast(pa.float64()) if pa.types.is_decimal(column.type) else column).to_pylist()
+def _is_long(df: DataFrame, keys: tuple[str, ...]) -> bool:
+    """Whether a series has more than LONG_SERIES rows; counted only if Spark's estimate of df's size leaves room for that."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size > LONG_SERIES * LEAST_ROW and not df.groupBy(*keys).count().where(F.col("count") > LONG_SERIES).isEmpty()
 
 
-def with_recursive(df: DataFrame, steps: dict[str, Step], series: Series | None = None) -> DataFrame:
+def with_recursive(df: DataFrame, steps: dict[str, Step], series: Series | None = None, blocks: int | None = None) -> DataFrame:
     """df with a column for each step, made in order; a later step may take an earlier one's.
 
-    One shuffle by the series' keys, and one sort. Rows of one series with equal order are taken as they come. Whole rows pass
-    through Python, as Arrow columns that it doesn't touch: joining results back by key and order would shuffle the rows once more,
-    and keys and order need not be unique.
+    Rows of one series with equal order are taken as they come. Series go to tasks whole, in one shuffle and one sort, unless there is a
+    very long one, or blocks is given: then they are cut into as many blocks (or as many as there are shuffle partitions), and the result
+    is the same but for rounding. Whole rows pass through Python, as Arrow columns that it doesn't touch: joining results back by key and
+    order would shuffle the rows once more, and keys and order need not be unique.
     """
     series = series or Series()
+    if blocks is None and not _is_long(df, series.keys):
+        return _streamed(df, steps, series)
+    searched = {name: step for name, step in steps.items() if isinstance(step, Range)}
+    if not searched:
+        return _scanned(df, steps, series, blocks)
+    # What stands on a range comes after it, what a range stands on before it.
+    later: set[str] = set()
+    for name, step in steps.items():
+        if name not in searched and later.union(searched).intersection(step.inputs):
+            later.add(name)
+    sooner = {name: step for name, step in steps.items() if name not in searched and name not in later}
+    made = _scanned(df, sooner, series, blocks) if sooner else df
+    made = cut.ranges(made, {name: (step.inputs[0], step.lowest) for name, step in searched.items()}, series.keys, series.order, blocks)
+    made = with_recursive(made, {name: steps[name] for name in steps if name in later}, series, blocks) if later else made
+    return made.select(*df.columns, *steps)
+
+
+def _made(df: DataFrame, steps: dict[str, Step]) -> tuple[T.StructType, dict[str, pa.DataType]]:
+    """Schema of df with the steps' columns, and the Arrow types of these."""
     schema = T.StructType([*df.schema.fields, *(T.StructField(name, step.kind) for name, step in steps.items())])
+    return schema, {name: {"double": pa.float64(), "boolean": pa.bool_(), "integer": pa.int32()}[step.kind.typeName()] for name, step in steps.items()}
+
+
+def _scanned(df: DataFrame, steps: dict[str, Step], series: Series, blocks: int | None) -> DataFrame:
+    return cut.scan(df, steps, *_made(df, steps), series.keys, series.order, blocks)
+
+
+def _streamed(df: DataFrame, steps: dict[str, Step], series: Series) -> DataFrame:
+    schema, types = _made(df, steps)
     place = {name: i for i, name in enumerate(df.columns)}
-    types = {name: {"double": pa.float64(), "boolean": pa.bool_(), "integer": pa.int32()}[step.kind.typeName()] for name, step in steps.items()}
     given = {x for step in steps.values() for x in step.inputs if x in place}
     keys = [place[key] for key in series.keys]
 
@@ -173,25 +300,20 @@ def with_recursive(df: DataFrame, steps: dict[str, Step], series: Series | None
         now, states = object(), {}
         for batch in batches:
             ids = list(zip(*(batch.column(i).to_pylist() for i in keys), strict=True))
-            columns = {name: _numbers(batch.column(place[name])) for name in given}
+            columns = {name: numbers(batch.column(place[name])) for name in given}
             made: dict[str, list] = {name: [] for name in steps}
-            start = 0
-            while start < len(ids):
-                stop = start
-                while stop < len(ids) and ids[stop] == ids[start]:
-                    stop += 1
+            for start, stop in runs(ids):
                 if ids[start] != now:
                     now, states = ids[start], {name: step.start() for name, step in steps.items()}
                 for name, step in steps.items():
                     values = [made[x][start:stop] if x in made else columns[x][start:stop] for x in step.inputs]
                     made[name] += step.run(states[name], values)
-                start = stop
             arrays = [*batch.columns, *(pa.array(made[name], types[name], from_pandas=False) for name in steps)]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return df.repartition(*series.keys).sortWithinPartitions(*series.keys, series.order).mapInArrow(run, schema)
 
 
-def ranges(df: DataFrame, x: str, top: str = "TOPRANGE", low: str = "LOWRANGE", series: Series | None = None) -> DataFrame:
+def ranges(df: DataFrame, x: str, top: str = "TOPRANGE", low: str = "LOWRANGE", series: Series | None = None, blocks: int | None = None) -> DataFrame:
     """df with the numbers of rows directly before that lie below and above the current value of x; linear in a series."""
-    return with_recursive(df, {top: Range((x,)), low: Range((x,), lowest=True)}, series)
+    return with_recursive(df, {top: Range((x,)), low: Range((x,), lowest=True)}, series, blocks)

@@ -84,3 +84,70 @@ def test_steps_build_on_steps_and_empty_input(spark, series):
     steps = {"a": EMA("close", 3), "b": EMA("close", 5), "d": Linear(("a", "b"), factors=(1.0, -1.0)), "e": EMA("d", 4)}
     assert with_recursive(frame(spark, series), steps).columns == ["code", "trade_date", "close", "a", "b", "d", "e"]
     assert with_recursive(frame(spark, {}), steps).count() == 0
+
+
+def tasks_of(spark, df, key):
+    """Rows of a key by partition."""
+    return [r["n"] for r in df.where(f"code = '{key}'").selectExpr("spark_partition_id() as p").groupBy("p").agg({"*": "count"}).toDF("p", "n").collect()]
+
+
+@pytest.mark.parametrize("blocks", [1, 3, 7, 40])
+def test_blocks_give_what_streams_give(spark, series, blocks):
+    df = frame(spark, {**series, "nan": [1.0, math.nan, 2.0] * 20, "gap": [None] * 90 + [2.0, None, 5.0]}).selectExpr("*", "close > 10 as s", "case when close < 15 then close / 20 end as w")
+    steps = {
+        "a": EMA("close", 12), "b": SMA("close", 5, 2), "d": Linear(("a", "b"), factors=(1.0, -1.0)), "e": EMA("d", 9), "f": EMA("e", 3),
+        "fixed": DMA(("close",), weight=0.3), "varying": DMA(("close", "w")), "fires": Filter(("s",), n=3), "rarely": Filter(("s",), n=70),
+        "top": Range(("close",)), "low": Range(("close",), lowest=True), "smooth": Range(("a",)), "on": EMA("top", 3),
+    }
+    streamed = {(r["code"], r["trade_date"]): r for r in with_recursive(df, steps).collect()}
+    found = with_recursive(df, steps, blocks=blocks)
+    assert found.columns == [*df.columns, *steps]
+    rows = found.collect()
+    assert len(rows) == len(streamed)
+    for row in rows:
+        want = streamed[row["code"], row["trade_date"]]
+        for name, step in steps.items():
+            if isinstance(want[name], float):
+                assert row[name] == pytest.approx(want[name], rel=1e-9, abs=1e-12, nan_ok=True), (name, row)
+            else:
+                assert row[name] == want[name], (name, row)
+
+
+def test_a_hot_series_is_many_tasks(spark, monkeypatch):
+    from barline.operators import blocks, recursive
+
+    rng = random.Random(2)
+    xs = [rng.uniform(1, 20) for _ in range(3000)]
+    df = frame(spark, {"hot": xs, **{f"s{k}": xs[:60] for k in range(100)}})
+    assert len(tasks_of(spark, with_recursive(df, {"y": EMA("close", 5)}), "hot")) == 1
+    monkeypatch.setattr(recursive, "LONG_SERIES", 1000)
+    base = blocks.in_blocks(df, ("code",), "trade_date", 12)
+    shares = tasks_of(spark, base, "hot")
+    assert len(shares) >= 4 and max(shares) <= 1200
+    found = with_recursive(df, {"y": EMA("close", 5), "top": Range(("close",))})  # cut since a series is long
+    assert found.where("code = 'hot'").count() == 3000
+    want = pd.Series(xs).ewm(span=5, adjust=False).mean()
+    assert [r["y"] for r in found.where("code = 'hot'").orderBy("trade_date").collect()] == pytest.approx(list(want))
+
+
+@pytest.mark.parametrize("xs", [[100.0, *range(500)], list(range(500, 0, -1)), [5.0] * 500, [1e9, *([3.0, 1.0, 2.0] * 160)]])
+def test_ranges_in_blocks_on_awkward_series(spark, monkeypatch, xs):
+    from barline.operators import blocks
+
+    monkeypatch.setattr(blocks, "ASKED_AT_ONCE", 50)
+    df = frame(spark, {"a": list(map(float, xs)), "b": [1.0, 2.0]})
+    steps = {"top": Range(("close",)), "low": Range(("close",), lowest=True)}
+    want = {(r["code"], r["trade_date"]): r[3:] for r in with_recursive(df, steps).collect()}
+    assert {(r["code"], r["trade_date"]): r[3:] for r in with_recursive(df, steps, blocks=9).collect()} == want
+
+
+def test_the_tree_of_extremes_finds_the_last_block():
+    from barline.operators.blocks import Extremes
+
+    rng = random.Random(4)
+    for n in range(1, 40):
+        largest = [float(rng.randint(0, 20)) for _ in range(n)]
+        tree = Extremes(largest)
+        for before in range(n + 1):
+            for x in (0.0, 7.0, 19.0, 20.0, 21.0):
+                assert tree.last_at_least(x, before) == max((i for i in range(before) if largest[i] >= x), default=-1)
