@@ -9,9 +9,11 @@ than LONG_SERIES rows, series are cut into blocks instead (see blocks), and one
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -248,6 +250,56 @@ class Linear(Step):
         return [None if any(x is None for x in row) else sum(f * x for f, x in zip(self.factors, row, strict=True)) for row in zip(*values, strict=True)]
 
 
+@dataclass(frozen=True)
+class Extreme(Step):
+    """The highest (or lowest) of the last n values; null until there are n rows, all with a value. The state is those values."""
+
+    n: int = 1
+    lowest: bool = False
+
+    def start(self) -> list:
+        return [()]
+
+    def run(self, state: list, values: list[list]) -> list:
+        kept, out, best = list(state[0]), [], min if self.lowest else max
+        for x in values[0]:
+            kept.append(x)
+            del kept[: -self.n]
+            full = len(kept) == self.n and all(v is not None for v in kept)
+            # As Spark orders them: NaN is above all numbers.
+            numbers = [v for v in kept if v == v] if full else []
+            out.append(None if not full else math.nan if not numbers or (len(numbers) < self.n and not self.lowest) else best(numbers))
+        state[:] = [tuple(kept)]
+        return out
+
+    # A map is the last n values.
+
+    def mapped(self, values: list[list]) -> tuple:
+        return tuple(values[0][-self.n :])
+
+    def composed(self, first: tuple, then: tuple) -> tuple:
+        return (first + then)[-self.n :]
+
+    def after(self, state: list, there: tuple) -> list:
+        return [(tuple(state[0]) + there)[-self.n :]]
+
+
+@dataclass(frozen=True)
+class Place(Step):
+    """Where the first input lies between the second and the third, in hundredths, by IEEE division; null if an input is."""
+
+    def run(self, state: list, values: list[list]) -> list:
+        out = []
+        for x, low, high in zip(*values, strict=True):
+            if x is None or low is None or high is None:
+                out.append(None)
+            elif high != low:
+                out.append((x - low) / (high - low) * 100)
+            else:
+                out.append(math.copysign(math.inf, x - low) if x - low else math.nan)
+        return out
+
+
 def _is_long(df: DataFrame, keys: tuple[str, ...]) -> bool:
     """Whether a series has more than LONG_SERIES rows; counted only if Spark's estimate of df's size leaves room for that."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -314,6 +366,71 @@ def _streamed(df: DataFrame, steps: dict[str, Step], series: Series) -> DataFram
     return df.repartition(*series.keys).sortWithinPartitions(*series.keys, series.order).mapInArrow(run, schema)
 
 
+def states(df: DataFrame, steps: dict[str, Step], series: Series | None = None, since: DataFrame | None = None) -> DataFrame:
+    """A row for each series: its keys, `until` (the order of its last row) and `state`, the steps' state after that row.
+
+    since: such rows of what came before df. A series is passed on as it is where df has none of it.
+    """
+    series = series or Series()
+    fields = {f.name: f for f in df.schema.fields}
+    schema = T.StructType([*(fields[key] for key in series.keys), T.StructField("until", fields[series.order].dataType), T.StructField("state", T.BinaryType())])
+    return _continued(df, steps, series, since, schema, rows=False)
+
+
+def with_recursive_since(df: DataFrame, steps: dict[str, Step], since: DataFrame, series: Series | None = None) -> DataFrame:
+    """with_recursive for rows that come after those of which `since` has the states."""
+    return _continued(df, steps, series or Series(), since, _made(df, steps)[0], rows=True)
+
+
+def _continued(df: DataFrame, steps: dict[str, Step], series: Series, since: DataFrame | None, schema: T.StructType, rows: bool) -> DataFrame:
+    """One pass over the series, each after its earlier state: the rows, or the states at the end."""
+    types, names = _made(df, steps)[1], df.columns
+    place = {name: i + 2 for i, name in enumerate(names)}
+    given = {x for step in steps.values() for x in step.inputs if x in names}
+    keys = [place[key] for key in series.keys]
+    # An earlier state is a row that comes before all rows of its series.
+    both = df.select(F.lit(1).alias("__rank"), F.lit(None).cast("binary").alias("__state"), *[F.col(name) for name in names])
+    if since is not None:
+        earlier = [F.col("until").alias(name) if name == series.order else F.col(name) if name in series.keys else F.lit(None).cast(df.schema[name].dataType).alias(name) for name in names]
+        both = since.select(F.lit(0).alias("__rank"), F.col("state").alias("__state"), *earlier).unionByName(both)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, last = None, {}, None
+
+        def ended(key: tuple, until: object) -> pa.RecordBatch:
+            values = [*key, until, pickle.dumps(held)]
+            arrays = [pa.array([value], kind) for value, kind in zip(values, [*(batch.schema.field(i).type for i in keys), batch.schema.field(place[series.order]).type, pa.binary()], strict=True)]
+            return pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+        for batch in batches:
+            ids = list(zip(*(batch.column(i).to_pylist() for i in keys), batch.column(0).to_pylist(), strict=True))
+            order = batch.column(place[series.order])
+            columns = {name: numbers(batch.column(place[name])) for name in given}
+            made: dict[str, list] = {name: [] for name in steps}
+            kept = np.array([rank == 1 for *_, rank in ids], bool)
+            for start, stop in runs(ids):
+                *key, rank = ids[start]
+                if tuple(key) != now:
+                    if now is not None and not rows:
+                        yield ended(now, last)
+                    now, held = tuple(key), {name: step.start() for name, step in steps.items()}
+                last = order[stop - 1]
+                if rank == 0:
+                    held = pickle.loads(batch.column(1)[start].as_py())
+                    continue
+                out: dict[str, list] = {}
+                for name, step in steps.items():
+                    out[name] = step.run(held[name], [out[x] if x in out else columns[x][start:stop] for x in step.inputs])
+                    made[name] += out[name]
+            if rows:
+                arrays = [column.filter(pa.array(kept)) for column in batch.columns[2:]]
+                yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(made[name], types[name], from_pandas=False) for name in steps)], names=schema.names)
+        if now is not None and not rows:
+            yield ended(now, last)
+
+    return both.repartition(*series.keys).sortWithinPartitions(*series.keys, "__rank", series.order).mapInArrow(run, schema)
+
+
 def ranges(df: DataFrame, x: str, top: str = "TOPRANGE", low: str = "LOWRANGE", series: Series | None = None, blocks: int | None = None) -> DataFrame:
     """df with the numbers of rows directly before that lie below and above the current value of x; linear in a series."""
     return with_recursive(df, {top: Range((x,)), low: Range((x,), lowest=True)}, series, blocks)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from barline.functions.numeric import ABS, MAX, RD, fdiv
 from barline.functions.series import Series
 from barline.functions.technical import ATR
-from barline.operators.recursive import DMA, EMA, SMA, Linear, Step, with_recursive
+from barline.operators.recursive import DMA, EMA, SMA, Extreme, Linear, Place, Step, with_recursive
 
 S = Series()
 
@@ -52,6 +52,13 @@ def kdj(close: str = "close", high: str = "high", low: str = "low", n: int = 9,
     return Smoothed(steps, {"K": F.col("_k"), "D": F.col("_d"), "J": F.col("_k") * 3 - F.col("_d") * 2}, {"_rsv": rsv})
 
 
+def kdj_in_steps(close: str = "close", high: str = "high", low: str = "low", n: int = 9, m1: int = 3, m2: int = 3) -> Smoothed:
+    """kdj() without windows, for rows that come one by one: the state has the last n highs and lows."""
+    steps: dict[str, Step] = {"_high_n": Extreme((high,), n=n), "_low_n": Extreme((low,), n=n, lowest=True), "_rsv": Place((close, "_low_n", "_high_n"))}
+    later = kdj(close, high, low, n, m1, m2)
+    return Smoothed(steps | later.steps, later.done)
+
+
 def rsi(close: str = "close", n: int = 24, s: Series = S) -> Smoothed:
     """RSI. The rises start from 0 on the first row, the moves on the second."""
     move = s.DIFF(close)

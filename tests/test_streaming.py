@@ -28,3 +28,79 @@ def test_live_bars(spark, tmp_path):
     query.stop()
     rows = spark.table("live").orderBy("trade_date").collect()
     assert [r[2:] for r in rows] == [(3.0, 7.0, 2.0, 2.0, 3.0, 12.0), (4.0, 4.0, 4.0, 4.0, 1.0, 4.0)]
+
+
+BARS = "code string, trade_date timestamp, high double, low double, close double"
+
+
+def bars_of(n, codes=("a", "b", "c"), start=datetime.datetime(2024, 1, 1)):
+    import random
+
+    rng, rows = random.Random(7), []
+    for code in codes:
+        price = 20.0
+        for i in range(n):
+            price = max(1.0, price + rng.uniform(-1, 1))
+            rows.append((code, start + datetime.timedelta(minutes=i * 10), price + rng.random(), price - rng.random(), price if i % 17 else None))
+    return rows
+
+
+def batch_of(spark, rows):
+    from barline.operators.smoothed import add, expma, kdj, macd
+
+    found = add(spark.createDataFrame(rows, BARS), macd(), kdj(), expma())
+    return {(r["code"], r["trade_date"]): r[5:] for r in found.collect()}
+
+
+def live_of(spark, folder, landing, **more):
+    from barline.operators.smoothed import expma, kdj_in_steps, macd
+    from barline.streaming.live import live_indicators, to_the_end
+
+    stream = spark.readStream.schema(BARS).option("maxFilesPerTrigger", 1).parquet(str(landing))
+    found = to_the_end(live_indicators(stream, macd(), kdj_in_steps(), expma(), late="1 hour", **more), str(folder), spark)
+    rows = found.collect()
+    assert len(rows) == len({r[:2] for r in rows})  # each once
+    return {(r["code"], r["trade_date"]): r[5:] for r in rows}
+
+
+def assert_same(got, want):
+    import pytest
+
+    for key, row in got.items():
+        assert list(row) == pytest.approx(list(want[key]), nan_ok=True) if None not in want[key] else [x is None for x in row] == [x is None for x in want[key]], key
+
+
+def test_live_indicators_equal_the_batch_after_a_restart_and_with_late_bars(spark, tmp_path):
+    import random
+
+    rows = bars_of(120)
+    # A bar arrives up to 50 minutes late, that is within the hour; some are kept for after a restart.
+    arrived = sorted(rows, key=lambda r: (r[1] + datetime.timedelta(minutes=random.Random(str(r[:2])).uniform(0, 50)), r[0]))
+    third = len(arrived) // 3
+    for i, part in enumerate((arrived[:third], arrived[third : 2 * third])):
+        spark.createDataFrame(part, BARS).coalesce(1).write.mode("append").parquet(str(tmp_path / "landing"))
+        got = live_of(spark, tmp_path / "live", tmp_path / "landing")
+        newest = max(r[1] for r in arrived[: third * (i + 1)])
+        assert set(got) == {r[:2] for r in rows if r[1] <= newest - datetime.timedelta(hours=1)}
+    far = [("a", rows[0][1] + datetime.timedelta(days=9), 1.0, 1.0, 1.0), ("a", rows[5][1], 9.0, 9.0, 9.0)]  # the second one is too late
+    spark.createDataFrame(arrived[2 * third :], BARS).coalesce(1).write.mode("append").parquet(str(tmp_path / "landing"))
+    live_of(spark, tmp_path / "live", tmp_path / "landing")
+    spark.createDataFrame(far, BARS).coalesce(1).write.mode("append").parquet(str(tmp_path / "landing"))
+    got = live_of(spark, tmp_path / "live", tmp_path / "landing")
+    assert set(got) == {r[:2] for r in rows}
+    assert_same(got, batch_of(spark, rows))
+
+
+def test_live_indicators_start_from_stored_bars(spark, tmp_path):
+    from barline.operators.recursive import states
+    from barline.operators.smoothed import expma, kdj_in_steps, macd
+
+    rows, steps = bars_of(90), {name: step for i in (macd(), kdj_in_steps(), expma()) for name, step in i.steps.items()}
+    cut = rows[50][1]
+    stored = spark.createDataFrame([r for r in rows if r[1] <= cut], BARS)
+    # d has no stored bars, and a bar that is stored comes once more.
+    more = [r for r in rows if r[1] > cut] + bars_of(40, ("d",), cut) + [rows[50], ("a", cut + datetime.timedelta(days=1), 1.0, 1.0, 1.0)]
+    spark.createDataFrame(more, BARS).coalesce(1).write.parquet(str(tmp_path / "landing"))
+    got = live_of(spark, tmp_path / "live", tmp_path / "landing", initial=states(stored, steps))
+    assert set(got) == {r[:2] for r in more if r[1] > cut and r[1] < cut + datetime.timedelta(hours=23)} | {("d", cut)}
+    assert_same(got, batch_of(spark, rows + bars_of(40, ("d",), cut)))
