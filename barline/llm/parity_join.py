@@ -7,10 +7,9 @@ band: a set is a member of its own band, and visits the next one if a set there
 
 1. Equal parts: (band, part, bits) are dealt by their hash; those of one set only are dropped. Very frequent ones, found on a sample of
    the documents, aren't dealt at all, since they stay in any case.
-2. Heads: each set is compared with the least of each of its buckets, on whole sets; what is alike is joined.
-3. Rest: buckets that still hold several components are searched for pairs whose 512-bit parity sketches are near enough, a forest of
-   them at first. Those pairs are compared on whole sets. Where one of them isn't alike after all, the buckets that hold several
-   components are searched again without the shortcut, until nothing was held back.
+2. Search: buckets are searched for pairs whose parity sketches of fixed size are near enough; a spanning forest of these is given.
+3. Verify: those pairs are compared on whole sets, and what is alike is joined. Where one of them isn't alike after all, the buckets that
+   still hold several components are searched again without the shortcut, until nothing was held back.
 
 Copies of one set are one node. A bucket is searched in chunks of bounded size, which later chunks' sets visit. A set of which many are
 compared meets them in salted groups.
@@ -35,7 +34,9 @@ SHINGLE_WORDS = 3
 #: The least similarity of a link, in hundredths.
 SIMILAR = 90
 #: Largest size of a band by its smallest, and the words (of 64 bits) of the sketch that pairs of a bucket are compared by.
-BAND_RATIO, SKETCH_WORDS = 1.5, 8
+BAND_RATIO, SKETCH_WORDS = 1.5, 16
+#: So many doc_ids of texts to be compared go by broadcast; more are joined by a shuffle.
+FEW = 1_000_000
 #: Sets of a chunk of a bucket, about, and sets that meet one copy of a set that many are compared with.
 CHUNK, HUB = 4096, 1000
 #: Pairs that a set gives at most with one component in the first search without the shortcut; each search after that allows as many times more.
@@ -106,18 +107,19 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, node and n_shingles of each row."""
+    """doc_id, node, n_shingles and sketch of each row."""
 
-    @F.arrow_udf("struct<node:long,n_shingles:long>")
+    @F.arrow_udf("struct<node:long,n_shingles:long,sketch:array<long>>")
     def sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            nodes, sizes = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.int64)
+            nodes, sizes, sketches = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.int64), np.zeros((len(texts), SKETCH_WORDS), np.uint64)
             for i, text in enumerate(texts):
                 hashes = shingle_hashes(text.as_py(), SHINGLE_WORDS)
-                nodes[i], sizes[i] = node_of(hashes), len(hashes)
-            yield pa.StructArray.from_arrays([pa.array(nodes.view(np.int64)), pa.array(sizes)], names=["node", "n_shingles"])
+                nodes[i], sizes[i], sketches[i] = node_of(hashes), len(hashes), parities(hashes, SKETCH_WORDS)
+            lists = pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * SKETCH_WORDS, sketches.reshape(-1).view(np.int64))
+            yield pa.StructArray.from_arrays([pa.array(nodes.view(np.int64)), pa.array(sizes), lists], names=["node", "n_shingles", "sketch"])
 
-    return docs.select("doc_id", sign("text").alias("s")).select("doc_id", "s.node", "s.n_shingles")
+    return docs.select("doc_id", sign("text").alias("s")).select("doc_id", "s.node", "s.n_shingles", "s.sketch")
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,19 +256,6 @@ def _near(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.Re
         yield out(edges)
 
 
-def _sketches(sets: DataFrame) -> DataFrame:
-    """node, size and sketch of the sets."""
-
-    @F.arrow_udf("array<long>")
-    def sketch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for lists in batches:
-            ends, flat = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            found = [parities(flat[a:b], SKETCH_WORDS).view(np.int64) for a, b in zip(ends, ends[1:], strict=False)]
-            yield pa.array(found, pa.list_(pa.int64()))
-
-    return sets.select("node", F.size("shingles").cast("long").alias("size"), sketch("shingles").alias("sketch"))
-
-
 def _searched(rows: DataFrame, roots: DataFrame, sketched: DataFrame, most: int | None) -> DataFrame:
     """(a, b, held): pairs that may be linked, from the buckets (rows: key, node) that hold several components."""
     named = durable(rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
@@ -281,24 +270,26 @@ def _searched(rows: DataFrame, roots: DataFrame, sketched: DataFrame, most: int
     return met.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "visits").mapInArrow(lambda batches: _near(batches, most), "a long, b long, held boolean")
 
 
+def _sets_of(nodes: DataFrame, docs: DataFrame, signed: DataFrame) -> DataFrame:
+    """node and shingles of some nodes."""
+    least = durable(signed.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
+    few = F.broadcast(least) if least.count() <= FEW else least
+    texts = docs.join(few, docs["doc_id"].eqNullSafe(few["doc_id"]), "left_semi")
+    return durable(_sets(texts).join(nodes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
+
+
 def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
-    """(node, root) of the sets with a link; docs: doc_id, text; signed: doc_id and node of the same rows."""
+    """(node, root) of the sets with a link; docs: doc_id, text; signed: doc_id, node, n_shingles and sketch of the same rows."""
     rows = durable(buckets(docs))
-    wanted = rows.select("node").distinct()
-    least = signed.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    texts = docs.join(least, docs["doc_id"].eqNullSafe(least["doc_id"]), "left_semi")
-    # A document of several texts can bring a set that another one has brought; both are the same.
-    sets = durable(_sets(texts).dropDuplicates(["doc_id", "node"]).drop("doc_id").join(wanted, "node", "left_semi"))
-    heads = durable(rows.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")))
-    stars = join_counted(rows, heads, "key", rows.count()).where("node <> a").select("a", F.col("node").alias("b"))
-    found = durable(alike(stars, sets).where("linked").select("a", "b"))
-    sketched, most = _sketches(sets), None
+    sketched = durable(signed.join(rows.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch")))
+    found, most = durable(rows.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)), None
     while True:
         roots = durable(components(found))
         pairs = durable(_searched(rows, roots, sketched, most))
         if pairs.isEmpty():
             return roots
-        judged = durable(alike(pairs.select("a", "b"), sets))
+        nodes = durable(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        judged = durable(alike(pairs.select("a", "b"), _sets_of(nodes, docs, signed)))
         found = durable(found.unionByName(judged.where("linked").select("a", "b")))
         # A forest of links leaves nothing out; without that shortcut, nothing is left out if nothing was held back.
         if judged.where("not linked").isEmpty() if most is None else pairs.where("held").isEmpty():
