@@ -6,8 +6,8 @@ highest score, and a window of scores is an annulus around the anchor.
 
 Each group has a tree: a vantage point, and the rows nearer and farther than the median, with the least and greatest distance on either
 side. By the triangle inequality these bound the distances between an anchor and all rows of a branch, so a branch outside the annulus
-is never entered. A traversal goes nearest first: a heap holds branches by the highest score they can have and rows by their own, and a
-row that comes off the heap is the next one. It stops after k rows of a label that fits.
+is never entered. A traversal goes nearest first: leaves come by the highest score they can hold, one, then two, then four at a time,
+and it stops once it has k rows of a label that fits, all above what any leaf that is left can hold.
 
 Two traversals: the best k rows of the anchor's label, from all groups, are its positives; they make the windows of the second, in which
 the best k rows of other labels are wanted. Anchors go to each group, and stream past its tree.
@@ -17,9 +17,7 @@ Bounds are floating-point and have some slack; scores are exact integers, and th
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable, Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +31,9 @@ SCALE, POSITIVES, NEGATIVES = 256, 5, 10
 #: The window of a negative's score, in hundredths of the positive's.
 LEAST, MOST = 30, 90
 #: Components of a group's rows, about, and rows that are worth a group of their own; rows of a leaf.
-GROUP_VALUES, GROUP_ROWS, LEAF = 1 << 22, 2048, 64
+GROUP_VALUES, GROUP_ROWS, LEAF = 1 << 22, 2048, 128
 #: Relative error allowed for in bounds: far above what sums of a million floats can lose.
 SLACK = 1e-9
-_LONG = 1 << 63
 
 
 def whole(values: np.ndarray) -> np.ndarray:
@@ -50,85 +47,94 @@ def whole(values: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """A vantage-point tree over some rows (ids, label numbers, whole components)."""
+    """A vantage-point tree over some rows (ids, label numbers, whole components). The rows of a leaf lie side by side."""
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, values: np.ndarray):
-        self.ids, self.labels, self.values = ids, labels, values
         with np.errstate(over="ignore", invalid="ignore"):
             points = values.astype(np.float64)
             squares = np.einsum("ij,ij->i", points, points)
             self.longest = squares.max(initial=0.0)
-            self.points = np.column_stack([points, np.sqrt(np.maximum(self.longest - squares, 0.0))])
-        #: Of each node: its vantage row, children, the least and greatest distance of each child's rows, and the rows of a leaf.
-        self.nodes: list[tuple[int, tuple[tuple[int, float, float], ...], np.ndarray | None]] = []
-        self.root = self._grow(np.arange(len(ids)))
-
-    def _grow(self, rows: np.ndarray) -> int:
-        node = len(self.nodes)
-        self.nodes.append((-1, (), rows))
-        if len(rows) <= LEAF:
-            return node
-        with np.errstate(over="ignore", invalid="ignore"):
+            points = np.column_stack([points, np.sqrt(np.maximum(self.longest - squares, 0.0))])
+            #: Of each branch below the root: the branch above it, that one's vantage point, and the least and greatest distance of its rows from that.
+            self.branches: list[tuple[int, np.ndarray, float, float]] = []
+            self.leaves: list[tuple[int, np.ndarray]] = []
+            self._grow(points, np.arange(len(ids)), -1)
+        order = np.concatenate([rows for _, rows in self.leaves])
+        self.ids, self.labels, self.values = ids[order], labels[order], values[order]
+        self.starts = np.cumsum([0, *(len(rows) for _, rows in self.leaves)])
+
+    def _grow(self, points: np.ndarray, rows: np.ndarray, branch: int) -> None:
+        cut = None
+        if len(rows) > LEAF:
             # The row farthest from the first one: a corner, whose spheres cut more evenly than those of a row in the middle.
-            from_first = np.linalg.norm(self.points[rows] - self.points[rows[0]], axis=1)
-            vantage = rows[int(np.argmax(from_first))]
-            distance = np.linalg.norm(self.points[rows] - self.points[vantage], axis=1)
-        order = np.argsort(distance, kind="stable")
-        if not np.isfinite(distance).all() or distance[order[0]] == distance[order[-1]]:
-            return node  # equal rows, or such as floats can't tell apart: one leaf
-        half = len(rows) // 2
-        children = []
-        for side in (order[:half], order[half:]):
-            children.append((self._grow(rows[side]), float(distance[side[0]]), float(distance[side[-1]])))
-        self.nodes[node] = (int(vantage), tuple(children), None)
-        return node
-
-    def scores(self, query: np.ndarray, rows: np.ndarray) -> list[int]:
-        """Exact scores of some rows."""
-        a, b = query, self.values[rows]
-        if a.dtype == object or b.dtype == object:
-            return [sum(int(x) * int(y) for x, y in zip(a, row, strict=True)) for row in b]
-        with np.errstate(over="ignore"):
-            most = np.abs(a).max(initial=0.0) * np.abs(b).max(initial=0.0) * len(a)
-        if most < 1 << 53:
-            return (b @ a).astype(np.int64).tolist()
-        return self.scores(a.astype(object), rows)
-
-    def nearest_first(self, query: np.ndarray, low: int | None, high: int | None, fits: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple[int, int]]:
-        """(score, id) of the rows that fit, with low <= score <= high: by score descending, then id ascending."""
+            vantage = points[rows[int(np.argmax(np.linalg.norm(points[rows] - points[rows[0]], axis=1)))]]
+            distance = np.linalg.norm(points[rows] - vantage, axis=1)
+            # Equal rows, or such as floats can't tell apart, are one leaf.
+            cut = np.argsort(distance, kind="stable") if np.isfinite(distance).all() and distance.min() < distance.max() else None
+        if cut is None:
+            self.leaves.append((branch, rows))
+            return
+        for side in (cut[: len(rows) // 2], cut[len(rows) // 2 :]):
+            self.branches.append((branch, vantage, float(distance[side[0]]), float(distance[side[-1]])))
+            self._grow(points, rows[side], len(self.branches) - 1)
+
+    def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The highest and lowest score that each leaf can hold for each query; no number where floats can't tell."""
         with np.errstate(over="ignore", invalid="ignore"):
-            point = np.append(query.astype(np.float64), 0.0)
-            square = float(point @ point)
-        reach = square + self.longest
-        slack = SLACK * reach + 1e-6
-
-        def bound(distance: float) -> float:
-            """The highest score at a distance or farther away; the lowest, with the slack taken off twice, at one or nearer."""
-            return (reach - distance * distance) / 2 + slack
-
-        # A heap's order: the higher score first; at one score branches before rows, so that rows come by id.
-        heap: list[tuple[float, int, int]] = [(float("-inf"), 0, self.root)]
-        while heap:
-            negative, kind, at = heapq.heappop(heap)
-            if kind:
-                yield -negative, at
-                continue
-            vantage, children, rows = self.nodes[at]
-            if rows is not None:
-                rows = rows[fits(rows)]
-                for score, own in zip(self.scores(query, rows), self.ids[rows].tolist(), strict=True):
-                    if (low is None or score >= low) and (high is None or score <= high):
-                        heapq.heappush(heap, (-score, 1, own))
-                continue
-            with np.errstate(over="ignore", invalid="ignore"):
-                away = float(np.linalg.norm(self.points[vantage] - point))
-            for child, least, greatest in children:
-                most = bound(max(away - greatest, least - away, 0.0))
-                fewest = bound(away + greatest) - 2 * slack
-                # Written so that what is no number prunes nothing.
-                if (low is not None and most < low) or (high is not None and fewest > high):
-                    continue
-                heapq.heappush(heap, (-most if most == most else float("-inf"), 0, child))
+            points = np.column_stack([queries.astype(np.float64), np.zeros(len(queries))])
+            reach = np.einsum("ij,ij->i", points, points) + self.longest
+            slack = SLACK * reach + 1e-6
+            most, fewest = [], []
+            for above, vantage, least, greatest in self.branches:
+                away = np.linalg.norm(points - vantage, axis=1)
+                nearest = np.maximum(np.maximum(away - greatest, least - away), 0.0)
+                high, low = (reach - nearest * nearest) / 2 + slack, (reach - np.square(away + greatest)) / 2 - slack
+                most.append(high if above < 0 else np.minimum(most[above], high))
+                fewest.append(low if above < 0 else np.maximum(fewest[above], low))
+            none = np.full(len(queries), np.nan)
+            return tuple(np.array([x[branch] if branch >= 0 else none for branch, _ in self.leaves]) for x in (most, fewest))
+
+    def _rows(self, leaves: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.arange(self.starts[leaf], self.starts[leaf + 1]) for leaf in leaves])
+
+    def scores(self, query: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Exact scores of some rows: longs, or Python's integers where longs can't hold them."""
+        if query.dtype != object and self.values.dtype != object:
+            with np.errstate(over="ignore"):
+                most = np.abs(query).max(initial=0.0) * np.abs(self.values).max(initial=0.0) * len(query)
+            if most < 1 << 53:
+                return (self.values[rows] @ query).astype(np.int64)
+        a = [int(x) for x in query]
+        return np.array([sum(x * int(y) for x, y in zip(a, row, strict=True)) for row in self.values[rows]], object)
+
+    def nearest(self, query: np.ndarray, most: np.ndarray, fewest: np.ndarray, low: int | None, high: int | None, fits: Callable[[np.ndarray], np.ndarray], k: int) -> list[tuple[int, int]]:
+        """(score, id) of the first k rows that fit, with low <= score <= high: by score descending, then id ascending. most, fewest: bounds of the leaves."""
+        # Written so that what is no number prunes nothing.
+        entered = np.ones(len(most), bool)
+        if low is not None:
+            entered &= ~(most < low)
+        if high is not None:
+            entered &= ~(fewest > high)
+        can = np.nan_to_num(most, nan=np.inf) if high is None else np.fmin(most, float(high) + 1.0)
+        leaves = np.flatnonzero(entered)
+        leaves = leaves[np.argsort(-can[leaves], kind="stable")]
+        scores, ids, at, step = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 1
+        while at < len(leaves):
+            if len(scores) >= k and scores[k - 1] > can[leaves[at]]:
+                break
+            rows = self._rows(leaves[at : at + step])
+            rows = rows[fits(rows)]
+            found = self.scores(query, rows)
+            inside = np.ones(len(rows), bool)
+            if low is not None:
+                inside &= (found >= low).astype(bool)
+            if high is not None:
+                inside &= (found <= high).astype(bool)
+            scores, ids = np.concatenate([scores, found[inside]]), np.concatenate([ids, self.ids[rows[inside]]])
+            order = np.lexsort((ids, -scores)) if scores.dtype != object else np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i])), np.int64)
+            scores, ids = scores[order[:k]], ids[order[:k]]
+            at, step = at + step, 2 * step
+        return list(zip(scores.tolist(), ids.tolist(), strict=True))
 
 
 def _streams(batches: Iterator[pa.RecordBatch], answer: Callable) -> Iterator[pa.RecordBatch]:
@@ -154,16 +160,17 @@ def _streams(batches: Iterator[pa.RecordBatch], answer: Callable) -> Iterator[pa
                 tree, parts = Tree(ids, kinds, whole(values)), []
             if tree is not None:
                 asked, kinds = whole(vectors), number(labels[start:stop], False)
-                rows = [row for i in range(stop - start) for row in answer(tree, int(own[start + i]), kinds[i], asked[i], wanted[start + i].as_py())]
+                most, fewest = tree.bounds(asked)
+                rows = [row for i in range(stop - start) for row in answer(tree, int(own[start + i]), kinds[i], asked[i], (most[:, i], fewest[:, i]), wanted[start + i].as_py())]
                 columns = list(zip(*rows, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["anchor_id", "positive_id", "positive_score", "found_id", "score"])
 
 
-def _positives(tree: Tree, own: int, label: int, query: np.ndarray, _: object) -> Iterator[tuple]:
+def _positives(tree: Tree, own: int, label: int, query: np.ndarray, bounds: tuple[np.ndarray, np.ndarray], _: object) -> Iterator[tuple]:
     def fits(rows: np.ndarray) -> np.ndarray:
         return (tree.labels[rows] == label) & (tree.ids[rows] != own)
 
-    for score, found in islice(tree.nearest_first(query, None, None, fits), POSITIVES):
+    for score, found in tree.nearest(query, *bounds, None, None, fits, POSITIVES):
         yield own, None, None, found, score
 
 
@@ -172,14 +179,14 @@ def window(score: int) -> tuple[int, int]:
     return -(-LEAST * score // 100), MOST * score // 100
 
 
-def _negatives(tree: Tree, own: int, label: int, query: np.ndarray, positives: list[dict]) -> Iterator[tuple]:
+def _negatives(tree: Tree, own: int, label: int, query: np.ndarray, bounds: tuple[np.ndarray, np.ndarray], positives: list[dict]) -> Iterator[tuple]:
     def fits(rows: np.ndarray) -> np.ndarray:
-        return tree.labels[rows] != label
+        return (tree.labels[rows] != label) & (tree.ids[rows] != own)
 
     for positive in positives:
         low, high = window(positive["score"])
         if low <= high:
-            for score, found in islice(tree.nearest_first(query, low, high, fits), NEGATIVES):
+            for score, found in tree.nearest(query, *bounds, low, high, fits, NEGATIVES):
                 yield own, positive["found_id"], positive["score"], found, score
 
 
@@ -189,7 +196,7 @@ def mine(vectors: DataFrame, is_anchor: Column, label: str = "label", embedding:
 
     Rows with a null vec_id, label or vector, an empty vector, or one with null or non-finite components take no part; rows of another
     length than the anchor's are neither positives nor negatives of it. A row with the anchor's vec_id counts as the anchor's own, and
-    isn't its positive. Of several anchors with one vec_id, the one with the least label and vector asks; other rows that share a vec_id
+    is neither. Of several anchors with one vec_id, the one with the least label and vector asks; other rows that share a vec_id
     count each. A positive with a score below zero has no window. A score that doesn't fit a long is an error. Other columns play no
     part. An empty table, or one without anchors, gives no rows.
     """
