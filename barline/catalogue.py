@@ -19,9 +19,11 @@ from barline.functions import numeric as N
 from barline.functions import technical as T
 from barline.functions.numeric import finite
 from barline.functions.series import BETWEEN, Series
-from barline.operators import catalog, predicates, recursive, smoothed
+from barline.operators import blocks, catalog, predicates, recursive, smoothed
 from barline.plans import adjust, breadth, indicators, kline, sync
+from barline.durable import shared_folder
 from barline.sources import fixtures, landing
+from barline.streaming import live
 
 S = Series()
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,7 +73,16 @@ class Ewm:
     seed_zero: bool = False
 
 
-Layer = dict[str, str] | Ewm
+@dataclass(frozen=True)
+class Quiet:
+    """A layer of a recursive column: n on a row where the condition fires, then one less on each row, and 0 while nothing is quiet."""
+
+    name: str
+    condition: str
+    n: int
+
+
+Layer = dict[str, str] | Ewm | Quiet
 
 
 def series_sql(outputs: dict[str, str], kinds: dict[str, object], layers: tuple[Layer, ...] = (), source: str = "bars", keys: str = "code, trade_date") -> str:
@@ -80,6 +91,13 @@ def series_sql(outputs: dict[str, str], kinds: dict[str, object], layers: tuple[
         if isinstance(layer, dict):
             parts.append(f"l{i + 1} AS MATERIALIZED (SELECT *, {', '.join(f'{sql} AS {name}' for name, sql in layer.items())} FROM l{i})")
             continue
+        if isinstance(layer, Quiet):
+            parts.append(
+                f"r{i}(code, rn, q) AS (SELECT code, rn, CASE WHEN {layer.condition} THEN {layer.n} ELSE -1 END FROM l{i} WHERE rn = 1 UNION ALL "
+                f"SELECT s.code, s.rn, CASE WHEN s.{layer.condition} AND r.q <= 0 THEN {layer.n} ELSE r.q - 1 END FROM r{i} r JOIN l{i} s ON s.code = r.code AND s.rn = r.rn + 1)"
+            )
+            parts.append(f"l{i + 1} AS MATERIALIZED (SELECT l.*, r.q AS {layer.name} FROM l{i} l JOIN r{i} r ON r.code = l.code AND r.rn = l.rn)")
+            continue
         names = layer.columns
         first = ", ".join(f"{x} AS {name}" for name, (x, _) in names.items())
         steps = []
@@ -110,7 +128,7 @@ class SeriesQuery:
     frame: bool = False  # make takes the DataFrame
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = (fixtures.bars if self.source == "bars" else fixtures.ticks)(spark, sf_dir)
+        df = {"bars": fixtures.bars, "ticks": fixtures.ticks, _LONG: fixtures.long_ticks}[self.source](spark, sf_dir)
         made = self.make(df) if self.frame else df.select("code", "trade_date", *[c.alias(n) for n, c in self.make(Prices()).items()])
         out = []
         for name in self.outputs:
@@ -123,6 +141,10 @@ class SeriesQuery:
         return series_sql(self.outputs, self.kinds, self.layers, self.source)
 
 
+#: Ticks as one long series for each kind of event, and the blocks that such series are cut into.
+_LONG, _BLOCKS = "(SELECT event_type AS code, trade_date, close FROM ticks)", 24
+
+
 def _bools(*names: str) -> dict[str, object]:
     return dict.fromkeys(names, "bool")
 
@@ -227,9 +249,9 @@ SERIES: dict[str, SeriesQuery] = {
         kinds=_ints("top", "low_range"), source="ticks", frame=True,
     ),
     "toprange_window": SeriesQuery(
-        lambda df: recursive.ranges(df.select("code", "trade_date", "close"), "close", "top", "low_range"),
+        lambda df: recursive.ranges(df, "close", "top", "low_range", blocks=_BLOCKS),
         {"top": "rn - 1 - coalesce((SELECT max(b.rn) FROM l0 b WHERE b.code = l0.code AND b.rn < l0.rn AND b.close >= l0.close), 0)", "low_range": "rn - 1 - coalesce((SELECT max(b.rn) FROM l0 b WHERE b.code = l0.code AND b.rn < l0.rn AND b.close <= l0.close), 0)"},
-        kinds=_ints("top", "low_range"), source="ticks", frame=True,
+        kinds=_ints("top", "low_range"), source=_LONG, frame=True,
     ),
     # Recursive
     "ema": SeriesQuery(lambda df: recursive.with_recursive(df, {"ema12": recursive.EMA("close", 12), "ema26": recursive.EMA("close", 26)}), {"ema12": "e12", "ema26": "e26"}, (Ewm({"e12": ("close", 2 / 13), "e26": ("close", 2 / 27)}),), source="ticks", frame=True),
@@ -241,6 +263,28 @@ SERIES: dict[str, SeriesQuery] = {
         ({"up": f"coalesce(close > {_ref('close')}, FALSE)"}, {"ups": f"list([up]) OVER ({_W} ROWS UNBOUNDED PRECEDING)"}, {"f": "list_reduce(ups, lambda acc, x: list_append(acc, x[1] AND len(list_filter(acc[greatest(len(acc) - 2, 1):], lambda z: z)) = 0), []::BOOLEAN[])"}),
         _bools("fires"), "ticks", True,
     ),
+    # Long series, cut into blocks
+    "ema_blocks": SeriesQuery(
+        lambda df: recursive.with_recursive(df, {"ema12": recursive.EMA("close", 12), "sma": recursive.SMA("close", 5, 2), "_gap": recursive.Linear(("ema12", "sma"), factors=(1.0, -1.0)), "smooth": recursive.EMA("_gap", 9)}, blocks=_BLOCKS),
+        {"ema12": "e12", "sma": "s5", "smooth": "sm"}, (Ewm({"e12": ("close", 2 / 13), "s5": ("close", 2 / 5)}), {"gap": "e12 - s5"}, Ewm({"sm": ("gap", 2 / 10)})), source=_LONG, frame=True,
+    ),
+    "dma_blocks": SeriesQuery(lambda df: recursive.with_recursive(df.withColumn("w", F.col("close") / 1000), {"fixed": recursive.DMA(("close",), weight=0.3), "varying": recursive.DMA(("close", "w"))}, blocks=_BLOCKS), {"fixed": "y1", "varying": "y2"}, ({"w": "close / 1000"}, Ewm({"y1": ("close", 0.3), "y2": ("close", "w")})), source=_LONG, frame=True),
+    "filter_blocks": SeriesQuery(
+        lambda df: recursive.with_recursive(df.withColumn("high_now", F.col("close") > 40), {"fires": recursive.Filter(("high_now",), n=5)}, blocks=_BLOCKS),
+        {"fires": "q = 5"},
+        ({"up": "close > 40"}, Quiet("q", "up", 5)),
+        _bools("fires"), _LONG, True,
+    ),
+    "windows_blocks": SeriesQuery(
+        lambda df: blocks.windowed(df, lambda s: {"ma20": s.MA("close", 20), "sd20": s.STD("close", 20), "hb": s.HHVBARS("close", 9), "gap": s.MA(s.MA("close", 5) - s.MA("close", 10), 5), "ahead": s.REF("close", -2)}, S, before=20, after=2, blocks=_BLOCKS),
+        {"ma20": _ma("close", 20), "sd20": _roll("stddev_pop", "close", 20), "hb": _full("close", 9, f"rn - arg_max(rn, {{'a': close, 'b': -rn}}) OVER {_last(9)}"), "gap": _ma("g", 5), "ahead": f"lead(close, 2) OVER ({_W})"},
+        ({"g": f"{_ma('close', 5)} - {_ma('close', 10)}"},), _ints("hb"), _LONG, True,
+    ),
+    "running_blocks": SeriesQuery(
+        lambda df: recursive.with_recursive(df.selectExpr("*", "close > 60 as up", "case when close > 60 then close end as peak"), {"total": recursive.Total(("close",)), "latest": recursive.Latest(("peak",)), "since": recursive.Since(("up",))}, blocks=_BLOCKS),
+        {"total": _so_far("sum", "close"), "latest": f"last_value(CASE WHEN close > 60 THEN close END IGNORE NULLS) OVER ({_W} ROWS UNBOUNDED PRECEDING)", "since": f"rn - {_so_far('max', 'CASE WHEN close > 60 THEN rn END')}"},
+        kinds={"total": 2} | _ints("since"), source=_LONG, frame=True,
+    ),
     # Indicators
     "macd": SeriesQuery(_named(lambda: smoothed.macd(), dif="DIF", dea="DEA", macd="MACD"), {"dif": "round(d, 2)", "dea": "round(e, 2)", "macd": "round((d - e) * 2, 2)"}, (Ewm({"s": ("close", 2 / 13), "l": ("close", 2 / 27)}), {"d": "s - l"}, Ewm({"e": ("d", 2 / 10)})), frame=True),
     "kdj": SeriesQuery(_named(lambda: smoothed.kdj(), k="K", d="D", j="J"), {"k": "kk", "d": "dd", "j": "kk * 3 - dd * 2"}, ({"rsv": f"(close - {_roll('min', 'low', 9)}) / ({_roll('max', 'high', 9)} - {_roll('min', 'low', 9)}) * 100"}, Ewm({"kk": ("rsv", 2 / 6)}), Ewm({"dd": ("kk", 2 / 6)})), frame=True),
@@ -437,6 +481,29 @@ def calc_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("code", "trade_date", *[compared(column, SERIES[name].kinds.get(own, 6)).alias(f"{name}_{own}") for name, columns in _ALL.items() for own, column in columns.items()])
 
 
+def _landed_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of ticks."""
+    events = fixtures.landed(spark, sf_dir, "events")
+    return events.select(F.col("user_id").alias("code"), F.col("ts").cast("timestamp").alias("trade_date"), F.col("value").alias("close"))
+
+
+def live_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MACD, KDJ and EXPMA of a stream of ticks that is read to its end: those that no tick is awaited before."""
+    ticks = live.live_indicators(_landed_ticks(spark, sf_dir), smoothed.macd(), smoothed.kdj_in_steps("close", "close", "close"), smoothed.expma(), late="2 hours")
+    made = live.to_the_end(ticks, f"{shared_folder(spark)}/live-{uuid.uuid4().hex}", spark)
+    return _rounded(made.withColumn("trade_date", F.col("trade_date").cast("timestamp_ntz")).drop("close"), 4)
+
+
+def live_from_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EXPMA of a stream that goes on where stored ticks end."""
+    stream, known = _landed_ticks(spark, sf_dir), fixtures.ticks(spark, sf_dir).select("code", F.col("trade_date").cast("timestamp").alias("trade_date"), "close")
+    middle = known.agg(F.timestamp_micros(F.floor((F.min(F.unix_micros("trade_date")) + F.max(F.unix_micros("trade_date"))) / 2)).alias("t")).first()["t"]
+    stored = recursive.states(known.where(F.col("trade_date") <= F.lit(middle)), smoothed.expma().steps)
+    ticks = live.live_indicators(stream, smoothed.expma(), late="2 hours", initial=stored)
+    made = live.to_the_end(ticks, f"{shared_folder(spark)}/live-{uuid.uuid4().hex}", spark)
+    return _rounded(made.withColumn("trade_date", F.col("trade_date").cast("timestamp_ntz")).drop("close"))
+
+
 def _stored_customers(spark: SparkSession) -> tuple[catalog.Catalog, str]:
     """A catalogue of its own with an empty table of customers."""
     schema = T_.StructType([T_.StructField("c_custkey", T_.LongType(), False), T_.StructField("c_mktsegment", T_.StringType()), T_.StructField("c_acctbal", T_.DoubleType())])
@@ -577,6 +644,7 @@ QUERIES: dict[str, Query] = {name: query.run for name, query in SERIES.items()}
     "screen_statistics": screen_statistics, "stock_view": stock_view, "index_view": index_view, "dividend_view": dividend_view,
     "qfq_view": qfq_view, "forward_factors": forward_factors, "semi_dividend_dates": semi_dividend_dates,
     "anti_missing_codes": anti_missing_codes, "sync_due": sync_due, "breadth": breadth_query, "kline": kline_query,
+    "live_indicators": live_indicators, "live_from_stored": live_from_stored,
     "calc_all": calc_all, "truncate": truncate, "rounded_numbers": rounded_numbers, "viewport": viewport, "labels": labels, "normalize_codes": normalize_codes, "normalize_dates": normalize_dates, "landed_bars": landed_bars,
     "catalog_insert": catalog_insert, "landed_index_bars": landed_index_bars, "landed_dividends": landed_dividends, "landed_capital": landed_capital, "landed_calendar": landed_calendar,
     "landed_lists": landed_lists, "landed_archive": landed_archive, "code_errors": code_errors, "date_classes": date_classes,
@@ -691,6 +759,12 @@ ORACLE_SQL: dict[str, str] = {name: query.sql for name, query in SERIES.items()}
     ),
     "kline": _on_adjusted(_KLINE | _JX, dict.fromkeys(_KLINE, 6) | _bools(*_JX), _KLINE_LAYERS, "SELECT * REPLACE (strftime(trade_date, '%Y-%m-%d') AS trade_date) FROM ({sql})"),
     "calc_all": "SELECT code, trade_date, " + ", ".join(f"{n}.{own} AS {n}_{own}" for n, columns in _ALL.items() for own in columns) + " FROM " + " JOIN ".join(f"({SERIES[n].sql}) {n}" + (" USING (code, trade_date)" if i else "") for i, n in enumerate(_ALL)),
+    "live_indicators": "SELECT * REPLACE (trade_date::TIMESTAMP AS trade_date) FROM (" + series_sql(
+        {"DIF": "round(d0, 2)", "DEA": "round(e, 2)", "MACD": "round((d0 - e) * 2, 2)", "K": "kk", "D": "dd", "J": "kk * 3 - dd * 2", "EXPMA1": "a", "EXPMA2": "b"}, dict.fromkeys(("DIF", "DEA", "MACD", "K", "D", "J", "EXPMA1", "EXPMA2"), 4),
+        ({"rsv": f"(close - {_roll('min', 'close', 9)}) / ({_roll('max', 'close', 9)} - {_roll('min', 'close', 9)}) * 100"}, Ewm({"s": ("close", 2 / 13), "l": ("close", 2 / 27), "kk": ("rsv", 2 / 6), "a": ("close", 2 / 13), "b": ("close", 2 / 51)}), {"d0": "s - l"}, Ewm({"e": ("d0", 2 / 10), "dd": ("kk", 2 / 6)})), "ticks",
+    ) + ") WHERE trade_date <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)",
+    "live_from_stored": "SELECT * REPLACE (trade_date::TIMESTAMP AS trade_date) FROM (" + series_sql({"EXPMA1": "a", "EXPMA2": "b"}, {}, (Ewm({"a": ("close", 2 / 13), "b": ("close", 2 / 51)}),), "ticks")
+    + ") WHERE trade_date <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events) AND epoch_us(trade_date) > (SELECT (epoch_us(min(ts)) + epoch_us(max(ts))) // 2 FROM events)",
     "truncate": f"{_HALVES} SELECT 0::BIGINT AS emptied, count(*) AS n, max(c_custkey) AS last FROM batch",
     "catalog_insert": f"""{_HALVES}, fresh AS (SELECT * FROM batch WHERE c_custkey NOT IN (SELECT c_custkey FROM stored)), both_ AS (SELECT * FROM stored UNION ALL SELECT * FROM fresh)
         SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal::DOUBLE), 2) AS balance, (SELECT count(*) FROM stored) AS inserted_first, 0::BIGINT AS ignored_first,

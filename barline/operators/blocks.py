@@ -7,6 +7,9 @@ of states for FILTER), and maps are composed. A first pass gives the map of the
 in which blocks are entered, one for each partition; a last pass fills the rows in. Steps that build on steps take one more pass for
 each storey.
 
+windowed() works out windows of rows: a block gets the rows before and after it that its frames reach into, and is then a series of its
+own.
+
 nearest() finds, for each row, the row before it that isn't below (or above) it. Most are found within the block. The others are the
 block's records; for each of these a tree of the blocks' extremes gives the one block where the search ends, and only that block's own
 records from its end are asked.
@@ -20,11 +23,12 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barline.durable import durable
+from barline.functions.series import Series
 
 #: Columns that blocks add for a while.
 BLOCK, PLACE = "__block", "__place"
@@ -295,6 +299,65 @@ def nearest(base: DataFrame, x: str, into: str, keys: tuple[str, ...], lowest: b
     return made.join(told, [BLOCK, PLACE], "left").withColumn(into, F.coalesce(into, "__found")).select(*base.columns, into)
 
 
+def _last_of_blocks(base: DataFrame, keys: tuple[str, ...]) -> list[tuple[int, list, list, int, int]]:
+    """(block, first key, last key, rows of the first key, rows of the last key) of each block: a row a partition."""
+    at = [base.columns.index(name) for name in (BLOCK, *keys)]
+
+    def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list] = {}
+        for batch in batches:
+            ids = list(zip(*(batch.column(i).to_pylist() for i in at), strict=True))
+            for start, stop in runs(ids):
+                block, *key = ids[start]
+                one = found.setdefault(block, [key, key, 0, 0])
+                if one[1] != key:
+                    one[1], one[3] = key, 0
+                one[2] += (stop - start) * (key == one[0])
+                one[3] += stop - start
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([pickle.dumps(x) for x in found.values()], pa.binary())], names=["block", "found"])
+
+    return sorted((row["block"], *pickle.loads(row["found"])) for row in base.mapInArrow(summaries, "block int, found binary").collect())
+
+
+def _reaches(blocks: list[tuple[int, list, list, int, int]], before: int, after: int) -> list[tuple[int, int, int, bool]]:
+    """(block, block that needs rows of it, how many, whether its last or its first ones)."""
+    out = []
+    for i, (block, first, last, *_) in enumerate(blocks):
+        missing, j = before, i - 1
+        while missing > 0 and j >= 0 and blocks[j][2] == first:
+            there = blocks[j][4]
+            out.append((blocks[j][0], block, min(missing, there), True))
+            missing, j = missing - there, j - 1 if blocks[j][1] == first else -1
+        missing, j = after, i + 1
+        while missing > 0 and j < len(blocks) and blocks[j][1] == last:
+            there = blocks[j][3]
+            out.append((blocks[j][0], block, min(missing, there), False))
+            missing, j = missing - there, j + 1 if blocks[j][2] == last else len(blocks)
+    return out
+
+
+def windowed(df: DataFrame, make: Callable[[Series], dict[str, Column]], series: Series, before: int, after: int = 0, blocks: int | None = None) -> DataFrame:
+    """df with columns of windows whose frames, nested ones together, reach at most so many rows back and ahead.
+
+    make(series) gives the columns; the series that it gets is cut at blocks. Functions of a row's absolute position, and of all rows so
+    far, aren't for this; those are steps of scan().
+    """
+    base = in_blocks(df, series.keys, series.order, blocks)
+    found = _last_of_blocks(base, series.keys)
+    wanted = _reaches(found, before, after)
+    rows = base.withColumn("__own", F.lit(True))
+    if wanted:
+        # A row for each two neighbouring blocks, more only where blocks are shorter than a frame.
+        lengths = dict(zip((b[0] for b in found), base.groupBy(BLOCK).count().orderBy(BLOCK).toPandas()["count"].tolist(), strict=True))
+        bounds = [(source, target, lengths[source] - n, lengths[source]) if at_end else (source, target, 0, n) for source, target, n, at_end in wanted]
+        table = df.sparkSession.createDataFrame(bounds, f"{BLOCK} int, __to int, __low long, __high long")
+        halo = base.join(F.broadcast(table), BLOCK).where(f"{PLACE} >= __low and {PLACE} < __high")
+        halo = halo.withColumn(BLOCK, F.col("__to")).withColumn("__own", F.lit(False))
+        rows = rows.unionByName(halo.select(*rows.columns))
+    columns = make(Series(keys=(BLOCK, *series.keys), order=series.order))
+    return rows.select("*", *[column.alias(name) for name, column in columns.items()]).where("__own").select(*df.columns, *columns)
+
+
 def ranges(df: DataFrame, columns: dict[str, tuple[str, bool]], keys: tuple[str, ...], order: str, blocks: int | None = None) -> DataFrame:
     """df with, by new name, the numbers of rows directly before that lie below (or above) a column's value: (column, above)."""
     base = made = in_blocks(df, keys, order, blocks)

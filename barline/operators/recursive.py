@@ -250,6 +250,95 @@ class Linear(Step):
         return [None if any(x is None for x in row) else sum(f * x for f, x in zip(self.factors, row, strict=True)) for row in zip(*values, strict=True)]
 
 
+@dataclass(frozen=True)
+class Total(Step):
+    """The sum of all values so far; null where the value is (unless null is told to count as nothing)."""
+
+    through_null: bool = False
+
+    def start(self) -> list:
+        return [None]
+
+    def run(self, state: list, values: list[list]) -> list:
+        (total,), out = state, []
+        for x in values[0]:
+            if x is not None:
+                total = x if total is None else total + x
+            out.append(total if x is not None or self.through_null else None)
+        state[:] = [total]
+        return out
+
+    # A map is the sum of the rows' values, None without any.
+
+    def mapped(self, values: list[list]) -> tuple:
+        there = [x for x in values[0] if x is not None]
+        return (sum(there[1:], there[0]) if there else None,)
+
+    def composed(self, first: tuple, then: tuple) -> tuple:
+        return (*self.after(list(first), then),)
+
+    def after(self, state: list, there: tuple) -> list:
+        return [there[0] if state[0] is None else state[0] if there[0] is None else state[0] + there[0]]
+
+
+@dataclass(frozen=True)
+class Latest(Step):
+    """The last value so far that isn't null."""
+
+    def start(self) -> list:
+        return [None]
+
+    def run(self, state: list, values: list[list]) -> list:
+        (last,), out = state, []
+        for x in values[0]:
+            last = last if x is None else x
+            out.append(last)
+        state[:] = [last]
+        return out
+
+    # A map is the last value of the rows, None without any.
+
+    def mapped(self, values: list[list]) -> tuple:
+        return (next((x for x in reversed(values[0]) if x is not None), None),)
+
+    def composed(self, first: tuple, then: tuple) -> tuple:
+        return first if then[0] is None else then
+
+    def after(self, state: list, there: tuple) -> list:
+        return list(self.composed((state[0],), there))
+
+
+@dataclass(frozen=True)
+class Since(Step):
+    """Rows since the condition last held; null if it never did."""
+
+    kind: T.DataType = field(default_factory=T.IntegerType)
+
+    def start(self) -> list:
+        return [None]
+
+    def run(self, state: list, values: list[list]) -> list:
+        (n,), out = state, []
+        for x in values[0]:
+            n = 0 if x else None if n is None else n + 1
+            out.append(n)
+        state[:] = [n]
+        return out
+
+    # A map is (rows, rows since it last held among them or None).
+
+    def mapped(self, values: list[list]) -> tuple:
+        rows = len(values[0])
+        return rows, next((k for k, x in enumerate(reversed(values[0])) if x), None)
+
+    def composed(self, first: tuple, then: tuple) -> tuple:
+        return first[0] + then[0], self.after([first[1]], then)[0]
+
+    def after(self, state: list, there: tuple) -> list:
+        rows, n = there
+        return [n if n is not None else None if state[0] is None else state[0] + rows]
+
+
 @dataclass(frozen=True)
 class Extreme(Step):
     """The highest (or lowest) of the last n values; null until there are n rows, all with a value. The state is those values."""

@@ -6,12 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def landed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files: those of its folder, or its one file."""
+    path = f"{sf_dir}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(folder).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One short series for each user."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     return events.select(F.col("user_id").alias("code"), F.col("ts").alias("trade_date"), F.col("value").alias("close"), "event_type")
 
 
+def long_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ticks as one long series for each kind of event."""
+    return ticks(spark, sf_dir).select(F.col("event_type").alias("code"), "trade_date", "close")
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars, one series for each kind of event. Partial aggregates keep the hot kinds from being gathered."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")

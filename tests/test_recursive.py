@@ -1,9 +1,11 @@
 import datetime
 import math
 import random
+from collections import Counter
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from barline.operators.recursive import DMA, EMA, SMA, Filter, Linear, Range, with_recursive
 
@@ -86,6 +88,10 @@ def test_steps_build_on_steps_and_empty_input(spark, series):
     assert with_recursive(frame(spark, {}), steps).count() == 0
 
 
+def alike(got, want):
+    return got is None if want is None else got is not None and got == pytest.approx(want, rel=1e-9, abs=1e-9, nan_ok=True)
+
+
 def tasks_of(spark, df, key):
     """Rows of a key by partition."""
     return [r["n"] for r in df.where(f"code = '{key}'").selectExpr("spark_partition_id() as p").groupBy("p").agg({"*": "count"}).toDF("p", "n").collect()]
@@ -151,3 +157,61 @@ def test_the_tree_of_extremes_finds_the_last_block():
         for before in range(n + 1):
             for x in (0.0, 7.0, 19.0, 20.0, 21.0):
                 assert tree.last_at_least(x, before) == max((i for i in range(before) if largest[i] >= x), default=-1)
+
+
+@pytest.mark.parametrize("blocks", [3, 40])
+def test_windows_over_split_series(spark, series, blocks):
+    from barline.functions.series import Series
+    from barline.functions.technical import CCI, MASS
+    from barline.operators.blocks import windowed
+
+    df = frame(spark, {**series, "two": [1.0, 2.0]}).selectExpr("*", "close + 1 as high", "close - 1 as low")
+
+    def make(s):
+        c, h, low = F.col("close"), F.col("high"), F.col("low")
+        mass, mean = MASS(h, low, s=s)
+        return {"ma": s.MA("close", 20), "ahead": s.REF("close", -3), "hb": s.HHVBARS("close", 9), "cci": CCI(c, h, low, s=s), "mass": mass, "mean": mean, "wma": s.WMA("close", 10), "slope": s.SLOPE("close", 10)}
+
+    whole = Series()
+    want = {(r["code"], r["trade_date"]): r for r in df.select("*", *[c.alias(n) for n, c in make(whole).items()]).collect()}
+    found = windowed(df, make, whole, before=60, after=3, blocks=blocks).collect()
+    assert len(found) == len(want)
+    for row in found:
+        for name in ("ma", "ahead", "hb", "cci", "mass", "mean", "wma", "slope"):
+            assert alike(row[name], want[row["code"], row["trade_date"]][name]), (name, row)
+
+
+def test_running_steps_in_blocks(spark, series):
+    from barline.functions.series import Series
+    from barline.operators.recursive import Extreme, Latest, Since, Total
+
+    df = frame(spark, {**series, "gap": [None, 2.0, None] * 60}).selectExpr("*", "close > 18 as up", "case when close > 18 then close end as at_rise")
+    steps = {"total": Total(("close",)), "on": Total(("close",), through_null=True), "latest": Latest(("at_rise",)), "since": Since(("up",)), "hhv": Extreme(("close",), n=9), "llv": Extreme(("close",), n=9, lowest=True)}
+    s = Series()
+    columns = {"total": s.SUM("close", 0), "latest": s.VALUEWHEN(df["up"], "close"), "since": s.BARSLAST(df["up"]), "hhv": s.HHV("close", 9), "llv": s.LLV("close", 9)}
+    want = {(r["code"], r["trade_date"]): r for r in df.select("code", "trade_date", *[c.alias(n) for n, c in columns.items()]).collect()}
+    for blocks in (None, 11):
+        rows = with_recursive(df, steps, blocks=blocks).collect()
+        assert len(rows) == len(want)
+        for row in rows:
+            for name in columns:
+                assert alike(row[name], want[row["code"], row["trade_date"]][name]), (name, row)
+
+
+def test_windows_of_a_hot_series_are_many_tasks(spark):
+    from barline.functions.series import Series
+    from barline.operators.blocks import windowed
+
+    df = frame(spark, {"hot": [float(i % 23) for i in range(4000)], **{f"s{k}": [1.0] * 20 for k in range(50)}})
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        # Where a row is worked out is asked after the window, in its own stage.
+        at = F.spark_partition_id().alias("p")
+        ma = F.col("ma")
+        whole = df.select("*", Series().MA("close", 20).alias("ma")).where("code = 'hot'").select(ma, at).where("ma > 0 or ma is null")
+        assert len({r["p"] for r in whole.collect()}) == 1
+        found = windowed(df, lambda s: {"ma": s.MA("close", 20)}, Series(), 19, blocks=12).where("code = 'hot'").select(ma, at).collect()
+        shares = Counter(r["p"] for r in found)
+        assert len(found) == 4000 and len(shares) >= 3 and max(shares.values()) < 2500
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
