@@ -11,10 +11,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barline.functions.numeric import ABS, MAX, RD, fdiv
+from barline.functions.numeric import ABS, IF, MAX, RD, fdiv
 from barline.functions.series import Series
 from barline.functions.technical import ATR
-from barline.operators.recursive import DMA, EMA, SMA, Extreme, Linear, Place, Step, with_recursive
+from barline.operators.recursive import DMA, EMA, SMA, Extreme, Linear, Place, Step, Total, with_recursive
 
 S = Series()
 
@@ -74,6 +74,13 @@ def ktn(close: str = "close", high: str = "high", low: str = "low", n: int = 20,
     return Smoothed({"_ktn": EMA("_ktn_tp", n)}, done, {"_ktn_tp": (h + l_ + c) / 3, "_ktn_atr": ATR(c, h, l_, m, s)})
 
 
+def obv(close: str = "close", volume: str = "volume", s: Series = S) -> Smoothed:
+    """OBV as a running step."""
+    before = s.REF(close)
+    signed = IF(F.col(close) > before, F.col(volume), IF(F.col(close) < before, -F.col(volume), 0.0))
+    return Smoothed({"_obv": Total(("_signed",))}, {"OBV": F.col("_obv") / 10000}, {"_signed": signed})
+
+
 def trix(close: str = "close", m1: int = 12, m2: int = 20, s: Series = S) -> Smoothed:
     """TRIX and TRMA."""
     before = s.REF("_trix3")

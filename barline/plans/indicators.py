@@ -33,9 +33,13 @@ def window_columns(s: Series | None = None, prefix: str = "", boll_digits: int |
     return found
 
 
+def recursive_indicators(s: Series) -> list[smoothed.Smoothed]:
+    return [smoothed.macd(), smoothed.kdj(s=s), smoothed.rsi(s=s), smoothed.ktn(s=s), smoothed.trix(s=s), smoothed.expma(), smoothed.xsii(s=s), smoothed.w_jx(s=s)]
+
+
 def all_indicators(bars: DataFrame, s: Series | None = None, boll_digits: int | None = 2) -> DataFrame:
     """bars with every indicator: two shuffles and sorts for the first windows and the recursive pass, one for the last windows."""
     s = s or Series()
-    recursive = [smoothed.macd(), smoothed.kdj(s=s), smoothed.rsi(s=s), smoothed.ktn(s=s), smoothed.trix(s=s), smoothed.expma(), smoothed.xsii(s=s), smoothed.w_jx(s=s)]
+    recursive = recursive_indicators(s)
     bars = T.with_td(T.with_dmi(bars, s=s), s=s)
     return smoothed.add(bars, *recursive, s=s, more=window_columns(s, boll_digits=boll_digits))
