@@ -62,6 +62,7 @@ class Tree:
         order = np.concatenate([rows for _, rows in self.leaves])
         self.ids, self.labels, self.values = ids[order], labels[order], values[order]
         self.starts = np.cumsum([0, *(len(rows) for _, rows in self.leaves)])
+        self.largest = float(np.abs(self.values).max(initial=0.0)) if values.dtype != object else np.inf
 
     def _grow(self, points: np.ndarray, rows: np.ndarray, branch: int) -> None:
         cut = None
@@ -99,38 +100,49 @@ class Tree:
 
     def scores(self, query: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Exact scores of some rows: longs, or Python's integers where longs can't hold them."""
-        if query.dtype != object and self.values.dtype != object:
-            with np.errstate(over="ignore"):
-                most = np.abs(query).max(initial=0.0) * np.abs(self.values).max(initial=0.0) * len(query)
-            if most < 1 << 53:
-                return (self.values[rows] @ query).astype(np.int64)
+        if query.dtype != object and self.values.dtype != object and np.abs(query).max(initial=0.0) * self.largest * len(query) < 1 << 53:
+            return (self.values[rows] @ query).astype(np.int64)
         a = [int(x) for x in query]
         return np.array([sum(x * int(y) for x, y in zip(a, row, strict=True)) for row in self.values[rows]], object)
 
-    def nearest(self, query: np.ndarray, most: np.ndarray, fewest: np.ndarray, low: int | None, high: int | None, fits: Callable[[np.ndarray], np.ndarray], k: int) -> list[tuple[int, int]]:
-        """(score, id) of the first k rows that fit, with low <= score <= high: by score descending, then id ascending. most, fewest: bounds of the leaves."""
+
+class Asked:
+    """An anchor at a tree: bounds of the leaves, which rows fit, and the scores that have been worked out."""
+
+    def __init__(self, tree: Tree, query: np.ndarray, most: np.ndarray, fewest: np.ndarray, fits: np.ndarray):
+        self.tree, self.query, self.most, self.fewest, self.fits = tree, query, most, fewest, fits
+        self.leaves: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _leaf(self, leaf: int) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and ids of the rows of a leaf that fit."""
+        if leaf not in self.leaves:
+            rows = np.flatnonzero(self.fits[self.tree.starts[leaf] : self.tree.starts[leaf + 1]]) + self.tree.starts[leaf]
+            self.leaves[leaf] = self.tree.scores(self.query, rows), self.tree.ids[rows]
+        return self.leaves[leaf]
+
+    def nearest(self, low: int | None, high: int | None, k: int) -> list[tuple[int, int]]:
+        """(score, id) of the first k rows that fit, with low <= score <= high: by score descending, then id ascending."""
         # Written so that what is no number prunes nothing.
-        entered = np.ones(len(most), bool)
+        entered = np.ones(len(self.most), bool)
         if low is not None:
-            entered &= ~(most < low)
+            entered &= ~(self.most < low)
         if high is not None:
-            entered &= ~(fewest > high)
-        can = np.nan_to_num(most, nan=np.inf) if high is None else np.fmin(most, float(high) + 1.0)
+            entered &= ~(self.fewest > high)
+        can = np.nan_to_num(self.most, nan=np.inf) if high is None else np.fmin(self.most, float(high) + 1.0)
         leaves = np.flatnonzero(entered)
         leaves = leaves[np.argsort(-can[leaves], kind="stable")]
         scores, ids, at, step = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, 1
         while at < len(leaves):
             if len(scores) >= k and scores[k - 1] > can[leaves[at]]:
                 break
-            rows = self._rows(leaves[at : at + step])
-            rows = rows[fits(rows)]
-            found = self.scores(query, rows)
-            inside = np.ones(len(rows), bool)
+            found = [self._leaf(leaf) for leaf in leaves[at : at + step].tolist()]
+            more = np.concatenate([x for x, _ in found])
+            inside = np.ones(len(more), bool)
             if low is not None:
-                inside &= (found >= low).astype(bool)
+                inside &= (more >= low).astype(bool)
             if high is not None:
-                inside &= (found <= high).astype(bool)
-            scores, ids = np.concatenate([scores, found[inside]]), np.concatenate([ids, self.ids[rows[inside]]])
+                inside &= (more <= high).astype(bool)
+            scores, ids = np.concatenate([scores, more[inside]]), np.concatenate([ids, np.concatenate([x for _, x in found])[inside]])
             order = np.lexsort((ids, -scores)) if scores.dtype != object else np.array(sorted(range(len(ids)), key=lambda i: (-scores[i], ids[i])), np.int64)
             scores, ids = scores[order[:k]], ids[order[:k]]
             at, step = at + step, 2 * step
@@ -161,16 +173,13 @@ def _streams(batches: Iterator[pa.RecordBatch], answer: Callable) -> Iterator[pa
             if tree is not None:
                 asked, kinds = whole(vectors), number(labels[start:stop], False)
                 most, fewest = tree.bounds(asked)
-                rows = [row for i in range(stop - start) for row in answer(tree, int(own[start + i]), kinds[i], asked[i], (most[:, i], fewest[:, i]), wanted[start + i].as_py())]
+                rows = [row for i in range(stop - start) for row in answer(tree, int(own[start + i]), kinds[i], (asked[i], most[:, i], fewest[:, i]), wanted[start + i].as_py())]
                 columns = list(zip(*rows, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["anchor_id", "positive_id", "positive_score", "found_id", "score"])
 
 
-def _positives(tree: Tree, own: int, label: int, query: np.ndarray, bounds: tuple[np.ndarray, np.ndarray], _: object) -> Iterator[tuple]:
-    def fits(rows: np.ndarray) -> np.ndarray:
-        return (tree.labels[rows] == label) & (tree.ids[rows] != own)
-
-    for score, found in tree.nearest(query, *bounds, None, None, fits, POSITIVES):
+def _positives(tree: Tree, own: int, label: int, asked: tuple[np.ndarray, ...], _: object) -> Iterator[tuple]:
+    for score, found in Asked(tree, *asked, (tree.labels == label) & (tree.ids != own)).nearest(None, None, POSITIVES):
         yield own, None, None, found, score
 
 
@@ -179,14 +188,12 @@ def window(score: int) -> tuple[int, int]:
     return -(-LEAST * score // 100), MOST * score // 100
 
 
-def _negatives(tree: Tree, own: int, label: int, query: np.ndarray, bounds: tuple[np.ndarray, np.ndarray], positives: list[dict]) -> Iterator[tuple]:
-    def fits(rows: np.ndarray) -> np.ndarray:
-        return (tree.labels[rows] != label) & (tree.ids[rows] != own)
-
+def _negatives(tree: Tree, own: int, label: int, asked: tuple[np.ndarray, ...], positives: list[dict]) -> Iterator[tuple]:
+    one = Asked(tree, *asked, (tree.labels != label) & (tree.ids != own))
     for positive in positives:
         low, high = window(positive["score"])
         if low <= high:
-            for score, found in tree.nearest(query, *bounds, low, high, fits, NEGATIVES):
+            for score, found in one.nearest(low, high, NEGATIVES):
                 yield own, positive["found_id"], positive["score"], found, score
 
 
