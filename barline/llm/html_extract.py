@@ -12,7 +12,9 @@ clusters of them marks content lines. The marked lines select the content region
 Regions are given whole, so that headings and short paragraphs in them aren't lost.
 
 Page furniture is left out: menus, footers, asides, adverts, notices, scripts, styles and reader comments, by element and by the
-words of class, id and role. Two cases are decided here: a header is furniture unless it lies in an article or main, whose title it
+words of class, id and role. In an article or main, a class or id names furniture only if all of its words do (share-buttons), since a
+section of the article can be about anything (search-algorithms); where some do, the section goes if links are most of its text. Buttons
+and labels go, but for those within a paragraph's prose. Two more cases are decided here: a header is furniture unless it lies in an article or main, whose title it
 then holds; a form is furniture unless it holds the article, as a form around the whole page does, and then only its fields go.
 
 A page is parsed within its row, in Arrow batches; pages need nothing of one another. Memory and time grow with the page's length,
@@ -40,17 +42,23 @@ APART = 2
 SHARE = 0.5
 #: Words of a line that counts as prose when a form is judged.
 PROSE_WORDS = 8
+#: Share of links in the text of a section of an article, with a name like furniture's, from which on it is furniture.
+LINKS = 0.5
 # Element names of HTML, and the words by which pages name their furniture.
 LEFT_OUT = frozenset("head title nav footer aside script style noscript template iframe object embed svg canvas button select textarea input label legend datalist output menu dialog audio video".split())
 HEAD = frozenset("head title meta link base script style noscript template".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr inline-button inline-label".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ITEMS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd tr td th table tbody thead tfoot caption blockquote pre figure figcaption details summary header hgroup address center".split())
 #: Words of class and id that name what doesn't belong to an article, in the languages of the corpus.
 FURNITURE = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments reply replies disqus respond share sharing social related recommended widget toolbar pagination pager login signup search "
-    "werbung anzeige anzeigen kommentar kommentare fusszeile kopfzeile seitenleiste hinweis publicidad anuncio anuncios comentario comentarios aviso avisos publicite commentaire commentaires".split()
+    "werbung anzeige anzeigen kommentar kommentare fusszeile kopfzeile seitenleiste hinweis publicidad anuncio anuncios comentario comentarios aviso avisos publicite commentaire commentaires opiniones leserkommentare".split()
 )
+#: Words that stand beside these in names of furniture, and name nothing themselves.
+CARRIERS = frozenset("area article articles bar block body bottom box boxes button buttons col column container content entry feed form group head heading icon icons inner item items lectores left link links list main message outer page panel post posts right root row section site slot stories story tools top unit user users wrap wrapper zone".split())
+#: Elements that are part of the prose where they stand in a paragraph.
+CONTROLS = frozenset(("button", "label"))
 TITLES = frozenset(("header", "masthead", "kopfzeile"))
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
@@ -59,6 +67,7 @@ _TEXT_CONTENT = frozenset(("script", "style"))
 _ENDS = {"li": ("li", "p"), "dd": ("dd", "dt", "p"), "dt": ("dd", "dt", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}
 _QUALIFIED = re.compile(r"\b(?:has|with|no|without)-\w+")
 _LETTERS = re.compile(r"[^\W\d_]+")
+_HUMP = re.compile(r"(?<=[^\W\d_A-Z])(?=[A-Z])")
 _UNSEEN = re.compile(r"display\s*:\s*none")
 
 
@@ -72,15 +81,18 @@ class Lines(HTMLParser):
         self.open: list[tuple[int, bool, bool, int, int]] = [(0, False, False, 0, 0)]
         self.there: Counter[str] = Counter()  # open elements by name
         self.lines: list[tuple[str, int, int]] = []
+        self.links: list[int] = []  # characters of a line that lie in links
+        self.doubtful: set[int] = set()  # elements in articles, with a name of which some words are furniture's
         self.text: list[str] = []
-        self.tags = 0
+        self.tags = self.linked = self.prose = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
-        if text:
+        if text and self.prose:  # a line of controls alone isn't prose
             self.lines.append((text, self.tags, self.open[-1][3]))
+            self.links.append(self.linked)
         self.text.clear()
-        self.tags = 0
+        self.tags = self.linked = self.prose = 0
 
     def shut(self, at: int) -> None:
         """Closes the open element at a place, and those in it."""
@@ -99,15 +111,29 @@ class Lines(HTMLParser):
             return True
         if tag in ("html", "body", "main", "form"):
             return False
-        named = f"{given.get('class') or ''} {given.get('id') or ''}".lower()
-        # An article is named by a whole word only: one with comments-open isn't a comment.
-        words = set(named.split()) if tag == "article" else set(_LETTERS.findall(_QUALIFIED.sub("", named)))
-        return not FURNITURE.isdisjoint(words - TITLES if inside else words)
+        names = [name for key in ("class", "id") for name in _HUMP.sub("-", given.get(key) or "").lower().split()]
+        if tag == "article":  # by a whole name only: one with comments-open isn't a comment
+            return not FURNITURE.isdisjoint(set(names) - TITLES if inside else names)
+        for name in names:
+            words = set(_LETTERS.findall(_QUALIFIED.sub("", name)))
+            if inside:
+                words -= TITLES
+            if FURNITURE.isdisjoint(words):
+                continue
+            if not inside or words <= FURNITURE | CARRIERS:
+                return True
+            self.doubtful.add(len(self.names) - 1)
+        return False
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.there["head"] and tag not in HEAD:  # the end tag of a head may be missing
             self.handle_endtag("head")
         self.tags += 1
+        if self.open[-1][4]:
+            if tag in CONTROLS:
+                tag = f"inline-{tag}"
+            elif tag == "input":
+                return
         if tag == "br":
             self.text.append(" ")
         if tag in INLINE and tag in VOID:
@@ -146,6 +172,8 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
+        if tag in CONTROLS and self.there[f"inline-{tag}"]:
+            tag = f"inline-{tag}"
         if self.there[tag]:  # else there is nothing to look for
             for at in range(len(self.open) - 1, 0, -1):
                 if self.names[self.open[at][0]] == tag:
@@ -162,6 +190,9 @@ class Lines(HTMLParser):
             self.handle_endtag("head")
         if not self.open[-1][1]:
             self.text.append(data)
+            seen = len(data) - data.count(" ")
+            self.linked += seen * (self.there["a"] > 0)
+            self.prose += seen * (not (self.there["inline-button"] or self.there["inline-label"])) * (not data.isspace())
 
 
 def smooth(ratios: np.ndarray) -> np.ndarray:
@@ -202,6 +233,19 @@ def _outermost(page: Lines, wanted: list[bool]) -> list[int]:
     return found
 
 
+def _without_links(page: Lines) -> None:
+    """Takes out the lines of doubtful elements whose text is links for the most part."""
+    if not page.doubtful:
+        return
+    doubtful = _outermost(page, [number in page.doubtful for number in range(len(page.names))])
+    size, linked = Counter(), Counter()
+    for (text, _, element), n in zip(page.lines, page.links, strict=True):
+        size[doubtful[element]] += len(text) - text.count(" ")
+        linked[doubtful[element]] += n
+    gone = {number for number in size if number and linked[number] >= LINKS * size[number]}
+    page.lines = [line for line in page.lines if doubtful[line[2]] not in gone]
+
+
 def _without_forms(page: Lines) -> list[tuple[str, int, int]]:
     """The lines, without those of forms that don't hold the article: an article, main or h1, or half of the page's prose."""
     if "form" not in page.names:
@@ -245,6 +289,7 @@ def content_blocks(html: str | None) -> list[str]:
     page.feed(html)
     page.close()
     page.flush()
+    _without_links(page)
     lines = _without_forms(page)
     if not lines:
         return []
