@@ -31,26 +31,39 @@ BANDS, BAND_ROWS = 20, 5
 SKETCH_APART = 38
 #: Nodes of a block, about: at least, at most, and in between as many as make FEW_BLOCKS of a cluster; and most shingles of a block, about.
 LEAST_BLOCK, MOST_BLOCK, FEW_BLOCKS, BLOCK_SHINGLES = 256, 4096, 64, 1 << 20
+#: Words whose hashes a worker keeps at most, but for those of one text.
+WORDS_KNOWN = 1 << 16
 #: Shingles compared with one set at a time.
 SHINGLES_AT_ONCE = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _FLIPS, _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND_ROWS), dtype=np.uint64) | np.uint64(1)
 
 
+class _Known(dict):
+    """Hashes by word."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        found = self[word] = xxhash.xxh64_intdigest(word, SEED)
+        return found
+
+
+_known = _Known()
+
+
 def shingle_hashes(text: str | None, shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of so many words; A-Z are lower-cased, words end at space and \\t to \\r.
 
     A text of fewer words is one shingle; one without words has none. Sets are compared by these hashes, so two
     shingles count as one only if 64 bits collide within a pair of texts.
     """
-    import xxhash
-
     words = (text or "").encode("utf-8").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    digest = xxhash.xxh64_intdigest
-    known = {word: digest(word, SEED) for word in set(words)}
-    hashes = np.array([known[word] for word in words], np.uint64)
+    if len(_known) > WORDS_KNOWN:
+        _known.clear()
+    hashes = np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
     n, wide = max(1, len(words) - shingle_words + 1), min(shingle_words, len(words))
     mixed = np.full(n, wide, np.uint64)
     for k in range(wide):

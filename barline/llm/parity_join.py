@@ -7,7 +7,7 @@ band: a set is a member of its own band, and visits the next one if a set there
 
 1. Equal parts: (band, part, bits) are dealt by their hash; those of one set only are dropped. Very frequent ones, found on a sample of
    the documents, aren't dealt at all, since they stay in any case.
-2. Search: buckets are searched for pairs whose parity sketches of fixed size are near enough; a spanning forest of these is given.
+2. Search: buckets are searched for pairs whose shorter parity sketches are near enough; a spanning forest of these is given.
 3. Verify: those pairs are compared on whole sets, and what is alike is joined. Where one of them isn't alike after all, the buckets that
    still hold several components are searched again without the shortcut, until nothing was held back.
 
@@ -33,9 +33,11 @@ from barline.llm.simhash import components
 SHINGLE_WORDS = 3
 #: The least similarity of a link, in hundredths.
 SIMILAR = 90
-#: Largest size of a band by its smallest, and the words (of 64 bits) of the sketch that pairs of a bucket are compared by.
-BAND_RATIO, SKETCH_WORDS = 1.5, 16
-#: So many doc_ids of texts to be compared go by broadcast; more are joined by a shuffle.
+#: Largest size of a band by its smallest, and the least words (of 64 bits) of the sketches that pairs of a bucket are compared by.
+BAND_RATIO, SKETCH_WORDS = 1.5, 4
+#: Rows, shingles and keys that a task gives out at a time.
+ROWS_AT_ONCE, VALUES_AT_ONCE = 2048, 1 << 18
+#: So many ends of edges to be verified go to the texts by broadcast; more are joined by a shuffle.
 FEW = 1_000_000
 #: Sets of a chunk of a bucket, about, and sets that meet one copy of a set that many are compared with.
 CHUNK, HUB = 4096, 1000
@@ -81,6 +83,18 @@ def parities(hashes: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
+def sketch_of(hashes: np.ndarray) -> np.ndarray:
+    """A power of two of words, with a bit for each shingle about."""
+    return parities(hashes, max(SKETCH_WORDS, 1 << (len(hashes) // 64).bit_length()))
+
+
+def folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    """The sketch of so many words (a power of two) that the set would have."""
+    while sketch.shape[-1] > words:
+        sketch = sketch[..., ::2] ^ sketch[..., 1::2]
+    return sketch
+
+
 def keys_of(hashes: np.ndarray) -> np.ndarray:
     """A 64-bit key for each part of each band of a set."""
     out = [np.zeros(0, np.uint64)]
@@ -91,56 +105,52 @@ def keys_of(hashes: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) as doc_id, node (hash of the set), shingles."""
-
-    @F.arrow_udf("struct<node:long,shingles:array<long>>")
-    def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            found = [shingle_hashes(text.as_py(), SHINGLE_WORDS) for text in texts]
-            nodes = np.array([node_of(x) for x in found], np.uint64).view(np.int64)
-            ends = np.cumsum([0, *(len(x) for x in found)])
-            flat = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
-            yield pa.StructArray.from_arrays([pa.array(nodes), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["node", "shingles"])
-
-    return docs.select("doc_id", sets("text").alias("s")).select("doc_id", "s.node", "s.shingles")
+def _lists(found: list[np.ndarray]) -> pa.ListArray:
+    flat = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x) for x in found)]), pa.int32()), pa.array(flat))
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, node, n_shingles and sketch of each row."""
-
-    @F.arrow_udf("struct<node:long,n_shingles:long,sketch:array<long>>")
-    def sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            nodes, sizes, sketches = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.int64), np.zeros((len(texts), SKETCH_WORDS), np.uint64)
-            for i, text in enumerate(texts):
-                hashes = shingle_hashes(text.as_py(), SHINGLE_WORDS)
-                nodes[i], sizes[i], sketches[i] = node_of(hashes), len(hashes), parities(hashes, SKETCH_WORDS)
-            lists = pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * SKETCH_WORDS, sketches.reshape(-1).view(np.int64))
-            yield pa.StructArray.from_arrays([pa.array(nodes.view(np.int64)), pa.array(sizes), lists], names=["node", "n_shingles", "sketch"])
-
-    return docs.select("doc_id", sign("text").alias("s")).select("doc_id", "s.node", "s.n_shingles", "s.sketch")
+    """doc_id, node (hash of the set), n_shingles, sketch and keys of each row; of rows of one set in a batch, the first one has the keys."""
+    kinds = "node long, n_shingles long, sketch array<long>, keys array<long>"
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            seen: set[int] = set()
+            for start in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(start, ROWS_AT_ONCE)
+                nodes, sizes, sketches, keys = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.int64), [], []
+                for i, text in enumerate(batch.column(1)):
+                    hashes = shingle_hashes(text.as_py(), SHINGLE_WORDS)
+                    nodes[i], sizes[i] = node_of(hashes), len(hashes)
+                    sketches.append(sketch_of(hashes))
+                    keys.append(np.zeros(0, np.uint64) if int(nodes[i]) in seen else keys_of(hashes))
+                    seen.add(int(nodes[i]))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes.view(np.int64)), pa.array(sizes), _lists(sketches), _lists(keys)], names=["doc_id", "node", "n_shingles", "sketch", "keys"])
+
+    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {kinds}")
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, shingles) of the texts; a set that comes again in a batch isn't given again."""
+    for batch in batches:
+        found: dict[int, np.ndarray] = {}
+        seen, held = set(), 0
 
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.array(list(found), np.uint64).view(np.int64)), _lists(list(found.values()))], names=["node", "shingles"])  # noqa: B023
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, node) of the texts; a set that comes again in a batch isn't given again."""
-    names = ["key", "node"]
-    for batch in batches:
-        seen, keys, nodes, held = set(), [], [], 0
         for text in batch.column(0):
             hashes = shingle_hashes(text.as_py(), SHINGLE_WORDS)
             node = node_of(hashes)
-            if node in seen:
-                continue
-            seen.add(node)
-            keys.append(keys_of(hashes))
-            nodes.append(np.full(len(keys[-1]), node, np.uint64))
-            held += len(keys[-1])
-            if held > 1 << 18:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (keys, nodes)], names=names)
-                keys, nodes, held = [], [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (keys, nodes)], names=names)
+            if node not in seen:
+                seen.add(node)
+                found[node], held = hashes, held + len(hashes)
+            if held > VALUES_AT_ONCE:
+                yield out()
+                found, held = {}, 0
+        if found:
+            yield out()
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,36 +172,63 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.array([x])) for x in last], names=["key", "node"])
 
 
-def buckets(docs: DataFrame) -> DataFrame:
+def buckets(signed: DataFrame) -> DataFrame:
     """(key, node) of the keys that several sets have."""
-    keyed = docs.select("text").mapInArrow(_keyed, "key long, node long")
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(_keyed, "key long, node long")
-    counts = durable(sample.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    keyed = signed.select(F.explode("keys").alias("key"), "node")
+    sample = signed.where(F.pmod(F.xxhash64("doc_id", "node"), F.lit(SAMPLE)) == 0).select(F.explode("keys").alias("key"), "node")
+    counts = durable(sample.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1"))
+    total = signed.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0] / SAMPLE
     # At most 1 / FREQUENT keys. They have several nodes, so they need no dealing to be known for that.
     frequent = F.broadcast(counts.where((F.col("low") != F.col("high")) & (F.col("n") > F.greatest(F.lit(total * FREQUENT), F.lit(1000)))).select("key"))
     rest = keyed.join(frequent, "key", "left_anti").repartition("key").sortWithinPartitions("key", "node")
     return rest.mapInArrow(_shared, "key long, node long").unionByName(keyed.join(frequent, "key", "left_semi").distinct())
 
 
-def alike(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    """Edges (a, b) with `linked`: whether the whole sets (node, shingles) are SIMILAR."""
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, part, side, b, shingles) come sorted by the first three: a set, then those that it is compared with."""
+    now, one = None, None
+    for batch in batches:
+        a, part, side = (batch.column(i).to_numpy() for i in range(3))
+        b = batch.column(3).fill_null(0).to_numpy()
+        lists = batch.column(4)
+        ends, flat = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        found: tuple[list, list, list] = ([], [], [])
+        for i in range(len(a)):
+            other = flat[ends[i] : ends[i + 1]]
+            if (a[i], part[i]) != now:
+                now, one = (a[i], part[i]), other.copy()
+            if side[i]:
+                both = int(np.count_nonzero(one[np.minimum(np.searchsorted(one, other), len(one) - 1)] == other))
+                for column, value in zip(found, (a[i], b[i], 100 * both >= SIMILAR * (len(one) + len(other) - both)), strict=True):
+                    column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.bool_())], names=["a", "b", "linked"])
+
+
+def alike(edges: DataFrame, docs: DataFrame, signed: DataFrame) -> DataFrame:
+    """Edges (a, b) with `linked`: whether the whole sets are SIMILAR. Each set is dealt once for each edge, and once for each group it meets."""
     edges = durable(edges.distinct())
     counts = durable(edges.groupBy("a").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / HUB)))
-    dealt = join_counted(edges, counts, "a", edges.count()).withColumn("part", F.pmod(F.xxhash64("b"), "parts"))
-    many = dealt.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("other")), "b")
-    one = counts.join(sets.select(F.col("node").alias("a"), "shingles"), "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "shingles")
-    both = F.size(F.array_intersect("shingles", "other"))
-    met = many.join(one, ["a", "part"]).select("a", "b", both.alias("i"), (F.size("shingles") + F.size("other")).alias("sizes"))
-    return met.select("a", "b", (100 * F.col("i") >= SIMILAR * (F.col("sizes") - F.col("i"))).alias("linked")).distinct()
+    dealt = join_counted(edges, counts, "a", edges.count()).select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), "parts").alias("part"), F.lit(1).alias("side"), "b")
+    hubs = counts.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("b"))
+    ends = durable(dealt.unionByName(hubs))
+    nodes = ends.select("node").distinct()
+    least = durable(signed.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
+    few = ends.count() <= FEW  # there are no more doc_ids than ends
+    ends, least = (F.broadcast(ends), F.broadcast(least)) if few else (ends, least)
+    texts = docs.join(least, docs["doc_id"].eqNullSafe(least["doc_id"]), "left_semi")
+    # A document of several texts can bring a set that another one has brought; both are the same.
+    met = texts.select("text").mapInArrow(_sets, "node long, shingles array<long>").join(ends, "node").select("a", "part", "side", "b", "shingles")
+    return met.repartition("a", "part").sortWithinPartitions("a", "part", "side").mapInArrow(_judged, "a long, b long, linked boolean").distinct()
 
 
 class Bucket:
     """The sets of a chunk of a bucket, by node."""
 
-    def __init__(self, nodes: np.ndarray, roots: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, most: int | None):
+    def __init__(self, nodes: np.ndarray, roots: np.ndarray, sizes: np.ndarray, sketches: list[np.ndarray], most: int | None):
         order = np.argsort(nodes, kind="stable")
-        self.nodes, self.sizes, self.sketches, self.most = nodes[order], sizes[order], sketches[order], most
+        self.nodes, self.sizes, self.most = nodes[order], sizes[order], most
+        self.words = min(map(len, sketches))
+        self.sketches = {self.words: np.stack([folded(sketches[i], self.words) for i in order])}
         self.label = np.unique(roots[order], return_inverse=True)[1]
         self.names = np.unique(roots)
 
@@ -202,7 +239,10 @@ class Bucket:
         own = self.label[after - 1] if after else place if place < len(self.names) and self.names[place] == root else -1
         others = np.flatnonzero(self.label[after:] != own) + after
         low, high = np.minimum(self.sizes[others], size), np.maximum(self.sizes[others], size)
-        near = np.bitwise_count(self.sketches[others] ^ sketch).sum(axis=1) <= (100 - SIMILAR) * (low + high) // (100 + SIMILAR)
+        words = min(self.words, len(sketch))
+        if words not in self.sketches:
+            self.sketches[words] = folded(self.sketches[self.words], words)
+        near = np.bitwise_count(self.sketches[words][others] ^ folded(sketch, words)).sum(axis=1) <= (100 - SIMILAR) * (low + high) // (100 + SIMILAR)
         others = others[near & (100 * low >= SIMILAR * high)]
         if not len(others):
             return []
@@ -218,7 +258,7 @@ class Bucket:
         return [(node, int(self.nodes[i]), held) for i in others[order[rank < self.most]]]
 
     def own(self) -> list[tuple[int, int, bool]]:
-        return [edge for i in range(len(self.nodes) - 1) for edge in self.meet(int(self.nodes[i]), -1, int(self.sizes[i]), self.sketches[i], i + 1)]
+        return [edge for i in range(len(self.nodes) - 1) for edge in self.meet(int(self.nodes[i]), -1, int(self.sizes[i]), self.sketches[self.words][i], i + 1)]
 
 
 def _near(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.RecordBatch]:
@@ -227,7 +267,8 @@ def _near(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.Re
 
     def closed() -> list[tuple[int, int, bool]]:
         nonlocal bucket, parts
-        bucket, parts = Bucket(*(np.concatenate(x) for x in zip(*parts, strict=True)), most) if parts else None, []
+        bucket = Bucket(*(np.concatenate([part[i] for part in parts]) for i in range(3)), [x for part in parts for x in part[3]], most) if parts else None
+        parts = []
         return bucket.own() if bucket else []
 
     def out(edges: list[tuple[int, int, bool]]) -> pa.RecordBatch:
@@ -236,7 +277,9 @@ def _near(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.Re
 
     for batch in batches:
         key, chunk, visits, node, root, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
-        sketch = batch.column(6).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, SKETCH_WORDS)
+        lists = batch.column(6)
+        ends, flat = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64).copy()
+        sketch = [flat[low:high] for low, high in zip(ends, ends[1:], strict=False)]
         cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1]) | (visits[1:] != visits[:-1])]) if len(key) else []
         edges: list[tuple[int, int, bool]] = []
         for start, stop in zip(cuts, [*cuts[1:], len(key)], strict=True):
@@ -267,33 +310,32 @@ def _searched(rows: DataFrame, roots: DataFrame, sketched: DataFrame, most: int
     chunk = F.pmod(F.xxhash64("node"), "chunks").cast("int")
     met = left.withColumn("own", chunk).withColumn("chunk", F.explode(F.sequence("own", F.col("chunks") - 1)))
     met = met.select("key", "chunk", (F.col("chunk") != F.col("own")).cast("int").alias("visits"), "node", "root", "size", "sketch")
-    return met.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "visits").mapInArrow(lambda batches: _near(batches, most), "a long, b long, held boolean")
+    found = met.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "visits").mapInArrow(lambda batches: _near(batches, most), "a long, b long, held boolean")
+    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("held").alias("held"))
 
 
-def _sets_of(nodes: DataFrame, docs: DataFrame, signed: DataFrame) -> DataFrame:
-    """node and shingles of some nodes."""
-    least = durable(signed.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
-    few = F.broadcast(least) if least.count() <= FEW else least
-    texts = docs.join(few, docs["doc_id"].eqNullSafe(few["doc_id"]), "left_semi")
-    return durable(_sets(texts).join(nodes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
+def _once(rows: DataFrame) -> DataFrame:
+    """Of buckets (key, node) that hold the same sets, as those of near copies mostly do, one."""
+    marks = [F.bit_xor(F.xxhash64("node", F.lit(seed))).alias(f"mark_{seed}") for seed in range(2)]
+    members = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), *marks)
+    kept = durable(members.groupBy("n", "low", "high", "mark_0", "mark_1").agg(F.min("key").alias("key")).select("key", "n"))
+    return join_counted(rows, kept, "key", rows.count())
 
 
 def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
-    """(node, root) of the sets with a link; docs: doc_id, text; signed: doc_id, node, n_shingles and sketch of the same rows."""
-    rows = durable(buckets(docs))
+    """(node, root) of the sets with a link; docs: doc_id, text; signed: _signed of the same rows with shingles."""
+    rows = durable(_once(durable(buckets(signed))))
     sketched = durable(signed.join(rows.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch")))
-    found, most = durable(rows.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)), None
+    judged = durable(rows.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(True).alias("linked")).limit(0))
+    most = None
     while True:
-        roots = durable(components(found))
+        roots = durable(components(judged.where("linked").select("a", "b")))
         pairs = durable(_searched(rows, roots, sketched, most))
-        if pairs.isEmpty():
-            return roots
-        nodes = durable(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        judged = durable(alike(pairs.select("a", "b"), _sets_of(nodes, docs, signed)))
-        found = durable(found.unionByName(judged.where("linked").select("a", "b")))
+        fresh = durable(alike(pairs.select("a", "b").join(judged, ["a", "b"], "left_anti"), docs, signed))
+        judged = durable(judged.unionByName(fresh))
         # A forest of links leaves nothing out; without that shortcut, nothing is left out if nothing was held back.
-        if judged.where("not linked").isEmpty() if most is None else pairs.where("held").isEmpty():
-            return components(found)
+        if fresh.where("not linked").isEmpty() if most is None else pairs.where("held").isEmpty():
+            return components(judged.where("linked").select("a", "b"))
         most = PAIRS if most is None else most * PAIRS
 
 
@@ -309,5 +351,5 @@ def report(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     signed = durable(_signed(docs))
     full = signed.where("n_shingles > 0")
-    named = name_components(full, links(docs, full)).select("doc_id", "n_shingles", "component_id")
+    named = name_components(full.select("doc_id", "node", "n_shingles"), links(docs, full)).select("doc_id", "n_shingles", "component_id")
     return named.unionByName(signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
