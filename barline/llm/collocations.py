@@ -1,10 +1,11 @@
 """Phrase collocations by contiguous pattern growth (PrefixSpan over runs of words).
 
 Occurrences, not texts, are what is projected: of each occurrence of a frequent two-word prefix, the words that follow it, as far as
-each two neighbours are frequent. Equal ones are counted together before they are dealt. They are sorted and dealt by ranges, so a task
-has a range of prefixes; in it a prefix's occurrences are a span of rows, which is grown to the right depth-first: the span is cut by
-the next word, and only frequent cuts are grown further. A prefix whose occurrences a border cuts, however frequent, gives a count on
-each side of it, and these are added up. So no task holds a prefix whole, and none is a limit.
+each two neighbours are frequent. Equal ones are counted together before they are dealt. A task has whole prefixes: those that start
+with a word; of a very frequent word, those that start with a pair; of a very frequent pair, with three words. Its occurrences are
+sorted, so a prefix's are a span of rows, which is grown to the right depth-first: the span is cut by the next word, and only frequent
+cuts are grown further. Spans are grown some rows at a time; one that the end of these cuts gives a count on each side, and these are
+added up. So no task holds a frequent prefix whole, and none is a limit.
 
 Two bitmaps of fixed size (frequent words, frequent pairs) spare rows before the shuffles. A bitmap lets through all that is frequent
 and, by chance, some that isn't, so it changes no count; in a corpus with far more frequent words than bits it spares less.
@@ -28,6 +29,8 @@ SCALE = 2_000_000
 UNKNOWN = "und"
 #: Bits of a bitmap (a power of two), words whose occurrences are counted together in a task, and rows whose spans are grown together.
 BITMAP_BITS, WORDS_AT_ONCE, ROWS_AT_ONCE = 1 << 24, 1 << 20, 1 << 18
+#: Pairs are counted by so many bits of a hash. A word or pair with more than this share of all words is very frequent.
+PAIR_BITS, VERY_FREQUENT = 31, 1 / 500
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: What ends a piece becomes a line feed, a tab becomes a space.
 _MARKS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\x09", b"\n" * 10 + b" ")
@@ -106,15 +109,14 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Hashes of pairs of words by those of the words."""
+    """Hashes of pairs of words by those of the words, PAIR_BITS long."""
     mixed = (left * _ODD ^ (left >> np.uint64(31)) ^ right) * _ODD
-    return mixed ^ (mixed >> np.uint64(29))
+    return (mixed ^ (mixed >> np.uint64(29))) & np.uint64((1 << PAIR_BITS) - 1)
 
 
 def bitmap(hashes: DataFrame) -> np.ndarray:
-    """BITMAP_BITS bits, as words of 64, of which those of the hashes (one column of longs) are set."""
-    code = F.col(hashes.columns[0])
-    words = hashes.select(F.shiftrightunsigned(code, 6).bitwiseAND(BITMAP_BITS // 64 - 1).cast("int").alias("at"), F.expr(f"shiftleft(1L, cast({hashes.columns[0]} & 63 as int))").alias("bit"))
+    """BITMAP_BITS bits, as words of 64, of which those of the hashes (one column, h, of whole numbers) are set."""
+    words = hashes.select(F.shiftrightunsigned("h", 6).bitwiseAND(BITMAP_BITS // 64 - 1).cast("int").alias("at"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
     rows = words.groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()  # BITMAP_BITS / 64 rows at most
     out = np.zeros(BITMAP_BITS // 64, np.int64)
     out[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
@@ -144,7 +146,7 @@ def _hash_column(words: DataFrame) -> DataFrame:
             pairs = zip(langs.to_pylist(), phrases.to_pylist(), strict=True)
             yield pa.array(np.array([xxhash.xxh64_intdigest(word.encode("utf-8"), xxhash.xxh32_intdigest(lang.encode("utf-8"))) for lang, word in pairs], np.uint64).view(np.int64))
 
-    return words.select(hashed("lang", "phrase").alias("h"))
+    return words.select(hashed("lang", "phrase").alias("h"), "f")
 
 
 def _pair_counts(bits: np.ndarray) -> Callable:
@@ -153,29 +155,35 @@ def _pair_counts(bits: np.ndarray) -> Callable:
             ids, hashes = _frequent_words(words, bits.value)
             at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
             (found,), counts = _counted(_pairs(hashes[ids[at]], hashes[ids[at + 1]]))
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts)], names=["h", "f"])
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(counts)], names=["h", "f"])
 
     return run
 
 
-def _occurrences(word_bits: np.ndarray, pair_bits: np.ndarray) -> Callable:
-    """Rows (lang, w1, ..., w4, n): of each occurrence of a pair that passes, the words from there on as long as each next pair passes."""
+def _occurrences(word_bits: np.ndarray, pair_bits: np.ndarray, words_cut: np.ndarray, pairs_cut: np.ndarray) -> Callable:
+    """Rows (task, lang, w1, ..., w4, n): of each pair that passes, how often it occurs; and of each occurrence with a next pair that passes,
+    the words from there on as long as pairs pass. Prefixes of the words and pairs in words_cut and pairs_cut (sorted hashes) are cut further."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words in _in_portions(batches):
             ids, hashes = _frequent_words(words, word_bits.value)
-            follows = np.zeros(len(ids), bool)  # whether the pair that starts here passes
+            pairs = np.zeros(len(ids), np.uint64)
             at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
-            follows[at] = _holds(pair_bits.value, _pairs(hashes[ids[at]], hashes[ids[at + 1]]))
+            pairs[at] = _pairs(hashes[ids[at]], hashes[ids[at + 1]])
+            follows = np.zeros(len(ids), bool)  # whether the pair that starts here passes
+            follows[at] = _holds(pair_bits.value, pairs[at])
             at = np.flatnonzero(follows)
-            columns, on = [ids[at], ids[at + 1]], np.ones(len(at), bool)
-            for k in range(2, LONGEST):
-                on = on & follows[at + k - 1]
-                columns.append(np.where(on, ids[np.minimum(at + k, len(ids) - 1)], -1))
+            longer = at[follows[at + 1]]
+            columns = [np.r_[ids[at], ids[longer]], np.r_[ids[at + 1], ids[longer + 1]], np.r_[np.full(len(at), -1), ids[longer + 2]]]
+            columns.append(np.r_[np.full(len(at), -1), np.where(follows[longer + 2], ids[longer + 3], -1)])
             columns, counts = _counted(*columns)
+            first = hashes[columns[0]]
+            second = _pairs(first, hashes[columns[1]])
+            third = _pairs(second, np.where(columns[2] < 0, np.uint64(0), hashes[np.maximum(columns[2], 0)]))
+            task = np.where(np.isin(first, words_cut), np.where(np.isin(second, pairs_cut), third, second), first).view(np.int64)
             langs, names = words.columns()
             taken = [names.take(pa.array(column, mask=column < 0)) for column in columns]
-            yield pa.RecordBatch.from_arrays([langs.take(pa.array(columns[0])), *taken, pa.array(counts)], names=["lang", *(f"w{k + 1}" for k in range(LONGEST)), "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(task), langs.take(pa.array(columns[0])), *taken, pa.array(counts)], names=["task", "lang", *(f"w{k + 1}" for k in range(LONGEST)), "n"])
 
     return run
 
@@ -187,18 +195,21 @@ def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = [column.combine_chunks().dictionary_encode() for column in rows.columns[:-1]]
         names = [column.dictionary.to_pylist() for column in columns]
         codes = [column.indices.fill_null(-1).to_numpy(zero_copy_only=False) for column in columns]
-        through = np.concatenate([[0], np.cumsum(rows.column(LONGEST + 1).to_numpy())])
+        counts = rows.column(LONGEST + 1).to_numpy()
+        # A row without a third word has all occurrences of its pair.
+        pairs, longer = (np.concatenate([[0], np.cumsum(np.where(codes[3] < 0, *x))]) for x in ((counts, 0), (0, counts)))
         n, out = len(rows), ([], [], [])
 
         def extend(low: int, high: int, depth: int, lang: str, prefix: list[str]) -> None:
             """Rows low to high share the language and `depth` - 1 words; column `depth` has the next one."""
             code = codes[depth][low:high]
             starts = np.flatnonzero(np.append(True, code[1:] != code[:-1])) + low
-            ends = np.append(starts[1:], high)
-            f = through[ends] - through[starts]
-            for i in np.flatnonzero((codes[depth][starts] >= 0) & ((f >= LEAST) | (starts == 0) | (ends == n))):
+            ends, through = np.append(starts[1:], high), pairs if depth < 3 else longer
+            f, cut = through[ends] - through[starts], (starts == 0) | (ends == n)
+            # A very frequent pair's own row is another task's than its longer occurrences.
+            for i in np.flatnonzero((codes[depth][starts] >= 0) & (cut | (f >= LEAST) | (longer[ends] - longer[starts] >= LEAST))):
                 phrase = [*prefix, names[depth][codes[depth][starts[i]]]]
-                if len(phrase) > 1:
+                if len(phrase) > 1 and (cut[i] or f[i] >= LEAST):
                     for column, value in zip(out, (lang, " ".join(phrase), int(f[i])), strict=True):
                         column.append(value)
                 if depth < LONGEST:
@@ -227,13 +238,17 @@ def frequent_phrases(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     counts = durable(texts.mapInArrow(_word_counts, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f")))
     totals = durable(counts.groupBy("lang").agg(F.sum("f").alias("n")))
     words = counts.where(F.col("f") >= LEAST)
+    hashed = durable(_hash_column(words))
     context = docs.sparkSession.sparkContext
-    word_bits = context.broadcast(bitmap(_hash_column(words)))
-    pairs = texts.mapInArrow(_pair_counts(word_bits), "h long, f long").groupBy("h").agg(F.sum("f").alias("f")).where(F.col("f") >= LEAST)
-    pair_bits = context.broadcast(bitmap(pairs.select("h")))
+    word_bits = context.broadcast(bitmap(hashed))
+    pairs = durable(texts.mapInArrow(_pair_counts(word_bits), "h int, f long").groupBy("h").agg(F.sum("f").alias("f")).where(F.col("f") >= LEAST))
+    pair_bits = context.broadcast(bitmap(pairs))
+    # 1 / VERY_FREQUENT words and as many pairs at most.
+    much = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * VERY_FREQUENT
+    words_cut, pairs_cut = (np.sort(np.array([row["h"] for row in rows.where(F.col("f") > much).collect()], np.int64)).view(np.uint64) for rows in (hashed, pairs))
     by = [f"w{k + 1}" for k in range(LONGEST)]
-    found = texts.mapInArrow(_occurrences(word_bits, pair_bits), "lang string, " + ", ".join(f"{name} string" for name in by) + ", n long")
-    grown = found.repartitionByRange("lang", *by).sortWithinPartitions("lang", *by).mapInArrow(_grow, "lang string, phrase string, f long")
+    found = texts.mapInArrow(_occurrences(word_bits, pair_bits, words_cut, pairs_cut), "task long, lang string, " + ", ".join(f"{name} string" for name in by) + ", n long")
+    grown = found.repartition("task").drop("task").sortWithinPartitions("lang", *by).mapInArrow(_grow, "lang string, phrase string, f long")
     grown = grown.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= LEAST)
     return totals, durable(words.unionByName(grown))
 
