@@ -11,7 +11,7 @@ NAMES = (
     "doc", "body", "words", "lines", "clean_text", "n_words", "word_chars", "n_dup_lines", "kept", "base_failed", "clean_chars", "_words", "_lines", "score", "predicted", "held_out", "x", "wanted",
     "fingerprint", "component_id", "node", "root", "band", "bands", "sketch", "shingles", "own", "other", "low", "high", "side", "a", "b", "m", "n", "least_id", "key", "rank", "size", "u", "weight",
     "certain", "chance", "copies", "copy", "bucket", "left", "target", "source_size", "taken", "cut", "rate", "place", "part", "digest", "n_tokens", "licenses", "best", "group", "shard", "slot",
-    "parcel", "within", "first", "page", "rule", "verdict", "host", "path", "times", "gram", "salt", "vector", "asks", "turn", "dims", "ids", "decoded", "rows", "stays",
+    "parcel", "within", "first", "page", "rule", "verdict", "host", "path", "times", "gram", "salt", "vector", "asks", "turn", "dims", "ids", "decoded", "rows", "stays", "a.b", "with a blank", "order", "row", "task", "w1", "f", "phrase", "sides", "chunk", "visits",
 )
 GOOD = "The {0} of {1} words stands here, and it goes on with {2}, so that it has a length of more than ten words."
 TEXTS = [None, "", "short", *[GOOD.format(f"w{i}", f"x{i * 7 % 11}", f"y{i}") for i in range(14)], GOOD.format("w1", "x7", "y1"), "buy!! now!! or!! never!! ever!! again!! please!! x y z", "Released under the MIT License. " + GOOD.format(1, 2, 3)]

@@ -593,6 +593,13 @@ def test_deep_and_unclosed_pages_take_linear_memory_and_time():
         (f"<div role='main'><div>{NINE}</div></div><div><p>{'Something else. ' * 9}</p></div>", NINE_TEXT), (f"<div style='display: none'>gone</div><div>{NINE}</div>", NINE_TEXT),
         (f"<article>{NINE}</article><article>{NINE}</article>", NINE_TEXT + "\n\n" + NINE_TEXT), ("<div>text" * 500, "\n\n".join(["text"] * 500)), ("<title>no head</title><p>x", "x"),
         (f"<table><tr><td>{NINE}<td>side</table>", NINE_TEXT + "\n\nside"),
+        *[(f"<article>{NINE}<{tag}>{NINE}</{tag.split()[0]}></article>", NINE_TEXT + "\n\n" + NINE_TEXT) for tag in ("section id='related-work'", "section id='search-algorithms'", "div class='social-issues'", "div class='article-body template promotion-free'", "div class=searchSpace")],
+        *[(f"<article>{NINE}<{tag}>{NINE}</{tag.split()[0]}></article>", NINE_TEXT) for tag in ("div class='CommentList'", "section class=commentsSection", "div id='opiniones-lectores'", "div class='share-buttons left'", "ul class='related-posts'", "div class='adBanner'", "section id=newsletter_signup")],
+        (f"<article>{NINE}<div class='related-reading-now'><p><a href=x>One more story</a><p>and <a href=y>another one of these</a></div></article>", NINE_TEXT),
+        (f"<article>{NINE}<div class='related-reading-now'>{NINE}<p><a href=x>Link</a></div></article>", NINE_TEXT + "\n\n" + NINE_TEXT + "\n\nLink"),
+        ("<article><p>Press <button>OK</button> now, then tick the <label>box <input></label> below.<p><button>Share</button></p><button>Go</button></article>", "Press OK now, then tick the box below."),
+        (f"<div class=page><div class=row><h1>Head</h1>{NINE}</div></div><div id=siteFooter><p>all rights</div>", "Head\n\n" + NINE_TEXT),
+        (f"<table><tr><td class=navBar><a>a</a><a>b</a><td>{NINE}</table>", NINE_TEXT),
         ("<p>x <b>y", "x y"), ("<", "<"), ("", ""), (None, ""), ("<nav>only menu</nav>", ""), ("<script>x", ""),
     ],
 )
