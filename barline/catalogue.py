@@ -20,8 +20,10 @@ from barline.functions import technical as T
 from barline.functions.numeric import finite
 from barline.functions.series import BETWEEN, Series
 from barline.operators import blocks, catalog, predicates, recursive, smoothed
+from barline.operators.buckets import BucketedTable
 from barline.plans import adjust, breadth, indicators, kline, sync
-from barline.durable import shared_folder
+from barline.plans.incremental import IndicatorStore
+from barline.durable import durable, shared_folder
 from barline.sources import fixtures, landing
 from barline.streaming import live
 
@@ -504,6 +506,29 @@ def live_from_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(made.withColumn("trade_date", F.col("trade_date").cast("timestamp_ntz")).drop("close"))
 
 
+def incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indicators of a store that was filled up to the middle of the bars, and then brought up to date."""
+    bars = durable(fixtures.bars(spark, sf_dir))
+    store = IndicatorStore(spark, f"{shared_folder(spark)}/indicators-{uuid.uuid4().hex}", boll_digits=None)
+    middle = bars.select(F.timestamp_micros(F.floor((F.min(F.unix_micros(F.col("trade_date").cast("timestamp"))) + F.max(F.unix_micros(F.col("trade_date").cast("timestamp")))) / 2)).cast("timestamp_ntz").alias("t")).first()["t"]
+    store.advance(bars.where(F.col("trade_date") <= F.lit(middle)))
+    store.advance(bars)
+    made = store.read().select("code", "trade_date", "DIF", "DEA", "K", "D", "OBV", "TRIX", "TRMA", "EXPMA2", "CCI")
+    return _rounded(made.withColumn("OBV", F.round("OBV", 4)), 4)
+
+
+def bucketed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bucketed table after an insert, an insert of what is partly there, an update and a delete."""
+    stored, batch = _halves(spark, sf_dir)
+    stored, batch = (df.withColumn("c_acctbal", F.col("c_acctbal").cast("double")) for df in (stored, batch))
+    table = BucketedTable(spark, f"{shared_folder(spark)}/buckets-{uuid.uuid4().hex}", stored.schema, ["c_custkey"], 16)
+    table.insert(stored)
+    table.insert(batch)
+    table.update(batch.where("c_custkey % 10 = 0").select("c_custkey", (F.col("c_custkey") * 1.0).alias("c_acctbal")))
+    table.delete([("c_acctbal", "<", 1000.0)])
+    return _rounded(table.read(), 2)
+
+
 def _stored_customers(spark: SparkSession) -> tuple[catalog.Catalog, str]:
     """A catalogue of its own with an empty table of customers."""
     schema = T_.StructType([T_.StructField("c_custkey", T_.LongType(), False), T_.StructField("c_mktsegment", T_.StringType()), T_.StructField("c_acctbal", T_.DoubleType())])
@@ -644,7 +669,7 @@ QUERIES: dict[str, Query] = {name: query.run for name, query in SERIES.items()}
     "screen_statistics": screen_statistics, "stock_view": stock_view, "index_view": index_view, "dividend_view": dividend_view,
     "qfq_view": qfq_view, "forward_factors": forward_factors, "semi_dividend_dates": semi_dividend_dates,
     "anti_missing_codes": anti_missing_codes, "sync_due": sync_due, "breadth": breadth_query, "kline": kline_query,
-    "live_indicators": live_indicators, "live_from_stored": live_from_stored,
+    "live_indicators": live_indicators, "live_from_stored": live_from_stored, "incremental": incremental, "bucketed_changes": bucketed_changes,
     "calc_all": calc_all, "truncate": truncate, "rounded_numbers": rounded_numbers, "viewport": viewport, "labels": labels, "normalize_codes": normalize_codes, "normalize_dates": normalize_dates, "landed_bars": landed_bars,
     "catalog_insert": catalog_insert, "landed_index_bars": landed_index_bars, "landed_dividends": landed_dividends, "landed_capital": landed_capital, "landed_calendar": landed_calendar,
     "landed_lists": landed_lists, "landed_archive": landed_archive, "code_errors": code_errors, "date_classes": date_classes,
@@ -763,6 +788,19 @@ ORACLE_SQL: dict[str, str] = {name: query.sql for name, query in SERIES.items()}
         {"DIF": "round(d0, 2)", "DEA": "round(e, 2)", "MACD": "round((d0 - e) * 2, 2)", "K": "kk", "D": "dd", "J": "kk * 3 - dd * 2", "EXPMA1": "a", "EXPMA2": "b"}, dict.fromkeys(("DIF", "DEA", "MACD", "K", "D", "J", "EXPMA1", "EXPMA2"), 4),
         ({"rsv": f"(close - {_roll('min', 'close', 9)}) / ({_roll('max', 'close', 9)} - {_roll('min', 'close', 9)}) * 100"}, Ewm({"s": ("close", 2 / 13), "l": ("close", 2 / 27), "kk": ("rsv", 2 / 6), "a": ("close", 2 / 13), "b": ("close", 2 / 51)}), {"d0": "s - l"}, Ewm({"e": ("d0", 2 / 10), "dd": ("kk", 2 / 6)})), "ticks",
     ) + ") WHERE trade_date <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)",
+    "incremental": series_sql(
+        {"DIF": "round(d0, 2)", "DEA": "round(e, 2)", "K": "kk", "D": "dd", "OBV": "round(ob / 10000, 4)", "TRIX": "tx", "TRMA": _ma("tx", 20), "EXPMA2": "x50", "CCI": _full("tp", 14, "(tp - m14) / (list_sum(list_transform(w14, lambda v: abs(v - m14))) / 14 * 0.015)")},
+        dict.fromkeys(("DIF", "DEA", "K", "D", "OBV", "TRIX", "TRMA", "EXPMA2", "CCI"), 4),
+        (
+            {"rsv": f"(close - {_roll('min', 'low', 9)}) / ({_roll('max', 'high', 9)} - {_roll('min', 'low', 9)}) * 100", "sv": f"CASE WHEN close > {_ref('close')} THEN volume WHEN close < {_ref('close')} THEN -volume ELSE 0 END", "tp": _TP},
+            {"ob": _so_far("sum", "sv"), "m14": f"avg(tp) OVER {_last(14)}", "w14": f"list(tp) OVER {_last(14)}"},
+            Ewm({"s": ("close", 2 / 13), "l": ("close", 2 / 27), "kk": ("rsv", 2 / 6), "x50": ("close", 2 / 51), "t1": ("close", 2 / 13)}), {"d0": "s - l"}, Ewm({"e": ("d0", 2 / 10), "dd": ("kk", 2 / 6), "t2": ("t1", 2 / 13)}), Ewm({"t3": ("t2", 2 / 13)}),
+            {"tx": f"(t3 - {_ref('t3')}) / {_ref('t3')} * 100"},
+        ),
+    ),
+    "bucketed_changes": f"""{_HALVES}, a AS (SELECT * FROM stored UNION ALL SELECT * FROM batch WHERE c_custkey NOT IN (SELECT c_custkey FROM stored)),
+        u AS (SELECT c_custkey, c_mktsegment, CASE WHEN c_custkey % 10 = 0 THEN c_custkey::DOUBLE ELSE c_acctbal::DOUBLE END AS c_acctbal FROM a)
+        SELECT c_custkey, c_mktsegment, round(c_acctbal, 2) + 0.0 AS c_acctbal FROM u WHERE NOT coalesce(c_acctbal < 1000, FALSE)""",
     "live_from_stored": "SELECT * REPLACE (trade_date::TIMESTAMP AS trade_date) FROM (" + series_sql({"EXPMA1": "a", "EXPMA2": "b"}, {}, (Ewm({"a": ("close", 2 / 13), "b": ("close", 2 / 51)}),), "ticks")
     + ") WHERE trade_date <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events) AND epoch_us(trade_date) > (SELECT (epoch_us(min(ts)) + epoch_us(max(ts))) // 2 FROM events)",
     "truncate": f"{_HALVES} SELECT 0::BIGINT AS emptied, count(*) AS n, max(c_custkey) AS last FROM batch",
