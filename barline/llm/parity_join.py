@@ -326,16 +326,16 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     """(node, root) of the sets with a link; docs: doc_id, text; signed: _signed of the same rows with shingles."""
     rows = durable(_once(durable(buckets(signed))))
     sketched = durable(signed.join(rows.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch")))
-    judged = durable(rows.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(True).alias("linked")).limit(0))
-    most = None
+    spark, most = docs.sparkSession, None
+    judged, roots = spark.createDataFrame([], "a long, b long, linked boolean"), spark.createDataFrame([], "node long, root long")
     while True:
-        roots = durable(components(judged.where("linked").select("a", "b")))
         pairs = durable(_searched(rows, roots, sketched, most))
         fresh = durable(alike(pairs.select("a", "b").join(judged, ["a", "b"], "left_anti"), docs, signed))
-        judged = durable(judged.unionByName(fresh))
+        judged = fresh if most is None else durable(judged.unionByName(fresh))
+        roots = durable(components(judged.where("linked").select("a", "b")))
         # A forest of links leaves nothing out; without that shortcut, nothing is left out if nothing was held back.
         if fresh.where("not linked").isEmpty() if most is None else pairs.where("held").isEmpty():
-            return components(judged.where("linked").select("a", "b"))
+            return roots
         most = PAIRS if most is None else most * PAIRS
 
 
