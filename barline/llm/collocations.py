@@ -32,15 +32,29 @@ BITMAP_BITS, WORDS_AT_ONCE, ROWS_AT_ONCE = 1 << 24, 1 << 20, 1 << 18
 #: Pairs are counted by so many bits of a hash. A word or pair with more than this share of all words is very frequent.
 PAIR_BITS, VERY_FREQUENT = 31, 1 / 500
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-#: What ends a piece becomes a line feed, a tab becomes a space.
-_MARKS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\x09", b"\n" * 10 + b" ")
+#: What ends a piece becomes a byte that UTF-8 doesn't have, a tab becomes a space.
+_END = b"\xff"
+_MARKS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\x09", _END * 10 + b" ")
+
+
+class Known(dict):
+    """Numbers of the words of a language, in a list that languages share; ends of pieces are -1."""
+
+    def __init__(self, lang: str, words: list[tuple[str, bytes]]):
+        super().__init__({_END: -1})
+        self.lang, self.words = lang, words
+
+    def __missing__(self, word: bytes) -> int:
+        at = self[word] = len(self.words)
+        self.words.append((self.lang, word))
+        return at
 
 
 class Words:
     """Some texts as numbers: `ids` of the words in order, -1 between pieces, and `words` and hashes by id. A word of two languages has two ids."""
 
     def __init__(self) -> None:
-        self.langs: dict[str, dict[bytes, int]] = {}
+        self.langs: dict[str, Known] = {}
         self.words: list[tuple[str, bytes]] = []
         self.parts: list[np.ndarray] = []
         self.size = 0
@@ -49,18 +63,12 @@ class Words:
         if not text:
             return
         lang = UNKNOWN if lang is None else lang
-        known, out = self.langs.setdefault(lang, {}), []
-        for piece in text.encode("utf-8").lower().translate(_MARKS).split(b"\n"):
-            if found := piece.split():
-                for word in found:
-                    at = known.get(word)
-                    if at is None:
-                        at = known[word] = len(self.words)
-                        self.words.append((lang, word))
-                    out.append(at)
-                out.append(-1)
-        self.parts.append(np.array(out, np.int64))
-        self.size += len(out)
+        if lang not in self.langs:
+            self.langs[lang] = Known(lang, self.words)
+        found = text.encode("utf-8").lower().translate(_MARKS).replace(_END, b" " + _END + b" ").split()
+        found.append(_END)
+        self.parts.append(np.fromiter(map(self.langs[lang].__getitem__, found), np.int64, len(found)))
+        self.size += len(found)
 
     def ids(self) -> np.ndarray:
         """With an end of a piece after the last word, and enough of these for LONGEST shifts."""
@@ -161,8 +169,8 @@ def _pair_counts(bits: np.ndarray) -> Callable:
 
 
 def _occurrences(word_bits: np.ndarray, pair_bits: np.ndarray, words_cut: np.ndarray, pairs_cut: np.ndarray) -> Callable:
-    """Rows (task, lang, w1, ..., w4, n): of each pair that passes, how often it occurs; and of each occurrence with a next pair that passes,
-    the words from there on as long as pairs pass. Prefixes of the words and pairs in words_cut and pairs_cut (sorted hashes) are cut further."""
+    """Rows (w1, ..., w4, n, cut): of each occurrence of a pair that passes, the words from there on as long as pairs pass; w1 with its language
+    after a tab. cut: 1 where the first word is in words_cut (sorted hashes), 2 where the first pair is in pairs_cut too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words in _in_portions(batches):
@@ -173,51 +181,52 @@ def _occurrences(word_bits: np.ndarray, pair_bits: np.ndarray, words_cut: np.nda
             follows = np.zeros(len(ids), bool)  # whether the pair that starts here passes
             follows[at] = _holds(pair_bits.value, pairs[at])
             at = np.flatnonzero(follows)
-            longer = at[follows[at + 1]]
-            columns = [np.r_[ids[at], ids[longer]], np.r_[ids[at + 1], ids[longer + 1]], np.r_[np.full(len(at), -1), ids[longer + 2]]]
-            columns.append(np.r_[np.full(len(at), -1), np.where(follows[longer + 2], ids[longer + 3], -1)])
-            columns, counts = _counted(*columns)
+            third = follows[at + 1]
+            fourth = third & follows[at + 2]
+            columns, counts = _counted(ids[at], ids[at + 1], np.where(third, ids[at + 2], -1), np.where(fourth, ids[at + 3], -1))
             first = hashes[columns[0]]
-            second = _pairs(first, hashes[columns[1]])
-            third = _pairs(second, np.where(columns[2] < 0, np.uint64(0), hashes[np.maximum(columns[2], 0)]))
-            task = np.where(np.isin(first, words_cut), np.where(np.isin(second, pairs_cut), third, second), first).view(np.int64)
-            langs, names = words.columns()
-            taken = [names.take(pa.array(column, mask=column < 0)) for column in columns]
-            yield pa.RecordBatch.from_arrays([pa.array(task), langs.take(pa.array(columns[0])), *taken, pa.array(counts)], names=["task", "lang", *(f"w{k + 1}" for k in range(LONGEST)), "n"])
+            cut = np.isin(first, words_cut).astype(np.int8)
+            cut += cut * np.isin(_pairs(first, hashes[columns[1]]), pairs_cut)
+            names = words.columns()[1]
+            begun = pa.array([word + b"\t" + lang.encode("utf-8") for lang, word in words.words], pa.binary()).cast(pa.string())
+            taken = [(names if k else begun).take(pa.array(column, mask=column < 0)) for k, column in enumerate(columns)]
+            yield pa.RecordBatch.from_arrays([*taken, pa.array(counts), pa.array(cut)], names=[*(f"w{k + 1}" for k in range(LONGEST)), "n", "cut"])
 
     return run
 
 
 def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted occurrences to phrases (lang, phrase, f) of two words and more: counts of LEAST or more, and all counts of spans at a border."""
+    """Sorted occurrences to phrases (lang, phrase, f) of two words and more: counts of LEAST or more, and all counts that are a part of one:
+    of spans at a border, and of pairs that several tasks have."""
 
     def grown(rows: pa.Table) -> pa.RecordBatch:
-        columns = [column.combine_chunks().dictionary_encode() for column in rows.columns[:-1]]
+        columns = [column.combine_chunks().dictionary_encode() for column in rows.columns[:LONGEST]]
         names = [column.dictionary.to_pylist() for column in columns]
         codes = [column.indices.fill_null(-1).to_numpy(zero_copy_only=False) for column in columns]
-        counts = rows.column(LONGEST + 1).to_numpy()
-        # A row without a third word has all occurrences of its pair.
-        pairs, longer = (np.concatenate([[0], np.cumsum(np.where(codes[3] < 0, *x))]) for x in ((counts, 0), (0, counts)))
-        n, out = len(rows), ([], [], [])
+        through = np.concatenate([[0], np.cumsum(rows.column(LONGEST).to_numpy())])
+        parts, n, out = rows.column(LONGEST + 1).to_numpy(), len(rows), ([], [], [])
 
         def extend(low: int, high: int, depth: int, lang: str, prefix: list[str]) -> None:
-            """Rows low to high share the language and `depth` - 1 words; column `depth` has the next one."""
+            """Rows low to high share `depth` words; column `depth` has the next one."""
             code = codes[depth][low:high]
             starts = np.flatnonzero(np.append(True, code[1:] != code[:-1])) + low
-            ends, through = np.append(starts[1:], high), pairs if depth < 3 else longer
-            f, cut = through[ends] - through[starts], (starts == 0) | (ends == n)
-            # A very frequent pair's own row is another task's than its longer occurrences.
-            for i in np.flatnonzero((codes[depth][starts] >= 0) & (cut | (f >= LEAST) | (longer[ends] - longer[starts] >= LEAST))):
-                phrase = [*prefix, names[depth][codes[depth][starts[i]]]]
-                if len(phrase) > 1 and (cut[i] or f[i] >= LEAST):
+            ends = np.append(starts[1:], high)
+            f = through[ends] - through[starts]
+            part = (starts == 0) | (ends == n)
+            if depth < 2:
+                part |= parts[starts] > depth
+            for i in np.flatnonzero((code[starts - low] >= 0) & (part | (f >= LEAST))):
+                word = names[depth][code[starts[i] - low]]
+                if not depth:
+                    word, lang = word.split("\t", 1)
+                phrase = [*prefix, word]
+                if depth:
                     for column, value in zip(out, (lang, " ".join(phrase), int(f[i])), strict=True):
                         column.append(value)
-                if depth < LONGEST:
+                if depth + 1 < LONGEST:
                     extend(int(starts[i]), int(ends[i]), depth + 1, lang, phrase)
 
-        cuts = np.flatnonzero(np.append(True, codes[0][1:] != codes[0][:-1]))
-        for low, high in zip(cuts, np.append(cuts[1:], n), strict=True):
-            extend(int(low), int(high), 1, names[0][codes[0][low]], [])
+        extend(0, n, 0, "", [])
         return pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64())], names=["lang", "phrase", "f"])
 
     held, size = [], 0
@@ -247,8 +256,9 @@ def frequent_phrases(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     much = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * VERY_FREQUENT
     words_cut, pairs_cut = (np.sort(np.array([row["h"] for row in rows.where(F.col("f") > much).collect()], np.int64)).view(np.uint64) for rows in (hashed, pairs))
     by = [f"w{k + 1}" for k in range(LONGEST)]
-    found = texts.mapInArrow(_occurrences(word_bits, pair_bits, words_cut, pairs_cut), "task long, lang string, " + ", ".join(f"{name} string" for name in by) + ", n long")
-    grown = found.repartition("task").drop("task").sortWithinPartitions("lang", *by).mapInArrow(_grow, "lang string, phrase string, f long")
+    found = texts.mapInArrow(_occurrences(word_bits, pair_bits, words_cut, pairs_cut), ", ".join(f"{name} string" for name in by) + ", n long, cut byte")
+    task = F.xxhash64("w1", F.when(F.col("cut") > 0, F.col("w2")), F.when(F.col("cut") > 1, F.col("w3")))
+    grown = found.repartition(task).sortWithinPartitions(*by).mapInArrow(_grow, "lang string, phrase string, f long")
     grown = grown.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= LEAST)
     return totals, durable(words.unionByName(grown))
 
