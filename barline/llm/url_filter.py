@@ -13,7 +13,6 @@ estimated once, by joins with the counts, and joined to the URLs that hold it.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -89,34 +88,6 @@ def _grams(codes: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
     return gram
 
 
-@dataclass(frozen=True)
-class Markov:
-    """Counts of n-grams by order, sorted by n-gram."""
-
-    grams: tuple[np.ndarray, ...]
-    counts: tuple[np.ndarray, ...]
-
-    def log_likelihood(self, codes: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Of each character, given those before it."""
-        p = np.full(len(at), 1 / _BASE)
-        for order in range(ORDER + 1):
-            grams, counts = self.grams[order], self.counts[order]
-            if not len(grams):
-                continue
-            contexts, first = np.unique(grams // _BASE, return_index=True)
-            totals = np.add.reduceat(counts, first)
-            wanted = _grams(codes, at, order)
-            seen = _look_up(grams, counts, wanted)
-            total = _look_up(contexts, totals, wanted // _BASE)
-            p = (seen + SMOOTHING * p) / (total + SMOOTHING)
-        return np.log(p)
-
-
-def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], 0).astype(np.float64)
-
-
 def count_grams(texts: DataFrame) -> DataFrame:
     """verdict, n (order), gram and count over all rows of texts (verdict, text, times: how often the row counts)."""
 
@@ -139,39 +110,6 @@ def count_grams(texts: DataFrame) -> DataFrame:
     return counted.groupBy("verdict", "n", "gram").agg(F.sum("count").alias("count"))
 
 
-@dataclass(frozen=True)
-class Filter:
-    accepted: Markov
-    rejected: Markov
-    threshold: float
-
-    def scores(self, texts: list[str]) -> np.ndarray:
-        """Log-likelihood difference by character, less the threshold; an empty text has the bare 0 - threshold."""
-        codes, at = _codes(texts)
-        owner = np.repeat(np.arange(len(texts)), [len(t.lower().encode("utf-8")) for t in texts])
-        difference = self.accepted.log_likelihood(codes, at) - self.rejected.log_likelihood(codes, at)
-        total = np.bincount(owner, difference, minlength=len(texts))
-        length = np.maximum(np.bincount(owner, minlength=len(texts)), 1)
-        return total / length - self.threshold
-
-
-def fit(texts: DataFrame) -> Filter:
-    """A filter in memory from texts (verdict allow or block, text), for tables that fit: every row is counted. judge has the same figures without it.
-
-    Without rows of both verdicts the figures are 0 and everything is allowed.
-    """
-    texts = durable(texts.groupBy("verdict", "text").agg(F.count("*").alias("times")))
-    kept = count_grams(texts).toPandas()
-    models = {}
-    for verdict in ("allow", "block"):
-        parts = [kept[(kept["verdict"] == verdict) & (kept["n"] == order)].sort_values("gram") for order in range(ORDER + 1)]
-        models[verdict] = Markov(tuple(p["gram"].to_numpy(np.int64) for p in parts), tuple(p["count"].to_numpy(np.int64) for p in parts))
-    empty = Markov((np.zeros(0, np.int64),) * (ORDER + 1), (np.zeros(0, np.int64),) * (ORDER + 1))
-    if not all(len(m.grams[0]) for m in models.values()):
-        return Filter(empty, empty, 0.0)
-    return Filter(models["allow"], models["block"], threshold_of(texts))
-
-
 def is_held_out(text: Column) -> Column:
     return F.pmod(F.xxhash64(text, F.lit("held out")), F.lit(HELD_OUT)) == 0
 
@@ -252,18 +190,6 @@ def raw_scores(texts: DataFrame, training: DataFrame) -> DataFrame:
     return keyed.join(sums, "key", "left").select("text", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
-def with_scores(texts: DataFrame, model: Filter, text: str = "text") -> DataFrame:
-    """texts with a column score."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)  # a bounded number of n-grams
-
-    @F.arrow_udf("double")
-    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array(shared.value.scores([t or "" for t in batch.to_pylist()]))
-
-    return texts.withColumn("score", score(F.col(text)))
-
-
 def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, url: str = "url") -> DataFrame:
     """pages with host, path, rule, verdict (allow or block) and score, the method's figure for every row.
 

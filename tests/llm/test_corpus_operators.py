@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+import url_models
 from conftest import DATA, same_rows
 from pyspark.sql import functions as F
 
@@ -482,7 +483,7 @@ def plain_likelihood(text, counts, order, characters):
 
 def test_models_by_brute_force(spark):
     training = [("allow", t) for t in ("ab.com/x", "ac.com/y", "ab.com/z")] + [("block", t) for t in ("zz.net/1", "zy.net/22")]
-    model = url_filter.fit(spark.createDataFrame(training, "verdict string, text string"))
+    model = url_models.fit(spark.createDataFrame(training, "verdict string, text string"))
     tests = ["ab.com/x", "zz.net/9", "q", ""]
     expected = []
     for text in tests:
@@ -507,7 +508,7 @@ def test_every_gram_counts_and_whole_urls_are_judged(spark):
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     rows = url_filter.report(df.repartition(3)).orderBy("page_id").collect()
     training = [(r["verdict"], urls[r["page_id"]]) for r in rows if r["rule"]]
-    model = url_filter.fit(spark.createDataFrame(training, "verdict string, text string"))
+    model = url_models.fit(spark.createDataFrame(training, "verdict string, text string"))
     assert [r["score"] for r in rows] == pytest.approx(list(model.scores([u or "" for u in urls])))
     assert len({r["score"] for r in rows[-5:]}) == 5
 
@@ -521,10 +522,10 @@ def test_threshold_is_of_urls_that_were_held_out(spark, monkeypatch):
     training = [("allow" if "/fr/" in u else "block", u) for u in urls if "y.net" not in u]
     frame = spark.createDataFrame(training, "verdict string, text string")
     held = {r["text"] for r in frame.where(url_filter.is_held_out(F.col("text"))).collect()}
-    model = url_filter.fit(frame.where(~url_filter.is_held_out(F.col("text"))))
+    model = url_models.fit(frame.where(~url_filter.is_held_out(F.col("text"))))
     raw = dict(zip(sorted(held), model.scores(sorted(held)) + model.threshold, strict=True))
     scores = [(raw[u], v) for v, u in training if u in held]
-    threshold = url_filter.fit(frame).threshold
+    threshold = url_models.fit(frame).threshold
 
     def errors(cut):
         return sum(np.mean([(s >= cut) != (v == "allow") for s, v in scores if v == side]) for side in ("allow", "block"))
