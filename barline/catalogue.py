@@ -287,6 +287,10 @@ SERIES: dict[str, SeriesQuery] = {
         {"total": _so_far("sum", "close"), "latest": f"last_value(CASE WHEN close > 60 THEN close END IGNORE NULLS) OVER ({_W} ROWS UNBOUNDED PRECEDING)", "since": f"rn - {_so_far('max', 'CASE WHEN close > 60 THEN rn END')}"},
         kinds={"total": 2} | _ints("since"), source=_LONG, frame=True,
     ),
+    "avedev_steps": SeriesQuery(
+        _named(lambda: smoothed.avedev(n=14), ad14="AVEDEV"), {"ad14": _full("close", 14, "list_sum(list_transform(w14, lambda v: abs(v - m14))) / 14")}, ({"w14": f"list(close) OVER {_last(14)}", "m14": f"avg(close) OVER {_last(14)}"},), frame=True,
+    ),
+    "nm_steps": SeriesQuery(_named(lambda: smoothed.nm_in_steps(), nmm="NMM", nmr="NMR"), {"nmm": "nm", "nmr": f"now_ln * {sum(_NMR_W)!r}::DOUBLE - heavier"}, (*_NMM_LAYERS, {"before_ln2": f"coalesce({_ref('now_ln')}, 0)"}, {"heavier": "CASE WHEN rn >= 100 THEN " + " + ".join(f"{w!r}::DOUBLE * coalesce(lag(before_ln2, {j}) OVER ({_W}), 0)" for j, w in enumerate(_NMR_W)) + " ELSE 0 END"}), {"nmm": 3, "nmr": 3}, frame=True),
     # Indicators
     "macd": SeriesQuery(_named(lambda: smoothed.macd(), dif="DIF", dea="DEA", macd="MACD"), {"dif": "round(d, 2)", "dea": "round(e, 2)", "macd": "round((d - e) * 2, 2)"}, (Ewm({"s": ("close", 2 / 13), "l": ("close", 2 / 27)}), {"d": "s - l"}, Ewm({"e": ("d", 2 / 10)})), frame=True),
     "kdj": SeriesQuery(_named(lambda: smoothed.kdj(), k="K", d="D", j="J"), {"k": "kk", "d": "dd", "j": "kk * 3 - dd * 2"}, ({"rsv": f"(close - {_roll('min', 'low', 9)}) / ({_roll('max', 'high', 9)} - {_roll('min', 'low', 9)}) * 100"}, Ewm({"kk": ("rsv", 2 / 6)}), Ewm({"dd": ("kk", 2 / 6)})), frame=True),
@@ -409,6 +413,11 @@ def screen_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(found.withColumn("trade_date", F.col("trade_date").cast("string")))
 
 
+def median_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ticks = fixtures.ticks(spark, sf_dir).select(F.to_date("trade_date").cast("string").alias("trade_date"), F.round("close", 1).alias("close"))
+    return _rounded(breadth.median_by_date(ticks, "close"))
+
+
 def stock_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars, stocks, capital, _ = _market(spark, sf_dir)
     return _rounded(adjust.stock_view(bars, stocks, capital), 4)
@@ -669,7 +678,7 @@ QUERIES: dict[str, Query] = {name: query.run for name, query in SERIES.items()}
     "screen_statistics": screen_statistics, "stock_view": stock_view, "index_view": index_view, "dividend_view": dividend_view,
     "qfq_view": qfq_view, "forward_factors": forward_factors, "semi_dividend_dates": semi_dividend_dates,
     "anti_missing_codes": anti_missing_codes, "sync_due": sync_due, "breadth": breadth_query, "kline": kline_query,
-    "live_indicators": live_indicators, "live_from_stored": live_from_stored, "incremental": incremental, "bucketed_changes": bucketed_changes,
+    "median_by_date": median_by_date, "live_indicators": live_indicators, "live_from_stored": live_from_stored, "incremental": incremental, "bucketed_changes": bucketed_changes,
     "calc_all": calc_all, "truncate": truncate, "rounded_numbers": rounded_numbers, "viewport": viewport, "labels": labels, "normalize_codes": normalize_codes, "normalize_dates": normalize_dates, "landed_bars": landed_bars,
     "catalog_insert": catalog_insert, "landed_index_bars": landed_index_bars, "landed_dividends": landed_dividends, "landed_capital": landed_capital, "landed_calendar": landed_calendar,
     "landed_lists": landed_lists, "landed_archive": landed_archive, "code_errors": code_errors, "date_classes": date_classes,
@@ -765,6 +774,7 @@ ORACLE_SQL: dict[str, str] = {name: query.sql for name, query in SERIES.items()}
     "count_bars": f"{_FIX}, n AS (SELECT trade_date, count(*) AS n FROM bars GROUP BY trade_date) SELECT min(n) AS least, max(n) AS most FROM n",
     "last_value": f"{_FIX} SELECT code, max(CASE WHEN k = 1 THEN close END) AS last_close, max(CASE WHEN k = 60 THEN close END) AS close_60 FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY trade_date DESC) AS k FROM ticks) GROUP BY code",
     "screen_statistics": f"{_FIX} SELECT trade_date::DATE::VARCHAR AS trade_date, round(median(close), 6) AS median, round(avg(close), 6) AS mean, max(close) AS max, min(close) AS min FROM ticks WHERE close BETWEEN 2 AND 40 GROUP BY trade_date::DATE",
+    "median_by_date": "SELECT ts::DATE::VARCHAR AS trade_date, round(median(round(value, 1)), 6) + 0.0 AS median FROM events GROUP BY ts::DATE",
     "stock_view": f"{_FIX}{_VIEW_CTES} SELECT code, name, trade_date, {_round_sql('open high low close volume amount total_share float_share', 4)} FROM adjusted",
     "index_view": f"{_FIX} SELECT code, name, trade_date, {_round_sql('open high low close volume amount', 4)} FROM bars JOIN stock_list USING (code)",
     "dividend_view": f"{_FIX}{_VIEW_CTES} SELECT code, trade_date, {_round_sql('close pre_close adjust_ratio qfq_factor', 6)} FROM factors",

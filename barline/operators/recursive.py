@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import math
 import pickle
+from bisect import bisect_right
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -373,6 +375,131 @@ class Extreme(Step):
         return [(tuple(state[0]) + there)[-self.n :]]
 
 
+class Ranked:
+    """A multiset of known values: how many are at most x, and their sum, in logarithmic time (two Fenwick trees over ranks)."""
+
+    def __init__(self, values: list[float]):
+        self.values = sorted(set(values))
+        self.counts, self.sums = [0] * (len(self.values) + 1), [0.0] * (len(self.values) + 1)
+
+    def add(self, value: float, times: int) -> None:
+        """times: 1 to put a value in, -1 to take it out."""
+        at, n = bisect_right(self.values, value), len(self.values)
+        while at <= n:
+            self.counts[at] += times
+            self.sums[at] += times * value
+            at += at & -at
+
+    def through(self, x: float) -> tuple[int, float]:
+        at, count, total = bisect_right(self.values, x), 0, 0.0
+        while at:
+            count, total = count + self.counts[at], total + self.sums[at]
+            at -= at & -at
+        return count, total
+
+
+@dataclass(frozen=True)
+class AbsDev(Step):
+    """Mean absolute deviation of the last n values from their mean; null until there are n rows, all with a value. The state is those values.
+
+    A row takes time in proportion to log n (and the length of a batch), whatever n is: a Fenwick tree has the window's values by rank.
+    """
+
+    n: int = 1
+
+    def start(self) -> list:
+        return [()]
+
+    def run(self, state: list, values: list[list]) -> list:
+        kept, xs = deque(state[0]), values[0]
+        numbers = [x for x in (*kept, *xs) if x is not None and math.isfinite(x)]
+        ranked = Ranked(numbers)
+        bad = sum(x is None for x in kept)
+        odd = sum(x is not None and not math.isfinite(x) for x in kept)
+        for x in kept:
+            if x is not None and math.isfinite(x):
+                ranked.add(x, 1)
+        out = []
+        for x in xs:
+            for value, times in ((x, 1), *(((kept.popleft(), -1),) if len(kept) == self.n else ())):
+                if value is None:
+                    bad += times
+                elif not math.isfinite(value):
+                    odd += times
+                else:
+                    ranked.add(value, times)
+            kept.append(x)
+            if len(kept) < self.n or bad:
+                out.append(None)
+            elif odd:
+                out.append(math.nan)
+            else:
+                total = ranked.through(math.inf)[1]
+                mean = total / self.n
+                count, below = ranked.through(mean)
+                out.append(max(0.0, (mean * count - below) + (total - below) - mean * (self.n - count)) / self.n)
+        state[:] = [tuple(kept)]
+        return out
+
+    # A map is the last n values.
+
+    def mapped(self, values: list[list]) -> tuple:
+        return tuple(values[0][-self.n :])
+
+    def composed(self, first: tuple, then: tuple) -> tuple:
+        return (first + then)[-self.n :]
+
+    def after(self, state: list, there: tuple) -> list:
+        return [(tuple(state[0]) + there)[-self.n :]]
+
+
+@dataclass(frozen=True)
+class Weighted(Step):
+    """The weighted sum of the n rows before, newest first; a missing value counts as 0, and so does the sum where there are fewer than n rows so far.
+
+    A convolution by overlap-save: blocks of rows after the n kept ones, by Fourier transforms where that is quicker. The state is the
+    last n values and the number of rows.
+    """
+
+    weights: tuple[float, ...] = ()
+
+    def start(self) -> list:
+        return [(), 0]
+
+    def run(self, state: list, values: list[list]) -> list:
+        n, (kept, rows) = len(self.weights), state
+        xs = np.array([0.0 if x is None else x for x in values[0]], np.float64)
+        # The row itself takes no part, so its first row has n values before it at most.
+        before = np.concatenate([np.zeros(n - len(kept)), kept, xs])
+        sums = self._convolved(before[:-1]) if len(xs) else np.zeros(0)
+        sums[: max(0, n - 1 - rows)] = 0.0
+        state[:] = [tuple(before[-n:][-min(n, rows + len(xs)) :].tolist()) if rows + len(xs) else (), rows + len(xs)]
+        return sums.tolist()
+
+    def _convolved(self, x: np.ndarray) -> np.ndarray:
+        """Sums over the n values that end at each place that has as many."""
+        n = len(self.weights)
+        if n * len(x) < 1 << 16 or not np.isfinite(x).all():
+            return np.convolve(x, self.weights, "valid")
+        size = 1 << (4 * n).bit_length()
+        spectrum, step, out = np.fft.rfft(self.weights, size), size - n + 1, []
+        for start in range(0, len(x) - n + 1, step):
+            part = x[start : start + size]
+            out.append(np.fft.irfft(np.fft.rfft(part, size) * spectrum, size)[n - 1 : len(part)])
+        return np.concatenate(out)
+
+    # A map is the last n values and the number of rows.
+
+    def mapped(self, values: list[list]) -> tuple:
+        return tuple(0.0 if x is None else float(x) for x in values[0][-len(self.weights) :]), len(values[0])
+
+    def composed(self, first: tuple, then: tuple) -> tuple:
+        return tuple((first[0] + then[0])[-len(self.weights) :]), first[1] + then[1]
+
+    def after(self, state: list, there: tuple) -> list:
+        return list(self.composed(tuple(state), there))
+
+
 @dataclass(frozen=True)
 class Place(Step):
     """Where the first input lies between the second and the third, in hundredths, by IEEE division; null if an input is."""

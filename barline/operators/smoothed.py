@@ -11,10 +11,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barline.functions.numeric import ABS, IF, MAX, RD, fdiv
+from barline.functions.numeric import ABS, IF, LN, MAX, RD, fdiv
 from barline.functions.series import Series
 from barline.functions.technical import ATR
-from barline.operators.recursive import DMA, EMA, SMA, Extreme, Linear, Place, Step, Total, with_recursive
+from barline.operators.recursive import DMA, EMA, SMA, AbsDev, Extreme, Linear, Place, Step, Total, Weighted, with_recursive
 
 S = Series()
 
@@ -81,6 +81,19 @@ def obv(close: str = "close", volume: str = "volume", s: Series = S) -> Smoothed
     return Smoothed({"_obv": Total(("_signed",))}, {"OBV": F.col("_obv") / 10000}, {"_signed": signed})
 
 
+def avedev(x: str = "close", n: int = 14, into: str = "AVEDEV") -> Smoothed:
+    """AVEDEV as a step, for long windows."""
+    return Smoothed({f"_{into}": AbsDev((x,), n=n)}, {into: F.col(f"_{into}")})
+
+
+def nm_in_steps(close: str = "close", short: int = 40, long: int = 100) -> Smoothed:
+    """NMM (with NMMB and NMMT) and NMR as convolutions of the logarithms, with their warm-up of zeros."""
+    nmm, nmr = (tuple(100000 / j**0.5 for j in range(1, short + 1)), tuple(1000 * (j**0.5 - (j - 1) ** 0.5) for j in range(1, long + 1)))
+    steps: dict[str, Step] = {"_nmm": Weighted(("_ln",), weights=nmm), "_nmr": Weighted(("_ln",), weights=nmr)}
+    figure = (F.col("_ln") * sum(nmm) - F.col("_nmm")) / short
+    return Smoothed(steps, {"NMM": figure, "NMMB": figure < -3000, "NMMT": figure > 3000, "NMR": F.col("_ln") * sum(nmr) - F.col("_nmr")}, {"_ln": F.coalesce(LN(F.col(close)), F.lit(0.0))})
+
+
 def trix(close: str = "close", m1: int = 12, m2: int = 20, s: Series = S) -> Smoothed:
     """TRIX and TRMA."""
     before = s.REF("_trix3")

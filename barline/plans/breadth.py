@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from barline.durable import durable
 from barline.functions.series import Series
 from barline.functions.technical import NMM, W_GL, with_td
 from barline.operators import smoothed
@@ -55,6 +57,31 @@ def by_date(df: DataFrame, metric: str, *statistics: str) -> DataFrame:
     return df.groupBy("trade_date").agg(*[STATISTICS[name](metric).alias(name) for name in statistics or ("mean",)])
 
 
+#: Buckets that a round of the median cuts a range of values into, and targets that go to the rows by broadcast; more are joined by a shuffle.
+BUCKETS, FEW = 1024, 100_000
+
+
+def median_by_date(df: DataFrame, metric: str, by: str = "trade_date") -> DataFrame:
+    """The exact median of each date's values, however many a date has: (by, median). Null, NaN and infinite values take no part.
+
+    A selection in rounds: the range that holds the middle value (or one of the two) is cut into BUCKETS, whose rows are counted, and the
+    bucket that holds it is the next range, from its least value to its greatest. Only counts are shuffled, so no task holds a date.
+    """
+    x = F.col(metric).cast("double")
+    values = df.select(by, x.alias("x")).where(F.abs("x") < float("inf"))
+    sizes = values.groupBy(by).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+    middle = F.array_distinct(F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)))
+    targets = durable(sizes.select(by, F.explode(middle).alias("rank"), F.lit(0).cast("long").alias("below"), "low", "high"))
+    while not (open_ := targets.where("low < high")).isEmpty():
+        met = values.join(F.broadcast(open_) if open_.count() <= FEW else open_, by).where("x >= low and x <= high")
+        at = F.floor((F.col("x") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2) * BUCKETS)
+        counted = met.groupBy(by, "rank", "below", F.least(at, F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+        through = F.col("below") + F.sum("n").over(W.partitionBy(by, "rank").orderBy("bucket"))
+        cut = counted.withColumn("through", through).where("through > rank and through - n <= rank")
+        targets = durable(targets.where("low >= high").unionByName(cut.select(by, "rank", (F.col("through") - F.col("n")).alias("below"), "low", "high")))
+    return targets.groupBy(by).agg(F.avg("low").alias("median"))
+
+
 def count_range(df: DataFrame) -> DataFrame:
     """The least and the most rows of a date."""
     return df.groupBy("trade_date").count().agg(F.min("count").alias("least"), F.max("count").alias("most"))

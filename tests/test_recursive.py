@@ -215,3 +215,57 @@ def test_windows_of_a_hot_series_are_many_tasks(spark):
         assert len(found) == 4000 and len(shares) >= 3 and max(shares.values()) < 2500
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_absolute_deviations_by_rank(spark, series):
+    from barline.functions.series import Series
+    from barline.operators.recursive import AbsDev
+
+    df = frame(spark, {**series, "ties": [1.0, 1.0, 2.0] * 40})
+    want = {(r["code"], r["trade_date"]): r["y"] for r in df.select("code", "trade_date", Series().AVEDEV("close", 14).alias("y")).collect()}
+    for blocks in (None, 9):
+        for row in with_recursive(df, {"y": AbsDev(("close",), n=14)}, blocks=blocks).collect():
+            assert alike(row["y"], want[row["code"], row["trade_date"]]), row
+
+
+def test_long_windows_of_deviations_take_linear_log_time():
+    import time
+
+    from barline.operators.recursive import AbsDev
+
+    rng = random.Random(1)
+    xs = [rng.random() for _ in range(20_000)]
+    step, took = AbsDev(("close",), n=2000), []
+    for part in (xs[:5000], xs):
+        state, began = step.start(), time.process_time()
+        out = step.run(state, [part])
+        took.append(time.process_time() - began)
+    window = xs[-2000:]
+    mean = sum(window) / 2000
+    assert out[-1] == pytest.approx(sum(abs(x - mean) for x in window) / 2000) and out[1998] is None and out[1999] is not None
+    assert took[1] < 8 * took[0] + 1
+
+
+def test_convolutions_as_windows(spark, series):
+    from barline.functions.technical import NMM, NMR
+    from barline.operators.recursive import Weighted
+    from barline.operators.smoothed import add, nm_in_steps
+
+    df = frame(spark, series)
+    nmm, nmr = NMM(F.col("close")), NMR(F.col("close"))
+    want = {(r["code"], r["trade_date"]): r for r in df.select("*", nmm[0].alias("NMM"), nmm[1].alias("NMMB"), nmm[2].alias("NMMT"), nmr.alias("NMR")).collect()}
+    for row in add(df, nm_in_steps()).collect():
+        for name in ("NMM", "NMR"):
+            assert row[name] == pytest.approx(want[row["code"], row["trade_date"]][name], rel=1e-7, abs=1e-4), (name, row)
+        assert row["NMMB"] == want[row["code"], row["trade_date"]]["NMMB"] or abs(row["NMM"] + 3000) < 1e-3
+    rng = random.Random(2)
+    xs = [rng.uniform(-1, 1) for _ in range(5000)]
+    step = Weighted(("x",), weights=tuple(1 / (j + 1) for j in range(100)))
+    whole = step.run(step.start(), [xs])
+    state, parts = step.start(), []
+    for start in range(0, 5000, 37):
+        parts += step.run(state, [xs[start : start + 37]])
+    assert parts == pytest.approx(whole, abs=1e-9)
+    assert whole[4000] == pytest.approx(sum(x / (j + 1) for j, x in enumerate(reversed(xs[3900:4000]))))
+    again = step.after(step.after(step.start(), step.mapped([xs[:200]])), step.mapped([xs[200:]]))
+    assert again[1] == state[1] == 5000 and list(again[0]) == pytest.approx(list(state[0]))
