@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barline.functions.codes import normalize_stock_code
 from barline.functions.numeric import fdiv
 from barline.functions.series import Series
 from barline.functions.technical import BIAS, CCI
 from barline.operators import smoothed
+from barline.operators.catalog import Catalog
+from barline.plans.adjust import adjusted_view
 
 AVERAGES = (5, 10, 20, 30, 60, 120, 250)
 
@@ -43,6 +48,21 @@ def kline(adjusted: DataFrame, s: Series | None = None, digits: int = 2) -> Data
     return round_numbers(made.withColumns(shown), digits)
 
 
+def chart(catalog: Catalog, code: str | Iterable[str], first: str | None = None, last: str | None = None, s: Series | None = None, digits: int = 2) -> DataFrame:
+    """kline of some codes (in any spelling that normalize_stock_code reads) between two days, ends included, in order of code and day.
+
+    Only the codes' rows are read. The days are cut after the windows, so the first ones have averages of the days before them; adjustment factors run
+    to the last stored day. A code that isn't stored gives no rows.
+    """
+    wanted = catalog.spark.createDataFrame([(x,) for x in ([code] if isinstance(code, str) else code)], "code string").select(normalize_stock_code(F.col("code")).alias("code"))
+    known = [row["code"] for row in wanted.where("code is not null").collect()]  # those that the caller gave
+    daily, stocks, capital, dividends = (catalog.read(name).where(F.col("code").isin(known)) for name in ("stock_daily", "stock_list", "capital_daily", "stock_dividend"))
+    made = kline(adjusted_view(daily, stocks, capital, dividends, s), s, digits)
+    for limit, keeps in ((first, F.col("trade_date") >= F.lit(first)), (last, F.col("trade_date") <= F.lit(last))):
+        made = made.where(keeps) if limit else made
+    return made.orderBy("code", "trade_date")
+
+
 def viewport(df: DataFrame, rows: int = 200, s: Series | None = None) -> DataFrame:
     """The last rows of each series."""
     s = s or Series()

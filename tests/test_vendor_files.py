@@ -84,3 +84,29 @@ def test_a_stream_takes_each_file_once_and_goes_on(spark, folder, tmp_path_facto
     land(folder, "stock_daily", DAYS[0], "zzz", [{"code": "600000.SH", **bar(DAYS[0], "9")}])  # behind the offset
     assert [(str(r["trade_date"]), r["n"]) for r in run()][-1] == ("2024-01-08", 1)
     assert [r["n"] for r in run()] == [3, 3, 3, 3, 1]
+
+
+def test_a_command_syncs_and_a_chart_reads(spark, folder, capsys):
+    from barline.__main__ import main
+    from barline.operators.catalog import Catalog
+    from barline.plans.kline import chart, kline
+    from barline.plans.adjust import adjusted_view
+
+    land(folder, "stock_list", DAYS[0], "all", [{"code": c, "name": f"n{c[0]}"} for c in CODES])
+    for i, day in enumerate(DAYS):
+        for code in CODES:
+            land(folder, "capital_daily", day, code, [{"date": day, "Zgb": "1000", "Ltgb": "600"}])
+    database = ["--database", "market_command"]
+    with Catalog(spark, "market_command") as market:
+        market.truncate_all(confirm=True)
+    first = main(["sync", str(folder), "--days", DAYS[0], DAYS[2], *database], spark)
+    assert first["stock_list"] == {"inserted": 3, "ignored": 0} and first["stock_daily"] == {"inserted": 9, "ignored": 0} and first["stock_dividend"]["inserted"] == 0
+    again = main(["sync", str(folder), "--kinds", "stock_daily", "capital_daily", *database], spark)
+    assert again["stock_daily"]["inserted"] == 3 and set(again) == {"stock_daily", "capital_daily"} and '"inserted": 3' in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        main(["sync", str(folder), "--vendor", "archive", "--kinds", "stock_dividend", *database], spark)
+    with Catalog(spark, "market_command") as market:
+        shown = chart(market, "sh600000", "2024-01-03", "2024-01-04").collect()
+        assert [(r["code"], r["trade_date"], r["pct_chg"]) for r in shown] == [("600000", "2024-01-03", 100.0), ("600000", "2024-01-04", 50.0)]
+        whole = kline(adjusted_view(*(market.read(t) for t in ("stock_daily", "stock_list", "capital_daily", "stock_dividend"))))
+        assert sorted(map(str, chart(market, ["600000", "000001.SZ", "300001", "x"]).collect())) == sorted(map(str, whole.collect())) and chart(market, "688999").count() == 0
