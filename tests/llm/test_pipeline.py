@@ -33,7 +33,7 @@ def ids(df):
 
 
 def test_columns(stages):
-    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "quality classifier", "SimHash near-dedup", "mixing", "byte-level BPE"]
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "quality classifier", "near-dedup", "mixing", "byte-level BPE"]
     assert all(made.columns == docs.columns for docs, made in stages[:-1])
 
 
