@@ -212,7 +212,8 @@ def test_awkward_documents(spark, tmp_path):
         kept = stage(spark, kept, str(tmp_path)).cache()
         assert kept.columns == docs.columns
     left = sorted((r["doc_id"] or 0, len(r["text"])) for r in kept.collect())
-    assert [i for i, _ in left] == [0, 4, 5] and left[2][1] == len(long)
+    # Of document 4 both texts stay: they have 14 of 20 shingles in common, too few for near copies.
+    assert [i for i, _ in left] == [0, 4, 4, 5] and left[3][1] == len(long) and len({n for i, n in left if i == 4}) == 2
     found = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in found} <= {None, 4, 5} and len(found) > 0
     assert {r["decoded_sha256"] for r in found if r["doc_id"] == 5} <= {hashlib.sha256(long.encode()).hexdigest()}
