@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from barline.llm import bpe, html_extract, license_scan, mixing, near_copies, quality_ranker, quality_rules, queries, sharding, simhash, topk, url_filter
+from barline.llm import bpe, collocations, hard_negatives, html_extract, license_scan, mixing, near_copies, parity_join, quality_ranker, quality_rules, queries, sharding, simhash, topk, url_filter
 
 #: Names that the operators use inside or give to results.
 NAMES = (
@@ -52,7 +52,7 @@ def test_queries_of_documents_take_no_notice(docs, labels):
     more = with_extras(docs)
     for report in (
         quality_rules.report, lambda d: quality_ranker.report(d, with_extras(labels)), simhash.near_duplicates, license_scan.report,
-        lambda d: bpe.digests(d, queries.RANKS, queries.PATTERN), sharding.report, mixing.report,
+        lambda d: bpe.digests(d, queries.RANKS, queries.PATTERN), sharding.report, mixing.report, parity_join.report, collocations.report,
     ):
         assert rows_of(report(more)) == rows_of(report(docs))
 
@@ -76,6 +76,8 @@ def test_pages_and_vectors(spark):
     assert rows_of(html_extract.report(with_extras(pages))) == rows_of(html_extract.report(pages))
     vectors = spark.createDataFrame([(i * 10, [float(i % 7), 1.0]) for i in range(30)], "vec_id long, embedding array<float>")
     assert rows_of(topk.report(with_extras(vectors))) == rows_of(topk.report(vectors))
+    vectors = vectors.withColumn("label", (F.col("vec_id") % 3).cast("int"))
+    assert rows_of(hard_negatives.report(with_extras(vectors))) == rows_of(hard_negatives.report(vectors))
 
 
 def test_the_pipeline_runs_over_any_columns(spark, docs, labels, tmp_path):

@@ -7,7 +7,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from barline.llm import collocations, hard_negatives, near_copies, parity_join
+from conftest import same_rows
+
+from barline.llm import collocations, hard_negatives, near_copies, parity_join, queries
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -239,3 +241,8 @@ def test_huge_components_are_exact():
     most, fewest = tree.bounds(exact[1:2])
     got = hard_negatives.Asked(tree, exact[1], most[:, 0], fewest[:, 0], tree.ids != 0).nearest(None, None, 5)
     assert got == [(2**96 + 768 * 768, 1), (2**48 * 384 - 768 * 640, 2)]
+
+
+@pytest.mark.parametrize("name", ["op12_collocations", "op13_hard_negatives"])
+def test_queries_as_sql(spark, duck, name):
+    assert same_rows(spark, duck, queries.QUERIES[name], queries.ORACLE_SQL[name]) is not None
