@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barline.llm.common import HEAVY_DOCUMENTS, durable, join_counted, quoted
@@ -217,9 +217,9 @@ def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     sizes = sizes.withColumn("blocks", F.ceil(F.greatest(F.col("n") / block, F.col("shingles") / BLOCK_SHINGLES)).cast("int")).drop("shingles")
     members = join_counted(members, durable(sizes), "root", members.count())
     wanted = members.select("node", "root", "blocks", "sketch")
-    texts, least = docs.select("doc_id", "text"), members.select(F.col("least_id").alias("doc_id")).distinct()
+    texts, least = docs.select("doc_id", "text"), members.select("least_id").distinct()
     # Each row of a wanted doc_id is shingled once, whatever number of texts that doc_id has; of the rows of one set one is needed.
-    sets = _sets(texts.join(least, texts["doc_id"].eqNullSafe(least["doc_id"]), "left_semi")).groupBy("node").agg(F.first("shingles").alias("shingles"))
+    sets = _sets(texts.join(least, F.col("doc_id").eqNullSafe(F.col("least_id")), "left_semi")).groupBy("node").agg(F.first("shingles").alias("shingles"))
     sets = sets.join(wanted, "node").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     met = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "sketch", "shingles"
@@ -281,10 +281,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     hashed = [F.col(quoted(name)) for name, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
     marked = docs.select("doc_id", node("text").alias("node"), F.struct(F.col("text"), F.xxhash64(*hashed)).alias("order"), F.struct("*").alias("row"))
 
-    def same(other: DataFrame) -> Column:
-        return marked["doc_id"].eqNullSafe(other["doc_id"]) & (marked["node"] == other["node"])
-
-    alone = marked.join(odd, same(odd), "left_anti").select("row")
-    staying = odd.where("stays")
-    repeated = marked.join(staying, same(staying), "left_semi").groupBy("doc_id", "node").agg(F.min_by("row", "order").alias("row")).select("row")
+    # Names of their own: both sides come from docs.
+    odd = odd.select(F.col("doc_id").alias("odd_id"), F.col("node").alias("odd_node"), "stays")
+    same = F.col("doc_id").eqNullSafe(F.col("odd_id")) & (F.col("node") == F.col("odd_node"))
+    alone = marked.join(odd, same, "left_anti").select("row")
+    repeated = marked.join(odd.where("stays"), same, "left_semi").groupBy("doc_id", "node").agg(F.min_by("row", "order").alias("row")).select("row")
     return alone.union(repeated).select("row.*")
