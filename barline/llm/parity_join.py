@@ -8,8 +8,8 @@ band: a set is a member of its own band, and visits the next one if a set there
 1. Equal parts: (band, part, bits) are dealt by their hash; those of one set only are dropped. Very frequent ones, found on a sample of
    the documents, aren't dealt at all, since they stay in any case.
 2. Search: buckets are searched for pairs whose shorter parity sketches are near enough; a spanning forest of these is given.
-3. Verify: those pairs are compared on whole sets, and what is alike is joined. Where one of them isn't alike after all, the buckets that
-   still hold several components are searched again without the shortcut, until nothing was held back.
+3. Verify: those pairs are compared on whole sets, and what is alike is joined. Buckets where one of them isn't alike after all, and
+   that still hold several components, are searched again without the shortcut, until nothing was held back.
 
 Copies of one set are one node. A bucket is searched in chunks of bounded size, which later chunks' sets visit. A set of which many are
 compared meets them in salted groups.
@@ -212,10 +212,10 @@ def alike(edges: DataFrame, docs: DataFrame, signed: DataFrame) -> DataFrame:
     hubs = counts.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("b"))
     ends = durable(dealt.unionByName(hubs))
     nodes = ends.select("node").distinct()
-    least = durable(signed.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct())
+    least = durable(signed.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("least_id")).select("least_id").distinct())
     few = ends.count() <= FEW  # there are no more doc_ids than ends
     ends, least = (F.broadcast(ends), F.broadcast(least)) if few else (ends, least)
-    texts = docs.join(least, docs["doc_id"].eqNullSafe(least["doc_id"]), "left_semi")
+    texts = docs.join(least, F.col("doc_id").eqNullSafe(F.col("least_id")), "left_semi")
     # A document of several texts can bring a set that another one has brought; both are the same.
     met = texts.select("text").mapInArrow(_sets, "node long, shingles array<long>").join(ends, "node").select("a", "part", "side", "b", "shingles")
     return met.repartition("a", "part").sortWithinPartitions("a", "part", "side").mapInArrow(_judged, "a long, b long, linked boolean").distinct()
@@ -265,15 +265,15 @@ def _near(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.Re
     """Rows (key, chunk, visits, node, root, size, sketch) come sorted by the first three: a chunk's sets, which are kept, then visitors."""
     now, parts, bucket = None, [], None
 
-    def closed() -> list[tuple[int, int, bool]]:
+    def closed() -> list[tuple[int, int, int, bool]]:
         nonlocal bucket, parts
         bucket = Bucket(*(np.concatenate([part[i] for part in parts]) for i in range(3)), [x for part in parts for x in part[3]], most) if parts else None
         parts = []
-        return bucket.own() if bucket else []
+        return [(now[0], *edge) for edge in bucket.own()] if bucket else []
 
-    def out(edges: list[tuple[int, int, bool]]) -> pa.RecordBatch:
+    def out(edges: list[tuple[int, int, int, bool]]) -> pa.RecordBatch:
         columns = list(zip(*edges, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.bool_())], names=["a", "b", "held"])
+        return pa.RecordBatch.from_arrays([*(pa.array(column, pa.int64()) for column in columns[:3]), pa.array(columns[3], pa.bool_())], names=["key", "a", "b", "held"])
 
     for batch in batches:
         key, chunk, visits, node, root, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
@@ -281,7 +281,7 @@ def _near(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.Re
         ends, flat = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64).copy()
         sketch = [flat[low:high] for low, high in zip(ends, ends[1:], strict=False)]
         cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1]) | (visits[1:] != visits[:-1])]) if len(key) else []
-        edges: list[tuple[int, int, bool]] = []
+        edges: list[tuple[int, int, int, bool]] = []
         for start, stop in zip(cuts, [*cuts[1:], len(key)], strict=True):
             here = (key[start], chunk[start])
             if here != now:
@@ -292,7 +292,7 @@ def _near(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.Re
                 continue
             edges += closed() if parts else []
             for i in range(start, stop) if bucket else ():
-                edges += bucket.meet(int(node[i]), int(root[i]), int(size[i]), sketch[i], 0)
+                edges += [(now[0], *edge) for edge in bucket.meet(int(node[i]), int(root[i]), int(size[i]), sketch[i], 0)]
         if edges:
             yield out(edges)
     if edges := closed():
@@ -300,18 +300,18 @@ def _near(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.Re
 
 
 def _searched(rows: DataFrame, roots: DataFrame, sketched: DataFrame, most: int | None) -> DataFrame:
-    """(a, b, held): pairs that may be linked, from the buckets (rows: key, node) that hold several components."""
+    """(key, a, b, held): pairs that may be linked, from the buckets (rows: key, node) that hold several components."""
     named = durable(rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     mixed = named.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
     mixed = durable(mixed.select("key", "n", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")))
     if mixed.isEmpty():
-        return named.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(False).alias("held")).limit(0)
+        return named.select("key", F.col("node").alias("a"), F.col("node").alias("b"), F.lit(False).alias("held")).limit(0)
     left = join_counted(named, mixed, "key", named.count()).join(sketched, "node")
     chunk = F.pmod(F.xxhash64("node"), "chunks").cast("int")
     met = left.withColumn("own", chunk).withColumn("chunk", F.explode(F.sequence("own", F.col("chunks") - 1)))
     met = met.select("key", "chunk", (F.col("chunk") != F.col("own")).cast("int").alias("visits"), "node", "root", "size", "sketch")
-    found = met.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "visits").mapInArrow(lambda batches: _near(batches, most), "a long, b long, held boolean")
-    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("held").alias("held"))
+    found = met.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "visits").mapInArrow(lambda batches: _near(batches, most), "key long, a long, b long, held boolean")
+    return found.select("key", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "held")
 
 
 def _once(rows: DataFrame) -> DataFrame:
@@ -330,12 +330,15 @@ def links(docs: DataFrame, signed: DataFrame) -> DataFrame:
     judged, roots = spark.createDataFrame([], "a long, b long, linked boolean"), spark.createDataFrame([], "node long, root long")
     while True:
         pairs = durable(_searched(rows, roots, sketched, most))
-        fresh = durable(alike(pairs.select("a", "b").join(judged, ["a", "b"], "left_anti"), docs, signed))
+        fresh = durable(alike(pairs.select("a", "b").distinct().join(judged, ["a", "b"], "left_anti"), docs, signed))
         judged = fresh if most is None else durable(judged.unionByName(fresh))
         roots = durable(components(judged.where("linked").select("a", "b")))
-        # A forest of links leaves nothing out; without that shortcut, nothing is left out if nothing was held back.
-        if fresh.where("not linked").isEmpty() if most is None else pairs.where("held").isEmpty():
+        # A forest can have hidden links only in buckets where one of its edges failed; without that shortcut, where pairs were held back.
+        again = pairs.join(fresh.where("not linked"), ["a", "b"], "left_semi") if most is None else pairs.where("held")
+        again = durable(again.select("key").distinct())
+        if again.isEmpty():
             return roots
+        rows = durable(rows.join(again, "key", "left_semi"))
         most = PAIRS if most is None else most * PAIRS
 
 
