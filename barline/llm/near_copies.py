@@ -31,6 +31,8 @@ BANDS, BAND_ROWS = 20, 5
 SKETCH_APART = 38
 #: Nodes of a block, about: at least, at most, and in between as many as make FEW_BLOCKS of a cluster; and most shingles of a block, about.
 LEAST_BLOCK, MOST_BLOCK, FEW_BLOCKS, BLOCK_SHINGLES = 256, 4096, 64, 1 << 20
+#: So many doc_ids go to the documents by broadcast; more are joined by a shuffle.
+FEW = 1_000_000
 #: Words whose hashes a worker keeps at most, but for those of one text.
 WORDS_KNOWN = 1 << 16
 #: Shingles compared with one set at a time.
@@ -114,17 +116,30 @@ def _signed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", sign(F.col("text")).alias("s")).select("doc_id", "s.node", "s.size", "s.bands", "s.sketch")
 
 
-def _sets(texts: DataFrame) -> DataFrame:
-    """doc_id, node and set of shingles of each row."""
-
-    @F.arrow_udf("struct<node:long,shingles:array<long>>")
-    def shingles_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for some in batches:
-            sets = [shingle_hashes(text.as_py()) for text in some]
-            nodes = np.array([node_of(x) for x in sets], np.uint64).view(np.int64)
-            yield pa.StructArray.from_arrays([pa.array(nodes), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
-
-    return texts.select("doc_id", shingles_of("text").alias("s")).select("doc_id", "s.node", "s.shingles")
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, shingles) of texts, some SHINGLES_AT_ONCE shingles at a time; a set that comes again in a batch isn't given again."""
+    for batch in batches:
+        seen: set[int] = set()
+        nodes, sets, held = [], [], 0
+
+        def out() -> pa.RecordBatch:
+            flat, ends = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64), np.cumsum([0, *map(len, sets)])  # noqa: B023
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+            return pa.RecordBatch.from_arrays([pa.array(np.array(nodes, np.uint64).view(np.int64)), lists], names=["node", "shingles"])  # noqa: B023
+
+        for text in batch.column(0):
+            hashes = shingle_hashes(text.as_py())
+            node = node_of(hashes)
+            if node not in seen:
+                seen.add(node)
+                nodes.append(node)
+                sets.append(hashes)
+                held += len(hashes)
+            if held > SHINGLES_AT_ONCE // 4:
+                yield out()
+                nodes, sets, held = [], [], 0
+        if nodes:
+            yield out()
 
 
 class Pair:
@@ -219,7 +234,8 @@ def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     wanted = members.select("node", "root", "blocks", "sketch")
     texts, least = docs.select("doc_id", "text"), members.select("least_id").distinct()
     # Each row of a wanted doc_id is shingled once, whatever number of texts that doc_id has; of the rows of one set one is needed.
-    sets = _sets(texts.join(least, F.col("doc_id").eqNullSafe(F.col("least_id")), "left_semi")).groupBy("node").agg(F.first("shingles").alias("shingles"))
+    texts = texts.join(least, F.col("doc_id").eqNullSafe(F.col("least_id")), "left_semi").select("text")
+    sets = texts.mapInArrow(_sets, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles"))
     sets = sets.join(wanted, "node").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     met = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "sketch", "shingles"
@@ -276,14 +292,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
             yield pa.array(np.array([node_of(shingle_hashes(text.as_py())) for text in texts], np.uint64).view(np.int64))
 
     first = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("node") == F.col("component_node"))
-    found = _named(docs).groupBy("doc_id", "node").agg(F.count("*").alias("rows"), F.max(first).alias("stays"))
-    odd = durable(found.where("rows > 1 or not stays"))  # those that go, or are there more than once
+    found = durable(_named(docs).groupBy("doc_id", "node").agg(F.count("*").alias("rows"), F.max(first).alias("stays")))
+    of_id = found.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("texts"), F.sum("rows").alias("rows"), F.max("stays").alias("stays"))
+    # Those that go, are there more than once, or have several texts, which are told apart by their nodes.
+    odd = durable(of_id.where("texts > 1 or rows > 1 or not stays"))
+    odd = F.broadcast(odd) if odd.count() <= FEW else odd
+    same = F.col("doc_id").eqNullSafe(F.col("__id"))
+    alone = docs.join(odd, same, "left_anti").select(F.struct("*").alias("row"))
     hashed = [F.col(quoted(name)) for name, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
-    marked = docs.select("doc_id", node("text").alias("node"), F.struct(F.col("text"), F.xxhash64(*hashed)).alias("order"), F.struct("*").alias("row"))
-
-    # Names of their own: both sides come from docs.
-    odd = odd.select(F.col("doc_id").alias("odd_id"), F.col("node").alias("odd_node"), "stays")
-    same = F.col("doc_id").eqNullSafe(F.col("odd_id")) & (F.col("node") == F.col("odd_node"))
-    alone = marked.join(odd, same, "left_anti").select("row")
-    repeated = marked.join(odd.where("stays"), same, "left_semi").groupBy("doc_id", "node").agg(F.min_by("row", "order").alias("row")).select("row")
+    several = docs.join(odd.where("stays and (texts > 1 or rows > 1)").select("__id"), same, "left_semi")
+    marked = several.select("doc_id", node("text").alias("node"), F.struct(F.col("text"), F.xxhash64(*hashed)).alias("order"), F.struct("*").alias("row"))
+    staying = found.where("stays").select(F.col("doc_id").alias("__id"), F.col("node").alias("__node"))
+    repeated = marked.join(staying, same & (F.col("node") == F.col("__node")), "left_semi").groupBy("doc_id", "node").agg(F.min_by("row", "order").alias("row")).select("row")
     return alone.union(repeated).select("row.*")
