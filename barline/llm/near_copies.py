@@ -1,13 +1,14 @@
-"""Near copies by the words that texts share: the near-dedup stage of the pipeline.
+"""Near copies by SimHash, then by the words that texts share: the near-dedup stage of the pipeline.
 
-Fingerprints two bits apart are far closer than texts of which a fifth differs, so the stage has a measure of its own: the
-Jaccard similarity of the sets of five-word shingles, 0.8 or more.
+A link is a Jaccard similarity of the sets of five-word shingles of 0.8 or more; whole sets decide on it.
 
-Candidates: texts with one set are one node. Nodes that share the key of a band (the least values of a few permutations of the
-set) are candidates; over these they form clusters. Nothing is compared across clusters.
+Candidates: texts with one set are one node. Each node has a SimHash fingerprint, the majority bits of its shingles; those RADIUS
+or fewer bits apart are found through the vantage-point tree of `simhash`, as op4 finds its links. Texts of which a fifth differs
+lie beyond any radius that a tree can search, so nodes that share the key of a band (the least values of a few permutations of the
+set) are candidates too. Over all of these they form clusters. Nothing is compared across clusters.
 
-Links: a cluster is cut into blocks of bounded size, and each pair of its blocks is a task's work: sketches rule pairs out, and
-the others are compared on their whole sets. A pair of blocks gives the edges of a spanning forest of what it saw, never all
+Links: a cluster is cut into blocks of bounded size, and each pair of its blocks is a task's work: pairs beyond RADIUS are ruled out
+by sketches, and the others are compared on their whole sets. A pair of blocks gives the edges of a spanning forest of what it saw, never all
 pairs; components of the edges are the groups. So a cluster with a third of all nodes is many small pieces of work.
 """
 
@@ -20,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barline.llm import simhash
 from barline.llm.common import HEAVY_DOCUMENTS, durable, join_counted, quoted
-from barline.llm.simhash import SEED, components
+from barline.llm.simhash import RADIUS, SEED, components
 
 #: Words of a shingle, and the least Jaccard similarity of a link (a fraction).
 SHINGLE_WORDS, SIMILAR = 5, (4, 5)
@@ -80,6 +82,11 @@ def node_of(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """The SimHash of a set: 64 majority bits of its hashes."""
+    return simhash.majority(hashes[start : start + simhash.SHINGLES_AT_ONCE] for start in range(0, len(hashes), simhash.SHINGLES_AT_ONCE))
+
+
 def bands_and_sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit key for each band, of the least values of BAND_ROWS permutations of the set; and the sketch of all, four words."""
     least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
@@ -99,21 +106,21 @@ def bands_and_sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """doc_id, node (hash of the set of shingles), size of the set, band keys and sketch of each row."""
+    """doc_id, node (hash of the set of shingles), size of the set, fingerprint, band keys and sketch of each row."""
 
-    @F.arrow_udf("struct<node:long,size:int,bands:array<long>,sketch:array<long>>")
+    @F.arrow_udf("struct<node:long,size:int,fingerprint:long,bands:array<long>,sketch:array<long>>")
     def sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            nodes, sizes = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.int32)
+            nodes, sizes, prints = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.int32), np.zeros(len(texts), np.uint64)
             bands, sketches = np.zeros((len(texts), BANDS), np.uint64), np.zeros((len(texts), 4), np.uint64)
             for i, text in enumerate(texts):
                 hashes = shingle_hashes(text.as_py())
-                nodes[i], sizes[i] = node_of(hashes), len(hashes)
+                nodes[i], sizes[i], prints[i] = node_of(hashes), len(hashes), fingerprint(hashes)
                 bands[i], sketches[i] = bands_and_sketch(hashes)
             lists = [pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * x.shape[1], x.reshape(-1).view(np.int64)) for x in (bands, sketches)]
-            yield pa.StructArray.from_arrays([pa.array(nodes.view(np.int64)), pa.array(sizes), *lists], names=["node", "size", "bands", "sketch"])
+            yield pa.StructArray.from_arrays([pa.array(nodes.view(np.int64)), pa.array(sizes), pa.array(prints.view(np.int64)), *lists], names=["node", "size", "fingerprint", "bands", "sketch"])
 
-    return docs.select("doc_id", sign(F.col("text")).alias("s")).select("doc_id", "s.node", "s.size", "s.bands", "s.sketch")
+    return docs.select("doc_id", sign(F.col("text")).alias("s")).select("doc_id", "s.*")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,12 +155,14 @@ class Pair:
     def __init__(self) -> None:
         self.nodes: list[int] = []
         self.sides: list[int] = []
+        self.prints: list[int] = []
         self.sketches: list[np.ndarray] = []
         self.sets: list[np.ndarray] = []
 
-    def add(self, node: int, side: int, sketch: np.ndarray, shingles: np.ndarray) -> None:
+    def add(self, node: int, side: int, fingerprint: int, sketch: np.ndarray, shingles: np.ndarray) -> None:
         self.nodes.append(node)
         self.sides.append(side)
+        self.prints.append(fingerprint)
         self.sketches.append(sketch.view(np.uint64))
         self.sets.append(np.sort(shingles))
 
@@ -163,6 +172,7 @@ class Pair:
         if n < 2:
             return []
         sides, sketches, sizes = np.array(self.sides), np.stack(self.sketches), np.array([len(x) for x in self.sets])
+        prints = np.array(self.prints, np.int64).view(np.uint64)
         label, edges = np.arange(n), []
         above, below = SIMILAR
         alone = not sides.any()
@@ -170,7 +180,8 @@ class Pair:
             # Side 0 comes first. Each member meets later members of its own block, or all of the other one, but not those joined with it.
             others = np.arange(at + 1, n) if alone else np.flatnonzero(sides)
             apart = np.bitwise_count(sketches[others] ^ sketches[at]).sum(axis=1)
-            fits = (apart <= SKETCH_APART) & (np.minimum(sizes[others], sizes[at]) * below >= np.maximum(sizes[others], sizes[at]) * above)
+            fits = (apart <= SKETCH_APART) | (np.bitwise_count(prints[others] ^ prints[at]) <= RADIUS)
+            fits &= np.minimum(sizes[others], sizes[at]) * below >= np.maximum(sizes[others], sizes[at]) * above
             others = others[fits & (label[others] != label[at])]
             while len(others):
                 through = max(1, int(np.searchsorted(np.cumsum(sizes[others]), SHINGLES_AT_ONCE, "right")))
@@ -195,7 +206,7 @@ class Pair:
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (root, low, high, side, node, sketch, shingles) come sorted by the first four; a pair of blocks is kept until the next one starts."""
+    """Rows (root, low, high, side, node, fingerprint, sketch, shingles) come sorted by the first four; a pair of blocks is kept until the next one starts."""
     key, pair = None, Pair()
 
     def out() -> pa.RecordBatch:
@@ -204,9 +215,9 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         keys = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
-        side, node = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+        side, node, prints = (batch.column(i).to_pylist() for i in (3, 4, 5))
         lists = []
-        for i in (5, 6):
+        for i in (6, 7):
             column = batch.column(i)
             ends, flat = column.offsets.to_numpy() - column.offsets[0].as_py(), column.flatten().to_numpy(zero_copy_only=False)
             lists.append([flat[a:b] for a, b in zip(ends, ends[1:], strict=False)])
@@ -215,30 +226,39 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(pair.nodes) > 1:
                     yield out()
                 key, pair = here, Pair()
-            pair.add(node[row], side[row], lists[0][row], lists[1][row].copy())
+            pair.add(node[row], side[row], prints[row], lists[0][row], lists[1][row].copy())
     if len(pair.nodes) > 1:
         yield out()
 
 
+def in_reach(distinct: DataFrame) -> DataFrame:
+    """(node, band): a key of one more band for nodes whose fingerprints are RADIUS or fewer bits apart, or reach each other over others."""
+    points = durable(distinct.groupBy("fingerprint").agg(F.count("*").alias("n")))
+    roots = components(simhash.links(points.select("fingerprint"), RADIUS)).select(F.col("node").alias("fingerprint"), "root")
+    found = points.join(roots, "fingerprint", "left").where("root is not null or n > 1")
+    keys = durable(found.select("fingerprint", F.xxhash64(F.coalesce("root", "fingerprint")).alias("band"), "n"))
+    return join_counted(distinct.select("node", "fingerprint"), keys, "fingerprint", distinct.count()).select("node", "band")
+
+
 def links(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """(a, b): edges between nodes at SIMILAR or more, whose components are those of all such pairs among the candidates."""
-    banded = distinct.select("node", F.explode("bands").alias("band"))
+    banded = distinct.select("node", F.explode("bands").alias("band")).union(durable(in_reach(distinct)))
     heads = durable(banded.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1"))
-    stars = join_counted(banded, heads, "band", BANDS * distinct.count()).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    stars = join_counted(banded, heads, "band", (BANDS + 1) * distinct.count()).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
     clusters = durable(components(stars))
     members = durable(clusters.join(distinct.drop("bands"), "node"))
     sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
     block = F.greatest(F.lit(LEAST_BLOCK), F.least(F.lit(MOST_BLOCK), F.col("n") / FEW_BLOCKS))
     sizes = sizes.withColumn("blocks", F.ceil(F.greatest(F.col("n") / block, F.col("shingles") / BLOCK_SHINGLES)).cast("int")).drop("shingles")
     members = join_counted(members, durable(sizes), "root", members.count())
-    wanted = members.select("node", "root", "blocks", "sketch")
+    wanted = members.select("node", "root", "blocks", "fingerprint", "sketch")
     texts, least = docs.select("doc_id", "text"), members.select("least_id").distinct()
     # Each row of a wanted doc_id is shingled once, whatever number of texts that doc_id has; of the rows of one set one is needed.
     texts = texts.join(least, F.col("doc_id").eqNullSafe(F.col("least_id")), "left_semi").select("text")
     sets = texts.mapInArrow(_sets, "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles"))
     sets = sets.join(wanted, "node").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     met = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "sketch", "shingles"
+        "root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "fingerprint", "sketch", "shingles"
     )
     met = met.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "side")
     return met.mapInArrow(_edges, "a long, b long")
@@ -263,7 +283,7 @@ def _named(docs: DataFrame) -> DataFrame:
     """doc_id, node, component_id and component_node of every row."""
     docs = docs.select("doc_id", "text")
     signed = durable(_signed(docs))
-    firsts = [F.first(name).alias(name) for name in ("size", "bands", "sketch")]
+    firsts = [F.first(name).alias(name) for name in ("size", "fingerprint", "bands", "sketch")]
     distinct = durable(signed.groupBy("node").agg(F.min("doc_id").alias("least_id"), *firsts))
     return name_components(signed.select("doc_id", "node"), durable(components(links(docs, distinct))))
 

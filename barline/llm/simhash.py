@@ -18,7 +18,7 @@ fingerprints of many documents, meet their rows by broadcast: there are few of t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,15 @@ MOST_SHARDS, SAMPLE_PER_SHARD = 1 << 15, 16
 SHINGLES_AT_ONCE = 1 << 16
 
 
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The bits that are set in over half of the 64-bit hashes, which come in parts; 0 if there are none."""
+    ones, n = np.zeros(64, np.int64), 0
+    for hashes in parts:
+        ones += np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        n += len(hashes)
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+
+
 def fingerprint(text: str | None) -> int:
     """64 majority bits of the XXH64 hashes of the word shingles; 0 for a text without words."""
     import xxhash
@@ -50,12 +59,8 @@ def fingerprint(text: str | None) -> int:
         return 0
     if len(words) < SHINGLE_WORDS:
         return digest(b" ".join(words), SEED)
-    ones, n = np.zeros(64, np.int64), len(words) - SHINGLE_WORDS + 1
-    for start in range(0, n, SHINGLES_AT_ONCE):
-        part = words[start : start + SHINGLES_AT_ONCE + SHINGLE_WORDS - 1]
-        hashes = np.array([digest(b"%b %b %b" % three, SEED) for three in zip(part, part[1:], part[2:], strict=False)], ">u8")
-        ones += np.unpackbits(hashes.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    parts = (words[start : start + SHINGLES_AT_ONCE + SHINGLE_WORDS - 1] for start in range(0, len(words) - SHINGLE_WORDS + 1, SHINGLES_AT_ONCE))
+    return majority(np.array([digest(b"%b %b %b" % three, SEED) for three in zip(part, part[1:], part[2:], strict=False)], np.uint64) for part in parts)
 
 
 def fingerprints(docs: DataFrame, text: str = "text", into: str = "fingerprint") -> DataFrame:

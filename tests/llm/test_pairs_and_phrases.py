@@ -112,6 +112,23 @@ def test_no_text_is_lost_where_rows_share_a_doc_id(spark, turned):
     assert sorted(map(tuple, kept), key=str) == sorted([(1, b), (5, a), rows[-1]], key=str)
 
 
+def test_fingerprints_in_reach_are_candidates(spark, monkeypatch):
+    plain = near_copies.bands_and_sketch
+    monkeypatch.setattr(near_copies, "bands_and_sketch", lambda hashes: (np.arange(near_copies.BANDS, dtype=np.uint64) + np.uint64(near_copies.node_of(hashes) >> 1), plain(hashes)[1]))
+    words, texts = [f"w{i}" for i in range(3000)], []
+    for group in range(20):  # the first text of a group, one with another end, one of which half is another; no two sets share a band
+        own = [f"{w}g{group}" for w in words]
+        texts += [own, own[3:-3] + ["x", "y", "z"], own[:1500] + [f"n{w}" for w in own[1500:]]]
+    sets = [near_copies.shingle_hashes(" ".join(t)) for t in texts]
+    prints = np.array([near_copies.fingerprint(s) for s in sets], np.uint64)
+    reached = {3 * g + 1 for g in range(20) if int(prints[3 * g] ^ prints[3 * g + 1]).bit_count() <= near_copies.RADIUS}
+    assert len(reached) >= 15
+    keys = [set(map(int, near_copies.bands_and_sketch(s)[0])) for s in sets]
+    assert not any(keys[i] & keys[j] for i in range(len(keys)) for j in range(i))
+    kept = near_copies.keep_one(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"))
+    assert {r["doc_id"] for r in kept.collect()} == set(range(60)) - reached
+
+
 def test_one_doc_id_of_many_texts_is_linear(spark, monkeypatch):
     calls = spark.sparkContext.accumulator(0)
     plain = near_copies.shingle_hashes
