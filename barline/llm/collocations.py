@@ -7,6 +7,9 @@ sorted, so a prefix's are a span of rows, which is grown to the right depth-firs
 cuts are grown further. Spans are grown some rows at a time; one that the end of these cuts gives a count on each side, and these are
 added up. So no task holds a frequent prefix whole, and none is a limit.
 
+What is shuffled is kept small: pairs are counted by the numbers of their buckets, a row a bucket of some texts, and an occurrence's
+words are one string, ended by a space so that the rows of a prefix stay side by side when sorted.
+
 Two bitmaps of fixed size (frequent words, frequent pairs) spare rows before the shuffles. A bitmap lets through all that is frequent
 and, by chance, some that isn't, so it changes no count; in a corpus with far more frequent words than bits it spares less.
 """
@@ -17,6 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,6 +35,8 @@ UNKNOWN = "und"
 BITMAP_BITS, WORDS_AT_ONCE, ROWS_AT_ONCE = 1 << 24, 1 << 20, 1 << 18
 #: Pairs are counted by so many bits of a hash. A word or pair with more than this share of all words is very frequent.
 PAIR_BITS, VERY_FREQUENT = 31, 1 / 500
+#: Low bits of such a hash that tell the pairs of a bucket apart; as many as a uint16 has.
+BUCKET_BITS = 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: What ends a piece becomes a byte that UTF-8 doesn't have, a tab becomes a space.
 _END = b"\xff"
@@ -158,19 +164,50 @@ def _hash_column(words: DataFrame) -> DataFrame:
 
 
 def _pair_counts(bits: np.ndarray) -> Callable:
+    """Rows (bucket, low, f), one for each bucket of a portion: its pairs' low bits (sorted, uint16) and how often each is there (int32)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words in _in_portions(batches):
             ids, hashes = _frequent_words(words, bits.value)
             at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
             (found,), counts = _counted(_pairs(hashes[ids[at]], hashes[ids[at + 1]]))
-            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(counts)], names=["h", "f"])
+            bucket = (found >> np.uint64(BUCKET_BITS)).astype(np.int32)
+            starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[: len(bucket)])
+            ends = np.append(starts, len(bucket))
+            packed = []
+            for values in (found.astype(np.uint16), counts.astype(np.int32)):  # astype keeps the low bits
+                packed.append(pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(values)]))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[starts]), *packed], names=["bucket", "low", "f"])
 
     return run
 
 
+def _pair_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _pair_counts, sorted by bucket, to (h, f) of the pairs with f >= LEAST. At most a batch and a bucket's sums are held."""
+    keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def out(keys: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        much = sums >= LEAST
+        return pa.RecordBatch.from_arrays([pa.array(keys[much].astype(np.int32)), pa.array(sums[much])], names=["h", "f"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        low, f = (np.frombuffer(b"".join(batch.column(k).to_pylist()), kind).astype(np.int64) for k, kind in ((1, np.uint16), (2, np.int32)))
+        bucket = np.repeat(batch.column(0).to_numpy().astype(np.int64), pc.binary_length(batch.column(1)).to_numpy() // 2)
+        keys, sums = np.append(keys, bucket << BUCKET_BITS | low), np.append(sums, f)
+        order = np.argsort(keys, kind="stable")
+        keys, sums = keys[order], sums[order]
+        starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        keys, sums = keys[starts], np.add.reduceat(sums, starts)
+        done = np.searchsorted(keys, keys[-1] >> BUCKET_BITS << BUCKET_BITS)  # the last bucket may go on
+        yield out(keys[:done], sums[:done])
+        keys, sums = keys[done:], sums[done:]
+    yield out(keys, sums)
+
+
 def _occurrences(word_bits: np.ndarray, pair_bits: np.ndarray, words_cut: np.ndarray, pairs_cut: np.ndarray) -> Callable:
-    """Rows (w1, ..., w4, n, cut): of each occurrence of a pair that passes, the words from there on as long as pairs pass; w1 with its language
-    after a tab. cut: 1 where the first word is in words_cut (sorted hashes), 2 where the first pair is in pairs_cut too."""
+    """Rows (lang, words, n, cut): of each occurrence of a pair that passes, the words from there on as long as pairs pass, a space after each. cut: 1 where the first word is in words_cut (sorted hashes), 2 where the first pair is in pairs_cut too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words in _in_portions(batches):
@@ -187,10 +224,12 @@ def _occurrences(word_bits: np.ndarray, pair_bits: np.ndarray, words_cut: np.nda
             first = hashes[columns[0]]
             cut = np.isin(first, words_cut).astype(np.int8)
             cut += cut * np.isin(_pairs(first, hashes[columns[1]]), pairs_cut)
-            names = words.columns()[1]
-            begun = pa.array([word + b"\t" + lang.encode("utf-8") for lang, word in words.words], pa.binary()).cast(pa.string())
-            taken = [(names if k else begun).take(pa.array(column, mask=column < 0)) for k, column in enumerate(columns)]
-            yield pa.RecordBatch.from_arrays([*taken, pa.array(counts), pa.array(cut)], names=[*(f"w{k + 1}" for k in range(LONGEST)), "n", "cut"])
+            langs, names = words.columns()
+            for start in range(0, len(counts), ROWS_AT_ONCE):
+                some = [column[start : start + ROWS_AT_ONCE] for column in columns]
+                joined = pc.binary_join_element_wise(*(names.take(pa.array(column, mask=column < 0)) for column in some), "", " ", null_handling="skip")
+                through = slice(start, start + ROWS_AT_ONCE)
+                yield pa.RecordBatch.from_arrays([langs.take(pa.array(some[0])), joined, pa.array(counts[through]), pa.array(cut[through])], names=["lang", "words", "n", "cut"])
 
     return run
 
@@ -200,33 +239,34 @@ def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     of spans at a border, and of pairs that several tasks have."""
 
     def grown(rows: pa.Table) -> pa.RecordBatch:
-        columns = [column.combine_chunks().dictionary_encode() for column in rows.columns[:LONGEST]]
-        names = [column.dictionary.to_pylist() for column in columns]
-        codes = [column.indices.fill_null(-1).to_numpy(zero_copy_only=False) for column in columns]
-        through = np.concatenate([[0], np.cumsum(rows.column(LONGEST).to_numpy())])
-        parts, n, out = rows.column(LONGEST + 1).to_numpy(), len(rows), ([], [], [])
-
-        def extend(low: int, high: int, depth: int, lang: str, prefix: list[str]) -> None:
-            """Rows low to high share `depth` words; column `depth` has the next one."""
+        lang, words = (rows.column(k).combine_chunks() for k in (0, 1))
+        lang, lists = lang.dictionary_encode(), pc.split_pattern(words, " ")  # after the last space an empty string
+        flat, offsets = lists.values.dictionary_encode(), lists.offsets.to_numpy()
+        indices, starts, lengths = flat.indices.to_numpy(), offsets[:-1], np.diff(offsets) - 1
+        # The language, then the words; -1 where there are no more.
+        codes = [lang.indices.to_numpy(), *(np.where(k < lengths, indices[starts + np.minimum(k, lengths)], -1) for k in range(LONGEST))]
+        names = [lang.dictionary.to_pylist(), *[flat.dictionary.to_pylist()] * LONGEST]
+        through = np.concatenate([[0], np.cumsum(rows.column(2).to_numpy())])
+        parts, n, out = rows.column(3).to_numpy(), len(rows), ([], [], [])
+
+        def extend(low: int, high: int, depth: int, prefix: list[str]) -> None:
+            """Rows low to high share a language and `depth` - 1 words; codes[depth] has the next one."""
             code = codes[depth][low:high]
             starts = np.flatnonzero(np.append(True, code[1:] != code[:-1])) + low
             ends = np.append(starts[1:], high)
             f = through[ends] - through[starts]
-            part = (starts == 0) | (ends == n)
-            if depth < 2:
-                part |= parts[starts] > depth
+            part = (starts == 0) | (ends == n) | (depth == 0)
+            if 0 < depth <= 2:
+                part |= parts[starts] >= depth
             for i in np.flatnonzero((code[starts - low] >= 0) & (part | (f >= LEAST))):
-                word = names[depth][code[starts[i] - low]]
-                if not depth:
-                    word, lang = word.split("\t", 1)
-                phrase = [*prefix, word]
-                if depth:
-                    for column, value in zip(out, (lang, " ".join(phrase), int(f[i])), strict=True):
+                phrase = [*prefix, names[depth][code[starts[i] - low]]]
+                if depth > 1:
+                    for column, value in zip(out, (phrase[0], " ".join(phrase[1:]), int(f[i])), strict=True):
                         column.append(value)
-                if depth + 1 < LONGEST:
-                    extend(int(starts[i]), int(ends[i]), depth + 1, lang, phrase)
+                if depth < LONGEST:
+                    extend(int(starts[i]), int(ends[i]), depth + 1, phrase)
 
-        extend(0, n, 0, "", [])
+        extend(0, n, 0, [])
         return pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64())], names=["lang", "phrase", "f"])
 
     held, size = [], 0
@@ -250,15 +290,15 @@ def frequent_phrases(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     hashed = durable(_hash_column(words))
     context = docs.sparkSession.sparkContext
     word_bits = context.broadcast(bitmap(hashed))
-    pairs = durable(texts.mapInArrow(_pair_counts(word_bits), "h int, f long").groupBy("h").agg(F.sum("f").alias("f")).where(F.col("f") >= LEAST))
+    buckets = texts.mapInArrow(_pair_counts(word_bits), "bucket int, low binary, f binary").repartition("bucket").sortWithinPartitions("bucket")
+    pairs = durable(buckets.mapInArrow(_pair_sums, "h int, f long"))
     pair_bits = context.broadcast(bitmap(pairs))
     # 1 / VERY_FREQUENT words and as many pairs at most.
     much = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * VERY_FREQUENT
     words_cut, pairs_cut = (np.sort(np.array([row["h"] for row in rows.where(F.col("f") > much).collect()], np.int64)).view(np.uint64) for rows in (hashed, pairs))
-    by = [f"w{k + 1}" for k in range(LONGEST)]
-    found = texts.mapInArrow(_occurrences(word_bits, pair_bits, words_cut, pairs_cut), ", ".join(f"{name} string" for name in by) + ", n long, cut byte")
-    task = F.xxhash64("w1", F.when(F.col("cut") > 0, F.col("w2")), F.when(F.col("cut") > 1, F.col("w3")))
-    grown = found.repartition(task).sortWithinPartitions(*by).mapInArrow(_grow, "lang string, phrase string, f long")
+    found = texts.mapInArrow(_occurrences(word_bits, pair_bits, words_cut, pairs_cut), "lang string, words string, n long, cut byte")
+    task = F.expr("xxhash64(lang, substring_index(words, ' ', 1 + cut))")
+    grown = found.repartition(task).sortWithinPartitions("lang", "words").mapInArrow(_grow, "lang string, phrase string, f long")
     grown = grown.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= LEAST)
     return totals, durable(words.unionByName(grown))
 

@@ -3,8 +3,10 @@
 import random
 import re
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from conftest import same_rows
@@ -145,6 +147,23 @@ def test_one_doc_id_of_many_texts_is_linear(spark, monkeypatch):
     assert calls.value <= 6 * 69
 
 
+def test_pairs_are_counted_by_small_buckets():
+    rng = random.Random(5)
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 40, "text": [" ".join(f"w{int(rng.paretovariate(0.4)) % 3000}" for _ in range(5000)) for _ in range(40)]})
+    every = np.full(1, -1, np.int64).view(np.uint64)
+    packed = list(collocations._pair_counts(SimpleNamespace(value=every))(iter([batch])))
+    words, counts = next(collocations._in_portions(iter([batch]))), Counter()
+    ids, hashes = words.ids(), words.hashes()
+    for a, b in zip(ids, ids[1:]):
+        if a >= 0 and b >= 0:
+            counts[int(collocations._pairs(hashes[[a]], hashes[[b]])[0])] += 1
+    table = pa.Table.from_batches(packed).combine_chunks()
+    assert sum(len(x) for name in ("low", "f") for x in table.column(name).to_pylist()) == 6 * len(counts)  # bytes; a hash and a count of their own took 12
+    twice = pa.concat_tables([table, table]).sort_by("bucket")
+    sums = pa.Table.from_batches(collocations._pair_sums(iter(twice.to_batches(max_chunksize=7)))).to_pydict()
+    assert dict(zip(sums["h"], sums["f"], strict=True)) == {h: 2 * f for h, f in counts.items() if 2 * f >= collocations.LEAST} and len(sums["h"]) > 50
+
+
 def phrases_of(rows):
     """The report by plain counting."""
     f, n = defaultdict(Counter), Counter()
