@@ -2,7 +2,7 @@
 
 A bar waits until no earlier one is awaited any more, that is until the watermark has passed it; then it and those before it are taken
 in by time, as in a batch. Each series keeps its waiting bars, the state of the recursive steps and the time up to which it has got. All
-of that is keyed state, so a stream goes on where it stopped; a timer for each waiting time wakes a series.
+of that is keyed state, so a stream goes on where it stopped; a timer of its earliest waiting bar wakes a series.
 
 A stream can start from stored bars: `initial` has the states after them (recursive.states).
 """
@@ -10,6 +10,7 @@ A stream can start from stored bars: `initial` has the states after them (recurs
 from __future__ import annotations
 
 import pickle
+from bisect import bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -24,54 +25,93 @@ from barline.operators.smoothed import Smoothed
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: The time of a bar in microseconds, for a while.
 _AT = "__at"
+#: Bars of a series that are stored, or given out, at a time.
+PORTION = 8192
 
 
 class Indicators(StatefulProcessor):
-    """Bars of one series in, bars with the steps' columns out, in order of time and each once."""
+    """Bars of one series in; bars with the steps' columns out, in order of time and each once.
 
-    def __init__(self, steps: dict[str, Step], names: list[str]):
-        self.steps, self.names, self.out = steps, names, Row(*names, *steps)
+    A row that goes out has the columns of up to PORTION bars as arrays. Each call of the state store and each row of Spark's costs more than
+    a bar does, so waiting bars are stored in portions, as they come, and a series has one timer, of its earliest waiting bar: when it
+    wakes, all bars that the watermark has passed are taken in. These bars of a series are in memory at once.
+    """
+
+    def __init__(self, steps: dict[str, Step], names: list[str], keys: int):
+        """names: the columns besides the keys and the time."""
+        self.steps, self.names, self.out = steps, names, Row(*(f"_{i}" for i in range(keys + 1 + len(names) + len(steps))))
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        # Bars by time; one time can have several.
-        self.waiting = handle.getMapState("waiting", "at long", "bars binary")
-        self.reached = handle.getValueState("reached", "until long, state binary")
+        # Portions of waiting bars by number: times and columns.
+        self.waiting = handle.getMapState("waiting", "number long", "bars binary")
+        # Up to when bars have been given, the time of the earliest that waits, the number of portions, and the state of the steps.
+        self.reached = handle.getValueState("reached", "until long, earliest long, portions long, state binary")
 
     def handleInitialState(self, key: tuple, initialState: Row, timerValues: object) -> None:
-        self.reached.update((initialState["until"], bytes(initialState["state"])))
+        self.reached.update((initialState["until"], None, 0, bytes(initialState["state"])))
+
+    def _store(self, number: int, ats: list[int], bars: list[tuple]) -> None:
+        self.waiting.updateValue((number,), (pickle.dumps((ats, list(zip(*bars, strict=True)))),))
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
-        got = self.reached.get() if self.reached.exists() else None
-        fresh: dict[int, list] = {}
+        until, earliest, portions, state = self.reached.get() or (None, None, 0, None)
+        first, ats, bars, places = None, [], [], None
         for row in rows:
-            # A bar that isn't later than those given can't be taken in any more.
-            if got is None or row[_AT] > got[0]:
-                fresh.setdefault(row[_AT], []).append(tuple(row[name] for name in self.names))
-        for at, bars in fresh.items():
-            known = pickle.loads(bytes(self.waiting.getValue((at,))[0])) if self.waiting.containsKey((at,)) else []
-            self.waiting.updateValue((at,), (pickle.dumps(known + bars),))
-            if not known:
-                self.handle.registerTimer(-(-at // 1000))
+            if places is None:  # a row's own look-up by name is slow
+                when, *places = (row.__fields__.index(name) for name in (_AT, *self.names))
+            at = row[when]
+            # A bar that isn't later than those given can't be taken in any more; one without a time never can.
+            if at is None or until is not None and at <= until:
+                continue
+            first = at if first is None or at < first else first
+            ats.append(at)
+            bars.append(tuple([row[i] for i in places]))
+            if len(ats) == PORTION:
+                self._store(portions, ats, bars)
+                portions, ats, bars = portions + 1, [], []
+        if ats:
+            self._store(portions, ats, bars)
+            portions += 1
+        if first is not None:
+            if earliest is None or first < earliest:
+                earliest = first
+                self.handle.registerTimer(-(-first // 1000))
+            self.reached.update((until, earliest, portions, state))
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
-        until = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        due = sorted(at for (at,) in self.waiting.keys() if at <= until)
-        if not due:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        until, earliest, portions, state = self.reached.get() or (None, None, 0, None)
+        if earliest is None or earliest > passed:  # the timer of a bar that an earlier one has overtaken
             return
-        bars = []
-        for at in due:
-            bars += pickle.loads(bytes(self.waiting.getValue((at,))[0]))
-            self.waiting.removeKey((at,))
-        states = pickle.loads(bytes(self.reached.get()[1])) if self.reached.exists() else {name: step.start() for name, step in self.steps.items()}
-        made: dict[str, list] = {}
-        given = dict(zip(self.names, map(list, zip(*bars, strict=True)), strict=True))
-        for name, step in self.steps.items():
-            made[name] = step.run(states[name], [made[x] if x in made else given[x] for x in step.inputs])
-        self.reached.update((due[-1], pickle.dumps(states)))
-        for i, bar in enumerate(bars):
-            yield self.out(*bar, *(made[name][i] for name in self.steps))
+        ats: list[int] = []
+        columns: list[list] = [[] for _ in self.names]
+        for number in range(portions):
+            some, values = pickle.loads(bytes(self.waiting.getValue((number,))[0]))
+            self.waiting.removeKey((number,))
+            ats += some
+            for column, more in zip(columns, values, strict=True):
+                column += more
+        order = sorted(range(len(ats)), key=ats.__getitem__)
+        n = bisect_right(order, passed, key=ats.__getitem__)
+        states = {name: step.start() for name, step in self.steps.items()} if state is None else pickle.loads(bytes(state))
+        for start in range(0, n, PORTION):
+            some = order[start : min(start + PORTION, n)]
+            given = {name: [column[i] for i in some] for name, column in zip(self.names, columns, strict=True)}
+            made: dict[str, list] = {}
+            for name, step in self.steps.items():
+                made[name] = step.run(states[name], [made[x] if x in made else given[x] for x in step.inputs])
+            yield self.out(*key, [ats[i] for i in some], *given.values(), *made.values())
+        later, portions = order[n:], 0
+        for start in range(0, len(later), PORTION):
+            some = later[start : start + PORTION]
+            self._store(portions, [ats[i] for i in some], [tuple(column[i] for column in columns) for i in some])
+            portions += 1
+        earliest = ats[later[0]] if later else None
+        if later:
+            self.handle.registerTimer(-(-earliest // 1000))
+        self.reached.update((ats[order[n - 1]], earliest, portions, pickle.dumps(states)))
 
     def close(self) -> None:
         pass
@@ -89,13 +129,20 @@ def live_indicators(bars: DataFrame, *indicators: Smoothed, late: str = "2 hours
         raise ValueError("a stream has no windows of rows: use indicators that are made of steps alone")
     bars.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     steps = {name: step for i in indicators for name, step in i.steps.items()}
-    schema = T.StructType([*bars.schema.fields, *(T.StructField(name, step.kind) for name, step in steps.items())])
+    kinds = {f.name: f.dataType for f in bars.schema.fields}
+    names = [name for name in bars.columns if name not in s.keys and name != s.order]
+    arrays = [T.LongType(), *(kinds[name] for name in names), *(step.kind for step in steps.values())]
+    schema = T.StructType([T.StructField(f"_{i}", kind) for i, kind in enumerate([*(kinds[k] for k in s.keys), *map(T.ArrayType, arrays)])])
     grouped = bars.withWatermark(s.order, late).withColumn(_AT, F.unix_micros(F.col(s.order).cast("timestamp"))).groupBy(*s.keys)
     begun = None
     if initial is not None:
         begun = initial.select(*s.keys, F.unix_micros(F.col("until").cast("timestamp")).alias("until"), "state").groupBy(*s.keys)
-    found = grouped.transformWithState(Indicators(steps, bars.columns), schema, "append", "eventTime", initialState=begun)
-    return found.select(*bars.columns, *[c.alias(name) for i in indicators for name, c in i.done.items()])
+    found = grouped.transformWithState(Indicators(steps, names, len(s.keys)), schema, "append", "eventTime", initialState=begun)
+    keys, zipped = schema.names[: len(s.keys)], schema.names[len(s.keys) :]
+    rows = found.select(*keys, F.inline(F.arrays_zip(*zipped)))
+    at = F.timestamp_micros(zipped[0]).cast(kinds[s.order]).alias(s.order)
+    rows = rows.select(*[F.col(c).alias(name) for c, name in zip(keys, s.keys, strict=True)], at, *[F.col(c).alias(name) for c, name in zip(zipped[1:], [*names, *steps], strict=True)])
+    return rows.select(*bars.columns, *[c.alias(name) for i in indicators for name, c in i.done.items()])
 
 
 def to_the_end(stream: DataFrame, folder: str, spark: SparkSession) -> DataFrame:

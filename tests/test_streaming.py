@@ -104,3 +104,100 @@ def test_live_indicators_start_from_stored_bars(spark, tmp_path):
     got = live_of(spark, tmp_path / "live", tmp_path / "landing", initial=states(stored, steps))
     assert set(got) == {r[:2] for r in more if r[1] > cut and r[1] < cut + datetime.timedelta(hours=23)} | {("d", cut)}
     assert_same(got, batch_of(spark, rows + bars_of(40, ("d",), cut)))
+
+
+class Store:
+    """Keyed state of one series in memory; counts the calls."""
+
+    def __init__(self):
+        self.value, self.map, self.timers, self.calls = None, {}, [], 0
+
+    def getMapState(self, name, *schemas):
+        return self
+
+    def getValueState(self, name, schema):
+        return self
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.map[key]
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.map[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self.map[key]
+
+
+class Watermark:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):
+        return self.at
+
+
+def one_series(store, portion, batches):
+    """Rows (time, bars' closes, EMA) of a series whose batches are (rows, watermark)."""
+    from pyspark.sql import Row
+
+    from barline.operators.recursive import EMA
+    from barline.streaming import live
+
+    bar, found = Row("code", "trade_date", "close", "__at"), []
+    processor = live.Indicators({"e": EMA("close", 3)}, ["close"], 1)
+    processor.init(store)
+    live.PORTION, before = portion, live.PORTION
+    try:
+        for rows, watermark in batches:
+            assert not list(processor.handleInputRows(("a",), iter([bar("a", None, close, at) for at, close in rows]), None))
+            due = [t for t in sorted(set(store.timers)) if t <= watermark]
+            store.timers = [t for t in store.timers if t > watermark]
+            for _ in due:
+                for out in processor.handleExpiredTimer(("a",), Watermark(watermark), None):
+                    assert out[0] == "a" and len(out[1]) <= portion
+                    found += zip(*out[1:], strict=True)
+    finally:
+        live.PORTION = before
+    return found
+
+
+def test_live_bars_are_stored_in_portions_with_one_timer_a_series():
+    rows = [(1000 * i, float(i % 7)) for i in range(1000)]
+    store = Store()
+    found = one_series(store, 8192, [(rows, -1)])
+    assert not found and len(store.timers) == 1 and store.calls < 10  # before: a timer and three calls a bar
+    assert len(one_series(Store(), 8192, [(rows, 10_000)])) == 1000
+
+
+def test_live_bars_of_many_portions_come_in_order_of_time():
+    import random
+
+    from barline.operators.recursive import EMA
+
+    rng = random.Random(5)
+    # Times in microseconds, some equal (these stay as they came) and some between milliseconds; one row has no time.
+    rows = [(rng.randrange(0, 400) * 500, None if i % 13 == 0 else float(i)) for i in range(900)]
+    early, late = [r for r in rows if r[0] <= 100_000], [r for r in rows if r[0] > 100_000]
+    for portion in (1, 7, 8192):
+        store = Store()
+        found = one_series(store, portion, [(late[:100], 0), (early + [(None, 1.0)] + late[100:], 100), ([(100_000, 5.0), (90_000, 5.0)], 149), ([], 150), ([], 1000)])
+        want = sorted([*early, *late[:100], *late[100:]], key=lambda r: r[0])
+        steps = EMA("close", 3)
+        assert [(at, close) for at, close, _ in found] == want
+        assert [e for *_, e in found] == steps.run(steps.start(), [[close for _, close in want]])
+        assert not store.map and store.value[1] is None
