@@ -201,3 +201,24 @@ def test_live_bars_of_many_portions_come_in_order_of_time():
         assert [(at, close) for at, close, _ in found] == want
         assert [e for *_, e in found] == steps.run(steps.start(), [[close for _, close in want]])
         assert not store.map and store.value[1] is None
+
+
+def test_live_bars_after_a_stored_state_are_taken_in_at_once():
+    import pickle
+
+    from pyspark.sql import Row
+
+    from barline.operators.recursive import EMA
+
+    rows = [(1000 * i, float(i % 11)) for i in range(600)]
+    step, store = EMA("close", 3), Store()
+    want = step.run(state := step.start(), [[close for _, close in rows[:300]]]) + step.run(after := list(state), [[close for _, close in rows[300:]]])
+    from barline.streaming import live
+
+    processor = live.Indicators({"e": step}, ["close"], 1)
+    processor.init(store)
+    processor.handleInitialState(("a",), Row("until", "state")(rows[299][0], pickle.dumps({"e": state})), None)
+    # The stored bars come once more.
+    found = one_series(store, 8192, [(rows, 10_000)])
+    assert [(at, e) for at, _, e in found] == [(at, e) for (at, _), e in zip(rows[300:], want[300:], strict=True)]
+    assert store.calls < 12 and pickle.loads(store.value[3]) == {"e": after}  # before: six calls a bar
