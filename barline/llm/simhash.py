@@ -18,6 +18,7 @@ fingerprints of many documents, meet their rows by broadcast: there are few of t
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barline.llm import common
-from barline.llm.common import HEAVY_DOCUMENTS, durable, join_counted
+from barline.llm.common import HEAVY_DOCUMENTS, durable, join_counted, remove, shared_folder, stored
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -276,22 +277,29 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star then small-star until a star is left of each component; the number of rounds grows with the
     logarithm of a component's size. A hub's neighbours are never gathered: least neighbours are aggregated,
-    then joined, a hub's by broadcast.
+    then joined, a hub's by broadcast. Rounds are written as Parquet, each removed once the next one is there: a checkpoint keeps
+    Spark's estimate of its size, joins multiply these, and over a dozen rounds the number alone outgrew the driver's memory.
     """
+    spark = edges.sparkSession
+    folder, round_ = f"{shared_folder(spark)}/components-{uuid.uuid4().hex}", 0
 
     def least(edges: DataFrame, total: int) -> DataFrame:
         """(a, m, n): of each a, its least b, or itself if that is less; and how many it has."""
         found = edges.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n"))
         return durable(found) if total > common.HEAVY_ROWS else found
 
-    now = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{folder}/0")
     while total := _size_unless_stars(now):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = join_counted(both, least(both, 2 * total), "a", 2 * total).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         down = durable(down) if total > common.HEAVY_ROWS else down
         small = join_counted(down, least(down, total), "a", total).select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("x"))
-        now = durable(small.select(F.col("x.b").alias("a"), F.col("x.m").alias("b")).where("a <> b").distinct())
+        round_ += 1
+        now = stored(small.select(F.col("x.b").alias("a"), F.col("x.m").alias("b")).where("a <> b").distinct(), f"{folder}/{round_}")
+        remove(spark, f"{folder}/{round_ - 1}")
+    now = durable(now)
+    remove(spark, folder)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
 
 

@@ -282,3 +282,23 @@ def test_huge_components_are_exact():
 @pytest.mark.parametrize("name", ["op12_collocations", "op13_hard_negatives"])
 def test_queries_as_sql(spark, duck, name):
     assert same_rows(spark, duck, queries.QUERIES[name], queries.ORACLE_SQL[name]) is not None
+
+
+def test_estimates_do_not_grow_with_the_rounds_of_components(spark, monkeypatch):
+    from barline.llm import common, simhash
+
+    monkeypatch.setattr(common, "HEAVY_ROWS", 100)  # the way of large tables
+    # A path whose nodes are numbered at random takes several rounds; one of them is a hub.
+    nodes = np.random.default_rng(3).permutation(300).tolist()
+    edges = [*zip(nodes, nodes[1:], strict=False), *((1000 + i, 0) for i in range(200))]
+    bits, size = [], simhash._size_unless_stars
+
+    def measured(now):
+        bits.append(now._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length())
+        return size(now)
+
+    monkeypatch.setattr(simhash, "_size_unless_stars", measured)
+    roots = simhash.components(spark.createDataFrame(edges, "a long, b long"))
+    assert {r["root"] for r in roots.collect()} == {0} and roots.count() == 500
+    # Before, the estimate of the size had four times as many bits after each round (63, 257, 1030, 4121), until the driver had no memory for it.
+    assert len(bits) > 3 and max(bits) < 70
